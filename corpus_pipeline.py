@@ -1,3 +1,52 @@
-STAGES = []
+"""From raw documents to packed training sequences: five stages, each written as Parquet and read again by the next."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from plumbline.llm import decontaminate, exact_dedup, langid, near_dedup, packing
+from plumbline.llm.shared import materialise
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without an identified language, and those in which no language makes up three tenths."""
+    return langid.in_known_language(docs, docs.filter(~langid.held_out()))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the smallest doc_id stays."""
+    return exact_dedup.without_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles at a similarity of 0.8 or more, the smallest doc_id stays."""
+    return near_dedup.without_near_copies(docs, shingle=5, percent=80)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that hold a benchmark item, its slots filled differently or not."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document with its place in a sequence of at most 1024 tokens."""
+    return packing.pack(docs, tokenizer_path=public_tokenizers.path(packing.VOCABULARY))
+
+
+STAGES = [
+    ("language identification", identify_language),
+    ("exact deduplication", drop_copies),
+    ("near deduplication", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark),
+    ("best-fit packing", pack_sequences),
+]
+#: The mixture model, the templates and the packing order aren't expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

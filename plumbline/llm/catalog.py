@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.llm import exact_dedup, near_dedup, packing
+from plumbline.llm import decontaminate, exact_dedup, langid, near_dedup, packing
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
+    "op3_language_mixture": langid.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op7_decontamination": decontaminate.query,
     "op9_packing": packing.query,
 }
 SQL = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import delete_path, materialise, new_path
+from plumbline.llm.shared import delete_path, new_path
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -41,4 +41,3 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = tuple(now)
 
 
-__all__ = ["connected_components", "materialise"]

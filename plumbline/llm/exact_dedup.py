@@ -31,27 +31,20 @@ def normalised(text: Column, steps: Sequence[str] = ()) -> Column:
     return text
 
 
-def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", normalise: Sequence[str] = (), keep: str = "smallest") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised UTF-8 text).
-
-    keep: "smallest" or "largest" identifier stays. NULL texts count as empty texts, and so are equal to each other and to
-    empty ones. Rows that repeat an identifier and text are copies like others; one of them stays. NULL identifiers rank
-    after all others (a group of NULL identifiers alone keeps one row, and its keep_id is NULL). An empty table gives an
-    empty result. Further columns are ignored.
-    """
+def _sorted(rows: DataFrame, keep: str) -> DataFrame:
+    """rows (doc_id, text, ...) with keep_id, group_size, kept and text_sha256 added."""
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep: {keep}")
     best = F.min if keep == "smallest" else F.max
-    rows = only(docs, id_col, text_col).toDF("doc_id", "text").select("doc_id", normalised(F.col("text"), normalise).alias("text"))
+    others = rows.columns
     rows = rows.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
-    limit = -(-docs.count() // HOT_SHARE) + 1
+    limit = -(-rows.count() // HOT_SHARE) + 1
     hot = rows.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("hot_size"), best("doc_id").alias("hot_id")).filter(F.col("hot_size") > limit)
     rows = rows.join(F.broadcast(hot), "text_sha256", "left")
-    pieces = F.ceil(F.col("hot_size") / limit)
-    rows = rows.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("doc_id"), pieces), F.lit(0)))
+    # a NULL identifier hashes alike everywhere, so a hot group without identifiers stays in one piece
+    rows = rows.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("hot_size") / limit)), F.lit(0)))
     key = ["prefix", "text_sha256", "piece"]
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.withColumn("prefix", F.substring("text", 1, KEY_CHARS)).repartitionByRange(parts, *key)
     order = F.col("doc_id").asc_nulls_last() if keep == "smallest" else F.col("doc_id").desc_nulls_last()
     run = Window.partitionBy(*key, "text")
@@ -61,7 +54,30 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         "run_size": F.count(F.lit(1)).over(run),
     })
     keep_id, size = F.when(F.col("hot_size").isNull(), F.col("run_id")).otherwise(F.col("hot_id")), F.coalesce("hot_size", "run_size")
-    return rows.select("doc_id", keep_id.alias("keep_id"), size.alias("group_size"), ((F.col("place") == 1) & F.col("doc_id").eqNullSafe(keep_id)).alias("kept"), "text_sha256")
+    kept = (F.col("place") == 1) & F.col("doc_id").eqNullSafe(keep_id)
+    return rows.select(*others, keep_id.alias("keep_id"), size.alias("group_size"), kept.alias("kept"), "text_sha256")
+
+
+def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", normalise: Sequence[str] = (), keep: str = "smallest") -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised UTF-8 text).
+
+    keep: "smallest" or "largest" identifier stays. NULL texts count as empty texts, and so are equal to each other and to
+    empty ones. Rows that repeat an identifier and text are copies like others; one of them stays. NULL identifiers rank
+    after all others (a group of NULL identifiers alone keeps one row, and its keep_id is NULL). An empty table gives an
+    empty result. Further columns are ignored.
+    """
+    rows = only(docs, id_col, text_col).toDF("doc_id", "text").select("doc_id", normalised(F.col("text"), normalise).alias("text"))
+    return _sorted(rows, keep).drop("text").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", normalise: Sequence[str] = (), keep: str = "smallest") -> DataFrame:
+    """The rows of docs that exact_dedup keeps, all columns, in the same single shuffle."""
+    plain = not normalise
+    rest = [docs[c] for c in docs.columns if not (plain and c == text_col)]
+    rows = docs.select(docs[id_col].alias("doc_id"), normalised(docs[text_col], normalise).alias("text"), docs[text_col].isNull().alias("no_text"), F.struct(*rest).alias("rest"))
+    stay = _sorted(rows, keep).filter("kept")
+    text = F.when(~F.col("no_text"), F.col("text"))
+    return stay.select(*[text.alias(c) if plain and c == text_col else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -188,6 +188,12 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def without_near_copies(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, but for those whose identifier is not their component's; rows without identifier stay."""
+    gone = near_dedup(docs, shingle=shingle, percent=percent, id_col=id_col, text_col=text_col).filter("NOT kept").select(F.col("doc_id").alias("gone_id"))
+    return docs.join(gone, docs[id_col] == F.col("gone_id"), "left_anti")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=2, percent=80)
 
