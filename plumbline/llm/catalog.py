@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontaminate, exact_dedup, langid, near_dedup, packing
+from plumbline.llm import decontaminate, exact_dedup, langid, near_dedup, packing, pii, secrets
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
+    "op2_personal_data": pii.query,
     "op3_language_mixture": langid.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op6_secrets": secrets.query,
     "op7_decontamination": decontaminate.query,
     "op9_packing": packing.query,
 }
