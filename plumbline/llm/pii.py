@@ -78,7 +78,9 @@ def _short(parts: list[str]) -> list[str]:
 
 # --- the field
 
-FEATURES = 27
+FEATURES = 29
+#: Usual last parts of a mail domain.
+_LAST = frozenset("com org net edu gov mil info io co uk de fr es it eu ch at nl be se no dk fi pl pt br mx ca au jp cn in ru us".split())
 
 
 def _features(text: str, start: int, end: int) -> list[float]:
@@ -125,6 +127,8 @@ def _features(text: str, start: int, end: int) -> list[float]:
         bool(cue & set(CUES["card"])),
         bool(cue & set(CUES["ip"])),
         bool(cue & set(CUES["email"])),
+        mail and bool(tail) and tail[0].lower() in _LAST,
+        mail and bool(re.search(r"[A-Za-z0-9] [A-Za-z0-9]", s)),
     ]
     return [float(x) for x in f]
 
