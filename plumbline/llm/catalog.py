@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontaminate, exact_dedup, langid, near_dedup, packing, pii, secrets
+from plumbline.llm import decontaminate, exact_dedup, langid, near_dedup, packing, pii, quality, secrets, sharding, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
     "op2_personal_data": pii.query,
     "op3_language_mixture": langid.query,
+    "op4_sharding": sharding.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_secrets": secrets.query,
     "op7_decontamination": decontaminate.query,
+    "op8_fixity_audit": warc.query,
     "op9_packing": packing.query,
+    "op10_quality": quality.query,
 }
 SQL = {
     "op1_near_dedup": near_dedup.SQL,
