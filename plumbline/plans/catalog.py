@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from plumbline.plans import metric_queries
+from plumbline.plans import metric_queries, text_queries
 
-MODULES = (metric_queries,)
+MODULES = (metric_queries, text_queries)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
