@@ -31,6 +31,11 @@ COMMON_ANSWER_WORDS = (
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once per row, though body may use it within lambdas, which would compute an expression for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """White-space tokens; none for an empty text, NULL for NULL."""
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")
@@ -81,15 +86,18 @@ def contains_answer(prediction: Column, gold: Column) -> Column:
 
 def bag_overlap(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two arrays."""
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
+    count = lambda v, x: F.size(F.filter(v, lambda y: y == x))
+    return let(a, lambda p: let(b, lambda q: F.aggregate(F.array_distinct(p), F.lit(0), lambda s, x: s + F.least(count(p, x), count(q, x)))))
 
 
 def token_f1(prediction: Column, gold: Column) -> Column:
     """Bag F1 of normalised tokens; with an empty side 1 if both are empty, else 0."""
-    p, g = words(normalise_answer(prediction)), words(normalise_answer(gold))
-    common = bag_overlap(p, g)
-    both_empty = (F.size(p) == 0) & (F.size(g) == 0)
-    return F.when((F.size(p) == 0) | (F.size(g) == 0), both_empty.cast("double")).otherwise(2.0 * common / (F.size(p) + F.size(g)))
+
+    def score(p: Column, g: Column) -> Column:
+        both_empty = (F.size(p) == 0) & (F.size(g) == 0)
+        return F.when((F.size(p) == 0) | (F.size(g) == 0), both_empty.cast("double")).otherwise(2.0 * bag_overlap(p, g) / (F.size(p) + F.size(g)))
+
+    return let(words(normalise_answer(prediction)), lambda p: let(words(normalise_answer(gold)), lambda g: score(p, g)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -196,8 +204,7 @@ def sentences(text: Column) -> Column:
 
 def claim_sentence(passage: Column, answer: Column) -> Column:
     """First sentence that contains the answer anywhere, in any case; NULL without one."""
-    needle = F.lower(F.trim(answer))
-    hit = F.filter(F.split(passage, r"(?<=[.!?])\s+"), lambda s: (needle != "") & F.contains(F.lower(s), needle))
+    hit = let(F.lower(F.trim(answer)), lambda needle: F.filter(F.split(passage, r"(?<=[.!?])\s+"), lambda s: (needle != "") & F.contains(F.lower(s), needle)))
     return F.trim(F.get(hit, F.lit(0)))
 
 
@@ -205,7 +212,7 @@ def aligned_sentence(generated: Column, premise: Column) -> Column:
     """The sentence most similar to the premise by word sets, the first of equals; the first 400 characters of a text without sentences."""
     parts = F.filter(F.transform(F.split(generated, r"(?<=[.!?])\s+"), F.trim), lambda x: x != "")
     wanted = F.array_distinct(lower_words(premise))
-    scored = F.transform(parts, lambda s, i: F.struct(jaccard(F.array_distinct(lower_words(s)), wanted).alias("j"), (-i).alias("i"), s.alias("s")))
+    scored = let(wanted, lambda w: F.transform(parts, lambda s, i: F.struct(jaccard(F.array_distinct(lower_words(s)), w).alias("j"), (-i).alias("i"), s.alias("s"))))
     return F.when(F.size(parts) == 0, F.substring(generated, 1, 400)).when(F.size(wanted) == 0, F.get(parts, F.lit(0))).otherwise(F.array_max(scored)["s"])
 
 
@@ -223,11 +230,14 @@ def answer_window(text: Column, answer: Column, most: int) -> Column:
 
 def context_windows(text: Column, answer: Column, most: int, windows: int = 6, least: int = 50) -> Column:
     """Successive windows of `most` words, without those shorter than `least` words or containing the answer; the first `windows` of them."""
-    w, needle = words(text), F.lower(F.trim(answer))
-    starts = F.when(F.size(w) >= F.greatest(F.lit(least), F.lit(1)), F.sequence(F.lit(0), F.size(w) - 1, F.lit(most))).otherwise(F.array().cast("array<int>"))
-    parts = F.filter(F.transform(starts, lambda s: F.slice(w, s + 1, F.lit(most))), lambda p: F.size(p) >= least)
-    joined = F.transform(parts, lambda p: F.array_join(p, " "))
-    return F.slice(F.filter(joined, lambda x: (needle == "") | ~F.contains(F.lower(x), needle)), 1, windows)
+
+    def cut(w: Column) -> Column:
+        starts = F.when(F.size(w) >= max(least, 1), F.sequence(F.lit(0), F.size(w) - 1, F.lit(most))).otherwise(F.array().cast("array<int>"))
+        parts = F.filter(F.transform(starts, lambda s: F.slice(w, s + 1, F.lit(most))), lambda p: F.size(p) >= least)
+        return F.transform(parts, lambda p: F.array_join(p, " "))
+
+    joined = let(words(text), cut)
+    return F.slice(let(F.lower(F.trim(answer)), lambda needle: F.filter(joined, lambda x: (needle == "") | ~F.contains(F.lower(x), needle))), 1, windows)
 
 
 def _padded(text: Column) -> Column:
@@ -262,8 +272,8 @@ def ngrams(tokens: Column, n: int) -> Column:
     """Distinct n-grams joined by blanks; none for short texts."""
     if n <= 0:
         raise ValueError("n must be positive")
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " ")))
+    starts = lambda t: F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(let(tokens, lambda t: F.transform(starts(t), lambda i: F.array_join(F.slice(t, i, n), " "))))
 
 
 def numbered(passages: Column) -> Column:

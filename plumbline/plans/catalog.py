@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from plumbline.plans import metric_queries, text_queries
+from plumbline.plans import metric_queries, python_queries, relation_queries, text_queries
 
-MODULES = (metric_queries, text_queries)
+MODULES = (metric_queries, relation_queries, text_queries, python_queries)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
