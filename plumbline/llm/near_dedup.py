@@ -1,17 +1,19 @@
 """Near-duplicate components by b-bit MinHash.
 
 1. One pass over the texts gives each document's shingle-set size and 128-bit fingerprint, BANDS keys of ROWS minima each,
-   and the low BITS bits of all minima, packed into longs.
+   and the low BITS bits of all HASHES minima, packed into longs.
 2. Documents with equal sets form a class at once (a group-by that combines on the map side); all that follows works on one
    representative of a class, so exact copies cost nothing more.
-3. Within a band bucket, members are linked to the bucket's least member only: as many candidates as members. A candidate
+3. Within a band bucket, members are compared to one head only, the member that meets most others in all of its buckets (in
+   a family of edited copies that is the text that the others are nearest to): as many candidates as members. A candidate
    goes on if its similarity, estimated from equal lanes by bit counts and corrected for chance collisions of BITS bits,
    comes within SLACK standard errors of the threshold, and becomes a link if the full sets confirm it.
 4. Buckets whose members are still in several components are taken up again: each member outside the bucket's largest
    component meets the members of other components. So no link that shares a band and that could still join two components
    goes untested, and a large group of near copies, joined in step 3, leaves nothing to compare.
 
-A pair at the threshold shares no band with probability (1 - 0.8^ROWS)^BANDS, below 5e-8.
+A pair at the threshold shares no band with probability (1 - 0.8^ROWS)^BANDS, below 5e-8, and fails the estimate with
+probability below 4e-6 (SLACK standard errors); both are that unlikely for each of the ways in which a document is linked.
 """
 
 from __future__ import annotations
@@ -27,11 +29,10 @@ from plumbline.llm.components import connected_components
 from plumbline.llm.shared import materialise, only
 from plumbline.llm.textbytes import mix, shingle_sets, slices
 
-BANDS, ROWS, BITS = 32, 4, 4
-HASHES = BANDS * ROWS
+BANDS, ROWS, BITS, HASHES = 32, 4, 4, 512
 LANES = 64 // BITS
 LONGS = HASHES // LANES
-SLACK = 6.0
+SLACK = 4.5
 _RNG = np.random.default_rng(77003)
 _A = _RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -70,7 +71,7 @@ def sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
             wide = m.astype(np.uint64)
             key = np.repeat(_BAND[ROWS][None, :], len(has), 0)
             for r in range(ROWS):
-                key = mix(key ^ (wide[:, r::ROWS] * _BAND[r]))
+                key = mix(key ^ (wide[:, r : BANDS * ROWS : ROWS] * _BAND[r]))
             keys[has] = key.view(np.int64)
             bits = wide & np.uint64((1 << BITS) - 1)
             lanes = np.zeros((len(has), LONGS), np.uint64)
@@ -127,12 +128,10 @@ def _exact(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[
         yield from at
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, spark_cols: str) -> DataFrame:
-    """Pairs (u, v, u1, u2, v1, v2) of representatives that are links; only the texts of documents in pairs are shuffled a second time."""
-    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi")
-    rows = pairs.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v").join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-    return rows.select("u", "v", "u1", "u2", "v1", "v2", "text_u", "text_v").mapInArrow(lambda b: _exact(b, k, percent), spark_cols).distinct()
+def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, schema: str) -> DataFrame:
+    """Pairs (u, v, u1, u2, v1, v2) of representatives that are links."""
+    rows = pairs.join(docs.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v").join(docs.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
+    return rows.select("u", "v", "u1", "u2", "v1", "v2", "text_u", "text_v").mapInArrow(lambda b: _exact(b, k, percent), schema).distinct()
 
 
 def near_dedup(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,10 +149,15 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col:
     sketches = materialise(docs.mapInArrow(lambda b: sketch(b, shingle), schema), "sketches")
     usable = sketches.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     reps = materialise(usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), *[F.first(s).alias(s) for s in SIGNATURE]), "classes")
-    sides = reps.select("rep", "f1", "f2", "n", *SIGNATURE)
     rows = reps.select("rep", F.explode("bands").alias("key"))
-    heads = rows.groupBy("key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    buckets = materialise(rows.join(heads, "key"), "buckets")
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    met = materialise(rows.join(shared, "key"), "band-members")
+    meets = met.groupBy("rep").agg(F.sum("members").alias("meets"))
+    heads = met.join(meets, "rep").groupBy("key").agg(F.min_by("rep", F.struct(-F.col("meets"), F.col("rep"))).alias("head"))
+    buckets = materialise(met.join(heads, "key"), "buckets")
+    # only what shares a band with something else is carried further
+    sides = materialise(reps.join(meets, "rep", "left_semi").select("rep", "f1", "f2", "n", *SIGNATURE), "sides")
+    docs = materialise(docs.join(meets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "texts")
 
     share = percent / 100
     lanes = share + (1 - share) * 2.0**-BITS
