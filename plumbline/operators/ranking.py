@@ -43,9 +43,8 @@ def spearman(rows: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFra
     """Rank correlation per group over rows where both are defined; NULL below three rows or where a side is constant."""
     rows = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("x"), F.col(y).alias("y"))
     rows = rows.withColumns({"rx": average_ranks(rows, "x", by), "ry": average_ranks(rows, "y", by)})
-    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("r"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    defined = (F.col("n") >= 3) & (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1"))
-    return out.select(*by, "n", F.when(defined, F.col("r")).alias("rho"))
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.covar_pop("rx", "ry").alias("c"), (F.var_pop("rx") * F.var_pop("ry")).alias("v"))
+    return out.select(*by, "n", F.when((F.col("n") >= 3) & (F.col("v") > 0), F.col("c") / F.sqrt("v")).alias("rho"))
 
 
 def sample(rows: DataFrame, n: int, seed: int | str, *key: str) -> DataFrame:

@@ -88,7 +88,7 @@ def report(frames: dict[str, DataFrame], most: int = 10_000) -> str:
     """Small result tables as one JSON document; more rows than `most` are an error."""
     out = {}
     for name, df in frames.items():
-        rows = df.limit(most + 1).toJSON().collect()
+        rows = [r[0] for r in df.limit(most + 1).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
         if len(rows) > most:
             raise ValueError(f"{name} has more than {most} rows")
         out[name] = [json.loads(r) for r in rows]
