@@ -145,8 +145,8 @@ class Model:
 
 def learn(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS) -> Model:
     """docs (doc_id, text) and labels (doc_id, quality) to learn from. NULL ids and labels teach nothing; a document with several labels is positive if any is 1."""
-    marks = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("label"))
-    docs = docs.filter(F.col("doc_id").isNotNull())
+    marks = only(labels, "doc_id", "quality").filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("label"))
+    docs = only(docs, "doc_id", "text").filter(F.col("doc_id").isNotNull())
     order = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_000))
 
     def sample(rows: DataFrame) -> np.ndarray:
@@ -183,5 +183,5 @@ def classify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 def query(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     held_out = fold() == 0
-    model = learn(only(docs.filter(~held_out), "doc_id", "text"), only(labels.filter(~held_out), "doc_id", "quality"))
+    model = learn(docs.filter(~held_out), labels.filter(~held_out))
     return classify(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
