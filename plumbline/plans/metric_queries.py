@@ -73,8 +73,8 @@ for _by in ("pipeline_class", "config_id"):
 register("crs_excluding_non_terminating", S(_crs_sql("pipeline_class", "AND NOT (truncated AND final_answer IS NULL)")))(lambda s, d: metrics.conflict_resolution(scored(s, d), ["pipeline_class"], exclude_non_terminating=True))
 register("correct_side_by_class", S("SELECT pipeline_class, count(*) AS n, count(*) FILTER (answer_correct IS NULL) AS n_no_commitment, count(*) FILTER (answer_correct) / count(*) AS over_all, count(*) FILTER (answer_correct) / count(answer_correct) AS over_committed FROM scored WHERE dimension = 'conflict' GROUP BY 1"))(
     lambda s, d: metrics.correct_side(scored(s, d).filter("dimension = 'conflict'"), ["pipeline_class"], "answer_correct"))
-register("crs_distribution_map", S("""SELECT pipeline_class, level, count(crs_score) AS n FROM (SELECT * FROM (SELECT DISTINCT pipeline_class FROM scored), (SELECT unnest([0, 1, 2, 3, 4]) AS level)) grid
-  LEFT JOIN (SELECT pipeline_class, crs_score FROM scored WHERE dimension = 'conflict') s USING (pipeline_class) WHERE crs_score = level OR crs_score IS NULL GROUP BY ALL"""))(
+register("crs_distribution_map", S("""SELECT c.pipeline_class, level, count(s.crs_score) AS n FROM (SELECT DISTINCT pipeline_class FROM scored) c CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS level) l
+  LEFT JOIN (SELECT pipeline_class, crs_score FROM scored WHERE dimension = 'conflict') s ON s.pipeline_class = c.pipeline_class AND s.crs_score = level GROUP BY ALL"""))(
     lambda s, d: metrics.conflict_resolution(scored(s, d), ["pipeline_class"]).select("pipeline_class", F.explode(F.create_map(*[x for k in range(5) for x in (F.lit(k), F.col(f"n{k}"))])).alias("level", "n")))
 register("ndc50_mean_uncensored", S(f"SELECT avg(ndc50) AS mean_ndc50, count(ndc50) AS n_uncensored, count(*) AS n FROM ({_ndc_sql('config_id')})"))(
     lambda s, d: metrics.mean_ndc50(metrics.degradation_curve(metrics.noise_accuracy(scored(s, d), ["config_id"]), ["config_id"])))
