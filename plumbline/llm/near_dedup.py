@@ -8,9 +8,11 @@
    a family of edited copies that is the text that the others are nearest to): as many candidates as members. A candidate
    goes on if its similarity, estimated from equal lanes by bit counts and corrected for chance collisions of BITS bits,
    comes within SLACK standard errors of the threshold, and becomes a link if the full sets confirm it.
-4. Buckets whose members are still in several components are taken up again: each member outside the bucket's largest
-   component meets the members of other components. So no link that shares a band and that could still join two components
-   goes untested, and a large group of near copies, joined in step 3, leaves nothing to compare.
+4. Buckets whose members are still in several components are taken up again. First, each member's shingles that no other
+   such member has are counted: they lie outside every intersection, which bounds all similarities of the member from above.
+   Then each member outside its bucket's largest component meets the members of other components that the bounds and the
+   estimate leave. So no link that shares a band and that could still join two components goes untested; a large group of
+   near copies, joined in step 3, leaves little to compare, and its heavily edited copies fall to the bound.
 
 A pair at the threshold shares no band with probability (1 - 0.8^ROWS)^BANDS, below 5e-8, and fails the estimate with
 probability below 4e-6 (SLACK standard errors); both are that unlikely for each of the ways in which a document is linked.
@@ -128,6 +130,18 @@ def _exact(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[
         yield from at
 
 
+def _exploded(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(rep, shingle) of rows (rep, f1, f2, text) whose set has the fingerprints expected of it."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            h, bounds = shingle_sets(part.column("text"), k)
+            f1, f2 = fingerprints(h, bounds)
+            good = (f1 == part.column("f1").to_numpy()) & (f2 == part.column("f2").to_numpy())
+            row = np.repeat(np.arange(part.num_rows), np.diff(bounds))
+            keep = good[row]
+            yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(row[keep])), pa.array(h[keep].view(np.int64))], ["rep", "shingle"])
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, schema: str) -> DataFrame:
     """Pairs (u, v, u1, u2, v1, v2) of representatives that are links."""
     rows = pairs.join(docs.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v").join(docs.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
@@ -179,9 +193,15 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col:
     sizes = seen.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
     open_keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", "size").alias("largest")).filter("parts > 1")
     unsettled = materialise(seen.join(open_keys, "key").select("key", "rep", "head", "component", "largest"), "unsettled")
-    few = unsettled.filter("component != largest AND rep != head").join(sides, "rep").alias("a")
-    rest = unsettled.filter("rep != head").select("key", "rep", "component", "largest").join(sides, "rep").alias("b")
-    again = few.join(rest, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("a.largest")) | (F.col("a.rep") < F.col("b.rep"))) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & (estimated("a", "b") >= floor))
+    members = sides.join(unsettled.select("rep").distinct(), "rep", "left_semi")
+    spelt = members.select("rep", "f1", "f2").join(docs.withColumnRenamed("doc_id", "rep"), "rep").mapInArrow(lambda b: _exploded(b, shingle), f"rep {kind}, shingle long")
+    lone = spelt.groupBy("shingle").agg(F.count(F.lit(1)).alias("having"), F.min("rep").alias("rep")).filter("having = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("lone"))
+    common = F.col("n") - F.coalesce("lone", F.lit(0))  # at most so many shingles are shared with any other member
+    members = materialise(members.join(lone, "rep", "left").withColumn("common", common).filter(100 * F.col("common") >= percent * F.col("n")).drop("lone"), "members")
+    few = unsettled.filter("component != largest AND rep != head").join(members, "rep").alias("a")
+    rest = unsettled.filter("rep != head").select("key", "rep", "component", "largest").join(members, "rep").alias("b")
+    both = F.least("a.common", "b.common")
+    again = few.join(rest, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("a.largest")) | (F.col("a.rep") < F.col("b.rep"))) & (100 * both >= percent * (F.col("a.n") + F.col("b.n") - both)) & (estimated("a", "b") >= floor))
     again = materialise(again.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct(), "late-pairs")
     late = materialise(_confirm(probable(again), docs, shingle, percent, links), "late-links")
     joined = materialise(connected_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(late)), "components")
@@ -195,7 +215,7 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col:
 def without_near_copies(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, but for those whose identifier is not their component's; rows without identifier stay."""
     gone = near_dedup(docs, shingle=shingle, percent=percent, id_col=id_col, text_col=text_col).filter("NOT kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs[id_col] == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
