@@ -19,4 +19,5 @@ QUERIES = {
 SQL = {
     "op1_near_dedup": near_dedup.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
+    "op8_fixity_audit": warc.SQL,
 }

@@ -13,7 +13,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import is_empty, materialise, only
@@ -21,21 +21,25 @@ from plumbline.llm.shared import is_empty, materialise, only
 RANGE = 1 << 16
 FANOUT = 16
 RECORD = ["archive", "offset", "length", "sha256"]
+#: What the drill alters and loses.
+ALTERED, LOST = ("00", "01", "02"), ("fd", "fe", "ff")
 
 
-def page_records(pages: DataFrame, *, per_archive: int = 1000) -> DataFrame:
-    """Response records of pages (page_id, url, html): page_id, archive, offset, length, sha256 and the record itself.
+def page_records(pages: DataFrame, *, per_archive: int = 1000, extra: dict[str, Column] | None = None) -> DataFrame:
+    """Response records of pages (page_id, url, html): page_id, archive, offset, length, sha256, and extra (columns made of `record`, the record itself).
 
-    Pages of page_id div per_archive form an archive, in the order of page_id, url and html; NULL ids go to archive -1, NULL
-    urls and pages count as empty.
+    Pages of page_id div per_archive form an archive, in the order of page_id, url and digest; NULL ids go to archive -1, NULL
+    urls and pages count as empty. Only digests and what extra makes are shuffled, not the records.
     """
+    extra = extra or {}
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = only(pages, "page_id", "url", "html").withColumn("archive", F.coalesce(F.floor(F.col("page_id") / per_archive), F.lit(-1)))
     head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), text("url"), F.lit("\r\nContent-Length: "), F.octet_length(text("html")).cast("string"), F.lit("\r\n\r\n"))
-    rows = rows.withColumn("record", F.concat(head, text("html"), F.lit("\r\n\r\n"))).withColumn("length", F.octet_length("record").cast("long"))
-    before = Window.partitionBy("archive").orderBy("page_id", "url", "html").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("page_id", "archive", text("url").alias("url"), F.concat(head, text("html"), F.lit("\r\n\r\n")).alias("record"))
+    rows = rows.select("page_id", "archive", "url", F.octet_length("record").cast("long").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("sha256"), *[c.alias(n) for n, c in extra.items()])
+    before = Window.partitionBy("archive").orderBy("page_id", "url", "sha256").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    return rows.select("page_id", "archive", "offset", "length", F.sha2(F.col("record").cast("binary"), 256).alias("sha256"), "record")
+    return rows.select("page_id", "archive", "offset", "length", "sha256", *extra)
 
 
 def _parsed(files: Iterator) -> Iterator:
@@ -122,11 +126,11 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def drill(spark, sf_dir: str) -> DataFrame:
-    """The pages as archives, and a second replica in which a first character is replaced in every 97th record and every 101st is lost (by crc32 of the id); one row per record with what the audit says of it."""
-    records = page_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    mark = F.crc32(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary"))
+    """The pages as archives, and a second replica in which some records' first character is replaced and some are lost (by the first two digits of the id's md5: ALTERED, LOST); one row per record with what the audit says of it."""
     damaged = F.sha2(F.concat(F.lit("?"), F.expr("substring(record, 2)")).cast("binary"), 256)
-    both = materialise(records.withColumn("copy_sha256", F.when(mark % 97 == 0, damaged).otherwise(F.col("sha256"))).withColumn("lost", mark % 101 == 0).drop("record"), "records")
+    records = page_records(spark.read.parquet(f"{sf_dir}/pages.parquet"), extra={"other_sha256": damaged})
+    mark = F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")), 1, 2)
+    both = materialise(records.withColumns({"copy_sha256": F.when(mark.isin(*ALTERED), F.col("other_sha256")).otherwise(F.col("sha256")), "lost": mark.isin(*LOST)}).drop("other_sha256"), "records")
     replica = both.filter("NOT lost").select("archive", "offset", "length", F.col("copy_sha256").alias("sha256"))
     found = audit(both, replica).select("archive", "offset", "status")
     return both.join(found, ["archive", "offset"], "left").select("page_id", "archive", "offset", "length", "sha256", F.coalesce("status", F.lit("intact")).alias("status"))
@@ -134,3 +138,15 @@ def drill(spark, sf_dir: str) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return drill(spark, sf_dir)
+
+
+SQL = f"""
+WITH r AS (
+  SELECT page_id, coalesce(floor(page_id / 1000)::bigint, -1) AS archive, coalesce(url, '') AS url, concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', coalesce(page_id::varchar, ''), '>', chr(13), chr(10),
+    'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10), 'Content-Length: ', strlen(coalesce(html, ''))::varchar, chr(13), chr(10), chr(13), chr(10), coalesce(html, ''), chr(13), chr(10), chr(13), chr(10)) AS record
+  FROM pages
+), d AS (SELECT page_id, archive, url, strlen(record)::bigint AS length, sha256(record) AS sha256, substr(md5(coalesce(page_id::varchar, '')), 1, 2) AS mark FROM r)
+SELECT page_id, archive, coalesce(sum(length) OVER (PARTITION BY archive ORDER BY page_id, url, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS "offset", length, sha256,
+  CASE WHEN mark IN {LOST} THEN 'missing' WHEN mark IN {ALTERED} THEN 'corrupt' ELSE 'intact' END AS status
+FROM d
+"""

@@ -139,8 +139,8 @@ def test_warc_files(spark, tmp_path):
 
 def test_page_records_edges(spark):
     pages = spark.createDataFrame([(1, "u", "<p>é"), (1, "u", "<p>é"), (None, None, None), (2000, "", "")], "page_id long, url string, html string").withColumn("record", F.lit(1))
-    out = sorted(warc.page_records(pages, per_archive=1000).collect(), key=lambda x: (x.archive, x.offset))
-    assert [x.archive for x in out] == [-1, 0, 0, 2] and out[2].offset == out[1].length and all(hashlib.sha256(x.record.encode()).hexdigest() == x.sha256 and len(x.record.encode()) == x.length for x in out)
+    out = sorted(warc.page_records(pages, per_archive=1000, extra={"whole": F.col("record")}).collect(), key=lambda x: (x.archive, x.offset))
+    assert [x.archive for x in out] == [-1, 0, 0, 2] and out[2].offset == out[1].length and all(hashlib.sha256(x.whole.encode()).hexdigest() == x.sha256 and len(x.whole.encode()) == x.length for x in out)
     assert warc.page_records(pages.limit(0)).count() == 0
 
 
