@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import fold, only
+from plumbline.llm.shared import fold, map_arrow, only
 from plumbline.llm.textbytes import LOWER, buffers, slices
 
 CODES = 1 << 15
@@ -80,7 +80,7 @@ def learn(labelled: DataFrame, *, train_docs: int = TRAIN_DOCS, max_languages: i
     total = usable.count()
     if total > train_docs:
         usable = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(1e6 * train_docs / total) + 1)
-    rows = usable.select("text", "lang").mapInArrow(_counted, "lang string, code long, count long").groupBy("lang", "code").agg(F.sum("count").alias("count"))
+    rows = map_arrow(usable.select("text", "lang"), _counted, "lang string, code long, count long").groupBy("lang", "code").agg(F.sum("count").alias("count"))
     found: dict[str, np.ndarray] = {}
     for r in rows.toLocalIterator():  # at most CODES rows a language
         found.setdefault(r["lang"], np.zeros(CODES))[r["code"]] = r["count"]
@@ -134,8 +134,8 @@ def infer(column: pa.Array, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, single
 
 
-def _predict(batches: Iterator[pa.RecordBatch], names: list[str], model: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Adds the four columns of a prediction to the columns given, and leaves out the text."""
+def _predict(batches: Iterator[pa.RecordBatch], names: list[str], model: np.ndarray, keep_text: bool = False) -> Iterator[pa.RecordBatch]:
+    """Adds the four columns of a prediction to the columns given, with or without the text."""
     for batch in batches:
         for part in slices(batch, "text"):
             text = part.column("text")
@@ -148,7 +148,7 @@ def _predict(batches: Iterator[pa.RecordBatch], names: list[str], model: np.ndar
             langs = [names[b] if k else "und" for b, k in zip(best.tolist(), known.tolist())]
             sets = [[names[j] for j in np.flatnonzero(share[i] > 0)] if known[i] else [] for i in rows]
             mixture = [[float(x) for x in share[i][share[i] > 0]] if known[i] else [] for i in rows]
-            rest = [c for c in part.schema.names if c != "text"]
+            rest = [c for c in part.schema.names if keep_text or c != "text"]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], pa.array(langs, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(sets, pa.list_(pa.string())), pa.array(mixture, pa.list_(pa.float64()))], [*rest, "lang_pred", "score", "languages", "proportions"])
 
 
@@ -164,17 +164,18 @@ def identify(docs: DataFrame, labelled: DataFrame, *, train_docs: int = TRAIN_DO
     return _predicted(rows, learn(only(labelled, id_col, text_col, lang_col).toDF("doc_id", "text", "lang"), train_docs=train_docs))
 
 
-def _predicted(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+def _predicted(rows: DataFrame, model: tuple[list[str], np.ndarray], keep_text: bool = False) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name != "text")
-    return rows.mapInArrow(lambda b: _predict(b, *shared.value), f"{fields}lang_pred string, score double, languages array<string>, proportions array<double>")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields if keep_text or f.name != "text")
+    return map_arrow(rows, lambda b: _predict(b, *shared.value, keep_text), f"{fields}lang_pred string, score double, languages array<string>, proportions array<double>")
 
 
 def in_known_language(docs: DataFrame, labelled: DataFrame, *, min_score: float = 0.3, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs, all columns, whose language is identified with at least min_score; `und` rows go."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
-    out = _predicted(rows, learn(only(labelled, id_col, text_col, lang_col).toDF("doc_id", "text", "lang"), train_docs=train_docs))
-    return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("row.*")
+    rows = docs.select(F.struct(F.lit(0).alias("none"), *[docs[c] for c in docs.columns if c != text_col]).alias("rest"), docs[text_col].alias("text"))
+    out = _predicted(rows, learn(only(labelled, id_col, text_col, lang_col).toDF("doc_id", "text", "lang"), train_docs=train_docs), keep_text=True)
+    good = out.filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    return good.select(*[F.col("text").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:

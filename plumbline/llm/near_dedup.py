@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import connected_components
-from plumbline.llm.shared import materialise, only
+from plumbline.llm.shared import map_arrow, materialise, only
 from plumbline.llm.textbytes import mix, shingle_sets, slices
 
 BANDS, ROWS, BITS, HASHES = 32, 4, 4, 512
@@ -145,7 +145,7 @@ def _exploded(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, schema: str) -> DataFrame:
     """Pairs (u, v, u1, u2, v1, v2) of representatives that are links."""
     rows = pairs.join(docs.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v").join(docs.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-    return rows.select("u", "v", "u1", "u2", "v1", "v2", "text_u", "text_v").mapInArrow(lambda b: _exact(b, k, percent), schema).distinct()
+    return map_arrow(rows.select("u", "v", "u1", "u2", "v1", "v2", "text_u", "text_v"), lambda b: _exact(b, k, percent), schema).distinct()
 
 
 def near_dedup(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,7 +160,7 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col:
     docs = only(docs, id_col, text_col).toDF("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n long, f1 long, f2 long, bands array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE)
-    sketches = materialise(docs.mapInArrow(lambda b: sketch(b, shingle), schema), "sketches")
+    sketches = materialise(map_arrow(docs, lambda b: sketch(b, shingle), schema), "sketches")
     usable = sketches.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     reps = materialise(usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), *[F.first(s).alias(s) for s in SIGNATURE]), "classes")
     rows = reps.select("rep", F.explode("bands").alias("key"))
@@ -194,7 +194,7 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col:
     open_keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", "size").alias("largest")).filter("parts > 1")
     unsettled = materialise(seen.join(open_keys, "key").select("key", "rep", "head", "component", "largest"), "unsettled")
     members = sides.join(unsettled.select("rep").distinct(), "rep", "left_semi")
-    spelt = members.select("rep", "f1", "f2").join(docs.withColumnRenamed("doc_id", "rep"), "rep").mapInArrow(lambda b: _exploded(b, shingle), f"rep {kind}, shingle long")
+    spelt = map_arrow(members.select("rep", "f1", "f2").join(docs.withColumnRenamed("doc_id", "rep"), "rep"), lambda b: _exploded(b, shingle), f"rep {kind}, shingle long")
     lone = spelt.groupBy("shingle").agg(F.count(F.lit(1)).alias("having"), F.min("rep").alias("rep")).filter("having = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("lone"))
     common = F.col("n") - F.coalesce("lone", F.lit(0))  # at most so many shingles are shared with any other member
     members = materialise(members.join(lone, "rep", "left").withColumn("common", common).filter(100 * F.col("common") >= percent * F.col("n")).drop("lone"), "members")

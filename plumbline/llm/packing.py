@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import materialise, only
+from plumbline.llm.shared import map_arrow, materialise, only
 from plumbline.llm.tokens import pieces_of
 
 BUCKETS = 256
@@ -97,7 +97,7 @@ def pack(docs: DataFrame, *, tokenizer_path: str, capacity: int = 1024, end_id:
     rows = only(docs, id_col, text_col).toDF("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    pieces = materialise(rows.mapInArrow(lambda batches: pieces_of(batches, tokenizer_path, capacity, end_id, with_ids), schema), "pieces")
+    pieces = materialise(map_arrow(rows, lambda batches: pieces_of(batches, tokenizer_path, capacity, end_id, with_ids), schema), "pieces")
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int"))
     counts = np.zeros((capacity + 1, BUCKETS), np.int64)
     for r in pieces.groupBy("length", "bucket").count().toLocalIterator():  # at most capacity * BUCKETS rows
@@ -110,7 +110,7 @@ def pack(docs: DataFrame, *, tokenizer_path: str, capacity: int = 1024, end_id:
     ranked = pieces.withColumn("place", place.cast("long"))
     names = pieces.columns[:-1]
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields[:-1])
-    return ranked.mapInArrow(lambda batches: _place(batches, *shared.value, names), f"{fields}, sequence_id long, offset long")
+    return map_arrow(ranked, lambda batches: _place(batches, *shared.value, names), f"{fields}, sequence_id long, offset long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

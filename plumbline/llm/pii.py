@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from plumbline.llm.secrets import joined
-from plumbline.llm.shared import only
+from plumbline.llm.shared import map_arrow, only
 from plumbline.llm.textbytes import buffers, slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -336,7 +336,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     rows = only(docs, id_col, text_col).toDF("doc_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(weights())
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(lambda b: _scan(b, shared.value), f"doc_id {kind}, " + "".join(f"n_{k} long, " for k in KINDS) + "base_sha256 string, spans string")
+    return map_arrow(rows, lambda b: _scan(b, shared.value), f"doc_id {kind}, " + "".join(f"n_{k} long, " for k in KINDS) + "base_sha256 string, spans string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import fold, only
+from plumbline.llm.shared import fold, map_arrow, only
 from plumbline.llm.textbytes import buffers, hash_spans, slices, word_spans
 
 #: At most about so many positives, and as many unlabelled texts, are learnt from, chosen by a hash of the id.
@@ -153,7 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS) -
         n = rows.count()
         if n > train_docs:
             rows = rows.filter(order < int(1e6 * train_docs / n) + 1)
-        return np.array([r["x"] for r in rows.select("label", "text").mapInArrow(_vectors, "label int, x array<double>").toLocalIterator()]).reshape(-1, FEATURES)
+        return np.array([r["x"] for r in map_arrow(rows.select("label", "text"), _vectors, "label int, x array<double>").toLocalIterator()]).reshape(-1, FEATURES)
 
     n, ones = marks.join(docs.select("doc_id"), "doc_id", "left_semi").agg(F.count(F.lit(1)), F.sum("label")).first()
     prior = min(max(ones / n, 0.01), 0.99) if n and 0 < ones < n else None
@@ -176,7 +176,7 @@ def classify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     rows = only(docs, id_col, text_col).toDF("doc_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(lambda b: _scored(b, shared.value), f"doc_id {kind}, score double")
+    out = map_arrow(rows, lambda b: _scored(b, shared.value), f"doc_id {kind}, score double")
     return out.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.shared import only
+from plumbline.llm.shared import map_arrow, only
 from plumbline.llm.textbytes import buffers, slices
 
 KINDS = ("assign", "access", "hex", "gh", "npm", "jwt", "pem")
@@ -162,7 +162,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """
     rows = only(docs, id_col, text_col).toDF("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_scan, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return map_arrow(rows, _scan, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +42,22 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(rows: DataFrame, f, schema) -> DataFrame:
+    """rows.mapInArrow(f, schema) in batches of at most BATCH_BYTES (the session's limit is lowered, never raised), with Arrow's free memory given back after each task: workers live on from task to task, two or more beside an executor's heap."""
+    conf = rows.sparkSession.conf
+    now = conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(batches):
+        import pyarrow as pa
+
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+
+    return rows.mapInArrow(run, schema)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at a time, so that the temporary arrays stay within some tens of MB whatever a batch holds.
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 _RNG = np.random.default_rng(20240229)
 _CODE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

@@ -14,10 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from plumbline.llm.textbytes import _CODE, buffers, hash_spans, slices
+from plumbline.llm.textbytes import _CODE, BLOCK, buffers, hash_spans, slices
 
 #: Distinct pieces that a worker remembers before it starts afresh (about 40 bytes each).
-REMEMBER = 3_000_000
+REMEMBER = 1_500_000
 #: Bytes that white space in Unicode may begin with or be; only 0x20 is cut at, and only between bytes of none of these.
 _MAYBE_SPACE = np.zeros(256, bool)
 _MAYBE_SPACE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
@@ -104,7 +104,7 @@ def encode(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 def pieces_of(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, piece, start, length, ids_crc32[, ids]) of texts that are cut to capacity; the first piece takes what is over."""
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 4 * BLOCK):
             flat, offsets = encode(part.column("text"), path)
             rows: list[tuple] = []
             for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
