@@ -34,6 +34,17 @@ def test_leaks_with_other_slots(spark):
     assert D.contaminated(df.limit(0), bench).count() == 0 and not D.contaminated(df, bench.limit(0)).filter("contaminated").count()
 
 
+def found_items(spark, items, docs):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {x.doc_id: x.item_ids for x in D.contaminated(spark.createDataFrame(list(enumerate(docs)), SCHEMA), bench).collect()}
+
+
+def test_items_rich_in_slots(spark):
+    items = ["What is 12 + 7 - 45 * 3 ?", "Compute 12 plus 7 minus 45 times 3 over 9 times 8.", "Ann paid 12 dollars and Bob paid 7 dollars while Sue owed Tom 45 euros and Kim 3 euros, so who still owes Max 9 dollars and Joe 8 dollars, so who still owes Pam 6 dollars?"]
+    docs = [f"Some words before. {t} And some after." for t in items] + [items[2].replace("12", "15").replace("Tom", "Keisha"), "What is 12 + 7 - 45 * 4 ?", "Compute 12 plus 7 minus 45 and 3 over 9 times 8.", "Ann paid 12 dollars and Bob paid nothing, so someone still owes Max 9 dollars?"]
+    assert found_items(spark, items, docs) == {0: [0], 1: [1], 2: [2], 3: [2], 4: [], 5: [], 6: []}
+
+
 def test_short_items_match_whole(spark):
     bench = spark.createDataFrame([(1, "Quite a short item")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "here is quite a short item again"), (2, "quite a short thing")], SCHEMA)
