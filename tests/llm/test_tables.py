@@ -45,6 +45,14 @@ def test_items_rich_in_slots(spark):
     assert found_items(spark, items, docs) == {0: [0], 1: [1], 2: [2], 3: [2], 4: [], 5: [], 6: []}
 
 
+def test_names_that_open_sentences_and_changed_case(spark):
+    item = "Maria bakes 12 loaves in the morning. John then eats 3 of the loaves. Maria sells 4 loaves to friends. How many remain?"
+    other = item.replace("Maria", "Tom").replace("John", "Keisha").replace("12", "15")
+    trip = "We saw that old Peter took 5 buses into town with Carla who met 9 friends from Lisbon whom only Bruno knew."
+    docs = ["Some text. " + other + " More text.", trip.lower().replace("5", "6").replace("9", "8"), trip.upper().replace("5", "6"), "Maria bakes 12 cakes in the evening. John then eats 3 of the cakes."]
+    assert found_items(spark, [item, trip], docs) == {0: [0], 1: [1], 2: [1], 3: []}
+
+
 def test_short_items_match_whole(spark):
     bench = spark.createDataFrame([(1, "Quite a short item")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "here is quite a short item again"), (2, "quite a short thing")], SCHEMA)
