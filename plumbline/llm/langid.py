@@ -22,8 +22,10 @@ from plumbline.llm.textbytes import LOWER, buffers, slices
 CODES = 1 << 15
 #: At most about so many labelled documents are counted (each with its whole text), chosen by a hash of the id.
 TRAIN_DOCS = 20_000
-#: Languages beyond so many, rarest in the sample first, are not learnt.
-MAX_LANGUAGES = 64
+#: The sample holds about so many documents of each language, or all of a language that has fewer, even where that exceeds TRAIN_DOCS.
+LANGUAGE_DOCS = 100
+#: A task counts at most so many languages before it passes the counts on; texts are fitted in runs of at most so many trigrams times languages, one text at least.
+HELD_LANGUAGES, HELD_SHARES = 64, 8_000_000
 ROUNDS, FLOOR, PENALTY = 8, 0.05, 6.0
 
 _SYMBOL = np.zeros(256, np.uint32)
@@ -59,36 +61,51 @@ def has_letter(column: pa.Array) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, code, count) summed over a task's rows."""
+    """(lang, code, count) summed over a task's rows, in parts of at most HELD_LANGUAGES languages."""
     sums: dict[str, np.ndarray] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for name, total in sums.items():
+            code = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code), pa.array(total[code])], ["lang", "code", "count"])
+        sums.clear()
+
     for batch in batches:
         for part in slices(batch, "text"):
             row, code, count = trigrams(part.column("text"))
             lang = part.column("lang").to_pylist()
-            for name in set(lang):
+            for name in sorted(set(lang)):
+                if name not in sums and len(sums) >= HELD_LANGUAGES:
+                    yield from flush()
                 own = np.array([x == name for x in lang])[row]
                 sums.setdefault(name, np.zeros(CODES, np.int64))
                 sums[name] += np.bincount(code[own], count[own], CODES).astype(np.int64)
-    for name, total in sums.items():
-        code = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code), pa.array(total[code])], ["lang", "code", "count"])
+    yield from flush()
 
 
-def learn(labelled: DataFrame, *, train_docs: int = TRAIN_DOCS, max_languages: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray]:
-    """Language names and (CODES, languages) smoothed probabilities from rows (doc_id, text, lang)."""
+def learn(labelled: DataFrame, *, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
+    """Names and (CODES, languages) smoothed probabilities of all languages in rows (doc_id, text, lang)."""
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = usable.count()
+    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # a row a language
+    total = sum(sizes.values())
     if total > train_docs:
-        usable = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(1e6 * train_docs / total) + 1)
+        rate = train_docs / total
+        rare = [(x, int(1e6 * min(1, LANGUAGE_DOCS / n)) + 1) for x, n in sorted(sizes.items()) if n * rate < LANGUAGE_DOCS]
+        limit = F.lit(int(1e6 * rate) + 1)
+        if rare:
+            own = labelled.sparkSession.createDataFrame(rare, "lang string, own long")
+            usable, limit = usable.join(F.broadcast(own), "lang", "left"), F.coalesce("own", limit)
+        usable = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < limit)
     rows = map_arrow(usable.select("text", "lang"), _counted, "lang string, code long, count long").groupBy("lang", "code").agg(F.sum("count").alias("count"))
     found: dict[str, np.ndarray] = {}
     for r in rows.toLocalIterator():  # at most CODES rows a language
         found.setdefault(r["lang"], np.zeros(CODES))[r["code"]] = r["count"]
-    names = sorted(sorted(found, key=lambda x: (-found[x].sum(), x))[:max_languages])
-    if not names:
-        return [], np.zeros((CODES, 0), np.float32)
-    counts = np.stack([found[x] for x in names], 1) + 0.5
-    return names, (counts / counts.sum(0)).astype(np.float32)
+    names = sorted(found)
+    model = np.empty((CODES, len(names)), np.float32)
+    for k, name in enumerate(names):
+        counts = found.pop(name) + 0.5
+        model[:, k] = counts / counts.sum()
+    return names, model
 
 
 def _fit(p: np.ndarray, count: np.ndarray, row: np.ndarray, starts: np.ndarray, total: np.ndarray, theta: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +122,21 @@ def infer(column: pa.Array, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n, k = len(column), model.shape[1]
     out, single = np.zeros((n, k)), np.zeros((n, k))
     row, code, count = trigrams(column)
-    if not len(row) or not k:
+    if not k:
         return out, single
+    most = max(1, HELD_SHARES // k)
+    a = 0
+    while a < len(row):
+        b = len(row) if len(row) - a <= most else int(np.searchsorted(row, row[a + most], "left"))
+        b = b if b > a else int(np.searchsorted(row, row[a], "right"))
+        _infer(row[a:b], code[a:b], count[a:b], model, out, single)
+        a = b
+    return out, single
+
+
+def _infer(row: np.ndarray, code: np.ndarray, count: np.ndarray, model: np.ndarray, out: np.ndarray, single: np.ndarray) -> None:
+    """Fills the rows of out and single that these trigrams belong to."""
+    k = model.shape[1]
     starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
     docs = row[starts]
     local = np.cumsum(np.concatenate(([False], row[1:] != row[:-1])))
@@ -131,7 +161,6 @@ def infer(column: pa.Array, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         better = gain - alone[several].max(1) > PENALTY * (chosen[several].sum(1) - 1) * np.log(total[several] + 1)
         result[several[better]] = fitted[better]
     out[docs] = result
-    return out, single
 
 
 def _predict(batches: Iterator[pa.RecordBatch], names: list[str], model: np.ndarray, keep_text: bool = False) -> Iterator[pa.RecordBatch]:

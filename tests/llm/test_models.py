@@ -40,6 +40,18 @@ def test_language_mixture_and_edges(spark):
     assert L.identify(docs.limit(0), labelled).count() == 0
 
 
+def test_every_labelled_language_is_learnt(spark, monkeypatch):
+    monkeypatch.setattr(L, "HELD_SHARES", 20_000)
+    r = np.random.default_rng(5)
+    text = {f"l{k:02}": " ".join("".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(10 + k)) for k in range(70)}
+    rows = [(i, t, x) for i, (x, t) in enumerate(text.items())]
+    labelled = spark.createDataFrame(rows + [(1000 + i, EN, "l69") for i in range(3000)], "doc_id long, text string, lang string")
+    for train_docs in (L.TRAIN_DOCS, 500):
+        out = {x.doc_id: x.lang_pred for x in L.identify(spark.createDataFrame(rows, labelled.schema), labelled, train_docs=train_docs).collect()}
+        assert out == {i: x for i, _, x in rows if x != "l69"} | {69: out[69]}
+    assert L.learn(labelled, train_docs=500)[0] == sorted(text)
+
+
 def test_proportions_against_plain_em():
     """The batched fit equals expectation-maximisation of one document at a time."""
     r = np.random.default_rng(1)
