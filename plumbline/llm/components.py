@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from plumbline.llm.shared import delete_path, new_path
 
 
+#: Edges that a file of a round should hold at least, if there are that many.
+FILE_EDGES = 500_000
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link each node's neighbours (large: greater ones; else: smaller ones and itself) to its least neighbour or itself. Minima are pre-aggregated, so a node of any degree costs a task one row per input partition."""
     if large:
@@ -30,7 +34,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before, last = None, None
     while True:
         path = new_path(spark, "star")
-        _star(_star(edges, True), False).write.parquet(path)
+        edges = _star(_star(edges, True), False)
+        if before:  # the size of the round before tells about that of this one
+            edges = edges.coalesce(1 + before[0] // FILE_EDGES)
+        edges.write.parquet(path)
         edges = spark.read.parquet(path)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if last:

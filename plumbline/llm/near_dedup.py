@@ -8,14 +8,20 @@
    a family of edited copies that is the text that the others are nearest to): as many candidates as members. A candidate
    goes on if its similarity, estimated from equal lanes by bit counts and corrected for chance collisions of BITS bits,
    comes within SLACK standard errors of the threshold, and becomes a link if the full sets confirm it.
-4. Buckets whose members are still in several components are taken up again. First, each member's shingles that no other
-   such member has are counted: they lie outside every intersection, which bounds all similarities of the member from above.
-   Then each member outside its bucket's largest component meets the members of other components that the bounds and the
-   estimate leave. So no link that shares a band and that could still join two components goes untested; a large group of
-   near copies, joined in step 3, leaves little to compare, and its heavily edited copies fall to the bound.
+4. Members that share a head but are still in several components are compared with each other by their edits, the shingles in
+   which they differ from the head. |A ^ B| of two members follows from their numbers of edits and of common edits, so the
+   threshold says how many edits the two must have in common: at least one, where not both are links of the head, and mostly
+   about half of the smaller side. Edits are put in order from the rarest on, and members meet that share one within the
+   prefixes that such an overlap can't miss; sizes, edits that no other member has and places of the shared edit bound the
+   overlap further. This loses no pair that shares a head. The estimate and the full sets decide about those that remain.
 
 A pair at the threshold shares no band with probability (1 - 0.8^ROWS)^BANDS, below 5e-8, and fails the estimate with
 probability below 4e-6 (SLACK standard errors); both are that unlikely for each of the ways in which a document is linked.
+Sizes, fingerprints and edits are of 64-bit hashes of shingles: two shingles of one text of a million words collide with
+probability 3e-8. Links are confirmed on the words themselves.
+
+Texts meet at their head in runs of about RUN_ROWS members, the head's text in front of each run: a task holds the head's set
+and one small batch, however many members a head has.
 """
 
 from __future__ import annotations
@@ -24,17 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from plumbline.llm.components import connected_components
-from plumbline.llm.shared import map_arrow, materialise, only
+from plumbline.llm.shared import FILE_BYTES, Scratch, map_arrow, only
 from plumbline.llm.textbytes import mix, shingle_sets, slices
 
 BANDS, ROWS, BITS, HASHES = 32, 4, 4, 512
 LANES = 64 // BITS
 LONGS = HASHES // LANES
 SLACK = 4.5
+RUN_ROWS = 16
 _RNG = np.random.default_rng(77003)
 _A = _RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -99,53 +107,122 @@ def estimated(left: str, right: str) -> Column:
     return (1 - differ / HASHES - chance) / (1 - chance)
 
 
-def _exact(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """The pairs of rows (u, v, u1, u2, v1, v2, text_u, text_v) whose full sets reach the threshold and have the fingerprints expected of them."""
-    kept: tuple = (None, None)
-    for batch in batches:
-        at = []
-        for part in slices(batch, "text_v"):
-            fu = list(zip(part.column("u1").to_pylist(), part.column("u2").to_pylist()))
-            fv = list(zip(part.column("v1").to_pylist(), part.column("v2").to_pylist()))
-            h, bounds = shingle_sets(part.column("text_v"), k)
-            own = list(zip(*(x.tolist() for x in fingerprints(h, bounds))))
-            good = []
-            for i in range(part.num_rows):
-                if own[i] != fv[i]:
-                    continue
-                if kept[0] != fu[i]:
-                    g, b = shingle_sets(part.column("text_u").slice(i, 1), k)
-                    if tuple(x.tolist()[0] for x in fingerprints(g, b)) != fu[i]:
-                        continue
-                    kept = (fu[i], g)
-                mine = h[bounds[i] : bounds[i + 1]]
-                both = len(mine) + len(kept[1])
-                merged = np.concatenate((mine, kept[1]))
-                merged.sort()
-                shared = int((merged[1:] == merged[:-1]).sum())
-                if 100 * shared >= percent * (both - shared):
-                    good.append(i)
-            if good:
-                at.append(part.select(["u", "v"]).take(pa.array(good)))
-        yield from at
-
-
-def _exploded(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(rep, shingle) of rows (rep, f1, f2, text) whose set has the fingerprints expected of it."""
+def spelt_shingles(text: str | None, k: int) -> set[tuple[bytes, ...]]:
+    """The set of word shingles, as words. bytes.lower and bytes.split know ASCII only, as the contract does."""
+    words = (text or "").encode().lower().split()
+    return set(zip(*(words[j:] for j in range(k)))) if len(words) >= k else {tuple(words)} if words else set()
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple]:
+    """(row, head's hashes, member's hashes, head's text, member's text) of rows (u, v, f1, f2, text) in which each run of members follows its head (v NULL). Rows whose set hasn't the fingerprints expected of it are left out: their identifier is repeated."""
+    head: tuple = (None, None, None)
     for batch in batches:
         for part in slices(batch, "text"):
             h, bounds = shingle_sets(part.column("text"), k)
             f1, f2 = fingerprints(h, bounds)
             good = (f1 == part.column("f1").to_numpy()) & (f2 == part.column("f2").to_numpy())
-            row = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-            keep = good[row]
-            yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(row[keep])), pa.array(h[keep].view(np.int64))], ["rep", "shingle"])
-
-
-def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int, schema: str) -> DataFrame:
-    """Pairs (u, v, u1, u2, v1, v2) of representatives that are links."""
-    rows = pairs.join(docs.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v").join(docs.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-    return map_arrow(rows.select("u", "v", "u1", "u2", "v1", "v2", "text_u", "text_v"), lambda b: _exact(b, k, percent), schema).distinct()
+            us, vs, texts = part.column("u").to_pylist(), part.column("v").to_pylist(), part.column("text")
+            for i in np.flatnonzero(good).tolist():
+                mine = h[bounds[i] : bounds[i + 1]]
+                if vs[i] is None:
+                    head = (us[i], mine.copy(), texts[i])
+                elif head[0] == us[i]:
+                    yield (us[i], vs[i]), head[1], mine, head[2], texts[i]
+
+
+def _linked(batches: Iterator[pa.RecordBatch], k: int, percent: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The pairs (u, v) whose full sets reach the threshold; sets of hashes are looked at first, words decide."""
+    good = []
+    for pair, a, b, text_a, text_b in _meetings(batches, k):
+        both = len(a) + len(b)
+        merged = np.concatenate((a, b))
+        merged.sort()
+        common = int((merged[1:] == merged[:-1]).sum())
+        if 100 * common >= percent * (both - common):
+            x, y = spelt_shingles(text_a.as_py(), k), spelt_shingles(text_b.as_py(), k)
+            common = len(x & y)
+            if 100 * common >= percent * (len(x) + len(y) - common):
+                good.append(pair)
+    u, v = zip(*good) if good else ((), ())
+    yield pa.RecordBatch.from_arrays([pa.array(u, kind), pa.array(v, kind)], ["u", "v"])
+
+
+def _edits(batches: Iterator[pa.RecordBatch], k: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """(u, v, head_n, added, removed, edit): one row for each shingle that only one of head u, of head_n shingles, and member v has."""
+    pairs: list = []
+    sizes: list = []
+    made: list = []
+    total = 0
+
+    def out():
+        n = np.array([len(x) for x in made])
+        at = np.repeat(np.arange(len(pairs)), n)
+        u, v = (pa.array([p[i] for p in pairs], kind).take(pa.array(at)) for i in (0, 1))
+        counts = [pa.array(np.array([x[i] for x in sizes], np.int64)[at]) for i in range(3)]
+        return pa.RecordBatch.from_arrays([u, v, *counts, pa.array(np.concatenate(made).view(np.int64))], ["u", "v", "head_n", "added", "removed", "edit"])
+
+    for pair, a, b, _, _ in _meetings(batches, k):
+        merged = np.concatenate((a, b))
+        merged.sort()
+        twice = np.flatnonzero(merged[1:] == merged[:-1])
+        own = np.ones(len(merged), bool)
+        own[twice] = own[twice + 1] = False
+        pairs.append(pair)
+        sizes.append((len(a), len(b) - len(twice), len(a) - len(twice)))
+        made.append(merged[own])
+        total += len(made[-1])
+        if total > 1 << 17:
+            yield out()
+            pairs, sizes, made, total = [], [], [], 0
+    if total:
+        yield out()
+
+
+def _met_at_heads(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows (u, v, f1, f2, text) of the members v of pairs (u, v), dealt in runs of one u and about RUN_ROWS members; in front of each run the head's row, of NULL v."""
+    many = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("having")).filter(F.col("having") > RUN_ROWS)
+    runs = F.ceil(F.coalesce("having", F.lit(1)) / RUN_ROWS)
+    dealt = pairs.join(many, "u", "left").select("u", F.pmod(F.xxhash64("v"), runs).alias("run"), "v")
+    texts = reps.select("rep", "f1", "f2").join(docs.withColumnRenamed("doc_id", "rep"), "rep")
+    members = dealt.join(texts, F.col("v") == F.col("rep")).select("u", "run", "v", "f1", "f2", "text")
+    heads = dealt.select("u", "run").distinct().join(texts, F.col("u") == F.col("rep")).select("u", "run", F.lit(None).cast(pairs.schema["v"].dataType).alias("v"), "f1", "f2", "text")
+    rows = heads.unionByName(members).repartition("u", "run").sortWithinPartitions("u", "run", F.col("v").asc_nulls_first())
+    return rows.select("u", "v", "f1", "f2", "text")
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the distinct pairs (u, v) of representatives that are links."""
+    kind = pairs.schema["u"].dataType
+    arrow = to_arrow_type(kind)
+    return map_arrow(_met_at_heads(pairs, docs, reps), lambda b: _linked(b, k, percent, arrow), f"u {kind.simpleString()}, v {kind.simpleString()}").distinct()
+
+
+def _rest(families: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of rows (u, v, component), members v of a head u and the components that they are in so far: links (u, v) with the head itself, and pairs (u, v) of members of one head and of different components that contain all further links among these.
+
+    With a member's `need` = (100 + percent)(added + removed) - (100 - percent)(size of the head + added - removed), two members
+    are a link if and only if 2 (100 + percent) |common edits| >= the sum of their needs, and one is a link of the head if and
+    only if its need is at most (100 - percent) times the head's size.
+    """
+    kind = families.schema["u"].dataType
+    arrow = to_arrow_type(kind)
+    whole = 100 + percent
+    spelt = map_arrow(_met_at_heads(families.select("u", "v"), docs, reps), lambda b: _edits(b, k, arrow), f"u {kind.simpleString()}, v {kind.simpleString()}, head_n long, added long, removed long, edit long")
+    edits = scratch(spelt, "edits")
+    shared = edits.groupBy("u", "edit").agg(F.count(F.lit(1)).alias("having")).filter("having > 1")
+    need = whole * (F.col("added") + F.col("removed")) - (100 - percent) * (F.col("head_n") + F.col("added") - F.col("removed"))
+    over = F.col("need") - (100 - percent) * F.col("head_n")  # above 0: no link of the head
+    # the least overlap with any partner: for a link of the head, with members that aren't; for others, with any set
+    least = F.when(over <= 0, F.floor((percent * F.col("added") + 100 * F.col("removed")) / whole) + 1).otherwise(F.ceil(over / 200))
+    own = Window.partitionBy("u", "v")
+    known = edits.join(shared, ["u", "edit"]).join(families, ["u", "v"]).withColumn("need", need)
+    known = known.withColumns({"cap": F.count(F.lit(1)).over(own), "place": F.row_number().over(own.orderBy("having", "edit")), "least": F.greatest(least, F.lit(1))})
+    prefix = scratch(known.filter(F.col("place") <= F.col("cap") - F.col("least") + 1).select("u", "edit", "v", "component", "need", "cap", "place"), "edit-prefixes")
+    a, b = prefix.alias("a"), prefix.alias("b")
+    room = 1 + F.least(F.col("a.cap") - F.col("a.place"), F.col("b.cap") - F.col("b.place"))
+    met = a.join(b, (F.col("a.u") == F.col("b.u")) & (F.col("a.edit") == F.col("b.edit")) & (F.col("a.v") < F.col("b.v")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.need") + F.col("b.need") <= 2 * whole * room))
+    with_head = edits.select("u", "v", "head_n", "added", "removed").distinct().withColumn("need", need).filter(over <= 0).select("u", "v")
+    return with_head, met.select(F.col("a.v").alias("u"), F.col("b.v").alias("v")).distinct()
 
 
 def near_dedup(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,54 +234,47 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col:
     for each of them if it is the component's identifier. Rows without identifier are never linked: component_id is NULL and
     kept is true. Empty tables give empty results; further columns are ignored.
     """
+    scratch = Scratch()
     docs = only(docs, id_col, text_col).toDF("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n long, f1 long, f2 long, bands array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE)
-    sketches = materialise(map_arrow(docs, lambda b: sketch(b, shingle), schema), "sketches")
+    sketches = scratch(map_arrow(docs, lambda b: sketch(b, shingle), schema), "sketches")
+    n_docs, n_shingles = sketches.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    scratch.files = max(1, -(-(1024 * n_docs + 8 * n_shingles) // FILE_BYTES))  # of a sketch and the text: what the widest tables hold
     usable = sketches.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    reps = materialise(usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), *[F.first(s).alias(s) for s in SIGNATURE]), "classes")
+    reps = scratch(usable.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), *[F.first(s).alias(s) for s in SIGNATURE]), "classes")
     rows = reps.select("rep", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    met = materialise(rows.join(shared, "key"), "band-members")
+    met = scratch(rows.join(shared, "key"), "band-members")
     meets = met.groupBy("rep").agg(F.sum("members").alias("meets"))
     heads = met.join(meets, "rep").groupBy("key").agg(F.min_by("rep", F.struct(-F.col("meets"), F.col("rep"))).alias("head"))
-    buckets = materialise(met.join(heads, "key"), "buckets")
+    buckets = scratch(met.join(heads, "key"), "buckets")
     # only what shares a band with something else is carried further
-    sides = materialise(reps.join(meets, "rep", "left_semi").select("rep", "f1", "f2", "n", *SIGNATURE), "sides")
-    docs = materialise(docs.join(meets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "texts")
+    sides = scratch(reps.join(meets, "rep", "left_semi").select("rep", "f1", "f2", "n", *SIGNATURE), "sides")
+    docs = scratch(docs.join(meets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "texts")
 
     share = percent / 100
     lanes = share + (1 - share) * 2.0**-BITS
     floor = share - SLACK * (lanes * (1 - lanes) / HASHES) ** 0.5 / (1 - 2.0**-BITS)
 
     def probable(pairs: DataFrame) -> DataFrame:
-        """Distinct (u, v) with fingerprints, of those whose sizes and estimate allow a link."""
+        """The pairs (u, v) whose sizes and estimate allow a link."""
         a, b = sides.alias("a"), sides.alias("b")
         near = pairs.alias("p").join(a, F.col("p.u") == F.col("a.rep")).join(b, F.col("p.v") == F.col("b.rep"))
-        near = near.filter((100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & (estimated("a", "b") >= floor))
-        return near.select("u", "v", F.col("a.f1").alias("u1"), F.col("a.f2").alias("u2"), F.col("b.f1").alias("v1"), F.col("b.f2").alias("v2"))
-
-    links = f"u {kind}, v {kind}"
-    first = materialise(probable(buckets.filter("rep != head").select(F.col("head").alias("u"), F.col("rep").alias("v")).distinct()), "star-pairs")
-    edges = materialise(_confirm(first, docs, shingle, percent, links), "star-links")
-    comps = materialise(connected_components(edges), "star-components")
-
-    seen = buckets.filter("members > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    sizes = seen.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    open_keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", "size").alias("largest")).filter("parts > 1")
-    unsettled = materialise(seen.join(open_keys, "key").select("key", "rep", "head", "component", "largest"), "unsettled")
-    members = sides.join(unsettled.select("rep").distinct(), "rep", "left_semi")
-    spelt = map_arrow(members.select("rep", "f1", "f2").join(docs.withColumnRenamed("doc_id", "rep"), "rep"), lambda b: _exploded(b, shingle), f"rep {kind}, shingle long")
-    lone = spelt.groupBy("shingle").agg(F.count(F.lit(1)).alias("having"), F.min("rep").alias("rep")).filter("having = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("lone"))
-    common = F.col("n") - F.coalesce("lone", F.lit(0))  # at most so many shingles are shared with any other member
-    members = materialise(members.join(lone, "rep", "left").withColumn("common", common).filter(100 * F.col("common") >= percent * F.col("n")).drop("lone"), "members")
-    few = unsettled.filter("component != largest AND rep != head").join(members, "rep").alias("a")
-    rest = unsettled.filter("rep != head").select("key", "rep", "component", "largest").join(members, "rep").alias("b")
-    both = F.least("a.common", "b.common")
-    again = few.join(rest, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("a.largest")) | (F.col("a.rep") < F.col("b.rep"))) & (100 * both >= percent * (F.col("a.n") + F.col("b.n") - both)) & (estimated("a", "b") >= floor))
-    again = materialise(again.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct(), "late-pairs")
-    late = materialise(_confirm(probable(again), docs, shingle, percent, links), "late-links")
-    joined = materialise(connected_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(late)), "components")
+        return near.filter((100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & (estimated("a", "b") >= floor)).select("u", "v")
+
+    first = scratch(probable(buckets.filter("rep != head").select(F.col("head").alias("u"), F.col("rep").alias("v")).distinct()), "star-pairs")
+    edges = scratch(_confirm(first, docs, sides, shingle, percent), "star-links")
+    comps = scratch(connected_components(edges), "star-components")
+
+    seen = buckets.filter("members > 2").select("key", "rep", "head").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    unsettled = seen.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("greatest")).filter("least != greatest").select("key")
+    families = scratch(seen.join(unsettled, "key").filter("rep != head").select(F.col("head").alias("u"), F.col("rep").alias("v"), "component").distinct(), "families")
+    with_head, pairs = _rest(families, docs, sides, shingle, percent, scratch)
+    again = scratch(probable(pairs), "late-pairs")
+    late = scratch(_confirm(again.unionByName(with_head.join(edges, ["u", "v"], "left_anti")), docs, sides, shingle, percent), "late-links")
+    joined = scratch(connected_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(late)), "components")
+    scratch.drop("band-members", "buckets", "sides", "texts", "star-pairs", "star-links", "star-components", "families", "edits", "edit-prefixes", "late-pairs", "late-links")
 
     groups = reps.select("n", "f1", "f2", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("n").alias("gn"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("component", "rep").alias("group"))
     out = sketches.select("doc_id", "n", "f1", "f2").join(groups, (F.col("n") == F.col("gn")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,13 +11,17 @@ from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 BATCH_BYTES = 8 << 20
+#: Bytes that an intermediate file should hold at least, if its table has that many.
+FILE_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset, as in tests, a folder of this process."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset: of one machine, as in tests, a temporary folder of this process; of a cluster, none, and that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
     return _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="plumbline-"))
 
 
@@ -36,10 +41,31 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and lost executors cost no recomputation of it."""
-    spark = df.sparkSession
-    path = new_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch()(df, what)
+
+
+class Scratch:
+    """The intermediate tables of one call. They go when the session's JVM ends, or at once when they are dropped: those that the call's result doesn't read.
+
+    A table is written by at most `files` tasks, so that small ones aren't scattered over a file for each shuffle partition;
+    unset, by as many as there are partitions.
+    """
+
+    def __init__(self, files: int | None = None) -> None:
+        self.files = files
+        self._paths: dict[str, tuple[SparkSession, str]] = {}
+
+    def __call__(self, df: DataFrame, what: str) -> DataFrame:
+        spark = df.sparkSession
+        path = new_path(spark, what)
+        df = df.coalesce(self.files) if self.files else df
+        df.write.parquet(path)
+        self._paths[what] = spark, path
+        return spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *what: str) -> None:
+        for name in what:
+            delete_path(*self._paths.pop(name))
 
 
 def map_arrow(rows: DataFrame, f, schema) -> DataFrame:
