@@ -38,9 +38,11 @@ EXPRESSIONS = {
     "hex": re.compile(r"[0-9a-f]+"),
     "gh": re.compile(r"gh[pousr]_[A-Za-z0-9]+"),
     "npm": re.compile(r"npm_[A-Za-z0-9]+"),
-    "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]++)\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+"),
     "pem": re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----"),
 }
+#: A kind whose expression fails at one hit fails at all others of the same run of these characters: what must follow the run is the same.
+SAME_RUN = {"jwt": re.compile(r"[A-Za-z0-9_-]+")}
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _HEX = np.zeros(256, bool)
 _HEX[[*range(0x30, 0x3A), *range(0x61, 0x67)]] = True
@@ -111,10 +113,14 @@ def find(text: str, hex_starts: list[int]) -> list[tuple[int, str, int]]:
     for kind, at in starts.items():
         done, expression, check = 0, EXPRESSIONS[kind], CHECKS[kind]
         for p in sorted(at):
-            if p >= done and (m := expression.match(text, p)):
+            if p < done:
+                continue
+            if m := expression.match(text, p):
                 done = m.end()
                 if check(m):
                     out.append((p, kind, done))
+            elif kind in SAME_RUN:
+                done = SAME_RUN[kind].match(text, p).end()
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[1])))
 
 
