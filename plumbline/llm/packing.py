@@ -24,15 +24,18 @@ BUCKETS = 256
 VOCABULARY = "byte_bpe_50k.json"
 
 
-def vector_best_fit(counts: dict[int, int], capacity: int, max_docs: int, max_attention: int, score: str = "residual", weights: tuple[float, float, float] = (1.0, 0.05, 0.2)) -> np.ndarray:
+def vector_best_fit(counts: dict[int, int], capacity: int, max_docs: int, max_attention: int, score: str = "residual", weights: tuple[float, float, float] | None = None) -> np.ndarray:
     """Runs (length, first rank, number, first bin, offset) that place counts[length] pieces of each length.
 
     score: "residual" takes the room whose weighted residual norm after placing is least, "dot" that with the greatest
-    weighted dot product of need and room; either only among bins with room in every dimension. Ties: the older bin.
+    weighted dot product of need and room; either only among bins with room in every dimension. weights: of tokens, documents
+    and attention; unset, each dimension counts by the number of bins that all pieces together need of it. Ties: the older bin.
     A piece that exceeds an empty bin's capacity in any dimension is an error.
     """
     caps = np.array([capacity, max_docs, max_attention], np.float64)
-    w = np.array(weights)
+    sizes, numbers = np.array(list(counts), np.float64), np.array(list(counts.values()), np.float64)
+    demand = np.array([sizes @ numbers, numbers.sum(), (sizes**2) @ numbers]) / caps
+    w = np.array(weights) if weights else demand / max(demand.max(), 1e-9)
     fill, rooms = {}, {}  # fill state -> [(first bin, number)], and its residual
     runs: list[tuple[int, int, int, int, int]] = []
     bins = 0
@@ -53,7 +56,7 @@ def vector_best_fit(counts: dict[int, int], capacity: int, max_docs: int, max_at
             after = (state[0] + size, state[1] + 1, state[2] + size * size)
             if state == (0, 0, 0):
                 per_bin = min(capacity // size, max_docs, max_attention // (size * size))
-                take = -(-left // per_bin) if score == "residual" else left
+                take = -(-left // per_bin)
                 blocks = [(bins, take)]
                 bins += take
             else:
