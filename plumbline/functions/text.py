@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -24,6 +26,7 @@ ABSTENTIONS = (
     r"^\s*(?:unknown|n/?a|none)\s*$",
 )
 SHORT_FIELD = 15
+# Capitalised words of answers that name nothing by themselves.
 COMMON_ANSWER_WORDS = (
     "january february march april may june july august september october november december north south east west northern southern eastern western united great new old first last "
     "saint mount lake river city county state island house world national international john james david michael robert william mary anne peter paul george charles"
@@ -49,6 +52,21 @@ def lower_words(text: Column) -> Column:
     return words(F.lower(text))
 
 
+#: Marks that a decomposed text is rid of: all characters with a combining class.
+COMBINING = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.combining(c))
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def fold_accents(text: Column) -> Column:
+    """Compatibility decomposition without combining marks. In the JVM, by the library that Spark's collations use; texts of ASCII only aren't looked at."""
+    decomposed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), text, F.lit(True))
+    return F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), F.translate(decomposed, COMBINING, "")).otherwise(text)
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -70,8 +88,8 @@ def normalise_answer(text: Column) -> Column:
 
 
 def on_word_boundary(needle: Column, haystack: Column) -> Column:
-    """Whether the needle, trimmed and in lower case, stands in the haystack between non-word characters; an empty needle never does."""
-    n, h = F.lower(F.trim(needle)), F.lower(haystack)
+    """Whether the needle stands in the haystack between non-word characters, both in lower case and without accents; an empty needle never does."""
+    n, h = fold_accents(F.lower(strip(needle))), fold_accents(F.lower(haystack))
     quoted = F.concat(F.lit("(?U)(?<!\\w)\\Q"), F.replace(n, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?!\\w)"))
     return F.coalesce((n != "") & F.rlike(h, quoted), F.lit(False))
 
@@ -281,6 +299,12 @@ def numbered(passages: Column) -> Column:
     return F.array_join(F.transform(passages, lambda p, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), p)), "\n\n")
 
 
+def snippet(text: Column, most: int = 240) -> Column:
+    """The text with single blanks, cut to `most` characters, the last of which is then an ellipsis."""
+    body = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    return F.when(F.length(body) <= most, body).otherwise(F.concat(F.substring(body, 1, most - 1), F.lit("…")))
+
+
 def number_word(token: Column) -> Column:
     names = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
     spelt = reduce(lambda c, k: c.when(F.lower(token) == names[k], k), range(1, 10), F.when(F.lower(token) == names[0], 0))

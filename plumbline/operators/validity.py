@@ -85,3 +85,36 @@ def length_ratio(pairs: DataFrame) -> DataFrame:
     g, o = F.size(alnum_tokens(F.col("generated"))), F.size(alnum_tokens(F.col("original")))
     r = F.when(o == 0, F.lit(1.0)).otherwise(g / o)
     return pairs.agg(F.count("*").alias("n"), F.avg(r).alias("mean_ratio"), F.min(r).alias("min_ratio"), F.max(r).alias("max_ratio"))
+
+
+def conflict_pairs(cases: DataFrame) -> DataFrame:
+    """(case_id, original, generated) of conflict cases: the passage that gen_params names as contradicted, and the one whose id is that with -contra; NULLs where a case has no such pair, so that it can be counted as skipped."""
+    of = lambda pid: F.get(F.filter("passages", lambda p: p["passage_id"] == pid), F.lit(0))["text"]
+    original = F.try_element_at("gen_params", F.lit("contradicted_passage_id"))
+    rows = cases.select("case_id", of(original).alias("o"), of(F.concat(original, F.lit("-contra"))).alias("g"))
+    both = F.col("o").isNotNull() & F.col("g").isNotNull()
+    return rows.select("case_id", F.when(both, F.col("o")).alias("original"), F.when(both, F.col("g")).alias("generated"))
+
+
+def artefact_report(pairs: DataFrame, sizes: Sequence[int] = (4, 5, 6, 7, 8), *, rewritten: float = 0.5, template_share: float = 0.25, excess: float = 2.0) -> DataFrame:
+    """One row over pairs (case_id, original, generated): n_pairs, mean, median and greatest edit fraction, pairs over half rewritten, mean length ratio, greatest document share of a token that no original has, shared n-grams of both sides by size, flags and verdict.
+
+    A flag is raised by a token in more than template_share of the generated texts, by a mean edit fraction above rewritten, and
+    for each size at which generated texts share more than excess times as many n-grams as the originals, if these share any.
+    No pairs give no row.
+    """
+    from plumbline.functions.python_udfs import edit_fraction
+
+    own, made = pairs.select(F.col("case_id").alias("doc_id"), F.col("original").alias("text")), pairs.select(F.col("case_id").alias("doc_id"), F.col("generated").alias("text"))
+    fraction = pairs.select(edit_fraction("original", "generated").alias("f"))
+    out = fraction.agg(F.count("*").alias("n_pairs"), F.avg("f").alias("mean_edit"), F.percentile("f", F.lit(0.5)).alias("median_edit"), F.max("f").alias("max_edit"), count_if(F.col("f") > rewritten).alias("n_rewritten")).filter("n_pairs > 0")
+    out = out.crossJoin(length_ratio(pairs).select("mean_ratio")).crossJoin(generated_only_share(made, own).agg(F.coalesce(F.max("share"), F.lit(0.0)).alias("max_share")))  # one row each
+    grams = {}
+    for n in sizes:
+        a, b = (document_ngrams(t, n).agg(F.count("*").alias(c)) for t, c in ((made, f"generated_{n}"), (own, f"original_{n}")))
+        out = out.crossJoin(a).crossJoin(b)  # one row each
+        grams[n] = F.col(f"generated_{n}") > excess * F.col(f"original_{n}")
+    flags = [F.when(F.col("max_share") > template_share, "a token of no original is in many generated texts"), F.when(F.col("mean_edit") > rewritten, "rewritten as a whole")]
+    flags += [F.when((F.col(f"original_{n}") > 0) & more, f"{n}-grams shared across cases") for n, more in grams.items()]
+    out = out.withColumn("flags", F.filter(F.array(*flags), lambda x: x.isNotNull()))
+    return out.withColumn("verdict", F.when(F.size("flags") == 0, "no artefact by these measures").otherwise("possible artefact"))

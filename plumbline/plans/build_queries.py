@@ -63,16 +63,10 @@ register("contradiction_verdicts", f"WITH {_GEN} SELECT reason, count(*) AS n FR
     lambda s, d: s.read.parquet(f"{d}/documents.parquet").select(F.col("text").alias("original"), F.when(F.col("doc_id") % 4 == 0, F.col("text")).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("Other. "), "text")).otherwise("Nothing of it.").alias("generated"), F.get(T.words(F.col("text")), F.lit(1)).alias("answer"), ((F.col("doc_id") % 10) / 10.0).alias("score")).select(testbeds.contradiction_verdict(F.col("original"), F.col("generated"), F.col("answer"), F.col("score")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n")))
 register("accuracy_drops", S("SELECT pipeline_class, noise_ratio, accuracy - lead(accuracy) OVER (PARTITION BY pipeline_class ORDER BY noise_ratio) AS fall FROM (SELECT pipeline_class, noise_ratio, avg(CASE WHEN answer_correct THEN 1.0e0 ELSE 0 END) AS accuracy FROM scored WHERE dimension = 'noise' GROUP BY 1, 2)"))(
     lambda s, d: metrics.noise_accuracy(scored(s, d), ["pipeline_class"]).select("pipeline_class", "noise_ratio", (F.col("accuracy") - F.lead("accuracy").over(Window.partitionBy("pipeline_class").orderBy("noise_ratio"))).alias("fall")))
-register("smoke_slice", S("""SELECT case_id FROM (SELECT *, row_number() OVER (PARTITION BY dimension, is_answerable ORDER BY case_id) AS rn, dense_rank() OVER (PARTITION BY dimension ORDER BY seed_id) AS sr FROM (SELECT DISTINCT case_id, dimension, seed_id, is_answerable FROM scored)) WHERE CASE dimension WHEN 'refusal' THEN rn <= 5 WHEN 'conflict' THEN rn <= 10 ELSE sr <= 4 END"""))(
-    lambda s, d: scored(s, d).select("case_id", "dimension", "seed_id", "is_answerable").distinct().withColumns({"rn": F.row_number().over(Window.partitionBy("dimension", "is_answerable").orderBy("case_id")), "sr": F.dense_rank().over(Window.partitionBy("dimension").orderBy("seed_id"))}).filter(F.when(F.col("dimension") == "refusal", F.col("rn") <= 5).when(F.col("dimension") == "conflict", F.col("rn") <= 10).otherwise(F.col("sr") <= 4)).select("case_id"))
-register("rotated_members", S("SELECT seed_id, case_id FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY case_id) - 1 AS nth, count(*) OVER (PARTITION BY seed_id) AS n FROM (SELECT DISTINCT seed_id, case_id FROM scored WHERE dimension = 'noise')) WHERE nth = length(seed_id) % n"))(
-    lambda s, d: scored(s, d).filter("dimension = 'noise'").select("seed_id", "case_id").distinct().withColumns({"nth": F.row_number().over(Window.partitionBy("seed_id").orderBy("case_id")) - 1, "n": F.count("*").over(Window.partitionBy("seed_id"))}).filter(F.col("nth") == F.length("seed_id") % F.col("n")).select("seed_id", "case_id"))
 register("evidence_first_wins", "SELECT conv_id, role, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rn FROM conversations) WHERE rn = 1")(
     lambda s, d: ranking.first_wins(s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "role", "turn", "text"), ["conv_id", "role"], "turn"))
 register("number_words", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 6 WHEN 1 THEN 6 WHEN 3 THEN 0 END AS n FROM events")(
     lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", T.number_word(F.element_at(F.array(F.lit("six"), F.lit("6"), F.lit("sixty"), F.lit("Zero")), (F.col("event_id") % 4 + 1).cast("int"))).alias("n")))
-register("output_caps", "SELECT user_id, max((event_type = 'error')::int) = 1 AS capped FROM events GROUP BY 1")(
-    lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.collect_set("event_type").alias("reasons")).select("user_id", F.exists("reasons", lambda r: r == "error").alias("capped")))
 register("faithfulness_ratios", S("SELECT pipeline_class, noise_ratio, count(*) FILTER (answer_correct) / nullif(count(answer_correct), 0) AS ratio FROM scored GROUP BY 1, 2"))(
     lambda s, d: scored(s, d).groupBy("pipeline_class", "noise_ratio").agg(F.count_if("answer_correct").alias("hits"), F.count("answer_correct").alias("n")).select("pipeline_class", "noise_ratio", validity.ratio_of(F.col("hits"), F.col("n")).alias("ratio")))
 register("template_flag", r"""WITH t AS (SELECT doc_id, lang, unnest(list_distinct(list_transform(regexp_extract_all(text, '([A-Za-z0-9'']+)', 1), lambda x: lower(x)))) AS token FROM documents), g AS (SELECT token, count(*) AS documents FROM t WHERE lang = 'fr' GROUP BY 1 HAVING count(*) >= 2)

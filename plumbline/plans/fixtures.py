@@ -29,6 +29,32 @@ FIXTURES: dict[str, tuple[str, list[dict[str, str]], list[str]]] = {
          "truncated": "event_type = 'click' and value < 3"},
         {"final_answer": "case when category = 'unparseable' or truncated then null when category = 'refusal' then 'INSUFFICIENT EVIDENCE' else 'an answer' end"},
     ], ["event_id", "config_id", "pipeline_class", "retriever", "generator_key", "case_id", "seed_id", "dimension", "category", "answer_correct", "is_answerable", "noise_ratio", "crs_score", "final_answer", "truncated", "value"]),
+    "results": ("events", [
+        {"cfg": "cast(event_id % 12 as int)", "case_no": "cast(floor(event_id / 12) as bigint)", "line_no": "event_id", "pick": "cast(event_id % 7 as int)"},
+        {"slot": "cast(case_no % 7 as int)", "g": "cast(floor(case_no / 7) as bigint)",
+         "pipeline_class": "case when cfg < 4 then 'naive' when cfg < 8 then 'reasoning' else 'agentic' end",
+         "retriever": "case when cfg % 4 < 2 then 'bm25' else 'dpr' end",
+         "generator_key": "concat(case when cfg < 4 then 'standard_' else 'reasoning_' end, cast(1 + cfg % 2 as string))"},
+        {"dimension": "case when slot = 0 then 'refusal' when slot = 1 then 'conflict' else 'noise' end",
+         "seed_id": "concat(case when g % 2 = 0 then 'nq-' else 'tqa-' end, cast(g as string))",
+         "config_id": "concat(pipeline_class, '|', retriever, '|', generator_key)"},
+        {"case_id": "case when event_id % 97 = 0 then 'gone' else concat(dimension, '-', seed_id, '-', cast(slot as string)) end"},
+        {"key": "concat(config_id, '::', case_id)",
+         "final_answer": "case pick when 0 then null when 1 then 'INSUFFICIENT EVIDENCE' when 2 then 'It was Paris, I think' when 3 then 'completed in 1889' when 4 then '  ' when 5 then 'no mention of it anywhere in these passages, but I would guess that the year was eighteen eighty nine or so' else 'the Bogota' end",
+         "raw_text": "case when pick > 0 then 'text' when event_id % 4 = 0 then 'INSUFFICIENT EVIDENCE' when event_id % 4 = 1 then '<Tina Turner></final_answer>' when event_id % 4 = 2 then 'plain prose with no mark' else ' ' end",
+         "error": "case when event_type = 'error' then case when event_id % 2 = 0 then 'timeout' else '' end end",
+         "truncated": "event_type = 'click' and value < 3"},
+    ], ["line_no", "key", "config_id", "pipeline_class", "retriever", "generator_key", "case_id", "dimension", "seed_id", "final_answer", "raw_text", "error", "truncated", "value"]),
+    "case_rows": ("events", [
+        {"case_no": "cast(floor(event_id / 12) as bigint)"},
+        {"slot": "cast(case_no % 7 as int)", "g": "cast(floor(case_no / 7) as bigint)"},
+        {"dimension": "case when slot = 0 then 'refusal' when slot = 1 then 'conflict' else 'noise' end",
+         "noise_ratio": "case slot when 2 then 0.0e0 when 3 then 0.25e0 when 4 then 0.5e0 when 5 then 0.75e0 when 6 then 0.9e0 end",
+         "seed_id": "concat(case when g % 2 = 0 then 'nq-' else 'tqa-' end, cast(g as string))"},
+        {"case_id": "concat(dimension, '-', seed_id, '-', cast(slot as string))",
+         "answer": "case when slot = 0 and floor(g / 2) % 2 = 1 then '<<NO_ANSWER_SUPPORTED>>' when g % 4 = 0 then 'Paris' when g % 4 = 1 then '1889' when g % 4 = 2 then 'Bogotá' else 'King George I' end"},
+        {"query": "concat('about ', case_id)"},
+    ], ["case_id", "query", "answer", "dimension", "noise_ratio", "seed_id", "g", "slot"]),
     "log": ("events", [
         {"line_no": "event_id", "key": "concat('naive|bm25|standard_', cast(1 + event_id % 2 as string), '::case-', cast(cast(floor(event_id / 4) as bigint) as string))", "error": "case when event_type = 'error' then 'timeout' end", "latency_s": "value"},
     ], ["line_no", "key", "error", "latency_s"]),

@@ -35,11 +35,11 @@ def _aligned(s, d):
 
 
 QUERIES = {
-    "accent_fold": lambda s, d: _docs(s, d).select("doc_id", F.md5(P.strip_accents("text").cast("binary")).alias("folded")),
+    "accent_fold": lambda s, d: _docs(s, d).select("doc_id", F.md5(T.fold_accents(F.col("text")).cast("binary")).alias("folded")),
     "edit_fraction": lambda s, d: _turns(s, d).select("conv_id", "turn", P.edit_fraction("a", "b").alias("fraction")),
     "content_hash": _content_hashes,
     "html_repair": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.md5(P.repair_markup("html").cast("binary")).alias("repaired")),
     "sentence_diff": lambda s, d: _neighbours(s, d).select("doc_id", P.sentence_diff("a", "b").alias("v")).select("doc_id", "v.removed", "v.added"),
     "aligned_sentences": _aligned,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"accent_fold": "SELECT doc_id, md5(strip_accents(text)) AS folded FROM documents"}

@@ -135,7 +135,6 @@ register("balanced_sample", C(f"r AS (SELECT config_id, case_id, pipeline_class,
     lambda s, d: ranking.balanced_sample(scored(s, d).filter("crs_score IS NOT NULL"), "pipeline_class", 100, 5, "config_id", "case_id").select("config_id", "case_id"))
 register("category_sample", C(f"r AS (SELECT config_id, case_id, category, {_H(6, 'config_id', 'case_id')} AS h FROM scored)", "k AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY h, config_id, case_id) <= floor(200 / (SELECT count(DISTINCT category) FROM r)) AS own FROM r)", then="SELECT config_id, case_id, category FROM k ORDER BY own DESC, h, config_id, case_id LIMIT 200"))(
     lambda s, d: ranking.balanced_sample(scored(s, d), "category", 200, 6, "config_id", "case_id").select("config_id", "case_id", "category"))
-register("sample_shortfall", S("SELECT dimension, pipeline_class, greatest(0, 150 - count(*) FILTER (category = 'refusal')) AS missing FROM scored GROUP BY 1, 2"))(lambda s, d: scored(s, d).groupBy("dimension", "pipeline_class").agg(F.greatest(F.lit(0), 150 - F.count_if(F.col("category") == "refusal")).alias("missing")))
 register("protected_trim", S("SELECT case_id FROM (SELECT case_id, bool_or(truncated) AS p FROM scored WHERE dimension = 'refusal' GROUP BY 1) ORDER BY p DESC, case_id DESC LIMIT 40"))(lambda s, d: ranking.protected_trim(scored(s, d).filter("dimension = 'refusal'").groupBy("case_id").agg(F.bool_or("truncated").alias("p")), "p", "case_id", 40).select("case_id"))
 register("held_out_subset", C(_RAGAS, then="SELECT key FROM (SELECT config_id || '::' || case_id AS key, case_id FROM rg WHERE faithfulness IS NOT NULL) WHERE case_id NOT IN (SELECT case_id FROM scored WHERE truncated)"))(
     lambda s, d: ragas(s, d).filter("faithfulness IS NOT NULL").join(scored(s, d).filter("truncated").select("case_id").distinct(), "case_id", "left_anti").select(F.concat("config_id", F.lit("::"), "case_id").alias("key")))
@@ -176,8 +175,6 @@ register("safe_pool", f"WITH an AS (SELECT DISTINCT array_to_string({_WORDS('tex
     lambda s, d: retrieval.safe_pool(table(s, d, "benchmark").select(F.array_join(F.slice(T.words(F.col("text")), 1, 2), " ").alias("answer")), table(s, d, "documents").select(F.col("doc_id").alias("pos"), "text", (F.col("doc_id") % 4 == 0).alias("is_answer_bearing"))))
 register("ordered_texts", "SELECT user_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY place)) AS context FROM (SELECT user_id, event_id AS place, event_id % 1500 AS doc_id FROM events WHERE event_type = 'view') JOIN documents USING (doc_id) GROUP BY 1")(
     lambda s, d: retrieval.ordered_texts(table(s, d, "events").filter("event_type = 'view'").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x % 1500).alias("ids")), table(s, d, "documents"), "user_id", "ids", "doc_id").select("user_id", F.md5(F.col("context").cast("binary")).alias("context")))
-register("seen_passages", "SELECT user_id, list(doc_id ORDER BY place) AS seen FROM (SELECT user_id, event_id % 40 AS doc_id, min(event_id) AS place FROM events GROUP BY 1, 2) GROUP BY 1")(
-    lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x % 40)).alias("seen")))
 
 # --- testbeds
 

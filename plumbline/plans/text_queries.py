@@ -117,7 +117,7 @@ _TOK = "list_transform(regexp_extract_all(text, '([A-Za-z0-9'']+)', 1), lambda x
 register("ngram_counts", f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(list_transform(range(1, len(t) - 2), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] || ' ' || t[i + 3]))) AS n_4grams FROM (SELECT doc_id, {_TOK} AS t FROM documents)")(
     lambda s, d: docs(s, d).withColumn("t", T.alnum_tokens(F.col("text"))).select("doc_id", F.size("t").alias("n_tokens"), F.size(T.ngrams(F.col("t"), 4)).alias("n_4grams")))
 register("boundary_matches", r"""WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[5] AS needle FROM documents)
-SELECT doc_id, coalesce(trim(needle) <> '' AND regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])' || regexp_escape(lower(trim(needle))) || '($|[^\p{L}\p{N}_])'), false) AS on_boundary FROM w""")(
+SELECT doc_id, coalesce(trim(needle) <> '' AND regexp_matches(strip_accents(lower(text)), '(^|[^\p{L}\p{N}_])' || regexp_escape(strip_accents(lower(trim(needle)))) || '($|[^\p{L}\p{N}_])'), false) AS on_boundary FROM w""")(
     lambda s, d: docs(s, d).select("doc_id", T.on_word_boundary(F.get(T.words(F.col("text")), F.lit(4)), F.col("text")).alias("on_boundary")))
 _PARTS = f"CASE WHEN len(raw) >= 2 THEN list_transform(list_filter(raw, lambda r: length(regexp_replace(r, '[^A-Za-z'']', '', 'g')) >= 5 AND NOT contains(regexp_replace(r, '[^A-Za-z'']', '', 'g'), '''') AND (regexp_matches(r, '^\\p{{Lu}}') OR (upper(answer) = answer AND lower(answer) <> answer)) AND lower(regexp_replace(r, '[^A-Za-z'']', '', 'g')) NOT IN ({', '.join(q(w) for w in T.COMMON_ANSWER_WORDS)})), lambda r: lower(regexp_replace(r, '[^A-Za-z'']', '', 'g'))) ELSE [] END"
 register("states_answer", f"""WITH x AS (SELECT doc_id, text, array_to_string({_WORDS('text')}[20:21], ' ') AS answer FROM documents), y AS (SELECT *, ' ' || {_MATCH('text')} || ' ' AS hay, {_MATCH('answer')} AS needle, {_WORDS('answer')} AS raw FROM x), z AS (SELECT *, {_MATCH("array_to_string(list_reverse(raw), ' ')")} AS inverted, {_PARTS} AS parts FROM y)
