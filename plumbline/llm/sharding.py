@@ -1,16 +1,24 @@
 """Size-tiered compaction of immutable Parquet shards under a versioned manifest.
 
-A store is a folder: shards/ holds Parquet files that are never changed, manifests/ one JSON file per version, which lists the
-live shards. A version is committed by renaming a finished file to the next version's name, which fails if that exists: readers
-see all of a version or nothing, and of two writers one wins and the other must start again from the newer version. Arrivals
-become small shards of tier 0. When a tier has FANOUT shards or more, its shards are merged, smallest first, into files of at
-most about the target size, in one job that shuffles only the merged shards' rows; merged shards of the target size stay.
+A store is a folder: shards/ holds Parquet files that are never changed, manifests/ one JSON file per version: what the version
+adds and takes away, and at every CHECKPOINT-th version all live shards, so that a commit writes little and a reader opens at
+most CHECKPOINT files. A version is committed by renaming a finished file to the next version's name, which fails if that
+exists: readers see all of a version or nothing, and of two writers one wins and the other starts again from the newer version.
+This needs a file system whose rename is atomic and refuses an existing target, as HDFS and local disks do; object stores with
+copying renames don't qualify.
+
+Arrivals become small shards of tier 0. When a tier has FANOUT shards or more, its shards are merged, smallest first, into files
+of at most about the target size, in one job that shuffles only the merged shards' rows, a task for each file to be made; merged
+shards of the target size stay. Shards that were merged away stay, too, for readers of older versions, until `expire` forgets
+those versions; `sweep` deletes what writers that failed or lost left behind.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +30,8 @@ FANOUT = 4
 TARGET_BYTES = 64 << 20
 #: Shards below so many bytes are of tier 0; each further tier is FANOUT times as large.
 SMALLEST = 1 << 20
+CHECKPOINT = 16
+ATTEMPTS = 20
 
 
 class Conflict(RuntimeError):
@@ -57,24 +67,43 @@ class ShardStore:
         names = [s.getPath().getName() for s in self.fs.listStatus(folder)]
         return max([int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")], default=0)
 
-    def manifest(self, version: int | None = None) -> dict:
-        version = self.version() if version is None else version
-        if not version:
-            return {"version": 0, "schema": None, "shards": []}
-        stream = self.fs.open(self._path(f"{self.root}/manifests/v{version:010d}.json"))
+    def _name(self, version: int):
+        return self._path(f"{self.root}/manifests/v{version:010d}.json")
+
+    def _entry(self, version: int) -> dict:
+        stream = self.fs.open(self._name(version))
         try:
             return json.loads(bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
         finally:
             stream.close()
 
+    def manifest(self, version: int | None = None) -> dict:
+        """version, schema and live shards of a version, by default the newest; an expired version is an error."""
+        version = self.version() if version is None else version
+        if not version:
+            return {"version": 0, "schema": None, "shards": []}
+        later = [self._entry(version)]
+        while "shards" not in later[-1]:
+            later.append(self._entry(later[-1]["version"] - 1))
+        live = {s["path"]: s for s in later[-1]["shards"]}
+        for entry in reversed(later[:-1]):
+            for p in entry["removed"]:
+                live.pop(p, None)
+            live.update((s["path"], s) for s in entry["added"])
+        return {"version": version, "schema": later[0]["schema"], "shards": [live[p] for p in sorted(live)]}
+
     def commit(self, base: dict, shards: list[dict], schema: str) -> dict:
         """Make base's successor with these shards the newest version, or raise Conflict."""
         new = {"version": base["version"] + 1, "schema": schema, "shards": sorted(shards, key=lambda s: s["path"])}
+        was, now = ({s["path"] for s in x["shards"]} for x in (base, new))
+        entry = {"version": new["version"], "schema": schema, "added": [s for s in new["shards"] if s["path"] not in was], "removed": sorted(was - now)}
+        if new["version"] % CHECKPOINT == 1:
+            entry["shards"] = new["shards"]
         draft = self._path(f"{self.root}/drafts/{uuid.uuid4().hex}.json")
         stream = self.fs.create(draft, True)
-        stream.write(bytearray(json.dumps(new).encode()))
+        stream.write(bytearray(json.dumps(entry).encode()))
         stream.close()
-        target = self._path(f"{self.root}/manifests/v{new['version']:010d}.json")
+        target = self._name(new["version"])
         self.fs.mkdirs(target.getParent())
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
         option = self.jvm.org.apache.hadoop.fs.Options.Rename
@@ -89,18 +118,72 @@ class ShardStore:
             raise
         return new
 
+    def _committed(self, shards: Callable[[dict], list[dict]], schema: str) -> dict:
+        """Commit what `shards` makes of the newest version's manifest; after a Conflict, of the then newest one."""
+        for attempt in range(ATTEMPTS):
+            base = self.manifest()
+            try:
+                return self.commit(base, shards(base), schema)
+            except Conflict:
+                if attempt == ATTEMPTS - 1:
+                    raise
+                time.sleep(0.01 * 2 ** min(attempt, 8))
+        raise AssertionError
+
+    def expire(self, keep: int = 1) -> list[str]:
+        """Forget all versions but the newest `keep`, and delete the shards that only they list; their paths. Readers of those versions must have ended."""
+        newest = self.version()
+        first = max(newest - max(keep, 1) + 1, 1)
+        if not newest:
+            return []
+        live = {s["path"] for v in range(first, newest + 1) for s in self.manifest(v)["shards"]}
+        known = [int(s.getPath().getName()[1:-5]) for s in self.fs.listStatus(self._path(f"{self.root}/manifests"))]
+        old = sorted(v for v in known if v < first)
+        gone = {s["path"] for v in old[:1] for s in self.manifest(v)["shards"]} | {s["path"] for v in old for s in self._entry(v)["added"]}
+        gone -= live
+        for p in sorted(gone):
+            self.fs.delete(self._path(p), False)
+        base = first - (first - 1) % CHECKPOINT  # what the manifests that stay are built on stays
+        for v in old:
+            if v < base:
+                self.fs.delete(self._name(v), False)
+        return sorted(gone)
+
+    def sweep(self, older_than_s: float = 86_400) -> list[str]:
+        """Delete shard files and drafts that no version lists and that are older than any writer at work can be; their paths."""
+        newest, now = self.version(), time.time()
+        if not newest:
+            return []
+        known = [int(s.getPath().getName()[1:-5]) for s in self.fs.listStatus(self._path(f"{self.root}/manifests"))]
+        listed = {s["path"] for s in self.manifest(newest)["shards"]}
+        for v in known:
+            entry = self._entry(v)
+            listed |= {s["path"] for s in [*entry["added"], *entry.get("shards", ())]}
+        keys, gone = {key(p) for p in listed}, []
+        for folder in ("shards", "drafts"):
+            for p, _, written in self._walk(f"{self.root}/{folder}"):
+                if now - written >= older_than_s and not (folder == "shards" and key(p) in keys):
+                    self.fs.delete(self._path(p), False)
+                    gone.append(p)
+        return gone
+
     # --- shards
 
-    def _files(self, folder: str) -> list[tuple[str, int]]:
+    def _walk(self, folder: str) -> list[tuple[str, int, float]]:
+        """(path, bytes, time of writing) of all files below a folder."""
         found, todo = [], [self._path(folder)]
         while todo:
-            for s in self.fs.listStatus(todo.pop()):
+            at = todo.pop()
+            for s in self.fs.listStatus(at) if self.fs.exists(at) else ():
                 if s.isDirectory():
                     todo.append(s.getPath())
-                elif s.getPath().getName().endswith(".parquet"):
-                    found.append((s.getPath().toString(), s.getLen()))
+                else:
+                    found.append((s.getPath().toString(), s.getLen(), s.getModificationTime() / 1000))
         return sorted(found)
 
+    def _files(self, folder: str) -> list[tuple[str, int]]:
+        return [(p, size) for p, size, _ in self._walk(folder) if p.endswith(".parquet")]
+
     def _counted(self, files: list[tuple[str, int]], schema: StructType) -> list[dict]:
         """Entries of files that hold rows; each file's count comes from one small row."""
         if not files:
@@ -124,12 +207,11 @@ class ShardStore:
         for p, size in self._files(folder):
             groups.setdefault(p.split(f"{label}=")[1].split("/")[0], []).append((p, size))
         if not groups:
-            base = self.manifest()
-            return self.commit(base, base["shards"], schema.json())
+            return self._committed(lambda base: base["shards"], schema.json())
         made = {s["path"]: s for s in self._counted([f for own in groups.values() for f in own], schema)}
         for k, name in enumerate(sorted(groups, key=lambda x: (len(x), x)), 1):
-            base = self.manifest()
-            out = self.commit(base, base["shards"] + [made[p] for p, _ in groups[name] if p in made], schema.json())
+            own = [made[p] for p, _ in groups[name] if p in made]
+            out = self._committed(lambda base, own=own: base["shards"] + own, schema.json())
             if k % self.fanout == 0 and waves is not None:
                 out = self.compact()
         return out
@@ -155,7 +237,7 @@ class ShardStore:
         return [g for g in groups if len(g) > 1]
 
     def compact(self) -> dict:
-        """Merge until no tier has FANOUT small shards or more; each round is a version, after which its merged inputs are deleted."""
+        """Merge until no tier has FANOUT small shards or more; each round is a version. Another writer's appends meanwhile are kept; if another merged the same shards first, its merge counts and this one's files go."""
         while True:
             base = self.manifest()
             groups = self.plan(base["shards"])
@@ -164,23 +246,31 @@ class ShardStore:
             schema = StructType.fromJson(json.loads(base["schema"]))
             of = [(key(s["path"]), k) for k, g in enumerate(groups) for s in g]
             label = f"run_{uuid.uuid4().hex[:8]}"
-            table = F.broadcast(self.spark.createDataFrame(of, f"file_{label} string, {label} int"))  # a row per shard file
+            table = self.spark.createDataFrame(of, f"file_{label} string, {label} int")  # a row per shard file; Spark broadcasts it as long as it is small
             rows = self.spark.read.schema(schema).parquet(*[s["path"] for g in groups for s in g])
             rows = rows.select("*", file_key().alias(f"file_{label}")).join(table, f"file_{label}").drop(f"file_{label}")
             folder = f"{self.root}/shards/{uuid.uuid4().hex}"
-            rows.repartition(len(groups), label).write.option("compression", "zstd").partitionBy(label).parquet(folder)
+            rows.repartitionById(len(groups), label).write.option("compression", "zstd").partitionBy(label).parquet(folder)
             merged = self._counted(self._files(folder), schema)
             gone = {s["path"] for g in groups for s in g}
             if sum(s["rows"] for s in merged) != sum(s["rows"] for g in groups for s in g):
                 raise RuntimeError("a merge lost rows")
-            done = self.commit(base, [s for s in base["shards"] if s["path"] not in gone] + merged, base["schema"])
-            for p in gone:
-                self.fs.delete(self._path(p), False)
+
+            def swapped(now: dict, gone: set[str] = gone, merged: list[dict] = merged) -> list[dict]:
+                if not gone <= {s["path"] for s in now["shards"]}:
+                    raise LookupError
+                return [s for s in now["shards"] if s["path"] not in gone] + merged
+
+            try:
+                done = self._committed(swapped, base["schema"])
+            except LookupError:
+                self.fs.delete(self._path(folder), True)
+                continue
             if len(merged) >= len(gone):
                 return done
 
     def read(self, version: int | None = None) -> DataFrame:
-        """All rows of a version's live shards (older versions only until their shards are merged away)."""
+        """All rows of a version's live shards; older versions until they expire."""
         m = self.manifest(version)
         schema = StructType.fromJson(json.loads(m["schema"])) if m["schema"] else StructType()
         paths = [s["path"] for s in m["shards"]]
@@ -195,7 +285,7 @@ def query(spark, sf_dir: str, waves: int = 8) -> DataFrame:
     shards = store.compact()["shards"]
     rows = store.read()
     place = [(key(s["path"]), k, s["tier"], s["rows"]) for k, s in enumerate(shards)]
-    table = F.broadcast(spark.createDataFrame(place, "file string, shard int, tier int, shard_rows long"))
+    table = spark.createDataFrame(place, "file string, shard int, tier int, shard_rows long")
     file = file_key() if place else F.lit("")
     return rows.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), file.alias("file")).join(table, "file").select("doc_id", "shard", "tier", "shard_rows", "text_sha256")
 
