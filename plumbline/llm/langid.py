@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import fold, map_arrow, only
+from plumbline.llm.shared import chosen, fold, map_arrow, only
 from plumbline.llm.textbytes import LOWER, buffers, slices
 
 CODES = 1 << 15
@@ -90,12 +90,12 @@ def learn(labelled: DataFrame, *, train_docs: int = TRAIN_DOCS) -> tuple[list[st
     total = sum(sizes.values())
     if total > train_docs:
         rate = train_docs / total
-        rare = [(x, int(1e6 * min(1, LANGUAGE_DOCS / n)) + 1) for x, n in sorted(sizes.items()) if n * rate < LANGUAGE_DOCS]
-        limit = F.lit(int(1e6 * rate) + 1)
+        rare = [(x, min(1.0, LANGUAGE_DOCS / n)) for x, n in sorted(sizes.items()) if n * rate < LANGUAGE_DOCS]
+        share = F.lit(rate)
         if rare:
-            own = labelled.sparkSession.createDataFrame(rare, "lang string, own long")
-            usable, limit = usable.join(F.broadcast(own), "lang", "left"), F.coalesce("own", limit)
-        usable = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < limit)
+            own = labelled.sparkSession.createDataFrame(rare, "lang string, own double")
+            usable, share = usable.join(F.broadcast(own), "lang", "left"), F.coalesce("own", share)  # a row a language
+        usable = usable.filter(chosen(share, 11))
     rows = map_arrow(usable.select("text", "lang"), _counted, "lang string, code long, count long").groupBy("lang", "code").agg(F.sum("count").alias("count"))
     found: dict[str, np.ndarray] = {}
     for r in rows.toLocalIterator():  # at most CODES rows a language

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import fold, map_arrow, only
+from plumbline.llm.shared import chosen, fold, map_arrow, only
 from plumbline.llm.textbytes import buffers, hash_spans, slices, word_spans
 
 #: At most about so many positives, and as many unlabelled texts, are learnt from, chosen by a hash of the id.
@@ -147,12 +147,11 @@ def learn(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS) -
     """docs (doc_id, text) and labels (doc_id, quality) to learn from. NULL ids and labels teach nothing; a document with several labels is positive if any is 1."""
     marks = only(labels, "doc_id", "quality").filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("label"))
     docs = only(docs, "doc_id", "text").filter(F.col("doc_id").isNotNull())
-    order = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_000))
 
     def sample(rows: DataFrame) -> np.ndarray:
         n = rows.count()
         if n > train_docs:
-            rows = rows.filter(order < int(1e6 * train_docs / n) + 1)
+            rows = rows.filter(chosen(train_docs / n, 29))
         return np.array([r["x"] for r in map_arrow(rows.select("label", "text"), _vectors, "label int, x array<double>").toLocalIterator()]).reshape(-1, FEATURES)
 
     n, ones = marks.join(docs.select("doc_id"), "doc_id", "left_semi").agg(F.count(F.lit(1)), F.sum("label")).first()

@@ -93,6 +93,12 @@ def fold(doc_id: str | Column = "doc_id", folds: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id, F.lit("")).cast("binary")) % folds
 
 
+def chosen(share: float | Column, seed: int, doc_id: str = "doc_id") -> Column:
+    """Whether a row is among a share of all, by all bits of a hash of its id: so many rows at any size of table, give or take chance."""
+    share = share if isinstance(share, Column) else F.lit(float(share))
+    return F.xxhash64(doc_id, F.lit(seed)).cast("double") <= share * 2.0**64 - 2.0**63
+
+
 def only(df: DataFrame, *cols: str) -> DataFrame:
     """The named columns alone, so that further columns of any name can't clash with those an operator adds."""
     return df.select(*[df[c] for c in cols])
