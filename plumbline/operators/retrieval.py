@@ -1,8 +1,8 @@
 """Lexical and dense retrieval within groups of passages, and similarity joins in bands.
 
 Statistics of a group are aggregates over exploded tokens; only tokens of a query meet them, so what is joined grows with the
-query's words. Similarity joins have a small, stated set of anchors against all candidates; the anchors are broadcast while
-they number at most BROADCAST_ANCHORS and are taken in blocks of that size beyond.
+query's words. Similarity joins have a stated set of anchors against all candidates; the anchors are broadcast in blocks of a
+stated size.
 """
 
 from __future__ import annotations
@@ -14,11 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import lower_words
-from plumbline.functions.vector import cosine
+from plumbline.functions.python_udfs import matches
 
 #: Parameters of the ranking function.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 BROADCAST_ANCHORS = 2000
+ANCHOR_BYTES = 32 << 20
+#: Each range of candidates of a pool is so many times as large as the one before, the first so many times the pool's size.
+POOL_GROWTH, POOL_ROUNDS = 4, 4
 
 
 def bm25(passages: DataFrame, queries: DataFrame, group: str = "case_no", pid: str = "passage_id", pos: str = "pos", text: str = "text", query: str = "query") -> DataFrame:
@@ -43,13 +46,24 @@ def ranked(scores: DataFrame, group: str, pos: str = "pos") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.col("score").desc(), pos)))
 
 
-def band_join(anchors: DataFrame, candidates: DataFrame, low: float, high: float, *, key: Sequence[str] = ("anchor_id", "anchor"), other: Sequence[str] = ("candidate_id", "vector")) -> DataFrame:
-    """(anchor_id, candidate_id, similarity) with low <= cosine <= high. anchors is a stated query set: it is broadcast in blocks, and each block meets all candidates."""
-    blocks = max(1, -(-anchors.count() // BROADCAST_ANCHORS))
-    parts = [anchors if blocks == 1 else anchors.filter(F.pmod(F.xxhash64(key[0]), F.lit(blocks)) == b) for b in range(blocks)]
-    sim = cosine(F.col(key[1]), F.col(other[1]))
-    made = [candidates.join(F.broadcast(p), F.col(key[0]) != F.col(other[0])).withColumn("similarity", sim).filter(F.col("similarity").between(low, high)).select(key[0], other[0], "similarity") for p in parts]
-    return reduce(DataFrame.unionAll, made)
+def band_join(anchors: DataFrame, candidates: DataFrame, low: float, high: float, *, k: int | None = None, key: Sequence[str] = ("anchor_id", "anchor"), other: Sequence[str] = ("candidate_id", "vector")) -> DataFrame:
+    """(anchor_id, candidate_id, similarity) with low <= cosine <= high, similarities rounded to 12 digits; with k, of each Arrow batch of candidates only the k best of each anchor and their equals, which is all that `nearest` needs.
+
+    anchors is a stated query set. It is sent to the workers in blocks of at most ANCHOR_BYTES, and each block meets all
+    candidates in one pass: a product of two matrices for each batch. An anchor doesn't meet the candidate of its own id.
+    """
+    spark = anchors.sparkSession
+    ids = anchors.schema[key[0]].dataType.simpleString()
+    asked = anchors.select(F.col(key[0]).alias("id"), F.col(key[1]).cast("array<double>").alias("v"))
+    n, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    blocks = max(1, -(-n * 8 * max(width, 1) // ANCHOR_BYTES))
+    rows = candidates.select(F.col(other[0]).alias("id"), F.col(other[1]).cast("array<double>").alias("v"))
+    made = []
+    for b in range(blocks):
+        own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
+        block = spark.sparkContext.broadcast(own.toArrow())  # at most ANCHOR_BYTES on average
+        made.append(rows.mapInArrow(lambda batches, block=block: matches(batches, block.value, low, high, k), f"anchor_id {ids}, candidate_id {rows.schema['id'].dataType.simpleString()}, similarity double"))
+    return reduce(DataFrame.unionAll, made).select(F.col("anchor_id").alias(key[0]), F.col("candidate_id").alias(other[0]), "similarity")
 
 
 def nearest(pairs: DataFrame, k: int, *tie: Column) -> DataFrame:
@@ -59,15 +73,44 @@ def nearest(pairs: DataFrame, k: int, *tie: Column) -> DataFrame:
 
 
 def safe_pool(answers: DataFrame, candidates: DataFrame, size: int = 20, answer: str = "answer", text: str = "text", pos: str = "pos", bearing: str = "is_answer_bearing") -> DataFrame:
-    """(answer, pos, rank): per distinct answer the first `size` candidates by position that bear no answer and don't contain it in any case. answers is a stated query set, broadcast in blocks like anchors."""
+    """(answer, pos, rank): per distinct answer the first `size` candidates by position that bear no answer and don't contain it in any case. answers is a stated query set.
+
+    Hardly any answer is in most candidates, so a few ranges of positions, each POOL_GROWTH times as large as the one before,
+    give nearly all answers their pool: the candidates of a range, of a stated number, are broadcast to the answers that still
+    lack some. Answers that lack some after POOL_ROUNDS ranges meet all further candidates, in blocks of BROADCAST_ANCHORS.
+    """
     asked = answers.select(answer).distinct()
-    blocks = max(1, -(-asked.count() // BROADCAST_ANCHORS))
-    made = []
-    for b in range(blocks):
-        own = F.broadcast(asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64(answer), F.lit(blocks)) == b))
-        rows = candidates.filter(~F.col(bearing)).join(own, ~F.contains(F.lower(text), F.lower(F.trim(F.col(answer)))))
-        made.append(rows.select(answer, pos).withColumn("rank", F.row_number().over(Window.partitionBy(answer).orderBy(pos))).filter(F.col("rank") <= size))
-    return reduce(DataFrame.unionAll, made)
+    rows = candidates.filter(~F.col(bearing)).select(pos, text)
+    held = lambda a: F.contains(F.col("low"), F.lower(F.trim(a)))
+    found, last, take = None, None, POOL_GROWTH * size
+    for _ in range(POOL_ROUNDS):
+        ahead = rows if last is None else rows.filter(F.col(pos) > last)
+        stop = ahead.select(pos).orderBy(pos).limit(take).agg(F.max(pos)).first()[0]
+        if stop is None:
+            break
+        lacking = asked
+        if found is not None:
+            full = found.groupBy(answer).agg(F.count("*").alias("n")).filter(F.col("n") >= size)
+            lacking = asked.join(full, answer, "left_anti")
+            if not lacking.take(1):
+                break
+        block = ahead.filter(F.col(pos) <= stop).select(pos, F.lower(text).alias("low"))
+        new = lacking.join(F.broadcast(block), ~held(F.col(answer))).select(answer, pos)  # take candidates
+        found = new if found is None else found.unionByName(new)
+        last, take = stop, take * POOL_GROWTH
+    if found is None:
+        return asked.select(answer, F.lit(None).cast(candidates.schema[pos].dataType).alias(pos), F.lit(1).alias("rank")).limit(0)
+    w = Window.partitionBy(answer).orderBy(pos)
+    full = found.groupBy(answer).agg(F.count("*").alias("n")).filter(F.col("n") >= size)
+    rest = asked.join(full, answer, "left_anti")
+    ahead = rows.filter(F.col(pos) > last)
+    if rest.take(1) and ahead.take(1):
+        blocks = max(1, -(-rest.count() // BROADCAST_ANCHORS))
+        for b in range(blocks):
+            own = F.broadcast(rest if blocks == 1 else rest.filter(F.pmod(F.xxhash64(answer), F.lit(blocks)) == b))
+            pairs = ahead.select(pos, F.lower(text).alias("low")).join(own, ~held(F.col(answer))).select(answer, pos)
+            found = found.unionByName(pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= size).drop("rank"))
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= size)
 
 
 def ordered_texts(lists: DataFrame, passages: DataFrame, key: str, ids: str, pid: str = "passage_id", text: str = "text") -> DataFrame:

@@ -67,7 +67,7 @@ FIXTURES: dict[str, tuple[str, list[dict[str, str]], list[str]]] = {
     "passages": ("documents", [
         {"passage_id": "concat('d', cast(doc_id as string))", "pos": "doc_id", "is_injected": "doc_id % 3 > 0", "case_no": "cast(floor(doc_id / 10) as bigint)"},
     ], ["case_no", "pos", "passage_id", "text", "is_injected", "lang", "n_chars"]),
-    "vectors": ("embeddings", [{"seed": "vec_id % 50 = 0"}], ["vec_id", "embedding", "seed"]),
+    "vectors": ("embeddings", [{"seed": "vec_id % 20 = 0"}], ["vec_id", "embedding", "seed"]),
 }
 
 

@@ -103,8 +103,8 @@ register("intersect_units", S("SELECT case_id FROM scored WHERE pipeline_class =
 register("except_units", S("SELECT case_id FROM scored WHERE category = 'refusal' EXCEPT SELECT case_id FROM scored WHERE category = 'answer'"))(lambda s, d: scored(s, d).filter("category = 'refusal'").select("case_id").subtract(scored(s, d).filter("category = 'answer'").select("case_id")))
 register("symmetric_difference", "SELECT count(*) AS n FROM (SELECT doc_id FROM labels WHERE quality = 0) a FULL JOIN (SELECT doc_id FROM labels WHERE toxic = 1) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL")(
     lambda s, d: table(s, d, "labels").filter("quality = 0").select(F.col("doc_id").alias("a")).join(table(s, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("b")), F.col("a") == F.col("b"), "full").filter("a IS NULL OR b IS NULL").agg(F.count("*").alias("n")))
-register("answer_jaccard", f"SELECT doc_id, coalesce(len(list_intersect(a, b))::double / nullif(len(list_distinct(list_concat(a, b))), 0), 0) AS j FROM (SELECT doc_id, list_distinct({_WORDS('lower(text)')}[1:50]) AS a, list_distinct({_WORDS('lower(text)')}[26:75]) AS b FROM documents)")(
-    lambda s, d: table(s, d, "documents").withColumn("w", T.lower_words(F.col("text"))).select("doc_id", T.jaccard(F.array_distinct(F.slice("w", 1, 50)), F.array_distinct(F.slice("w", 26, 50))).alias("j")))
+register("answer_jaccard", f"SELECT doc_id, coalesce(len(list_intersect(a, b))::double / nullif(len(list_distinct(list_concat(a, b))), 0), 0) AS j FROM (SELECT doc_id, list_distinct({_WORDS('lower(substr(text, 1, (length(text) // 2)::int))')}) AS a, list_distinct({_WORDS('lower(substr(text, (length(text) // 2)::int + 1))')}) AS b FROM documents)")(
+    lambda s, d: table(s, d, "documents").withColumn("half", F.floor(F.length("text") / 2).cast("int")).select("doc_id", T.jaccard(F.array_distinct(T.lower_words(F.expr("substring(text, 1, half)"))), F.array_distinct(T.lower_words(F.expr("substring(text, half + 1)")))).alias("j")))
 
 # --- ranking and sampling
 
@@ -141,18 +141,21 @@ register("held_out_subset", C(_RAGAS, then="SELECT key FROM (SELECT config_id ||
 
 # --- retrieval and vectors
 
-_TOP = "q AS (SELECT vec_id AS anchor_id, embedding::double[] AS a FROM embeddings WHERE vec_id % 50 = 0), cnd AS (SELECT vec_id AS candidate_id, embedding::double[] AS v FROM embeddings WHERE vec_id % 50 <> 0), sims AS (SELECT anchor_id, candidate_id, list_inner_product(a, v) / greatest(sqrt(list_inner_product(a, a)) * sqrt(list_inner_product(v, v)), 1e-9) AS similarity FROM q, cnd)"
+_TOP = "q AS (SELECT vec_id AS anchor_id, embedding::double[] AS a FROM embeddings WHERE vec_id % 20 = 0), cnd AS (SELECT vec_id AS candidate_id, embedding::double[] AS v FROM embeddings), sims AS (SELECT anchor_id, candidate_id, list_inner_product(a, v) / greatest(sqrt(list_inner_product(a, a)) * sqrt(list_inner_product(v, v)), 1e-9) AS similarity FROM q, cnd WHERE anchor_id <> candidate_id)"
 
 
-def bands(s, d, low=0.1, high=0.4):
+def bands(s, d, k, low=0.1, high=0.4):
+    """Every twentieth vector against all others."""
     v = fixture(s, d, "vectors")
-    return retrieval.band_join(v.filter("seed").select(F.col("vec_id").alias("anchor_id"), F.col("embedding").alias("anchor")), v.filter("NOT seed").select(F.col("vec_id").alias("candidate_id"), F.col("embedding").alias("vector")), low, high)
+    return retrieval.band_join(v.filter("seed").select(F.col("vec_id").alias("anchor_id"), F.col("embedding").alias("anchor")), v.select(F.col("vec_id").alias("candidate_id"), F.col("embedding").alias("vector")), low, high, k=k)
+
+
 
 
 register("nearest_distractors", f"WITH {_TOP} SELECT anchor_id, candidate_id, round(similarity, 9) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY similarity DESC, candidate_id) AS rank FROM sims WHERE similarity BETWEEN 0.1 AND 0.4) WHERE rank <= 12")(
-    lambda s, d: retrieval.nearest(bands(s, d), 12).withColumn("similarity", F.round("similarity", 9)))
-register("replacement_top1", f"WITH {_TOP} SELECT anchor_id, candidate_id FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY similarity DESC, candidate_id) AS rank FROM sims WHERE similarity BETWEEN 0.1 AND 0.4) WHERE rank = 1")(lambda s, d: retrieval.nearest(bands(s, d), 1).select("anchor_id", "candidate_id"))
-register("dense_topk", f"WITH {_TOP} SELECT anchor_id, candidate_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY similarity DESC, candidate_id) AS rank FROM sims) WHERE rank <= 5")(lambda s, d: retrieval.nearest(bands(s, d, -2.0, 2.0), 5).select("anchor_id", "candidate_id", "rank"))
+    lambda s, d: retrieval.nearest(bands(s, d, 12), 12).withColumn("similarity", F.round("similarity", 9)))
+register("replacement_top1", f"WITH {_TOP} SELECT anchor_id, candidate_id FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY similarity DESC, candidate_id) AS rank FROM sims WHERE similarity BETWEEN 0.1 AND 0.4) WHERE rank = 1")(lambda s, d: retrieval.nearest(bands(s, d, 1), 1).select("anchor_id", "candidate_id"))
+register("dense_topk", f"WITH {_TOP} SELECT anchor_id, candidate_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY similarity DESC, candidate_id) AS rank FROM sims) WHERE rank <= 5")(lambda s, d: retrieval.nearest(bands(s, d, 5, -2.0, 2.0), 5).select("anchor_id", "candidate_id", "rank"))
 register("unit_vectors", "SELECT vec_id, round(list_inner_product(e, e) / pow(greatest(sqrt(list_inner_product(e, e)), 1e-9), 2), 9) AS length2, round(e[1] / greatest(sqrt(list_inner_product(e, e)), 1e-9), 9) AS first FROM (SELECT vec_id, embedding::double[] AS e FROM embeddings)")(
     lambda s, d: table(s, d, "embeddings").withColumn("u", V.unit(F.col("embedding"))).select("vec_id", F.round(V.dot(F.col("u"), F.col("u")), 9).alias("length2"), F.round(F.get("u", F.lit(0)), 9).alias("first")))
 register("strict_cosine", "SELECT vec_id, round(list_cosine_similarity(e, list_reverse(e)), 9) AS c FROM (SELECT vec_id, embedding::double[] AS e FROM embeddings)")(lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(V.strict_cosine(F.col("embedding"), F.reverse("embedding")), 9).alias("c")))
@@ -173,8 +176,16 @@ register("bm25_ranks", C(_BM, then="SELECT * FROM rk", of=("passages",)))(lambda
 register("bm25_topk", C(_BM, then="SELECT case_no, passage_id, rank FROM rk WHERE rank <= 5", of=("passages",)))(lambda s, d: bm25_ranked(s, d).filter("rank <= 5").select("case_no", "passage_id", "rank"))
 register("safe_pool", f"WITH an AS (SELECT DISTINCT array_to_string({_WORDS('text')}[1:2], ' ') AS answer FROM benchmark) SELECT answer, pos, rank FROM (SELECT answer, doc_id AS pos, row_number() OVER (PARTITION BY answer ORDER BY doc_id) AS rank FROM documents, an WHERE doc_id % 4 <> 0 AND NOT contains(lower(text), lower(trim(answer)))) WHERE rank <= 20")(
     lambda s, d: retrieval.safe_pool(table(s, d, "benchmark").select(F.array_join(F.slice(T.words(F.col("text")), 1, 2), " ").alias("answer")), table(s, d, "documents").select(F.col("doc_id").alias("pos"), "text", (F.col("doc_id") % 4 == 0).alias("is_answer_bearing"))))
-register("ordered_texts", "SELECT user_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY place)) AS context FROM (SELECT user_id, event_id AS place, event_id % 1500 AS doc_id FROM events WHERE event_type = 'view') JOIN documents USING (doc_id) GROUP BY 1")(
-    lambda s, d: retrieval.ordered_texts(table(s, d, "events").filter("event_type = 'view'").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x % 1500).alias("ids")), table(s, d, "documents"), "user_id", "ids", "doc_id").select("user_id", F.md5(F.col("context").cast("binary")).alias("context")))
+
+
+def viewed(s, d):
+    """Of each user the documents that their views name, in order; over all documents."""
+    n = table(s, d, "documents").count()
+    return table(s, d, "events").filter("event_type = 'view'").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x % n).alias("ids"))
+
+
+register("ordered_texts", "SELECT user_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY place)) AS context FROM (SELECT user_id, event_id AS place, event_id % (SELECT count(*) FROM documents) AS doc_id FROM events WHERE event_type = 'view') JOIN documents USING (doc_id) GROUP BY 1")(
+    lambda s, d: retrieval.ordered_texts(viewed(s, d), table(s, d, "documents"), "user_id", "ids", "doc_id").select("user_id", F.md5(F.col("context").cast("binary")).alias("context")))
 
 # --- testbeds
 

@@ -152,10 +152,44 @@ def test_similarity_joins_in_blocks(spark, monkeypatch):
     v = spark.range(40).select("id", F.array(F.sin("id"), F.cos("id"), F.lit(1.0)).alias("v"))
     a, c = v.filter("id % 4 = 0").toDF("anchor_id", "anchor"), v.toDF("candidate_id", "vector")
     whole = sorted(map(tuple, retrieval.band_join(a, c, 0.2, 0.9).collect()))
-    monkeypatch.setattr(retrieval, "BROADCAST_ANCHORS", 3)
+    monkeypatch.setattr(retrieval, "ANCHOR_BYTES", 100)
     assert sorted(map(tuple, retrieval.band_join(a, c, 0.2, 0.9).collect())) == whole and whole
 
 
+def test_nearest_by_batches(spark):
+    """The best of each batch are all that the best of all can be of: against plain Python, with ties, NULLs and short vectors."""
+    import math
+    import random
+
+    r = random.Random(3)
+    vs = [[r.choice((-1.0, 0.0, 1.0)) for _ in range(3)] for _ in range(60)] + [None, [1.0], [0.0, 0.0, 0.0]]
+    df = spark.createDataFrame(list(enumerate(vs)), "id long, v array<float>").repartition(7)
+    got = retrieval.nearest(retrieval.band_join(df.filter("id % 9 = 0").toDF("anchor_id", "anchor"), df.toDF("candidate_id", "vector"), 0.1, 1.5, k=4), 4).collect()
+    full = [(v or []) + [0.0] * (3 - len(v or [])) for v in vs]
+    norm = [math.sqrt(sum(x * x for x in v)) for v in full]
+    want = []
+    for a in range(0, len(vs), 9):
+        sims = sorted((-round(sum(x * y for x, y in zip(full[a], full[c])) / max(norm[a] * norm[c], 1e-9), 9), c) for c in range(len(vs)) if c != a)
+        want += [(a, c, k + 1) for k, (s, c) in enumerate([x for x in sims if 0.1 <= -x[0] <= 1.5][:4])]
+    assert sorted((x.anchor_id, x.candidate_id, x.rank) for x in got) == sorted(want)
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_safe_pool_against_plain_python(spark, monkeypatch, rounds):
+    """Answers that most candidates contain get their pool, too, in every way of looking for it."""
+    monkeypatch.setattr(retrieval, "POOL_ROUNDS", max(rounds, 1))
+    texts = [("Common word" if i % 10 else "RARE thing") + f" {i}" for i in range(200)]
+    rows = [(i, t, i % 3 == 0) for i, t in enumerate(texts)]
+    answers = ["common", "rare", "word 1", "absent", " Thing ", "o"]
+    cand = spark.createDataFrame(rows if rounds else [], "pos int, text string, is_answer_bearing boolean")
+    got = {(x.answer, x.pos, x.rank) for x in retrieval.safe_pool(spark.createDataFrame([(a,) for a in answers * 2], "answer string"), cand, 3).collect()}
+    want = set()
+    for a in answers if rounds else []:
+        own = [i for i, t, b in rows if not b and a.strip().lower() not in t.lower()]
+        want |= {(a, i, k + 1) for k, i in enumerate(own[:3])}
+    assert got == want
+
+
 def test_log_supersedes(spark):
     log = spark.createDataFrame([("a", "e", 1), ("a", None, 2), ("b", None, 1), ("b", "e", 2), ("c", "", 1), (None, None, 3)], "key string, error string, line_no int")
     assert {r.key: r.done for r in runs.log_state(log).collect()} == {"a": True, "b": False, "c": True}
