@@ -3,7 +3,8 @@
 A text is looked at where it has digits, an at sign or a spelt-out one. There it is cut into tokens (runs of letters, runs of
 digits, single other characters); runs of at most MAX_TOKENS tokens that could be an entity are candidate segments, each with
 features of the whole span (checksums, digit counts, separators, neighbours). Dynamic programming over segments chooses
-boundaries and types jointly; tokens in no segment score 0. Weights maximise the conditional likelihood of synthetic
+boundaries and types jointly; tokens in no segment score 0, so segments that score no more are left out of it. Segments of
+digits, of which a page of numbers has millions, are scored by numpy. Weights maximise the conditional likelihood of synthetic
 sentences that are generated from a fixed seed: entities in usual and unusual notations, and numbers that are none.
 Spans that the fixed base expressions find always stay; the field adds those of its spans that overlap none of them.
 """
@@ -13,7 +14,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +33,27 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SPELT = re.compile(r"[(\[{] ?at ?[)\]}]", re.I)
-_TRIGGER = re.compile(r"[0-9]|@|[(\[{] ?[aA][tT] ?[)\]}]")
+_SIGN = re.compile(r"@|[(\[{] ?[aA][tT] ?[)\]}]")
+_TRIGGER = re.compile(r"[0-9]+|@|[(\[{] ?[aA][tT] ?[)\]}]")
+_SOLID = re.compile(r"\S*")
+_LETTERS = re.compile(r"[A-Za-z]+")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 #: Words that announce an entity.
 CUES = {"phone": ("tel", "phone", "call", "fax", "mobile", "cell"), "card": ("card", "visa", "mastercard", "amex"), "ip": ("ip", "host", "server", "address"), "email": ("mail", "email", "contact")}
 
 
+_CUE_SETS = [frozenset(CUES[k]) for k in ("phone", "card", "ip", "email")]
+#: Characters that are looked at around what could be an entity, and the most that a segment of digits can have: MAX_TOKENS, of which digits have 19 in all.
+MARGIN, REACH = 64, MAX_TOKENS + 20
+#: Characters whose numbers are scored at a time, and tokens around at signs that are held at a time.
+CHUNK, HELD_TOKENS = 1 << 18, 1 << 15
+_RUNS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789")
+_JOINS = np.zeros(128, bool)
+_JOINS[[48, 32, *[ord(c) for c in "().-+_%[]{}/"]]] = True
+_ALNUM = np.array([chr(c).isalnum() for c in range(128)])
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -79,6 +95,7 @@ def _short(parts: list[str]) -> list[str]:
 # --- the field
 
 FEATURES = 29
+CUE = [23, 24, 25, 26]  # the features that words before a segment make
 #: Usual last parts of a mail domain.
 _LAST = frozenset("com org net edu gov mil info io co uk de fr es it eu ch at nl be se no dk fi pl pt br mx ca au jp cn in ru us".split())
 
@@ -284,30 +301,281 @@ def weights(sentences: int = 400, epochs: int = 12, rate: float = 0.5, decay: fl
     return w
 
 
-def added_spans(text: str, w: np.ndarray, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    """Spans of the field that overlap no base span."""
-    regions: list[list[int]] = []
+def _whole_words(text: str) -> list[tuple[int, int]]:
+    """Disjoint stretches of whole words around everything that could belong to an entity, in order; each character is looked at a bounded number of times."""
+    out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
-        if regions and m.start() <= regions[-1][1] + 24:
-            regions[-1][1] = m.end()
+        if out and m.end() + MARGIN <= out[-1][1]:
+            continue
+        a, before = max(0, m.start() - MARGIN), out[-1][1] if out else 0
+        b = _SOLID.match(text, min(len(text), m.end() + MARGIN)).end()
+        if a > before:
+            between = text[before:a]
+            a -= 0 if between[-1].isspace() else len(between.rsplit(None, 1)[-1])
+        if out and a <= before:
+            out[-1][1] = max(b, before)
         else:
-            regions.append([m.start(), m.end()])
-    out = []
-    for a, b in regions:
-        a, b = max(0, a - 64), min(len(text), b + 64)
-        while a and not text[a - 1].isspace():
-            a -= 1
-            if b - a > 4096:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def _numeric(codes: np.ndarray, w: np.ndarray, cue: Callable[[int], np.ndarray]) -> Iterator[tuple[int, int, int, float]]:
+    """(start, end, kind, score) of the segments of digits and their punctuation in a text (code points) that score above 0: what `_candidates` and `_features` make of them, for all at once. cue: the features of the words before a place."""
+    size = len(codes)
+    for x in range(0, size, CHUNK):
+        # a segment is shorter than REACH, and what it begins with depends on the character before it alone
+        lo, hi = max(0, x - MARGIN), min(size, x + CHUNK + REACH)
+        c = np.concatenate(([10], codes[lo:hi], [10, 10]))  # place p of the text is p - lo + 1 here
+        digit = (c >= 48) & (c <= 57)
+        letter = ((c | 32) >= 97) & ((c | 32) <= 122) & (c < 128)
+        begins = np.ones(len(c), bool)
+        begins[1:] = ~((digit[1:] & digit[:-1]) | (letter[1:] & letter[:-1]))
+        at = np.flatnonzero(begins)
+        stop = np.append(at[1:], len(c))
+        kind = np.where(digit[at], 48, np.where(letter[at], 97, c[at])).astype(np.int64)
+        n_tokens = len(at)
+        dot, opening, closing = ((np.concatenate(([0], np.cumsum(kind == ord(ch))))) for ch in ".()")
+        group = np.concatenate(([0], np.cumsum(kind == 48)))
+        length = (stop - at)[kind == 48]
+        d = c[digit].astype(np.int64) - 48
+        before_d = np.concatenate(([0], np.cumsum(np.where(kind == 48, stop - at, 0))))
+        twice = d * 2 - 9 * (d > 4)
+        even = np.arange(len(d)) % 2 == 0
+        sums = [np.concatenate(([0], np.cumsum(v))) for v in (np.where(even, d, 0), np.where(even, 0, d), np.where(even, twice, 0), np.where(even, 0, twice), d > 0)]
+        g_end = np.cumsum(length)
+        tail = np.zeros(len(length), np.int64)
+        for k in range(3):
+            place = g_end - 3 + k
+            tail = tail * 10 + np.where(place >= g_end - length, d[np.maximum(place, 0)], 0) if len(d) else tail
+        lead = np.maximum(g_end - 3, g_end - length)
+        small = (tail <= 255) & (sums[4][lead] == sums[4][g_end - length]) if len(length) else np.zeros(0, bool)
+        good = np.concatenate(([0], np.cumsum(small)))
+        word = _word_like(c)
+        place_of = at - 1 + lo
+        first = np.flatnonzero(((kind == 48) | (kind == ord("+")) | (kind == ord("("))) & (place_of >= x) & (place_of < x + CHUNK))
+        first = first[~((kind[first] == 48) & (first > 0) & np.isin(kind[first - 1], (48, 97)))]
+        digits, alive = np.zeros(len(first), np.int64), first
+        start, end = [], []
+        for step in range(MAX_TOKENS):
+            j = alive + step
+            fits = j < n_tokens
+            alive, digits, j = alive[fits], digits[fits], j[fits]
+            k = kind[j]
+            digits = digits + np.where(k == 48, stop[j] - at[j], 0)
+            fits = _JOINS[np.minimum(k, 127)] & (k < 128) & (digits <= 19) & ~((k == 32) & (j > 0) & (kind[j - 1] == 32))
+            alive, digits, j, k = alive[fits], digits[fits], j[fits], k[fits]
+            if not len(alive):
                 break
-        while b < len(text) and not text[b].isspace():
-            b += 1
-            if b - a > 8192:
+            whole = (k == 48) & ((digits >= 7) | (dot[j + 1] - dot[alive] == 3))
+            start.append(alive[whole])
+            end.append(j[whole] + 1)
+        if not start:
+            continue
+        i, j = np.concatenate(start), np.concatenate(end)
+        for part in range(0, len(i), CHUNK):
+            yield from _positive(i[part : part + CHUNK], j[part : part + CHUNK], (c, at, stop, kind, dot, opening, closing, group, length, before_d, d, sums, good, word, lo), w, cue)
+
+
+def _positive(i: np.ndarray, j: np.ndarray, tokens: tuple, w: np.ndarray, cue: Callable[[int], np.ndarray]) -> Iterator[tuple[int, int, int, float]]:
+    """Those of the segments of tokens i to j that score above 0. tokens: what _numeric counted up to each token, digit and group."""
+    c, at, stop, kind, dot, opening, closing, group, length, before_d, d, sums, good, word, lo = tokens
+    a, b = at[i], stop[j - 1]
+    s, e = before_d[i], before_d[j]
+    n, groups, g = e - s, group[j] - group[i], group[i]
+    odd_end = (e - 1) % 2 == 1
+    total = np.where(odd_end, sums[1][e] - sums[1][s] + sums[2][e] - sums[2][s], sums[0][e] - sums[0][s] + sums[3][e] - sums[3][s])
+    checked, card = total % 10 == 0, (n >= 14) & (n <= 19)
+    dots, opened, closed = dot[j] - dot[i], opening[j] - opening[i], closing[j] - closing[i]
+    quad = (dots == 3) & (groups == 4) & (j - i == 7) & (kind[i] == 48)
+    low = good[np.minimum(g + 4, len(good) - 1)] - good[g] == 4
+    before, after, next_one = c[a - 1], c[b], c[np.minimum(b + 1, len(c) - 1)]
+    one = lambda k: d[np.minimum(s + k, len(d) - 1)]
+    sized = lambda *lens: (groups == len(lens)) & np.logical_and.reduce([length[np.minimum(g + k, len(length) - 1)] == v for k, v in enumerate(lens)])
+    marks = np.zeros(len(i), np.int64)
+    for ch in " ().-+_%[]{}/":
+        seen = np.concatenate(([0], np.cumsum(kind == ord(ch))))
+        marks += seen[j] > seen[i]
+    found = {
+        5: quad & low, 6: quad & ~low, 7: quad & ((before == 46) | ((before >= 48) & (before <= 57)) | ((after == 46) & (next_one >= 48) & (next_one <= 57))), 8: card & checked, 9: card & ~checked, 10: n == 16,
+        11: (n == 15) & (one(0) == 3) & ((one(1) == 4) | (one(1) == 7)), 12: (one(0) >= 3) & (one(0) <= 6) & (n >= 14), 13: (n >= 10) & (n <= 15) & (c[a] == 43), 14: (n == 10) & sized(3, 3, 4), 15: (n == 11) & sized(1, 3, 3, 4) & (one(0) == 1),
+        16: ((n >= 7) & (n <= 9)) | (n == 12) | (n == 13), 17: (groups == 1) & (n < 14), 18: (opened == 1) & (closed == 1), 19: opened != closed, 20: marks > 2,
+        21: word[a - 1] | word[b] | np.isin(before, [ord(x) for x in "+.-/$#"]) | np.isin(after, [ord(x) for x in "-/%"]), 22: groups > 5,
+    }
+    score = np.repeat(w[0][None, :], len(i), 0)
+    for f, holds in found.items():
+        score[holds] += w[f]
+    most = score + np.maximum(w[CUE], 0).sum(0)  # with every cue that speaks for a kind
+    known: dict[int, np.ndarray] = {}
+    for x in np.flatnonzero(most.max(1) > 0).tolist():
+        place = int(a[x]) - 1 + lo
+        if place not in known:
+            known[place] = cue(place) @ w[CUE]
+        own = score[x] + known[place]
+        k = int(own.argmax())
+        if own[k] > 0:
+            yield place, int(b[x]) - 1 + lo, k, float(own[k])
+
+
+def _word_like(c: np.ndarray) -> np.ndarray:
+    """Whether code points are letters or numbers."""
+    out = np.zeros(len(c), bool)
+    plain = c < 128
+    out[plain] = _ALNUM[c[plain]]
+    wide = np.flatnonzero(~plain)
+    if len(wide):
+        points, inverse = np.unique(c[wide], return_inverse=True)
+        out[wide] = np.array([chr(x).isalnum() for x in points.tolist()])[inverse]
+    return out
+
+
+def _cues(text: str, start: int) -> np.ndarray:
+    """The features of the two words before a place."""
+    words = {x.lower() for x in _LETTERS.findall(text, max(0, start - 24), start)[-2:]}
+    return np.array([bool(words & x) for x in _CUE_SETS], float)
+
+
+def _back(text: str, at: int, tokens: int) -> int:
+    """The place so many tokens before `at`, or the text's start."""
+    for _ in range(tokens):
+        if not at:
+            break
+        run = next((r for r in _RUNS if text[at - 1] in r), None)
+        if run is None:
+            at -= 1
+            continue
+        width = 64
+        while not (left := len(text[max(0, at - width) : at].rstrip(run))) and width < at:
+            width *= 4
+        at = max(0, at - width) + left
+    return at
+
+
+def _mail(text: str, w: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+    """(start, end, kind, score) of the segments with an at sign or a spelt-out one that score above 0; only tokens within MAX_TOKENS before such a sign begin one. Tokens are held HELD_TOKENS at a time."""
+    hits = [m.start() for m in _SIGN.finditer(text)]
+    known: dict[tuple, np.ndarray] = {}
+    at, done = 0, -1
+    while at < len(hits):
+        tokens: list[re.Match] = []
+        marks: list[int] = []
+        for m in _TOKEN.finditer(text, _back(text, hits[at], MAX_TOKENS)):
+            if m[0] == "@" or m[0] in "([{" and _SPELT.match(text, m.start()):
+                marks.append(len(tokens))
+            tokens.append(m)
+            if marks and len(tokens) - marks[-1] > MAX_TOKENS or len(tokens) >= HELD_TOKENS:
                 break
-        bounds, segments, f = _candidates(text, a, b)
-        if segments:
-            out += [(bounds[i], KINDS[k], bounds[j]) for i, j, k in _decode(len(bounds) - 1, segments, f @ w)]
-    taken = sorted((s, e) for s, _, e in base)
-    return sorted({x for x in out if all(x[2] <= s or e <= x[0] for s, e in taken)})
+        # where tokens are held back, the last ones don't have all that follows them
+        last = len(tokens) - MAX_TOKENS if len(tokens) >= HELD_TOKENS else marks[-1] + 1
+        near = sorted({i for k in marks for i in range(max(0, k - MAX_TOKENS), k + 1) if i < last and tokens[i].start() > done})
+        for i, j in _mail_segments(text, tokens, near):
+            start, end = tokens[i].start(), tokens[j - 1].end()
+            key = (text[start:end], text[max(0, start - 1) : start], text[end : end + 2], text[max(0, start - 24) : start])
+            if key not in known:
+                if len(known) > 10_000:
+                    known.clear()
+                known[key] = np.array(_features(text, start, end)) @ w
+            score = known[key]
+            k = int(score.argmax())
+            if score[k] > 0:
+                yield start, end, k, float(score[k])
+        done = tokens[last - 1].start()
+        while at < len(hits) and hits[at] <= done:
+            at += 1
+
+
+def _mail_segments(text: str, tokens: list[re.Match], starts: list[int]) -> Iterator[tuple[int, int]]:
+    """Of the segments that begin at these tokens, those with letters or an at sign, as `_candidates` has them."""
+    kinds = [_kind(m[0]) for m in tokens]
+    for i in starts:
+        if kinds[i] not in "a0" or i and kinds[i - 1] in "a0":
+            continue
+        numeric, spaces, ats, digits = kinds[i] != "a", 0, 0, 0
+        for j in range(i, min(len(kinds), i + MAX_TOKENS)):
+            k = kinds[j]
+            if k == "0":
+                digits += tokens[j].end() - tokens[j].start()
+            elif k == "a":
+                numeric = False
+            elif k == "@":
+                ats += 1
+                numeric = False
+            elif k == " ":
+                spaces += 1
+                if j and kinds[j - 1] == " ":
+                    break
+            elif k not in "().-+_%[]{}/":
+                break
+            if ats > 1 or not numeric and spaces and not _SPELT.search(text, tokens[i].start(), tokens[j].end() + 6) or digits > 19 and numeric:
+                break
+            if k in "a0" and not numeric and (ats or _SPELT.search(text, tokens[i].start(), tokens[j].end())) and (k == "a" or "." in text[tokens[i].start() : tokens[j].end()]):
+                yield i, j + 1
+
+
+def _kind(token: str) -> str:
+    return "a" if token[0].isalpha() and token[0].isascii() else "0" if token[0] in "0123456789" else token
+
+
+def _chosen(segments: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int]]:
+    """The disjoint (start, end, kind) of the greatest total score, all scores being above 0; of equal choices the one with the earlier last segment out."""
+    segments.sort(key=lambda x: (x[1], x[0]))
+    ends = sorted({x[1] for x in segments})
+    best, back = [0.0] * (len(ends) + 1), [None] * (len(ends) + 1)
+    at = 0
+    for n, end in enumerate(ends, 1):
+        best[n] = best[n - 1]
+        while at < len(segments) and segments[at][1] == end:
+            start, _, kind, score = segments[at]
+            free = bisect_right(ends, start)
+            if best[free] + score > best[n]:
+                best[n], back[n] = best[free] + score, (start, end, kind, free)
+            at += 1
+    out, n = [], len(ends)
+    while n:
+        if back[n] is None:
+            n -= 1
+        else:
+            out.append(back[n][:3])
+            n = back[n][3]
+    return out[::-1]
+
+
+def field_spans(texts: list[str], w: np.ndarray) -> list[list[tuple[int, str, int]]]:
+    """(start, kind, end) of the field's spans in each text, in order.
+
+    The stretches that are looked at are put together, apart from each other, so that numbers are scored for many texts at once. What is
+    kept of them are the segments that score above 0, which are all that dynamic programming can choose.
+    """
+    pieces, rows, offsets = [], [], []
+    for r, text in enumerate(texts):
+        for a, b in _whole_words(text):
+            pieces.append(text[a:b])
+            rows.append(r)
+            offsets.append(a)
+    out: list[list[tuple[int, str, int]]] = [[] for _ in texts]
+    if not pieces:
+        return out
+    gap = "\n" * 25  # so that no piece sees words of another
+    joint = gap.join(pieces)
+    starts = np.cumsum([0, *[len(p) + len(gap) for p in pieces[:-1]]])
+    codes = np.frombuffer(joint.encode("utf-32-le", "surrogatepass"), np.uint32)
+    segments = [*_numeric(codes, w, lambda place: _cues(joint, place)), *_mail(joint, w)]
+    for start, end, kind in _chosen(segments):
+        x = int(np.searchsorted(starts, start, "right")) - 1
+        shift = offsets[x] - int(starts[x])
+        out[rows[x]].append((start + shift, KINDS[kind], end + shift))
+    return out
+
+
+def added_spans(found: list[tuple[int, str, int]], base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """Those of the field's spans that overlap no base span; both are in order."""
+    taken, reach, at, out = sorted((s, e) for s, _, e in base), 0, 0, []
+    for x in found:
+        while at < len(taken) and taken[at][0] < x[2]:
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach <= x[0]:
+            out.append(x)
+    return out
 
 
 def _scan(batches: Iterator[pa.RecordBatch], w: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -317,11 +585,11 @@ def _scan(batches: Iterator[pa.RecordBatch], w: np.ndarray) -> Iterator[pa.Recor
             marks = np.concatenate(([0], np.cumsum(((data >= 0x30) & (data <= 0x39)) | (data == 0x40) | (data == 0x28) | (data == 0x5B) | (data == 0x7B))))
             look = marks[offsets[1:]] > marks[offsets[:-1]]
             base, every = [[]] * part.num_rows, [[]] * part.num_rows
-            text = part.column("text")
-            for i in np.flatnonzero(look).tolist():
-                own = text[i].as_py()
+            rows = np.flatnonzero(look)
+            texts = part.column("text").take(pa.array(rows)).to_pylist()
+            for i, own, found in zip(rows.tolist(), texts, field_spans(texts, w)):
                 base[i] = base_spans(own)
-                every[i] = sorted(base[i] + added_spans(own, w, base[i]), key=lambda x: (x[0], KINDS.index(x[1])))
+                every[i] = sorted(base[i] + added_spans(found, base[i]), key=lambda x: (x[0], KINDS.index(x[1])))
             columns = [part.column("doc_id"), *[pa.array([sum(s[1] == k for s in own) for own in base], pa.int64()) for k in KINDS]]
             columns += [pa.array([hashlib.sha256(joined(own).encode()).hexdigest() for own in base]), pa.array([joined(own) for own in every])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])

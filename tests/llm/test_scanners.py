@@ -80,7 +80,7 @@ def test_pii_base_spans(spark):
 
 def test_pii_field_adds_and_refrains():
     w = pii.weights()
-    found = lambda t: [(k, t[a:b]) for a, k, b in pii.added_spans(t, w, pii.base_spans(t))]
+    found = lambda t: [(k, t[a:b]) for a, k, b in pii.added_spans(pii.field_spans([t], w)[0], pii.base_spans(t))]
     assert found("call 743-555-3824 now") == [("phone", "743-555-3824")]
     assert found("pay 4465758382889437 4465758382889437 x") == [("card", "4465758382889437")] * 2
     assert found("mail jo.doe (at) mail.example.com ok") == [("email", "jo.doe (at) mail.example.com")]
@@ -93,7 +93,7 @@ def test_pii_field_on_new_sentences():
     w, hit, all_, wrong = pii.weights(), 0, 0, 0
     for text, spans in pii._sentences(300, seed=99):
         base = pii.base_spans(text)
-        got = {(a, b, pii.KINDS.index(k)) for a, k, b in base + pii.added_spans(text, w, base)}
+        got = {(a, b, pii.KINDS.index(k)) for a, k, b in base + pii.added_spans(pii.field_spans([text], w)[0], base)}
         hit, all_, wrong = hit + len(got & set(spans)), all_ + len(spans), wrong + len(got - set(spans))
     assert hit / all_ > 0.9 and wrong / all_ < 0.1
 
@@ -111,3 +111,57 @@ def test_decoding_is_optimal():
         best = max(sum(score[x].max() for x in pick) for n in range(len(segments) + 1) for pick in itertools.combinations(range(len(segments)), n) if all(segments[a][1] <= segments[b][0] or segments[b][1] <= segments[a][0] for a, b in itertools.combinations(pick, 2)))
         got = pii._decode(8, segments, score)
         assert abs(best - sum(score[segments.index((i, j)), k] for i, j, k in got)) < 1e-9
+
+
+def field_by_candidate(text, w):
+    """The field over the whole text, each candidate by itself."""
+    bounds, segments, f = pii._candidates(text, 0, len(text))
+    return [(bounds[i], pii.KINDS[k], bounds[j - 1] + len(pii._TOKEN.match(text, bounds[j - 1])[0])) for i, j, k in pii._decode(len(bounds) - 1, segments, f @ w)] if segments else []
+
+
+def test_spans_of_many_texts_are_those_of_each_candidate(monkeypatch):
+    w = pii.weights()
+    bits = [*PII_BITS, "5", "55", "123", "4567", "555-123-4567", "jo (at) mail.org", "[at]", "tel ", "card ", "ip", "/", "_", "%", "a@b.com", "٣", "½", "{", "0255", "00000000001", "37", "x" * 70, "9" * 25, "  "]
+    r = random.Random(8)
+    made = ["".join(r.choice(bits) for _ in range(r.randint(1, 40))) for _ in range(1200)] + [" ".join(str(r.randrange(10 ** r.randint(1, 6))) for _ in range(300)) for _ in range(20)]
+    made += ["1-" * 300, "5 " * 300, "a@" * 300, "a1" * 100 + "@" + "b.com", "z" * 3000 + "@mail.com and 555-123-4567", "tel 555-123-4567" + " " * 200 + "1.2.3.4"]
+    want = [field_by_candidate(t, w) for t in made]
+    assert sum(map(len, want)) > 400
+    assert pii.field_spans(made, w) == want
+    monkeypatch.setattr(pii, "CHUNK", 97)
+    monkeypatch.setattr(pii, "HELD_TOKENS", 60)
+    assert pii.field_spans(made[:400] + made[-6:], w) == want[:400] + want[-6:]
+
+
+def test_sum_over_segmentations():
+    """Posteriors and the partition sum against all segmentations of a few tokens."""
+    import itertools
+
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    n, segments = 5, [(0, 1), (0, 3), (1, 2), (1, 4), (2, 5), (3, 5), (4, 5)]
+    score = r.normal(size=(len(segments), 2))
+    total, weight = 0.0, np.zeros_like(score)
+    for k in range(len(segments) + 1):
+        for own in itertools.combinations(range(len(segments)), k):
+            spans = sorted(segments[x] for x in own)
+            if all(a[1] <= b[0] for a, b in zip(spans, spans[1:])):
+                for kinds in itertools.product(range(2), repeat=k):
+                    p = np.exp(sum(score[x, y] for x, y in zip(own, kinds)))
+                    total += p
+                    for x, y in zip(own, kinds):
+                        weight[x, y] += p
+    got, log = pii._expected(n, segments, score)
+    assert abs(log - np.log(total)) < 1e-9 and np.allclose(got, weight / total)
+
+
+def test_nasty_texts_are_scanned_in_linear_time():
+    import time
+
+    w = pii.weights()
+    for text in ("1-" * 1_000_000, "5 " * 1_000_000, "1.2.3.4.5" * 200_000, "eyJ" * 700_000, "(at)" * 200_000, "x" * 2_000_000, "@" * 300_000, "tel 555-123-4567 " * 20_000):
+        began = time.time()
+        pii.added_spans(pii.field_spans([text], w)[0], pii.base_spans(text))
+        secrets.find(text, [])
+        assert time.time() - began < 30, text[:20]
