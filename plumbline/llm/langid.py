@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import chosen, fold, map_arrow, only
-from plumbline.llm.textbytes import LOWER, buffers, slices
+from plumbline.llm.textbytes import BLOCK, LOWER, buffers, running, slices
 
 CODES = 1 << 15
 #: At most about so many labelled documents are counted (each with its whole text), chosen by a hash of the id.
@@ -38,23 +38,39 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, code, count) of the distinct trigram codes of each text; trigrams without a letter are left out."""
     data, offsets = buffers(column)
     n = len(offsets) - 1
-    padded = np.zeros(len(data) + 2 * n + 2, np.uint32)
-    rows = np.repeat(np.arange(n), np.diff(offsets))
-    padded[np.arange(len(data)) + 2 * rows + 2] = _SYMBOL[data]
-    code = (padded[:-2] * np.uint32(155) + padded[1:-1]) * np.uint32(155) + padded[2:]
-    at = np.searchsorted(offsets + 2 * np.arange(n + 1), np.arange(len(code)), "right") - 1
-    has = (code > 0) & (at < n)
-    code = ((code[has] * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
-    key, count = np.unique(at[has] * CODES + code, return_counts=True)
+    starts = offsets + 2 * np.arange(n + 1)  # two blanks stand before each text; here they begin
+    keys, counts = [], []
+    for x in range(0, int(starts[-1]), BLOCK):
+        y = min(x + BLOCK, int(starts[-1]))
+        first, last = (int(np.searchsorted(starts, p, "right")) - 1 for p in (x, min(y + 1, int(starts[-1]) - 1)))
+        rows = np.arange(first, last + 1)
+        a, b = np.maximum(offsets[rows], x - 2 * rows - 2), np.minimum(offsets[rows + 1], y - 2 * rows)  # bytes of these rows up to place y + 2
+        size = np.maximum(b - a, 0)
+        row = np.repeat(rows, size)
+        byte = np.arange(int(size.sum())) + np.repeat(a - np.cumsum(size) + size, size)
+        padded = np.zeros(y - x + 2, np.uint32)
+        padded[byte + 2 * row + 2 - x] = _SYMBOL[data[byte]]
+        code = (padded[:-2] * np.uint32(155) + padded[1:-1]) * np.uint32(155) + padded[2:]
+        at = np.repeat(rows, np.maximum(np.minimum(starts[rows + 1], y) - np.maximum(starts[rows], x), 0))
+        has = code > 0
+        code = ((code[has] * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
+        key, count = np.unique(at[has] * CODES + code, return_counts=True)
+        keys.append(key)
+        counts.append(count)
+    if len(keys) == 1:
+        key, count = keys[0], counts[0]
+    else:
+        key, inverse = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_inverse=True)
+        count = np.bincount(inverse, np.concatenate([*counts, np.zeros(0, np.int64)]), len(key)).astype(np.int64)
     return key // CODES, key % CODES, count
 
 
 def has_letter(column: pa.Array) -> np.ndarray:
     data, offsets = buffers(column)
     low = LOWER[data]
-    plain = np.concatenate(([0], np.cumsum((low >= 0x61) & (low <= 0x7A))))
+    plain = running((low >= 0x61) & (low <= 0x7A))
     out = plain[offsets[1:]] > plain[offsets[:-1]]
-    wide = np.concatenate(([0], np.cumsum(data >= 0x80)))
+    wide = running(data >= 0x80)
     for i in np.flatnonzero(~out & (wide[offsets[1:]] > wide[offsets[:-1]])).tolist():
         out[i] = any(c.isalpha() for c in column[i].as_py())
     return out

@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import chosen, fold, map_arrow, only
-from plumbline.llm.textbytes import buffers, hash_spans, slices, word_spans
+from plumbline.llm.textbytes import BLOCK, buffers, hash_spans, running, slices, word_spans
 
 #: At most about so many positives, and as many unlabelled texts, are learnt from, chosen by a hash of the id.
 TRAIN_DOCS = 6_000
 STEPS, RATE, DECAY = 400, 0.05, 1e-4
 THRESHOLD = 0.3
-_CLASS = np.zeros(256, np.int64)  # 0 control, 1 blank, 2 line end, 3 lower, 4 upper, 5 digit, 6 . , 7 other sentence marks, 8 symbols, 9 beyond ASCII
+_CLASS = np.zeros(256, np.uint8)  # 0 control, 1 blank, 2 line end, 3 lower, 4 upper, 5 digit, 6 . , 7 other sentence marks, 8 symbols, 9 beyond ASCII
 _CLASS[[0x20, 0x09]] = 1
 _CLASS[[0x0A, 0x0D]] = 2
 _CLASS[0x21:0x7F] = 8
@@ -43,11 +43,17 @@ def features(column: pa.Array) -> np.ndarray:
     out = np.zeros((n, FEATURES))
     size = np.diff(offsets)
     kind = _CLASS[data]
-    row = np.repeat(np.arange(n), size)
-    if len(data) > 1:
+    pair, lines = np.zeros((n, CLASSES * CLASSES), np.int64), np.zeros(n, np.int64)
+    for x in range(0, len(data), BLOCK):  # with the byte after it
+        y = min(x + BLOCK, len(data))
+        row = np.searchsorted(offsets, np.arange(x, min(y + 1, len(data))), "right") - 1
+        part = kind[x : y + 1].astype(np.int64)
+        first = int(row[0])
         inner = row[1:] == row[:-1]
-        pair = np.bincount((row[:-1] * CLASSES * CLASSES + kind[:-1] * CLASSES + kind[1:])[inner], minlength=n * CLASSES * CLASSES).reshape(n, -1)
-        out[:, : CLASSES * CLASSES] = np.sqrt(pair / np.maximum(size, 1)[:, None])
+        some = np.bincount(((row[:-1] - first) * CLASSES * CLASSES + part[:-1] * CLASSES + part[1:])[inner], minlength=(int(row[-1]) - first + 1) * CLASSES * CLASSES)
+        pair[first : int(row[-1]) + 1] += some.reshape(-1, CLASSES * CLASSES)
+        lines += np.bincount(row[: y - x], part[: y - x] == 2, n).astype(np.int64)
+    out[:, : CLASSES * CLASSES] = np.sqrt(pair / np.maximum(size, 1)[:, None])
     starts, ends, at = word_spans(data, offsets)
     words = np.bincount(at, minlength=n)
     some = np.maximum(words, 1)
@@ -67,9 +73,7 @@ def features(column: pa.Array) -> np.ndarray:
 
     near = at[1:] == at[:-1]
     two = (h[:-1] * np.uint64(3) + h[1:])[near]
-    lines = np.bincount(row, kind == 2, n)
-    upper = np.concatenate(([0], np.cumsum(kind == 4)))
-    lower = np.concatenate(([0], np.cumsum(kind == 3)))
+    upper, lower = running(kind == 4), running(kind == 3)
     u, low = upper[ends] - upper[starts], lower[ends] - lower[starts]
     columns = [
         np.log1p(size) / 10, np.log1p(words) / 10, mean / 10, np.sqrt(np.maximum(np.bincount(at, length**2, n) / some - mean**2, 0)) / 10,

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes handled at a time, so that the temporary arrays stay within some tens of MB whatever a batch holds.
+#: Bytes of whole texts handled at a time, so that temporary arrays stay within some tens of MB; a longer text is handled alone, and takes about 20 times its size at most.
 BLOCK = 1 << 19
 _RNG = np.random.default_rng(20240229)
 _CODE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -34,11 +34,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, BLOCK + 1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    if not _POWERS:
         for name, base in (("up", _BASE), ("down", _UNBASE)):
-            p = np.full(size, base, np.uint64)
+            p = np.full(BLOCK + 1, base, np.uint64)
             p[0] = 1
             _POWERS[name] = np.cumprod(p, dtype=np.uint64)
     return _POWERS["up"], _POWERS["down"]
@@ -55,6 +54,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def running(mask: np.ndarray) -> np.ndarray:
+    """How many of the values before each place, and before the end, are true."""
+    out = np.zeros(len(mask) + 1, np.int32)
+    np.cumsum(mask, dtype=np.int32, out=out[1:])
+    return out
+
+
 def slices(batch: pa.RecordBatch, text: str, size: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """The batch in runs of whole rows with about size bytes of text each; a longer text forms a run by itself."""
     if not batch.num_rows:
@@ -73,9 +79,13 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: np.
     i = 0
     while i < len(starts):
         first = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, first + BLOCK, "right")))
+        j = int(np.searchsorted(ends, first + BLOCK, "right"))
+        if j <= i:
+            out[i] = _long_hash(data[first : int(ends[i])], code)
+            i += 1
+            continue
         n = int(ends[j - 1]) - first
-        up, down = _powers(n + 1)
+        up, down = _powers()
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(code[data[first : first + n]] * up[:n], out=total[1:])
         s, e = starts[i:j] - first, ends[i:j] - first
@@ -84,6 +94,18 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: np.
     return out
 
 
+def _long_hash(span: np.ndarray, code: np.ndarray) -> np.uint64:
+    """The hash of one span of more than BLOCK bytes, as hash_spans has it, BLOCK bytes at a time."""
+    up, _ = _powers()
+    total, scale = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    step = np.array([pow(int(_BASE), BLOCK, 1 << 64)], np.uint64)
+    for at in range(0, len(span), BLOCK):
+        part = span[at : at + BLOCK]
+        total += (code[part] * up[: len(part)]).sum(dtype=np.uint64) * scale
+        scale = scale * step
+    return mix(total + np.array([len(span)], np.uint64) * _BASE)[0]
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte and row of each run of non-space bytes within a row."""
     if not len(data):
