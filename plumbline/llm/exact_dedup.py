@@ -2,9 +2,10 @@
 
 Normalised texts are range-partitioned by their leading characters and digest at splitters that Spark samples, sorted
 externally within each partition, and compared in full with their neighbours: the window's groups are runs of adjacent rows
-whose whole texts are equal. The sampled keys are short, however long the texts. A text with more than 1/HOT_SHARE of all
-rows is counted beforehand (partial sums of 32-byte digests), and its copies are dealt over several pieces by a hash of the
-id; its group size and surviving id come from that count, of which there are at most HOT_SHARE rows to broadcast.
+whose whole texts are equal. The sampled keys are short, however long the texts. A text of very many copies is counted
+beforehand (partial sums of 32-byte digests), and its copies are dealt over several pieces by a hash of the id, each sorted and
+compared by itself. Its group size and surviving id come from that count: a departure from comparing neighbours, for such texts
+alone, in that the pieces of one text meet by their SHA-256.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.shared import only
 
-#: At most so many texts can each hold more than 1/HOT_SHARE of the rows: the bound of what is broadcast.
-HOT_SHARE = 2000
+#: A text is hot that has more than HOT_COPIES copies, and more than one in HOT_TEXTS of all rows: so fewer than HOT_TEXTS are, a bound on what is broadcast.
+HOT_COPIES, HOT_TEXTS = 500, 100_000
 #: Characters of a text in its range key; the digest and the whole text follow in the order.
 KEY_CHARS = 48
 #: Steps that normalise accepts, applied in the order given.
@@ -38,20 +39,21 @@ def _sorted(rows: DataFrame, keep: str) -> DataFrame:
     best = F.min if keep == "smallest" else F.max
     others = rows.columns
     rows = rows.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
-    limit = -(-rows.count() // HOT_SHARE) + 1
+    limit = max(HOT_COPIES, rows.count() // HOT_TEXTS)
     hot = rows.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("hot_size"), best("doc_id").alias("hot_id")).filter(F.col("hot_size") > limit)
-    rows = rows.join(F.broadcast(hot), "text_sha256", "left")
+    rows = rows.join(F.broadcast(hot), "text_sha256", "left")  # fewer than HOT_TEXTS rows
     # a NULL identifier hashes alike everywhere, so a hot group without identifiers stays in one piece
     rows = rows.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("hot_size") / limit)), F.lit(0)))
     key = ["prefix", "text_sha256", "piece"]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.withColumn("prefix", F.substring("text", 1, KEY_CHARS)).repartitionByRange(parts, *key)
     order = F.col("doc_id").asc_nulls_last() if keep == "smallest" else F.col("doc_id").desc_nulls_last()
-    run = Window.partitionBy(*key, "text")
+    run = Window.partitionBy(*key, "text").orderBy(order)
+    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumns({
-        "place": F.row_number().over(run.orderBy(order)),
-        "run_id": best("doc_id").over(run),
-        "run_size": F.count(F.lit(1)).over(run),
+        "place": F.row_number().over(run),
+        "run_id": F.first("doc_id").over(whole),
+        "run_size": F.count(F.lit(1)).over(whole),
     })
     keep_id, size = F.when(F.col("hot_size").isNull(), F.col("run_id")).otherwise(F.col("hot_id")), F.coalesce("hot_size", "run_size")
     kept = (F.col("place") == 1) & F.col("doc_id").eqNullSafe(keep_id)

@@ -29,9 +29,9 @@ def brute(rows, keep):
 
 
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
-@pytest.mark.parametrize("share", [2000, 3])
-def test_exact_against_brute_force(spark, monkeypatch, keep, share):
-    monkeypatch.setattr(E, "HOT_SHARE", share)  # 3: hot groups are dealt over pieces
+@pytest.mark.parametrize("copies", [500, 5])
+def test_exact_against_brute_force(spark, monkeypatch, keep, copies):
+    monkeypatch.setattr(E, "HOT_COPIES", copies)  # 5: hot groups are dealt over pieces
     r = random.Random(1)
     texts = ["", None, "a", "A", "a ", "b" * 60 + "x", "b" * 60 + "y", "é", "long " * 5000]
     rows = [(i, texts[2] if i % 3 == 0 else r.choice(texts)) for i in range(200)] + [(None, "a"), (None, "z"), (None, "z"), (7, "q"), (7, "q")]
