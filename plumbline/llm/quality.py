@@ -2,8 +2,9 @@
 
 Texts become vectors of FEATURES numbers: what their characters, words, lines and repetitions look like. A logistic model
 minimises the non-negative unbiased risk: the loss on trusted positives, weighted by the class prior, plus the loss of
-unlabelled texts as negatives less the prior's share of it, held at zero or above. The prior is estimated from the labelled
-training rows if they hold both labels, and else from where the positives' scores lie among those of the unlabelled.
+unlabelled texts as negatives less the prior's share of it, held at zero or above. The prior is estimated as the share of
+positives among the labelled training rows if they hold both labels, and else from where the positives' scores lie among those
+of the unlabelled. The latter is 0.67 to 0.76 where the former is 0.86, and its model a little worse on held-out rows.
 """
 
 from __future__ import annotations
@@ -96,19 +97,22 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def parts(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The two parts of the unbiased risk with the logistic loss, that of positives and that of negatives, and their gradients; rows have a last 1."""
+    zp, zu = p @ w, u @ w
+    sp, su = sigmoid(zp), sigmoid(zu)
+    as_positive = prior * np.logaddexp(0, -zp).mean()
+    as_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    return as_positive, as_negative, prior * (p.T @ (sp - 1)) / len(p), u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS) -> np.ndarray:
     """Weights (the last is the bias) that minimise the non-negative risk with the logistic loss, by Adam on all rows; where the negative part of the risk is below zero, a step goes against it alone."""
     p, u = (np.hstack((x, np.ones((len(x), 1)))) for x in (positive, unlabelled))
     w, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
     for t in range(1, steps + 1):
-        zp, zu = p @ w, u @ w
-        sp, su = sigmoid(zp), sigmoid(zu)
-        as_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_negative = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
-        if as_negative >= 0:
-            g = prior * (p.T @ (sp - 1)) / len(p) + g_negative
-        else:
-            g = -g_negative
+        _, as_negative, g_positive, g_negative = parts(w, p, u, prior)
+        g = g_positive + g_negative if as_negative >= 0 else -g_negative
         g[:-1] += DECAY * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)

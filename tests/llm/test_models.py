@@ -98,3 +98,29 @@ def test_risk_is_never_negative_and_prior_estimate():
     z = lambda x: np.hstack((x, np.ones((len(x), 1)))) @ w
     assert (z(p) > 0).mean() > 0.95 and (z(n) < 0).mean() > 0.9
     assert np.logaddexp(0, z(u)).mean() - 0.6 * np.logaddexp(0, z(p)).mean() > -0.02
+
+
+def test_risk_gradients_and_minimum():
+    """Gradients against differences, and the fit against plain descent on the risk."""
+    r = np.random.default_rng(5)
+    made = r.normal(1, 1, (1000, 3)), np.vstack((r.normal(1, 1, (800, 3)), r.normal(-0.5, 1, (1200, 3))))
+    p, u = (np.hstack((x, np.ones((len(x), 1)))) for x in made)
+    w, e = r.normal(size=4), 1e-6
+    for k in range(2):
+        grad = Q.parts(w, p, u, 0.4)[2 + k]
+        for i in range(4):
+            d = np.eye(4)[i] * e
+            assert abs((Q.parts(w + d, p, u, 0.4)[k] - Q.parts(w - d, p, u, 0.4)[k]) / (2 * e) - grad[i]) < 1e-6
+    risk = lambda w: (lambda a: a[0] + max(a[1], 0))(Q.parts(w, p, u, 0.4)) + Q.DECAY * (w[:-1] ** 2).sum() / 2
+    slow = np.zeros(4)
+    for _ in range(4000):
+        _, negative, gp, gn = Q.parts(slow, p, u, 0.4)
+        slow -= 0.1 * (gp + (gn if negative >= 0 else 0) + Q.DECAY * np.append(slow[:-1], 0))
+    assert risk(Q.fit(p[:, :3], u[:, :3], 0.4, 2000)) <= risk(slow) + 1e-3
+
+
+def test_prior_of_a_known_mixture():
+    r = np.random.default_rng(6)
+    positive = r.normal(2, 1, (3000, 4))
+    unlabelled = np.vstack((r.normal(2, 1, (1800, 4)), r.normal(-2, 1, (1200, 4))))
+    assert abs(Q.estimated_prior(positive, unlabelled) - 0.6) < 0.08
