@@ -129,3 +129,50 @@ def unpaired_differences(scored: DataFrame, metric: str, *, group: str, side: st
     minus = lambda t, v, *k: t.groupBy(group, *k).agg((F.max(F.when(F.col(side) == sides[0], F.col(v))) - F.max(F.when(F.col(side) == sides[1], F.col(v)))).alias(v))
     out = minus(observed, "observed").join(_interval(minus(values, "value", "b"), [group], confidence), group)
     return _verdicts(out.withColumn("metric", F.lit(metric)), metric)
+
+
+def comparisons(scored: DataFrame, pairs: Sequence[tuple[str, str]] = (("reasoning", "naive"), ("agentic", "reasoning"), ("agentic", "naive")), **options) -> DataFrame:
+    """A row (metric, arm_a, arm_b, observed a - b, lower, upper, significant, practical, n_units, n_failed, error) for every metric and pair of classes that both have rows of the metric's kind.
+
+    Where a difference can't be told, error says why and the other columns are NULL: no shared units, or no value on all of
+    them. Other comparisons aren't affected.
+    """
+    spark = scored.sparkSession
+    wanted = spark.createDataFrame([(a, b, min(a, b), max(a, b)) for a, b in pairs], "arm_a string, arm_b string, low string, high string")  # a handful
+    out = []
+    for metric in STATISTICS:
+        made = paired_differences(scored, metric, **options).withColumnsRenamed({"arm_a": "low", "arm_b": "high"})
+        there = STATISTICS[metric][0](scored, ["pipeline_class"]).select("pipeline_class").distinct()
+        both = wanted.join(there.withColumnRenamed("pipeline_class", "arm_a"), "arm_a").join(there.withColumnRenamed("pipeline_class", "arm_b"), "arm_b")
+        rows = both.join(made.drop("metric"), ["low", "high"], "left")
+        turned = F.col("arm_a") != F.col("low")
+        minus = lambda c: F.when(turned, -F.col(c)).otherwise(F.col(c))  # noqa: E731, B023
+        lower, upper = F.when(turned, -F.col("upper")).otherwise(F.col("lower")), F.when(turned, -F.col("lower")).otherwise(F.col("upper"))
+        error = F.when(F.col("n_units").isNull(), "no shared units").when(F.col("observed").isNull(), "undefined on the shared units").when(F.col("lower").isNull(), "undefined on all resamples")
+        out.append(rows.select(F.lit(metric).alias("metric"), "arm_a", "arm_b", minus("observed").alias("observed"), lower.alias("lower"), upper.alias("upper"), "significant", "practical", "n_units", "n_failed", error.alias("error")))
+    made = out[0]
+    for rows in out[1:]:
+        made = made.unionByName(rows)
+    blank = [F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in ("observed", "lower", "upper", "significant", "practical")]
+    return made.select("metric", "arm_a", "arm_b", *blank, "n_units", "n_failed", "error")
+
+
+def described(scored: DataFrame, by: str = "pipeline_class", **options) -> DataFrame:
+    """(by, metric, variant, value, lower, upper, n_failed, error): each class's headline metrics with their intervals, and the rubric score without responses that never ended (variant). A metric that a class has no value of says so in error; classes without rows of its kind are left out."""
+    out = []
+    for metric in STATISTICS:
+        for variant, left_out in (("all", False), ("terminating", True)):
+            if left_out and metric != "crs":
+                continue
+            rows = intervals(scored, metric, [by], exclude_non_terminating=left_out, **options)
+            error = F.when(F.col("observed").isNull(), "undefined").when(F.col("lower").isNull(), "undefined on all resamples")
+            out.append(rows.select(by, F.lit(metric).alias("metric"), F.lit(variant).alias("variant"), F.col("observed").alias("value"), "lower", "upper", "n_failed", error.alias("error")))
+    made = out[0]
+    for rows in out[1:]:
+        made = made.unionByName(rows)
+    return made
+
+
+def rounded(record: DataFrame, digits: int = 4) -> DataFrame:
+    """A record as it is published: numbers rounded half to even, as text formats do, NULL staying NULL; other columns and the order of columns as they are."""
+    return record.select(*[F.bround(f.name, digits).alias(f.name) if f.dataType.simpleString() in ("double", "float") else F.col(f.name) for f in record.schema.fields])

@@ -1,8 +1,7 @@
 """Deduplication, ranking and sampling with a total order, so that results don't depend on partitioning.
 
-Random order is the order of a hash of a stated key. Operators that rank within groups use window functions; those that need
-one number for a whole table (a running budget, the n-th success) do so per group, never over the table in one task, unless
-the table is a list of strata.
+Random order is the order of a hash of a stated key. Operators that rank within groups use window functions, those that want
+the first rows of a group limit them in each task; none ranks a whole table in one task, unless the table is a list of strata.
 """
 
 from __future__ import annotations
@@ -112,14 +111,17 @@ def budget_fill(pool: DataFrame, group: Sequence[str], order: Sequence[str], tok
 
 
 def consume_until(pool: DataFrame, order: Sequence[str], ok: str, first: int, then: int, group: Sequence[str] = ()) -> DataFrame:
-    """Walk a pool in order until `first` rows with ok are found; the next `then` rows of any kind follow. Adds role (found or control); rows passed over are left out, and without enough finds there are no controls."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    k = F.sum(F.col(ok).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = pool.withColumns({"k": k, "pos": F.row_number().over(w)})
-    stop = F.min(F.when(F.col("k") == first, F.col("pos"))).over(Window.partitionBy(*group))
-    rows = rows.withColumn("stop", stop)
-    role = F.when(F.col(ok) & (F.col("k") <= first), "found").when(F.col("pos").between(F.col("stop") + 1, F.col("stop") + then), "control")
-    return rows.withColumn("role", role).filter("role IS NOT NULL").drop("k", "pos", "stop")
+    """Walk a pool in order until `first` rows with ok are found; the next `then` rows of any kind follow. Adds role (found or control); rows passed over are left out, and without enough finds there are no controls.
+
+    Both are the first rows of a group in some order, so each task passes on a limited number of them: no task walks the pool.
+    """
+    rows = pool.withColumn("at", F.struct(*order)).withColumn("walk", F.struct(*group) if group else F.struct(F.lit(0)))
+    found = top_k(rows.filter(ok), ["walk"], [F.col("at")], first).drop("rank")
+    stops = found.groupBy("walk").agg(F.max("at").alias("stop"), F.count("*").alias("n")).filter(F.col("n") == first).drop("n")
+    after = rows.join(stops, "walk").filter(F.col("at") > F.col("stop")).drop("stop")
+    controls = top_k(after, ["walk"], [F.col("at")], then).drop("rank")
+    out = found.withColumn("role", F.lit("found")).unionByName(controls.withColumn("role", F.lit("control")))
+    return out.drop("at", "walk")
 
 
 def protected_trim(rows: DataFrame, protected: str, key: str, target: int) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.providers import RETRYABLE
 from plumbline.operators.metrics import count_if
 from plumbline.operators.ranking import last_wins, round_robin
 
@@ -104,12 +105,35 @@ def seed_overlap(cases: DataFrame) -> DataFrame:
     return pairs.join(both, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def nearest_rank(rows: DataFrame, by: Sequence[str], value: str, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """(by, names of shares): the value at rank ceil(share * n) of each group's values that aren't NULL, exactly; NULL for groups without one.
+
+    An approximate percentile brackets the rank within n / accuracy on both sides. What lies below is counted, and only distinct
+    values of the bracket, with their numbers, are put in order: no task holds a group.
+    """
+    rows = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"))
+    ends = [e for p in shares.values() for e in (max(p - 3 / accuracy, 0.0), min(p + 3 / accuracy, 1.0))]
+    found = rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("v", F.array(*[F.lit(e) for e in ends]), F.lit(accuracy)).alias("cuts"))
+    told = F.array(*[F.struct(F.lit(name).alias("name"), F.ceil(F.lit(p) * F.col("n")).alias("rank"), F.get("cuts", F.lit(2 * i)).alias("low"), F.get("cuts", F.lit(2 * i + 1)).alias("high")) for i, (name, p) in enumerate(shares.items())])
+    brackets = found.select(*by, F.inline(told))
+    met = rows.join(F.broadcast(brackets), list(by)) if by else rows.crossJoin(F.broadcast(brackets))  # a row per group and share
+    key = [*by, "name"]
+    counts = met.groupBy(*key, "rank", F.when(F.col("v").between(F.col("low"), F.col("high")), F.col("v")).alias("inside"), (F.col("v") < F.col("low")).alias("below")).agg(F.count("*").alias("c"))
+    under = counts.filter("below").select(*key, F.col("c").alias("under"))
+    w = Window.partitionBy(*key).orderBy("inside")
+    upto = F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("under", F.lit(0))
+    inside = counts.filter("inside IS NOT NULL").join(under, key, "left").withColumn("upto", upto).filter(F.col("upto") >= F.col("rank"))
+    out = inside.groupBy(*key).agg(F.min("inside").alias("v"))
+    return out.groupBy(*by).pivot("name", list(shares)).agg(F.first("v"))
+
+
 def arm_stats(samples: DataFrame) -> DataFrame:
     """Per arm: ok, failed, mean tokens of successes, nearest-rank p50 and p95 of their latency (0 without successes)."""
     ok = F.col("ok")
-    rank = lambda p: F.coalesce(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY CASE WHEN ok THEN latency_s END)"), F.lit(0.0))
     mean = lambda c: F.coalesce(F.avg(F.when(ok, F.col(c))), F.lit(0.0))
-    return samples.groupBy("arm").agg(count_if(ok).alias("n_ok"), count_if(~ok).alias("n_failed"), mean("prompt_tokens").alias("mean_prompt"), mean("completion_tokens").alias("mean_completion"), rank(0.5).alias("p50"), rank(0.95).alias("p95"))
+    ranks = nearest_rank(samples.filter(ok), ["arm"], "latency_s", {"p50": 0.5, "p95": 0.95})
+    out = samples.groupBy("arm").agg(count_if(ok).alias("n_ok"), count_if(~ok).alias("n_failed"), mean("prompt_tokens").alias("mean_prompt"), mean("completion_tokens").alias("mean_completion"))
+    return out.join(ranks, "arm", "left").withColumns({p: F.coalesce(p, F.lit(0.0)) for p in ("p50", "p95")})
 
 
 def projection(samples: DataFrame, *, wall_clock_s: float, total_calls: int, gpu_hourly_usd: float, budget_hours: float) -> DataFrame:
@@ -123,6 +147,12 @@ def projection(samples: DataFrame, *, wall_clock_s: float, total_calls: int, gpu
     return out.withColumn("verdict", F.when(h <= 0.5, "comfortable").when(h <= 0.8, "fits").when(h <= 1.5, "tight").when(h.isNotNull(), "does not fit"))
 
 
-def backoff(attempt: Column, base: float = 0.5, cap: float = 30.0) -> Column:
-    """Seconds before a retry, without jitter."""
-    return F.least(F.lit(cap), base * F.pow(F.lit(2.0), attempt - 1))
+def backoff(attempt: Column, base: float = 0.5, cap: float = 30.0, jitter: Column | None = None) -> Column:
+    """Seconds before a retry after attempt number 1, 2 and so on: a share (jitter, from 0 up to 1; unset, all) of a doubling time. An attempt below 1 is an error."""
+    wait = F.least(F.lit(cap), base * F.pow(F.lit(2.0), attempt - 1)) * (F.lit(1.0) if jitter is None else jitter)
+    return F.when(attempt >= 1, wait).otherwise(F.raise_error(F.lit("attempts are numbered from 1")).cast("double"))
+
+
+def retryable(status: Column) -> Column:
+    """Whether a call with this HTTP status may succeed later; NULL for success."""
+    return F.when(~status.between(200, 299), status.isin(*sorted(RETRYABLE)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -145,12 +146,14 @@ def pruned(cases: DataFrame, failed: DataFrame) -> DataFrame:
 
 
 def manifest(cases: DataFrame, hash_col: str = "content_hash") -> DataFrame:
-    """One row: counts by dimension and answerability, and a hash over all cases' hashes.
+    """One row: counts by dimension and answerability, and the first 16 digits of the SHA-256 of all cases' hashes, sorted and joined: the published digest of a benchmark.
 
-    The hash is of the sorted hashes of 4096 buckets of sorted case hashes, so that no task and no row holds them all.
+    The digest is of one sequence and so made in one place, but never of a list in memory: the driver reads the sorted hashes
+    partition by partition.
     """
-    bucket = F.substring(hash_col, 1, 3)
-    parts = cases.groupBy(bucket.alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(hash_col)), "").cast("binary"), 256).alias("h"))
-    digest = parts.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "").cast("binary"), 256), 1, 16).alias("content_hash"))
-    counts = cases.agg(F.count("*").alias("n_cases"), *[F.count_if(F.col("dimension") == d).alias(f"n_{d}") for d in ALLOWED], F.count_if(F.col("answer") != NO_ANSWER).alias("n_answerable"))
-    return counts.crossJoin(digest)  # one row each
+    digest = hashlib.sha256()
+    for r in cases.select(hash_col).orderBy(hash_col).toLocalIterator(prefetchPartitions=True):
+        digest.update((r[0] or "").encode())
+    return cases.agg(
+        F.count("*").alias("n_cases"), *[F.count_if(F.col("dimension") == d).alias(f"n_{d}") for d in ALLOWED], F.count_if(F.col("answer") != NO_ANSWER).alias("n_answerable"), F.lit(digest.hexdigest()[:16]).alias("content_hash"),
+    )

@@ -191,3 +191,16 @@ JOIN (SELECT arm_a, arm_b, {_CI} FROM (SELECT arm_a, arm_b, b, max(value) FILTER
 FROM (SELECT pipeline_class, max(observed) FILTER (source = 'nq') - max(observed) FILTER (source = 'tqa') AS observed FROM o GROUP BY 1)
 JOIN (SELECT pipeline_class, {_CI} FROM (SELECT pipeline_class, b, max(value) FILTER (source = 'nq') - max(value) FILTER (source = 'tqa') AS value FROM v GROUP BY ALL) GROUP BY 1) USING (pipeline_class))""").replace("\n,", ",\n"))(
         lambda s, d, m=_m: inference.unpaired_differences(scored(s, d).withColumn("source", metrics.seed_source()), m, group="pipeline_class", side="source", sides=("nq", "tqa"), resamples=_B))
+
+_PART = "metric, {a} AS arm_a, {b} AS arm_b, {sign}observed AS observed, {sign}{low} AS lower, {sign}{high} AS upper, significant, practical, n_units, n_failed, NULL::varchar AS error"
+_TURNS = [("agentic", "naive", ""), ("agentic", "reasoning", ""), ("naive", "reasoning", "-")]
+register("paired_comparisons", "\nUNION ALL\n".join(
+    "SELECT " + _PART.format(a="arm_b" if sign else "arm_a", b="arm_a" if sign else "arm_b", sign=sign, low="upper" if sign else "lower", high="lower" if sign else "upper") + f" FROM ({SQL[f'paired_{m}']}) WHERE arm_a = '{a}' AND arm_b = '{b}'"
+    for m in _SUMS for a, b, sign in _TURNS))(lambda s, d: inference.comparisons(scored(s, d), resamples=_B))
+_ENDED = f"SELECT pipeline_class, case_id AS unit, {_SUMS['crs'][0]} FROM scored WHERE {_SUMS['crs'][1]} AND NOT (truncated AND final_answer IS NULL) GROUP BY ALL"
+SQL_ENDED = S(f", {_boot('crs', 'pipeline_class', _ENDED)} SELECT pipeline_class, observed, lower, upper, n_failed FROM o JOIN (SELECT pipeline_class, {_CI} FROM v GROUP BY 1) USING (pipeline_class)").replace("\n,", ",\n")
+register("described_classes", "\nUNION ALL\n".join(
+    f"SELECT pipeline_class, '{m}' AS metric, '{v}' AS variant, observed AS value, lower, upper, n_failed, NULL::varchar AS error FROM ({sql})" for m, v, sql in [*((m, "all", SQL[f"bootstrap_{m}"]) for m in _SUMS), ("crs", "terminating", SQL_ENDED)]))(
+    lambda s, d: inference.described(scored(s, d), resamples=_B))
+register("published_record", S("SELECT config_id, round_even(avg(value), 4) AS mean_value, round_even(avg(crs_score), 4) AS crs, count(*) AS n FROM scored GROUP BY 1"))(
+    lambda s, d: inference.rounded(scored(s, d).groupBy("config_id").agg(F.avg("value").alias("mean_value"), F.avg("crs_score").alias("crs"), F.count("*").alias("n"))))

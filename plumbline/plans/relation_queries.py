@@ -238,7 +238,7 @@ register("sequential_balance", C(f"po AS (SELECT *, row_number() OVER (ORDER BY
     lambda s, d: ranking.consume_until(scored(s, d).filter("dimension = 'refusal'").groupBy("case_id").agg(F.bool_or(F.col("category") == "refusal").alias("ok")).withColumn("h", ranking.shuffled(101, "case_id")), ["h"], "ok", 20, 15).select("case_id", "role"))
 register("pruned_cases", C(_CASES, "bad AS (SELECT DISTINCT case_id FROM scored WHERE truncated)", then="SELECT case_id, dimension, seed_id FROM cases WHERE case_id NOT IN (SELECT case_id FROM bad) AND NOT (dimension = 'noise' AND seed_id IN (SELECT seed_id FROM cases WHERE dimension = 'noise' AND case_id IN (SELECT case_id FROM bad)))"))(
     lambda s, d: testbeds.pruned(cases(s, d), scored(s, d).filter("truncated").select("case_id").distinct()).select("case_id", "dimension", "seed_id"))
-register("manifest", C(_CASES, "ch AS (SELECT *, sha256(case_id) AS h FROM cases)", then="SELECT count(*) AS n_cases, count(*) FILTER (dimension = 'refusal') AS n_refusal, count(*) FILTER (dimension = 'conflict') AS n_conflict, count(*) FILTER (dimension = 'noise') AS n_noise, count(*) FILTER (is_answerable) AS n_answerable, (SELECT substr(sha256(string_agg(x, '' ORDER BY x)), 1, 16) FROM (SELECT sha256(string_agg(h, '' ORDER BY h)) AS x FROM ch GROUP BY substr(h, 1, 3))) AS content_hash FROM ch"))(
+register("manifest", C(_CASES, "ch AS (SELECT *, sha256(case_id) AS h FROM cases)", then="SELECT count(*) AS n_cases, count(*) FILTER (dimension = 'refusal') AS n_refusal, count(*) FILTER (dimension = 'conflict') AS n_conflict, count(*) FILTER (dimension = 'noise') AS n_noise, count(*) FILTER (is_answerable) AS n_answerable, substr(sha256(string_agg(h, '' ORDER BY h)), 1, 16) AS content_hash FROM ch"))(
     lambda s, d: testbeds.manifest(cases(s, d).withColumn("content_hash", F.sha2(F.col("case_id").cast("binary"), 256)).withColumn("answer", F.when(F.col("is_answerable"), "x").otherwise(T.NO_ANSWER))))
 
 # --- validity

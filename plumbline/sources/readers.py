@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.testbeds import checked
+from plumbline.sources.artefacts import expand_env, resolve, write_vectors  # noqa: F401  read and written elsewhere, offered here
 from plumbline.sources.schemas import schema
 
 
@@ -59,6 +59,13 @@ def read_labels(spark: SparkSession, paths: list[str]) -> DataFrame:
     return rows.withColumn("answer_yes_no", F.lower(F.trim("answer_yes_no"))).filter(F.col("answer_yes_no").isin("yes", "no"))
 
 
+def read_ratios(spark: SparkSession, path: str) -> DataFrame:
+    """Proxy scores by instance; a missing file is empty, as the analysis goes on without them."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema("ratios"))
+    return spark.read.schema(schema("ratios")).json(path)
+
+
 def passage_texts(cases: DataFrame) -> DataFrame:
     """passage_id -> text over all cases, the first by case id and place."""
     rows = cases.select("case_id", F.posexplode("passages").alias("pos", "p"))
@@ -74,10 +81,6 @@ def append_results(results: DataFrame, path: str) -> None:
     results.write.mode("append").json(path)
 
 
-def write_vectors(vectors: DataFrame, path: str) -> None:
-    vectors.write.mode("overwrite").parquet(path)
-
-
 def write_label_sheet(sample: DataFrame, checklist: DataFrame, path: str) -> None:
     """A blank sheet: each sampled case with its dimension's questions."""
     rows = sample.join(F.broadcast(checklist), "dimension").withColumns({"answer_yes_no": F.lit(""), "notes": F.lit("")})  # a handful of questions
@@ -95,28 +98,6 @@ def report(frames: dict[str, DataFrame], most: int = 10_000) -> str:
     return json.dumps(out, sort_keys=True)
 
 
-def resolve(report_json: str, path: str):
-    """The value at a dotted path of a report; list places are numbers. A missing step is a KeyError."""
-    value = json.loads(report_json)
-    for step in path.split("."):
-        try:
-            value = value[int(step)] if isinstance(value, list) else value[step]
-        except (IndexError, TypeError, ValueError) as e:
-            raise KeyError(path) from e
-    return value
-
-
-def expand_env(value: str, env: dict[str, str]) -> str:
-    """${NAME} replaced by the environment's value; an unset name is an error."""
-
-    def put(m: re.Match) -> str:
-        if m[1] not in env:
-            raise KeyError(f"{m[1]} is not set")
-        return env[m[1]]
-
-    return re.sub(r"\$\{(\w+)\}", put, value)
-
-
 def forbidden_families(roles: DataFrame, pairs: DataFrame) -> DataFrame:
     """Families (role, family) that two roles of a forbidden pair (role_a, role_b) share."""
     a, b = roles.select(F.col("role").alias("role_a"), "family"), roles.select(F.col("role").alias("role_b"), "family")

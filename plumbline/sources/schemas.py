@@ -11,6 +11,7 @@ _DDL = {
     "embedding": "passage_id string, vector array<float>",
     "result": "key string, case_id string, config_id string, dimension string, noise_ratio double, final_answer string, raw_text string, reasoning_trace string, retrieved_passage_ids array<string>, prompt_tokens long, completion_tokens long, truncated boolean, error string, latency_s double",
     "scored": "config_id string, case_id string, dimension string, category string, answer_correct boolean, is_answerable boolean, noise_ratio double, crs_score int, final_answer string, seed_id string, truncated boolean",
+    "ratios": "key string, dimension string, pipeline_class string, faithfulness double, answer_relevance double, context_relevance double",
     "label_sheet": "case_id string, dimension string, question_no int, question string, answer_yes_no string, notes string",
     "cache": "key string, model string, text string, prompt_tokens long, completion_tokens long, latency_s double, created_at timestamp",
 }

@@ -11,6 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from plumbline.sources.readers import exists
 from plumbline.sources.schemas import schema
 
+#: Parts that a state is dealt over; a micro-batch rewrites those that its keys belong to.
+BUCKETS = 64
+
 
 def read_log_stream(spark: SparkSession, path: str, *, files_per_trigger: int | None = None) -> DataFrame:
     """Rows of a growing log folder; unreadable lines and rows without key are left out. files_per_trigger bounds a micro-batch."""
@@ -20,29 +23,62 @@ def read_log_stream(spark: SparkSession, path: str, *, files_per_trigger: int |
     return reader.json(path).filter("key IS NOT NULL")
 
 
-def last_state(stream: DataFrame, target: str, checkpoint: str, order: str = "line_no") -> StreamingQuery:
-    """Keep under target/v=N the last row of each key, so that a later success replaces an error and the reverse.
+def corpus_prefix(rows: DataFrame, limit: int, order: str) -> DataFrame:
+    """The first rows of a corpus in its order: each task passes on `limit` rows at most."""
+    return rows.orderBy(order).limit(limit)
+
+
+def _bucket(n: int):
+    return F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+
 
-    A micro-batch merges its own last rows with the newest version and writes the next one; a repeated batch writes its own
-    version again, so a restart changes nothing. Rows need the column order.
+def last_state(stream: DataFrame, target: str, checkpoint: str, order: str = "line_no", buckets: int = BUCKETS) -> StreamingQuery:
+    """Keep under target the last row of each key, so that a later success replaces an error and the reverse.
+
+    The state is dealt over buckets by key. A micro-batch merges its own last rows with the buckets that they belong to and
+    writes a new generation of these alone (target/b=bucket/g=batch); a repeated batch writes its own generation again, so a
+    restart changes nothing. Generations before the last but one are deleted. Rows need the column order.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if n and exists(spark, f"{target}/v={n - 1}"):
-            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{target}/v={n - 1}"))
-        rest = [c for c in rows.columns if c != "key"]
-        rows.groupBy("key").agg(F.max_by(F.struct(*rest), order).alias("row")).select("key", "row.*").select(*batch.columns).write.mode("overwrite").parquet(f"{target}/v={n}")
+        rows = batch.withColumn("b", _bucket(buckets))
+        touched = {r["b"] for r in rows.select("b").distinct().collect()}  # at most as many as buckets
+        paths = {b: generations(spark, target, b) for b in touched}
+        old = [f"{target}/b={b}/g={max(g for g in own if g < n)}" for b, own in paths.items() if any(g < n for g in own)]
+        if old:
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(*old).withColumn("b", _bucket(buckets)))
+        rest = [c for c in batch.columns if c != "key"]
+        made = rows.groupBy("key").agg(F.max_by(F.struct(*rest), order).alias("row")).select("key", "row.*").select(*batch.columns)
+        made = made.withColumns({"b": _bucket(buckets), "g": F.lit(n)}).repartition(len(touched) or 1, "b")
+        made.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("b", "g").parquet(target)
+        for b, own in paths.items():
+            for g in sorted(g for g in own if g < n)[:-1]:
+                delete(spark, f"{target}/b={b}/g={g}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def newest_state(spark: SparkSession, target: str) -> DataFrame:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+def _listed(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    n = max(int(s.getPath().getName()[2:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("v="))
-    return spark.read.parquet(f"{target}/v={n}")
+    names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix))
+
+
+def generations(spark: SparkSession, target: str, bucket: int) -> list[int]:
+    return _listed(spark, f"{target}/b={bucket}", "g=")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def newest_state(spark: SparkSession, target: str) -> DataFrame:
+    """The newest generation of every bucket."""
+    paths = [f"{target}/b={b}/g={generations(spark, target, b)[-1]}" for b in _listed(spark, target, "b=")]
+    return spark.read.parquet(*paths)
 
 
 def score_new(stream: DataFrame, score: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
