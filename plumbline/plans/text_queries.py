@@ -81,7 +81,9 @@ register("next_queries", f"WITH {_R} SELECT event_id, nullif(trim(trim(regexp_ex
 register("sub_queries", f"WITH {_R} SELECT event_id, list_filter(list_transform(string_split(raw, chr(10)), lambda x: trim(trim(trim(regexp_replace(trim(x), '^(?:\\d+\\s*[.)]|[-*•])\\s*', '')), '\"'))), lambda x: x <> '')[1:3] AS queries FROM responses")(lambda s, d: responses(s, d).select("event_id", T.sub_queries(F.col("raw")).alias("queries")))
 register("generated_questions", f"WITH {_R} SELECT event_id, list_filter(list_transform(string_split(raw, chr(10)), lambda x: trim(trim(trim(regexp_replace(trim(x), '^(?:\\d+\\s*[.)]|[-*•])\\s*', '')), '\"'))), lambda x: x <> '') AS questions FROM responses")(lambda s, d: responses(s, d).select("event_id", T.generated_questions(F.col("raw")).alias("questions")))
 register("statements", f"WITH {_R} SELECT event_id, list_filter(list_transform(string_split(raw, chr(10)), lambda x: trim(regexp_replace(trim(x), '^(?:\\d+\\s*[.)]|[-*•])\\s*', ''))), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^\\s*none\\s*\\.?\\s*$')) AS statements FROM responses")(lambda s, d: responses(s, d).select("event_id", T.statements(F.col("raw")).alias("statements")))
-register("verdict_lists")(lambda s, d: responses(s, d).select("event_id", T.verdicts(F.col("raw"), F.col("n")).alias("verdicts")))
+_PAIRS = "list_transform(list_filter(regexp_split_to_array(raw, '\\r\\n|\\n|\\r'), lambda x: regexp_matches(x, '^\\s*\\d+\\s*[:.)-]\\s*[01]\\b')), lambda x: {'k': regexp_extract(x, '^\\s*(\\d+)', 1)::bigint, 'v': regexp_extract(x, '^\\s*\\d+\\s*[:.)-]\\s*([01])\\b', 1) = '1'})"
+register("verdict_lists", f"""WITH {_R}, p AS (SELECT event_id, n, {_PAIRS} AS pairs FROM responses)
+SELECT event_id, CASE WHEN list_sort(list_distinct(list_transform(pairs, lambda p: p.k))) = range(1, n + 1) THEN list_transform(range(1, n + 1), lambda i: list_filter(pairs, lambda p: p.k = i)[-1].v) END AS verdicts FROM p""")(lambda s, d: responses(s, d).select("event_id", T.verdicts(F.col("raw"), F.col("n")).alias("verdicts")))
 register("selected_sentences", f"WITH {_R} SELECT event_id, CASE WHEN regexp_matches(trim(raw), '(?i)^\\s*none\\s*\\.?\\s*$') THEN [] ELSE list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(raw, '(\\d+)', 1), lambda x: x::int), lambda i: i BETWEEN 1 AND n))) END AS selected FROM responses")(lambda s, d: responses(s, d).select("event_id", T.selected_sentences(F.col("raw"), F.col("n")).alias("selected")))
 register("reasoning_split", f"""WITH {_R} SELECT event_id, CASE WHEN regexp_matches(raw, '(?is)<think>.*?</think>') THEN trim(regexp_extract(raw, '(?is)^(.*?)<think>', 1) || regexp_extract(raw, '(?is)<think>.*?</think>(.*)$', 1)) WHEN regexp_matches(raw, '(?i)</think>') THEN trim(regexp_extract(raw, '(?is)^.*?</think>(.*)$', 1)) ELSE trim(raw) END AS answer,
   CASE WHEN regexp_matches(raw, '(?is)<think>.*?</think>') THEN nullif(trim(regexp_extract(raw, '(?is)<think>(.*?)</think>', 1)), '') WHEN regexp_matches(raw, '(?i)</think>') THEN nullif(trim(regexp_extract(raw, '(?is)^(.*?)</think>', 1)), '') END AS trace FROM responses""")(
@@ -112,7 +114,11 @@ SELECT doc_id, CASE WHEN needle <> '' AND place > 0 THEN CASE WHEN len(w) <= 40
     lambda s, d: with_answer(s, d).select("doc_id", T.answer_window(F.col("text"), F.col("answer"), 40).alias("window")))
 register("context_windows", f"""WITH {_ANS} SELECT doc_id, unnest(list_filter(list_transform(range(0, len(w), 60), lambda s: CASE WHEN len(w[s + 1 : s + 60]) >= 50 THEN array_to_string(w[s + 1 : s + 60], ' ') END), lambda x: x IS NOT NULL AND (answer = '' OR NOT contains(lower(x), lower(trim(answer)))))[1:6]) AS "window" FROM a WHERE len(w) >= 50""")(
     lambda s, d: with_answer(s, d).select("doc_id", F.explode(T.context_windows(F.col("text"), F.col("answer"), 60)).alias("window")))
-register("sentence_counts")(lambda s, d: docs(s, d).select("doc_id", F.size(T.sentences(F.col("text"))).alias("n_sentences"), T.claim_sentence(F.col("text"), F.array_join(F.slice(T.words(F.col("text")), 10, 2), " ")).alias("claim")))
+#: Sentences in DuckDB, which has no look-around: a mark is put where a text is cut.
+_CUT = lambda t: f"string_split(regexp_replace({t}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+_SENTENCES = lambda t: f"list_filter(list_transform(string_split(regexp_replace(trim({t}), '([.!?])\\s+([A-Z0-9\"''(\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+register("sentence_counts", f"""WITH x AS (SELECT doc_id, text, lower(trim(array_to_string({_WORDS('text')}[10:11], ' '))) AS needle FROM documents)
+SELECT doc_id, len({_SENTENCES('text')}) AS n_sentences, trim(list_filter({_CUT('text')}, lambda s: needle <> '' AND contains(lower(s), needle))[1]) AS claim FROM x""")(lambda s, d: docs(s, d).select("doc_id", F.size(T.sentences(F.col("text"))).alias("n_sentences"), T.claim_sentence(F.col("text"), F.array_join(F.slice(T.words(F.col("text")), 10, 2), " ")).alias("claim")))
 _TOK = "list_transform(regexp_extract_all(text, '([A-Za-z0-9'']+)', 1), lambda x: lower(x))"
 register("ngram_counts", f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(list_transform(range(1, len(t) - 2), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] || ' ' || t[i + 3]))) AS n_4grams FROM (SELECT doc_id, {_TOK} AS t FROM documents)")(
     lambda s, d: docs(s, d).withColumn("t", T.alnum_tokens(F.col("text"))).select("doc_id", F.size("t").alias("n_tokens"), F.size(T.ngrams(F.col("t"), 4)).alias("n_4grams")))
