@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.python_udfs import json_hash
+from plumbline.functions.text import final_answer, numbered
 from plumbline.operators.ranking import first_wins, last_wins
 from plumbline.operators.runs import sibling_arms
 
@@ -107,3 +108,34 @@ def casebook(cases: DataFrame, chosen: DataFrame, stored: DataFrame, scored: Dat
     rows = chosen.join(cases.withColumn("known", F.lit(True)), "case_id", "left").join(arms, "case_id", "left")
     case_id = F.when(F.col("known"), F.col("case_id")).otherwise(F.raise_error(F.concat(F.lit("not in the benchmark: "), F.col("case_id"))).cast("string"))
     return rows.withColumn("case_id", case_id).withColumn("arms", F.coalesce("arms", F.array().cast(arms.schema["arms"].dataType))).drop("known")
+
+
+def contexts(ranked: DataFrame, texts: DataFrame, order: str = "rank") -> DataFrame:
+    """(case_id, passage_ids, texts) of ranked passages (case_id, idx, rank), with their texts (case_id, idx, passage_id, text) in order of rank: what a pipeline shows a generator."""
+    rows = ranked.select("case_id", "idx", order).join(texts.select("case_id", "idx", "passage_id", "text"), ["case_id", "idx"])
+    held = rows.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(order, "passage_id", "text"))).alias("p"))  # the passages of a case
+    return held.select("case_id", F.transform("p", lambda x: x["passage_id"]).alias("passage_ids"), F.transform("p", lambda x: x["text"]).alias("texts"))
+
+
+def single_call_requests(cases: DataFrame, shown: DataFrame, parameters: DataFrame, template: str, reasoning_template: str) -> DataFrame:
+    """(key, case_id, config_id, passage_ids, prompt, request) of the one call that naive and reasoning configurations (pipeline_parameters) make for each case.
+
+    Templates have {question} and {passages}; configurations that elicit reasoning by prompt use the second. A reasoning
+    configuration must have exactly one form of reasoning: another one is an error.
+    """
+    rows = cases.select("case_id", "query").join(shown, "case_id").crossJoin(F.broadcast(parameters.filter("max_steps IS NULL")))  # a handful of configurations
+    filled = lambda t: F.replace(F.replace(F.lit(t), F.lit("{question}"), F.col("query")), F.lit("{passages}"), numbered(F.col("texts")))
+    prompt = F.when(F.coalesce("cot_prompt", F.lit(False)), filled(reasoning_template)).otherwise(filled(template))
+    forms = F.col("thinking").cast("int") + F.col("cot_prompt").cast("int")
+    config = F.when(forms.isNull() | (forms == 1), F.col("config_id")).otherwise(F.raise_error(F.concat(F.col("config_id"), F.lit(": one form of reasoning is needed"))).cast("string"))
+    rows = rows.withColumn("config_id", config).withColumn("prompt", prompt)
+    asked = F.struct("prompt", F.lit(None).cast("string").alias("system"), "max_tokens", "temperature", "seed", F.coalesce("thinking", F.lit(False)).alias("thinking"), F.array().cast("array<string>").alias("stop"))
+    return rows.select(F.concat(F.col("config_id"), F.lit("::"), F.col("case_id")).alias("key"), "case_id", "config_id", "passage_ids", "prompt", asked.alias("request"))
+
+
+def replayed(requests: DataFrame, models: DataFrame, cache: DataFrame) -> DataFrame:
+    """(key, request_key, text, final_answer, missed) of single calls answered from the cache alone, models being (config_id, model, family). A miss is told, not hidden: text is NULL then."""
+    rows = requests.join(F.broadcast(models), "config_id")  # a handful
+    rows = rows.withColumn("request_key", request_key(F.col("model"), F.col("family"), F.col("request")))
+    found = rows.join(cache.select(F.col("key").alias("request_key"), "text"), "request_key", "left")
+    return found.select("key", "request_key", "text", final_answer(F.col("text")).alias("final_answer"), F.col("text").isNull().alias("missed"))

@@ -53,8 +53,14 @@ def ratio_of(hits: Column, n: Column) -> Column:
 
 
 def document_ngrams(docs: DataFrame, n: int, doc: str = "doc_id", text: str = "text", least: int = 2) -> DataFrame:
-    """(gram, documents): n-grams of at least `least` documents, each counted once a document."""
-    rows = docs.select(F.explode(ngrams(alnum_tokens(F.col(text)), n)).alias("gram"))
+    """(gram, documents): n-grams of at least `least` documents, each counted once a document.
+
+    Hardly any n-gram is in two documents. Their hashes are counted first, and only those that enough documents have (or share
+    by chance) are spelt out: what is shuffled is 8 bytes an n-gram.
+    """
+    grams = docs.select(F.explode(ngrams(alnum_tokens(F.col(text)), n)).alias("gram"))
+    common = grams.groupBy(F.xxhash64("gram").alias("h")).agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("h")
+    rows = grams.withColumn("h", F.xxhash64("gram")).join(common, "h", "left_semi")
     return rows.groupBy("gram").agg(F.count("*").alias("documents")).filter(F.col("documents") >= least)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
-from plumbline.operators import building, ranking, replay, runs, scoring, testbeds, validity
+from plumbline.operators import building, replay, runs, sandbox, scoring, testbeds, validity
 from plumbline.plans import flow_queries as flows
 from plumbline.plans.fixtures import fixture, having
 from plumbline.plans.text_queries import _WORDS, q
@@ -188,3 +188,23 @@ def _casebook(s, d):
 register("casebook_arms", flows.flow(*flows._ALL, _CURATED, then="""SELECT c.case_id, why, coalesce(list(g.config_id || ':' || g.category ORDER BY g.config_id) FILTER (g.config_id IS NOT NULL), []) AS arms FROM chosen c LEFT JOIN graded g ON g.case_id = c.case_id AND g.config_id IN ('agentic|bm25|reasoning_1', 'naive|bm25|standard_1', 'reasoning|bm25|reasoning_1')
 WHERE c.case_id LIKE 'conflict%' GROUP BY 1, 2"""))(lambda s, d: _casebook(s, d).select("case_id", "why", F.transform("arms", lambda a: F.concat(a["config_id"], F.lit(":"), a["category"])).alias("arms")))
 register("snippets", r"SELECT doc_id, CASE WHEN length(b) <= 240 THEN b ELSE substr(b, 1, 239) || '…' END AS snippet FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS b FROM documents)")(lambda s, d: table(s, d, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet")))
+
+
+def _calls(s, d):
+    """The calls of two configurations for every sandbox, and a cache that lacks those of every third case."""
+    cases, box = flows._sandbox_cases(s, d), flows._sandbox(s, d)
+    ranked = sandbox.ranked_case_passages(sandbox.scores(box, cases).withColumn("score", F.round("score", 9)))
+    generators = s.createDataFrame([("standard_1", False, False), ("reasoning_2", False, True)], "generator_key string, thinking boolean, cot_prompt boolean")
+    configs = s.createDataFrame([("naive|bm25|standard_1", "naive", "standard_1"), ("reasoning|bm25|reasoning_2", "reasoning", "reasoning_2")], "config_id string, pipeline_class string, generator_key string")
+    asked = replay.single_call_requests(cases, replay.contexts(ranked, box), replay.pipeline_parameters(configs, generators, {"seed": 1}), "Q: {question}\n{passages}", "Think. {question}\n{passages}")
+    models = configs.select("config_id", F.lit("m").alias("model"), F.lit("f").alias("family"))
+    known = asked.filter(F.pmod(F.substring("case_id", 2, 9).cast("long"), F.lit(3)) > 0).join(models, "config_id")
+    cache = known.select(replay.request_key(F.col("model"), F.col("family"), F.col("request")).alias("key"), F.concat(F.lit("<final_answer>"), "case_id", F.lit("</final_answer>")).alias("text")).distinct()
+    return asked, replay.replayed(asked, models, cache)
+
+
+_SHOWN = f"""{flows._BOX}, {flows._TERMS}, ranks AS (SELECT case_id, idx, row_number() OVER (PARTITION BY case_id ORDER BY round(score, 9) DESC, idx) AS rank FROM scores WHERE is_case),
+shown AS (SELECT case_id, any_value(query) AS query, string_agg('[' || rank::varchar || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS passages FROM ranks JOIN box USING (case_id, idx) JOIN asked USING (case_id) GROUP BY 1),
+calls AS (SELECT 'naive|bm25|standard_1::' || case_id AS key, case_id, 'Q: ' || query || chr(10) || passages AS prompt FROM shown UNION ALL SELECT 'reasoning|bm25|reasoning_2::' || case_id, case_id, 'Think. ' || query || chr(10) || passages FROM shown)"""
+register("single_call_prompts", f"WITH {_SHOWN} SELECT key, md5(prompt) AS prompt FROM calls")(lambda s, d: _calls(s, d)[0].select("key", F.md5(F.col("prompt").cast("binary")).alias("prompt")))
+register("replayed_calls", f"WITH {_SHOWN} SELECT key, substr(case_id, 2)::bigint % 3 = 0 AS missed, CASE WHEN substr(case_id, 2)::bigint % 3 > 0 THEN case_id END AS final_answer FROM calls")(lambda s, d: _calls(s, d)[1].select("key", "missed", "final_answer"))
