@@ -1,22 +1,27 @@
 """Percentile bootstrap by sufficient statistics.
 
-Every statistic here is a function of sums over units (cases or seeds). A resample is then a weighting of units: draw j of
-resample b picks unit md5(seed|b|j) mod n, draws are counted per unit, and one aggregation by resample gives all sums. Draws
-depend on nothing but their key, so results are the same for any partitioning, and paired arms share their draws. The unit
-table has one row per unit and arm (aggregated first); the draws are generated in parallel by resample.
+Every statistic here is a function of sums over units (cases or seeds). A resample is then a weighting of units, and of units
+with equal sums together: draw j of resample b of a group picks the unit at a place that a hash of seed, group, b and j gives,
+units being in order of their sums. Draws depend on nothing but their key, so results are the same for any partitioning, and
+paired arms share their draws. Workers draw in parallel by group and resample.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.metrics import NOISE_GRID, count_if, f1, non_terminating, ratio
 
 #: Resamples, confidence, seed, and differences that count as practical.
 RESAMPLES, CONFIDENCE, SEED = 1000, 0.95, 20260721
+KINDS = 1_000_000
 PRACTICAL = {"refusal_f1": 0.05, "crs": 0.25, "ndc_auc": 0.05}
 
 
@@ -57,27 +62,52 @@ STATISTICS = {
 }
 
 
-def _weights(units: DataFrame, group: list[str], resamples: int, seed: int | str) -> DataFrame:
-    """(group, b, idx, weight) of units (group, idx): as many draws per resample as the group has units, the group's name being part of the key."""
-    sizes = units.groupBy(*group).agg(F.count("*").alias("size")) if group else units.agg(F.count("*").alias("size"))
-    spark = units.sparkSession
-    resample = spark.range(resamples).select(F.col("id").alias("b"))
-    pairs = resample.crossJoin(F.broadcast(sizes)).filter("size > 0")  # as many rows as groups
-    name = F.concat_ws("|", F.lit(str(seed)), *group, "b", "j")
-    pick = F.pmod(F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long"), F.col("size"))
-    return pairs.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1))).groupBy(*group, "b", pick.alias("idx")).agg(F.count("*").alias("weight"))
+def drawn(n: int, *key: object) -> np.ndarray:
+    """n draws from 0 to n - 1: four from each md5 of the key, without its NULLs, and a running number."""
+    prefix = "|".join(str(x) for x in key if x is not None) + "|"
+    digests = b"".join(hashlib.md5(f"{prefix}{q}".encode()).digest() for q in range(-(-n // 4)))
+    return np.frombuffer(digests, ">u4")[:n] % np.uint64(n)
 
 
 def _resampled(stats: DataFrame, group: list[str], arms: list[str], metric: str, resamples: int, seed: int | str) -> tuple[DataFrame, DataFrame]:
-    """(group, arms, observed) and (group, arms, b, value). Units are numbered in order within a group; a unit missing from an arm has no sums there."""
+    """(group, arms, observed) and (group, arms, b, value). A unit missing from an arm has no sums there.
+
+    Units of equal sums are one kind: a resample needs only how often each kind is drawn. There are as many kinds as
+    combinations of counts over a unit's configurations, whatever the number of units, so they are sent to the workers; at most
+    KINDS, else it is an error. A worker draws for one resample of one group and returns its sums: draws are never rows.
+    """
     _, k, value = STATISTICS[metric]
-    sums = [f"s{i}" for i in range(k)]
+    spark, sums = stats.sparkSession, [f"s{i}" for i in range(k)]
     observed = stats.groupBy(*group, *arms).agg(*[F.sum(c).alias(c) for c in sums]).select(*group, *arms, value().alias("observed"))
-    order = Window.partitionBy(*group).orderBy("unit")
-    units = stats.select(*group, "unit").distinct().withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
-    weighted = _weights(units, group, resamples, seed).join(units, [*group, "idx"]).join(stats, [*group, "unit"])
-    values = weighted.groupBy(*group, *arms, "b").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in sums]).select(*group, *arms, "b", value().alias("value"))
-    return observed, values
+    sides = [tuple(r) for r in stats.select(*arms).distinct().orderBy(*arms).collect()] if arms else [()]  # a handful
+    here = lambda side: reduce(lambda x, y: x & y, [F.col(c) == v for c, v in zip(arms, side)], F.lit(True))
+    units = stats.groupBy(*group, "unit").agg(*[F.coalesce(F.sum(F.when(here(side), F.col(c))), F.lit(0)).alias(f"{c}_{i}") for i, side in enumerate(sides) for c in sums])
+    wide = [c for c in units.columns if c not in (*group, "unit")]
+    kinds = units.groupBy(*group, *wide).agg(F.count("*").alias("m")).limit(KINDS + 1).toPandas()  # checked next
+    if len(kinds) > KINDS:
+        raise ValueError(f"more than {KINDS} kinds of units")
+    kinds = kinds.sort_values([*group, *wide])
+    names, tables = [], []
+    for name, own in kinds.groupby(group, sort=True, dropna=False) if group else [((), kinds)]:
+        if len(own):
+            names.append(tuple(None if pd.isna(x) else x for x in (name if isinstance(name, tuple) else (name,))))
+            tables.append((own["m"].cumsum().to_numpy(), own[wide].to_numpy(np.float64).reshape(len(own), len(sides), k)))
+    shared = spark.sparkContext.broadcast((names, tables))
+
+    def run(frames):
+        groups, held = shared.value
+        for frame in frames:
+            rows = []
+            for x in frame["id"].tolist():
+                g, b = divmod(x, resamples)
+                bounds, own = held[g]
+                weight = np.bincount(np.searchsorted(bounds, drawn(int(bounds[-1]), seed, *groups[g], b), "right"), minlength=len(bounds))
+                rows += [(*groups[g], *side, b, *total) for side, total in zip(sides, np.tensordot(weight, own, 1).tolist())]
+            yield pd.DataFrame(rows, columns=[*group, *arms, "b", *sums])
+
+    fields = [f"{c} {stats.schema[c].dataType.simpleString()}" for c in (*group, *arms)]
+    made = spark.range(len(names) * resamples).mapInPandas(run, ", ".join([*fields, "b long", *[f"{c} double" for c in sums]]))
+    return observed, made.select(*group, *arms, "b", value().alias("value"))
 
 
 def _interval(values: DataFrame, key: list[str], confidence: float) -> DataFrame:

@@ -168,9 +168,10 @@ def _boot(metric: str, group: str, stats: str, arms: str = "") -> str:
     """CTEs u (units), w (weights), o (observed) and v (resampled values) of a stats query."""
     _, _, _, k, value = _SUMS[metric]
     arm = f", {arms}" if arms else ""
-    return f"""st AS ({stats}), u AS (SELECT {group}, unit, row_number() OVER (PARTITION BY {group} ORDER BY unit) - 1 AS idx FROM (SELECT DISTINCT {group}, unit FROM st)),
+    order = ", ".join(f"max(s{i}) FILTER ({arms} = {side})" if arms else f"max(s{i})" for side in (1, 2)[: 1 + bool(arms)] for i in range(k))
+    return f"""st AS ({stats}), u AS (SELECT {group}, unit, row_number() OVER (PARTITION BY {group} ORDER BY {order}, unit) - 1 AS idx FROM st GROUP BY {group}, unit),
 sz AS (SELECT {group}, count(*) AS size FROM u GROUP BY {group}),
-w AS (SELECT {group}, b, ('0x' || substr(md5(concat_ws('|', '20260721', {group}, b, j)), 1, 8))::ubigint % size AS idx, count(*) AS weight FROM sz, range({_B}) t(b), LATERAL (SELECT unnest(range(size)) AS j) GROUP BY ALL),
+w AS (SELECT {group}, b, ('0x' || substr(md5(concat_ws('|', '20260721', {group}, b, j // 4)), 1 + 8 * (j % 4)::int, 8))::ubigint % size AS idx, count(*) AS weight FROM sz, range({_B}) t(b), LATERAL (SELECT unnest(range(size)) AS j) GROUP BY ALL),
 o AS (SELECT {group}{arm}, {value} AS observed FROM (SELECT {group}{arm}, {', '.join(f'sum(s{i}) AS s{i}' for i in range(k))} FROM st GROUP BY ALL)),
 v AS (SELECT {group}{arm}, b, {value} AS value FROM (SELECT {group}{arm}, b, {', '.join(f'sum(s{i} * weight) AS s{i}' for i in range(k))} FROM w JOIN u USING ({group}, idx) JOIN st USING ({group}, unit) GROUP BY ALL))"""
 

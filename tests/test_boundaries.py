@@ -177,3 +177,28 @@ def test_artefacts_are_flagged(spark):
     flagged = validity.artefact_report(spark.createDataFrame(stock, "case_id string, original string, generated string"), (4,)).first()
     assert len(flagged.flags) >= 2 and flagged.n_rewritten == 8
     assert validity.artefact_report(spark.createDataFrame([], "case_id string, original string, generated string"), (4,)).count() == 0
+
+
+def test_resamples_against_plain_draws(spark):
+    """Values of resamples, NULL groups included, against drawing unit by unit."""
+    import hashlib
+
+    from plumbline.operators import inference
+
+    r = random.Random(9)
+    rows = [(g, f"u{i}", r.randint(0, 4), 1) for g in ("a", "b", None) for i in range(r.randint(5, 12)) for _ in range(2)]
+    df = spark.createDataFrame(rows, "pipeline_class string, case_id string, crs_score int, n int").withColumn("dimension", F.lit("conflict"))
+    got = {x.pipeline_class: x for x in inference.intervals(df, "crs", ["pipeline_class"], resamples=50, seed=3).collect()}
+    for g in ("a", "b"):
+        units = {}
+        for k, u, score, _ in rows:
+            if k == g:
+                s, n = units.get(u, (0, 0))
+                units[u] = s + score, n + 1
+        order, values = sorted(units.values()), []
+        for b in range(50):
+            own = [order[int(hashlib.md5(f"3|{g}|{b}|{j // 4}".encode()).hexdigest()[8 * (j % 4) : 8 * (j % 4) + 8], 16) % len(order)] for j in range(len(order))]
+            values.append(sum(s for s, _ in own) / sum(n for _, n in own))
+        values.sort()
+        at = lambda q: values[int(q * 49)] + (q * 49 - int(q * 49)) * (values[min(49, int(q * 49) + 1)] - values[int(q * 49)])  # noqa: E731, B023
+        assert got[g].lower == pytest.approx(at(0.025)) and got[g].upper == pytest.approx(at(0.975))
