@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import text as T
+from plumbline.functions.vector import strict_cosine
 from plumbline.operators.ranking import last_wins, spearman
-from plumbline.operators.validity import PROXIES, failure, unpivoted
+from plumbline.operators.validity import PROXIES, failure, ratio_of, unpivoted
 
 
 def instance_key():
@@ -75,3 +77,27 @@ def judge_counts(pairs: DataFrame) -> DataFrame:
 def rank_within_metric(values: DataFrame, metric: str = "metric", value: str = "value", order: str = "place") -> DataFrame:
     """Adds rank, 1 for the greatest value of a metric; ties in the order given."""
     return values.withColumn("rank", F.row_number().over(Window.partitionBy(metric).orderBy(F.col(value).desc(), order)))
+
+
+def proxy_scores(replies: DataFrame) -> DataFrame:
+    """(key, n_statements, n_supported, faithfulness, n_questions, answer_relevance, n_sentences, n_relevant, context_relevance) of an answer's judge replies.
+
+    Faithfulness: statements of statements_reply that verdict_reply supports; NULL without statements (an abstention asserts
+    nothing: 0 of 0 isn't 0) or without a verdict for each. Answer relevance: mean cosine of query_vector and question_vectors,
+    of as many as questions_reply has; a blank answer has no questions. Context relevance: sentences of context that
+    selection_reply names. A reply that failed is NULL, and so is what needs it.
+    """
+    none = F.array().cast("array<string>")
+    rows = replies.withColumns({
+        "statements": F.coalesce(T.statements(F.col("statements_reply")), none),
+        "questions": F.when(T.strip(F.coalesce("answer", F.lit(""))) == "", none).otherwise(F.coalesce(T.generated_questions(F.col("questions_reply")), none)),
+        "sentences": F.coalesce(T.sentences(F.col("context")), none),
+    })
+    rows = rows.withColumns({"verdicts": F.when(F.size("statements") > 0, T.verdicts(F.col("verdict_reply"), F.size("statements"))), "selected": F.when(F.size("sentences") > 0, T.selected_sentences(F.col("selection_reply"), F.size("sentences")))})
+    likeness = F.transform(F.slice("question_vectors", F.lit(1), F.size("questions")), lambda v: strict_cosine(F.col("query_vector"), v))
+    supported = F.size(F.filter("verdicts", lambda v: v))
+    return rows.select(
+        "key", F.size("statements").alias("n_statements"), supported.alias("n_supported"), ratio_of(supported, F.size("verdicts")).alias("faithfulness"), F.size("questions").alias("n_questions"),
+        F.when(F.size("questions") > 0, F.aggregate(likeness, F.lit(0.0), lambda s, x: s + x) / F.size("questions")).alias("answer_relevance"),
+        F.size("sentences").alias("n_sentences"), F.size("selected").alias("n_relevant"), ratio_of(F.size("selected"), F.size("sentences")).alias("context_relevance"),
+    )

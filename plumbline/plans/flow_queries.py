@@ -232,3 +232,20 @@ register("live_judge_pairs", having("scored", then="").rstrip() + ", " + _LIVE +
 register("judge_staleness", having("scored", then="").rstrip() + ", " + _LIVE + " SELECT count(*) AS n_judged, count(human) AS n_rated, count(*) - count(human) AS n_unrated, count(*) FILTER (stale) AS n_stale FROM live")(lambda s, d: judging.judge_counts(_pairs(s, d)))
 register("rank_within_metric", having("scored", then="SELECT metric, config_id, row_number() OVER (PARTITION BY metric ORDER BY value DESC, config_id) AS rank FROM (SELECT config_id, 'refusals' AS metric, count(*) FILTER (category = 'refusal') AS value FROM scored GROUP BY 1 UNION ALL SELECT config_id, 'mean crs', avg(crs_score) FROM scored GROUP BY 1)"))(
     lambda s, d: judging.rank_within_metric(fixture(s, d, "scored").groupBy("config_id").agg(F.count_if(F.col("category") == "refusal").cast("double").alias("refusals"), F.avg("crs_score").alias("mean crs")).unpivot("config_id", ["refusals", "mean crs"], "metric", "value"), order="config_id").select("metric", "config_id", "rank"))
+
+
+def _judge_replies(s, d):
+    """Replies of a judge of every kind: whole, incomplete, empty and failed."""
+    k = F.col("event_id")
+    of = lambda m, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (k % m + 1).cast("int"))
+    vector = lambda *v: F.array(*[F.lit(float(x)) for x in v])
+    return s.read.parquet(f"{d}/events.parquet").select(
+        k.alias("key"), of(5, " ", "Paris", "Paris", "Paris", "Paris").alias("answer"), of(2, "A b. C d. E f.", "").alias("context"), of(4, "1. a b\n2. c d", "none", "", "- x").alias("statements_reply"), of(3, "1: 1\n2: 0", "1: 1", None).alias("verdict_reply"),
+        of(7, "q one?\n2) q two?", "", None, "q?", "q?", "q?", "q?").alias("questions_reply"), of(3, "1, 3 and 9", "none", None).alias("selection_reply"), vector(1, 0).alias("query_vector"), F.array(vector(2, 0), vector(0, 1)).alias("question_vectors"),
+    )
+
+
+register("proxy_scores", """WITH r AS (SELECT event_id AS key, [2, 0, 0, 1][event_id % 4 + 1] AS n_statements, event_id % 3 AS v, CASE WHEN event_id % 5 = 0 THEN 0 ELSE [2, 0, 0, 1, 1, 1, 1][event_id % 7 + 1] END AS n_questions, [3, 0][event_id % 2 + 1] AS n_sentences FROM events),
+s AS (SELECT *, CASE WHEN n_statements = 2 AND v = 0 THEN 1 WHEN n_statements = 1 AND v = 1 THEN 1 END AS n_supported, CASE WHEN n_sentences > 0 AND v < 2 THEN 2 - 2 * v END AS n_relevant FROM r)
+SELECT key, n_statements, n_supported, n_supported / n_statements AS faithfulness, n_questions, CASE n_questions WHEN 2 THEN 0.5e0 WHEN 1 THEN 1e0 END AS answer_relevance, n_sentences, n_relevant, n_relevant / n_sentences AS context_relevance FROM s""")(
+    lambda s, d: judging.proxy_scores(_judge_replies(s, d)))
