@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import NO_ANSWER, on_word_boundary
+from plumbline.functions.text import NO_ANSWER, on_word_boundary, strip
 from plumbline.operators.metrics import NOISE_GRID
 from plumbline.operators.ranking import sample, shuffled
-from plumbline.operators.testbeds import PASSAGE, achieved_ratio, answer_bearing, noise_fill, passage, reject_reason, seed_problems
+from plumbline.operators.testbeds import PASSAGE, achieved_ratio, answer_bearing, contradiction_verdict, noise_fill, passage, reject_reason, seed_problems
 
 SIGNAL_TOKENS, DISTRACTOR_TOKENS = 400, 200
 #: The mix of kinds that a throughput trial draws from, by share of evaluation instances.
@@ -163,3 +163,17 @@ def rotated(members: DataFrame, base: str, member: str, turn: Column) -> DataFra
     w = Window.partitionBy(base)
     rows = members.select(base, member).distinct().withColumns({"nth": F.row_number().over(w.orderBy(member)) - 1, "n": F.count("*").over(w)})
     return rows.filter(F.col("nth") == turn % F.col("n")).select(base, member)
+
+
+def conflict_stage(pool: DataFrame, target: int, order: str, threshold: float = 0.70) -> tuple[DataFrame, DataFrame]:
+    """(accepted, reasons) of walking a pool (seed columns, original, answer, generated, score, error, truncated) in order until `target` generated contradictions are accepted: those rows, and how many rows before that were rejected for which reason (reason, n). Rows after it aren't looked at; a pool that is too small is walked whole.
+
+    A failed call is generation_failed, a blank reply empty_response, a cut one truncated; the others are judged by what they say.
+    """
+    text = F.coalesce("generated", F.lit(""))
+    reason = F.when(F.coalesce(F.col("error") != "", F.lit(False)), "generation_failed").when(strip(text) == "", "empty_response").when(F.coalesce("truncated", F.lit(False)), "truncated")
+    rows = pool.withColumn("reason", F.coalesce(reason, contradiction_verdict(F.col("original"), F.col("generated"), F.col("answer"), F.col("score"), threshold)))
+    accepted = rows.filter("reason IS NULL").orderBy(order).limit(target)
+    stop = accepted.agg(F.when(F.count("*") == target, F.max(order)).alias("stop"))
+    before = rows.filter("reason IS NOT NULL").crossJoin(F.broadcast(stop)).filter(F.col("stop").isNull() | (F.col(order) < F.col("stop")))  # one row
+    return accepted.drop("reason"), before.groupBy("reason").agg(F.count("*").alias("n"))

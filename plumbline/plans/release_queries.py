@@ -208,3 +208,17 @@ shown AS (SELECT case_id, any_value(query) AS query, string_agg('[' || rank::var
 calls AS (SELECT 'naive|bm25|standard_1::' || case_id AS key, case_id, 'Q: ' || query || chr(10) || passages AS prompt FROM shown UNION ALL SELECT 'reasoning|bm25|reasoning_2::' || case_id, case_id, 'Think. ' || query || chr(10) || passages FROM shown)"""
 register("single_call_prompts", f"WITH {_SHOWN} SELECT key, md5(prompt) AS prompt FROM calls")(lambda s, d: _calls(s, d)[0].select("key", F.md5(F.col("prompt").cast("binary")).alias("prompt")))
 register("replayed_calls", f"WITH {_SHOWN} SELECT key, substr(case_id, 2)::bigint % 3 = 0 AS missed, CASE WHEN substr(case_id, 2)::bigint % 3 > 0 THEN case_id END AS final_answer FROM calls")(lambda s, d: _calls(s, d)[1].select("key", "missed", "final_answer"))
+
+
+def _walked(s, d):
+    """Documents as a pool of contradictions: every kind of failure, and texts that are accepted."""
+    t = table(s, d, "documents").withColumn("answer", F.get(T.words(F.col("text")), F.lit(1))).filter("answer IS NOT NULL AND length(answer) > 1")
+    made = F.when(F.col("doc_id") % 6 == 0, " ").when(F.col("doc_id") % 6 == 1, F.col("text")).when(F.col("doc_id") % 6 == 2, F.concat(F.lit("So. "), "text")).otherwise("0 0.")
+    return building.conflict_stage(t.select("doc_id", F.col("text").alias("original"), "answer", made.alias("generated"), ((F.col("doc_id") % 10) / 10).alias("score"), F.when(F.col("doc_id") % 11 == 0, "HTTP 500").alias("error"), (F.col("doc_id") % 13 == 0).alias("truncated")), 40, "doc_id")
+
+
+_WALK = f"""t AS (SELECT *, {_WORDS('text')}[2] AS answer FROM documents WHERE len({_WORDS('text')}) > 1 AND length({_WORDS('text')}[2]) > 1), g AS (SELECT *, CASE doc_id % 6 WHEN 0 THEN ' ' WHEN 1 THEN text WHEN 2 THEN 'So. ' || text ELSE '0 0.' END AS generated FROM t),
+r AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'generation_failed' WHEN trim(generated) = '' THEN 'empty_response' WHEN doc_id % 13 = 0 THEN 'truncated' WHEN trim(generated) = trim(text) THEN 'unchanged' WHEN contains(lower(generated), lower(answer)) THEN 'true answer still present' WHEN (doc_id % 10) / 10 < 0.7 THEN 'below threshold' END AS reason FROM g),
+a AS (SELECT doc_id FROM r WHERE reason IS NULL ORDER BY doc_id LIMIT 40), e AS (SELECT CASE WHEN count(*) = 40 THEN max(doc_id) END AS stop FROM a)"""
+register("conflict_stage", f"WITH {_WALK} SELECT 'accepted' AS reason, count(*) AS n FROM a UNION ALL SELECT reason, count(*) FROM r, e WHERE reason IS NOT NULL AND (stop IS NULL OR doc_id < stop) GROUP BY 1")(
+    lambda s, d: (lambda made: made[0].agg(F.count("*").alias("n")).select(F.lit("accepted").alias("reason"), "n").unionByName(made[1]))(_walked(s, d)))
