@@ -99,3 +99,33 @@ def test_live_judge_scores(spark):
     old = judging.judge_sheet(sheet).withColumn("judge_score", F.lit(3))
     pairs = judging.live_judge_pairs(ratings, old, scored)
     assert sorted(map(tuple, pairs.collect())) == [(1, 3, 3, False), (2, None, 4, True)] and judging.judge_counts(pairs).first()[:] == (2, 1, 1, 1)
+
+
+def test_agents_by_hand(spark):
+    """One case of each way through the loop."""
+    from plumbline.operators import agents
+
+    names = ["commits", "asks", "spins", "blank", "breaks", "later"]
+    cases = spark.createDataFrame([(n, f"q {n}", "x", [(f"{n}{i}", f"text {i} {n}", False, False) for i in range(4)]) for n in names], ROW)
+    box = sandbox.built(cases)
+    prompts = []
+
+    def ask(requests):
+        prompts.append({r.key: r.prompt for r in requests.collect()})
+        k, p = F.col("key"), F.col("prompt")
+        text = (
+            F.when(p.startswith("D"), F.when(k == "blank", " ").when(k == "commits", "1. text 1").otherwise("text 1\ntext 2"))
+            .when(p.startswith("Y"), "<final_answer>forced</final_answer>")
+            .when(k == "commits", "<final_answer>one</final_answer>").when((k == "asks") & p.contains("left 2"), "NEXT_QUERY: text 3").when((k == "asks") & p.contains("left 0"), "<final_answer>three</final_answer>").when(k == "blank", "hm").otherwise("go on")
+        )
+        error = F.when((k == "breaks") & p.startswith("D"), "HTTP 500").when((k == "later") & p.contains("left 1"), "HTTP 429")
+        return requests.select("key", text.alias("text"), error.alias("error"), ((k == "spins") & p.startswith("Y")).alias("truncated"))
+
+    got = {r.case_id: r for r in agents.agentic(cases, box, ask, {"decompose": "D {question} {most}", "step": "S {question} left {remaining}\n{evidence}", "synthesise": "Y {question}\n{evidence}"}, max_steps=3, k=2).collect()}
+    nodes = {n: [s.node for s in got[n].steps] for n in names}
+    assert got["commits"].final_answer == "one" and got["commits"].generator_calls == 2 and nodes["commits"] == ["decompose", "retrieve", "react"]
+    assert [s["query"] for s in got["asks"].steps if s.node == "retrieve"] == ["text 1", "text 3", "text 2"] and got["asks"].final_answer == "three" and not got["asks"].warnings
+    assert got["spins"].final_answer == "forced" and got["spins"].truncated and got["spins"].generator_calls == 4 and nodes["spins"][-1] == "synthesise"
+    assert got["blank"].final_answer == "forced" and got["blank"].steps[0].subqueries == ["q blank"] and len(got["blank"].warnings) == 2 and nodes["blank"] == ["decompose", "retrieve", "react", "synthesise"]
+    assert got["breaks"].error == "decompose: HTTP 500" and got["breaks"].generator_calls == 1 and got["breaks"].steps == [] and got["later"].error == "react step 1: HTTP 429"
+    assert len(got["asks"].retrieved_passage_ids) == len(set(got["asks"].retrieved_passage_ids)) >= 2 and len(prompts) == 5
