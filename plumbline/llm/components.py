@@ -31,13 +31,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of the edges (u, v); component is the least node it reaches. Loops and repeated edges add nothing; no edges give no rows. The number of rounds grows with the logarithm of the diameter."""
     spark = edges.sparkSession
     edges = edges.filter(F.col("u") != F.col("v"))
-    before, last = None, None
+    before, last, size = None, None, edges.count()
     while True:
         path = new_path(spark, "star")
-        edges = _star(_star(edges, True), False)
-        if before:  # the size of the round before tells about that of this one
-            edges = edges.coalesce(1 + before[0] // FILE_EDGES)
-        edges.write.parquet(path)
+        # the size of the round before tells about that of this one
+        _star(_star(edges, True), False).coalesce(1 + size // FILE_EDGES).write.parquet(path)
         edges = spark.read.parquet(path)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if last:
@@ -45,6 +43,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         last = path
         if tuple(now) == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = tuple(now)
+        before, size = tuple(now), now[0]
 
 

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import only
+from plumbline.llm.shared import FILE_BYTES, only
 
 #: A text is hot that has more than HOT_COPIES copies, and more than one in HOT_TEXTS of all rows: so fewer than HOT_TEXTS are, a bound on what is broadcast.
 HOT_COPIES, HOT_TEXTS = 500, 100_000
@@ -32,14 +32,15 @@ def normalised(text: Column, steps: Sequence[str] = ()) -> Column:
     return text
 
 
-def _sorted(rows: DataFrame, keep: str) -> DataFrame:
-    """rows (doc_id, text, ...) with keep_id, group_size, kept and text_sha256 added."""
+def _sorted(rows: DataFrame, keep: str, row_bytes: int = 0) -> DataFrame:
+    """rows (doc_id, text, ...) with keep_id, group_size, kept and text_sha256 added; with row_bytes, which a row takes about, in no more partitions than fill a file each."""
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep: {keep}")
     best = F.min if keep == "smallest" else F.max
     others = rows.columns
     rows = rows.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
-    limit = max(HOT_COPIES, rows.count() // HOT_TEXTS)
+    n = rows.count()
+    limit = max(HOT_COPIES, n // HOT_TEXTS)
     hot = rows.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("hot_size"), best("doc_id").alias("hot_id")).filter(F.col("hot_size") > limit)
     rows = rows.join(F.broadcast(hot), "text_sha256", "left")  # fewer than HOT_TEXTS rows
     # a NULL identifier hashes alike everywhere, so a hot group without identifiers stays in one piece
@@ -57,7 +58,8 @@ def _sorted(rows: DataFrame, keep: str) -> DataFrame:
     })
     keep_id, size = F.when(F.col("hot_size").isNull(), F.col("run_id")).otherwise(F.col("hot_id")), F.coalesce("hot_size", "run_size")
     kept = (F.col("place") == 1) & F.col("doc_id").eqNullSafe(keep_id)
-    return rows.select(*others, keep_id.alias("keep_id"), size.alias("group_size"), kept.alias("kept"), "text_sha256")
+    out = rows.select(*others, keep_id.alias("keep_id"), size.alias("group_size"), kept.alias("kept"), "text_sha256")
+    return out.coalesce(max(1, -(-n * row_bytes // FILE_BYTES))) if row_bytes else out
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", normalise: Sequence[str] = (), keep: str = "smallest") -> DataFrame:
@@ -77,7 +79,7 @@ def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     plain = not normalise
     rest = [docs[c] for c in docs.columns if not (plain and c == text_col)]
     rows = docs.select(docs[id_col].alias("doc_id"), normalised(docs[text_col], normalise).alias("text"), docs[text_col].isNull().alias("no_text"), F.struct(*rest).alias("rest"))
-    stay = _sorted(rows, keep).filter("kept")
+    stay = _sorted(rows, keep, 2048).filter("kept")
     text = F.when(~F.col("no_text"), F.col("text"))
     return stay.select(*[text.alias(c) if plain and c == text_col else F.col("rest").getField(c).alias(c) for c in docs.columns])
 

@@ -234,6 +234,11 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col:
     for each of them if it is the component's identifier. Rows without identifier are never linked: component_id is NULL and
     kept is true. Empty tables give empty results; further columns are ignored.
     """
+    return _near_dedup(docs, shingle, percent, id_col, text_col)[0]
+
+
+def _near_dedup(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """What near_dedup returns, and how many files texts and sketches fill."""
     scratch = Scratch()
     docs = only(docs, id_col, text_col).toDF("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -279,13 +284,14 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col:
     groups = reps.select("n", "f1", "f2", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("n").alias("gn"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("component", "rep").alias("group"))
     out = sketches.select("doc_id", "n", "f1", "f2").join(groups, (F.col("n") == F.col("gn")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), scratch.files
 
 
 def without_near_copies(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, but for those whose identifier is not their component's; rows without identifier stay."""
-    gone = near_dedup(docs, shingle=shingle, percent=percent, id_col=id_col, text_col=text_col).filter("NOT kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    found, files = _near_dedup(docs, shingle, percent, id_col, text_col)
+    gone = found.filter("NOT kept").select(F.col("doc_id").alias("gone_id"))
+    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti").coalesce(files)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

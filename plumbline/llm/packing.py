@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import map_arrow, materialise, only
+from plumbline.llm.shared import FILE_BYTES, map_arrow, materialise, only
 from plumbline.llm.tokens import pieces_of
 
 BUCKETS = 256
@@ -108,12 +108,14 @@ def pack(docs: DataFrame, *, tokenizer_path: str, capacity: int = 1024, end_id:
     total = counts.sum(1)
     runs = vector_best_fit({int(n): int(total[n]) for n in np.flatnonzero(total)}, capacity, max_docs or capacity, max_attention or capacity * capacity, score)
     before = np.concatenate((np.zeros((capacity + 1, 1), np.int64), np.cumsum(counts, 1)[:, :-1]), 1)
+    files = max(1, -(-int(total.sum()) * 64 // FILE_BYTES))  # a piece without its ids takes some 64 bytes
     shared = spark.sparkContext.broadcast((runs, before))
     place = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = pieces.withColumn("place", place.cast("long"))
     names = pieces.columns[:-1]
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields[:-1])
-    return map_arrow(ranked, lambda batches: _place(batches, *shared.value, names), f"{fields}, sequence_id long, offset long")
+    out = map_arrow(ranked, lambda batches: _place(batches, *shared.value, names), f"{fields}, sequence_id long, offset long")
+    return out if with_ids else out.coalesce(files)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
