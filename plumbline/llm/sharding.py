@@ -32,6 +32,7 @@ TARGET_BYTES = 64 << 20
 SMALLEST = 1 << 20
 CHECKPOINT = 16
 ATTEMPTS = 20
+BROADCAST_SHARDS = 100_000
 
 
 class Conflict(RuntimeError):
@@ -47,6 +48,12 @@ def file_key() -> Column:
     return F.substring_index("_metadata.file_path", "/shards/", -1)
 
 
+def by_shard(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A table of a row per shard, to be broadcast as long as there are at most BROADCAST_SHARDS."""
+    table = spark.createDataFrame(rows, ddl)
+    return F.broadcast(table) if len(rows) <= BROADCAST_SHARDS else table
+
+
 class ShardStore:
     def __init__(self, spark: SparkSession, root: str, *, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT):
         self.spark, self.root, self.target, self.fanout = spark, root.rstrip("/"), target_bytes, fanout
@@ -246,7 +253,7 @@ class ShardStore:
             schema = StructType.fromJson(json.loads(base["schema"]))
             of = [(key(s["path"]), k) for k, g in enumerate(groups) for s in g]
             label = f"run_{uuid.uuid4().hex[:8]}"
-            table = self.spark.createDataFrame(of, f"file_{label} string, {label} int")  # a row per shard file; Spark broadcasts it as long as it is small
+            table = by_shard(self.spark, of, f"file_{label} string, {label} int")
             rows = self.spark.read.schema(schema).parquet(*[s["path"] for g in groups for s in g])
             rows = rows.select("*", file_key().alias(f"file_{label}")).join(table, f"file_{label}").drop(f"file_{label}")
             folder = f"{self.root}/shards/{uuid.uuid4().hex}"
@@ -285,7 +292,7 @@ def query(spark, sf_dir: str, waves: int = 8) -> DataFrame:
     shards = store.compact()["shards"]
     rows = store.read()
     place = [(key(s["path"]), k, s["tier"], s["rows"]) for k, s in enumerate(shards)]
-    table = spark.createDataFrame(place, "file string, shard int, tier int, shard_rows long")
+    table = by_shard(spark, place, "file string, shard int, tier int, shard_rows long")
     file = file_key() if place else F.lit("")
     return rows.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), file.alias("file")).join(table, "file").select("doc_id", "shard", "tier", "shard_rows", "text_sha256")
 

@@ -70,6 +70,46 @@ def test_proportions_against_plain_em():
         assert np.allclose(got[i], theta, atol=1e-4)
 
 
+def test_selection_against_plain_inference(monkeypatch):
+    """The language sets of many documents at once, in runs of any length, equal those chosen one document at a time."""
+    r = np.random.default_rng(2)
+    letters = [list("abcdefgh"), list("efghijkl"), list("ijklmnop")]
+    made = lambda k, n: " ".join("".join(r.choice(letters[k], 5)) for _ in range(n))
+    counts = np.full((L.CODES, 3), 0.5)
+    for k in range(3):
+        _, code, count = L.trigrams(pa.array([made(k, 4000)]))
+        counts[code, k] += count
+    model = (counts / counts.sum(0)).astype(np.float32)
+    texts = [made(k, n) for k in range(3) for n in (1, 5, 60)] + [made(0, n) + " " + made(2, m) for n, m in ((40, 40), (60, 6), (60, 1), (4, 4))] + [made(0, 30) + " " + made(1, 30) + " " + made(2, 30), "", "123"]
+    row, code, count = L.trigrams(pa.array(texts))
+    want = np.zeros((len(texts), 3))
+    for i in range(len(texts)):
+        p, c = model[code[row == i]].astype(float), count[row == i].astype(float)
+        if not len(c):
+            continue
+        fitted = lambda theta: next(t for k, t in enumerate(iter_em(p, c, theta)) if k == L.ROUNDS)  # noqa: E731, B023
+        theta = fitted(np.full(3, 1 / 3))
+        alone = (np.log(p) * c[:, None]).sum(0)
+        want[i, alone.argmax()] = 1
+        chosen = theta >= L.FLOOR
+        if chosen.sum() > 1:
+            again = fitted(np.where(chosen, theta, 0) / theta[chosen].sum())
+            gain = (np.log((p * again).sum(1)) * c).sum()
+            if gain - alone.max() > L.PENALTY * (chosen.sum() - 1) * np.log(c.sum() + 1):
+                want[i] = again
+    assert (want > 0).sum(1).max() == 3 and ((want > 0).sum(1) == 2).sum() >= 2 and ((want > 0).sum(1) == 1).sum() >= 9
+    for held in (L.HELD_SHARES, 300):
+        monkeypatch.setattr(L, "HELD_SHARES", held)
+        assert np.allclose(L.infer(pa.array(texts), model)[0], want, atol=2e-3)
+
+
+def iter_em(p, c, theta):
+    while True:
+        yield theta
+        z = p * theta
+        theta = (z / z.sum(1, keepdims=True) * c[:, None]).sum(0) / c.sum()
+
+
 def test_quality_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     out = Q.query(spark, DATA).join(labels, "doc_id").filter("held_out").collect()

@@ -89,3 +89,24 @@ def test_vector_best_fit_holds_every_constraint(score):
 def test_vector_best_fit_refuses_what_never_fits():
     with pytest.raises(ValueError):
         P.vector_best_fit({90: 1}, 100, 5, 6000)
+
+
+@pytest.mark.parametrize("score", ["residual", "dot"])
+def test_bins_are_few_under_every_constraint(score):
+    """Bins against what the sums of needs and the pieces that share with none demand, constraints binding in turn."""
+    import math
+    import random
+
+    from plumbline.llm.packing import vector_best_fit
+
+    used = lambda runs: int((runs[:, 2] + runs[:, 3]).max())
+    assert used(vector_best_fit({10: 1000}, 1024, 1024, 1024**2, score)) == 10
+    r = random.Random(3)
+    every: dict[int, int] = {}
+    for _ in range(8000):
+        n = min(1024, int(r.expovariate(1 / 300)) + 1)
+        every[n] = every.get(n, 0) + 1
+    for docs, attention, slack in ((1024, 1024**2, 1.01), (4, 1024**2, 1.3), (1024, 300_000, 1.2), (3, 400_000, 1.05)):
+        counts = {n: c for n, c in every.items() if n * n <= attention}
+        sums = [sum(n * c for n, c in counts.items()) / 1024, sum(counts.values()) / docs, sum(n * n * c for n, c in counts.items()) / attention, sum(c for n, c in counts.items() if 2 * n > 1024 or 2 * n * n > attention)]
+        assert used(vector_best_fit(counts, 1024, docs, attention, score)) <= slack * math.ceil(max(sums)), (docs, attention)
