@@ -290,8 +290,8 @@ def ngrams(tokens: Column, n: int) -> Column:
     """Distinct n-grams joined by blanks; none for short texts."""
     if n <= 0:
         raise ValueError("n must be positive")
-    starts = lambda t: F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(let(tokens, lambda t: F.transform(starts(t), lambda i: F.array_join(F.slice(t, i, n), " "))))
+    firsts = lambda t: F.slice(t, F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(0)))
+    return F.array_distinct(let(tokens, lambda t: F.transform(firsts(t), lambda x, i: F.concat_ws(" ", x, *[F.get(t, i + j) for j in range(1, n)]))))
 
 
 def numbered(passages: Column) -> Column:
