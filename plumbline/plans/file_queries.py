@@ -10,7 +10,7 @@ from plumbline.plans import flow_queries as flows
 from plumbline.plans import release_queries as release
 from plumbline.plans.fixtures import fixture, having
 from plumbline.plans.text_queries import _WORDS, q
-from plumbline.sources import artefacts, readers
+from plumbline.sources import artefacts, corpora, readers
 from plumbline.sources.schemas import schema
 from plumbline.sources.scratch import folder
 from plumbline.streaming import logs
@@ -180,3 +180,22 @@ def faithfulness_reader(s, d):
     at = folder(s, "ratios")
     flows.ratios(s, d).write.json(at)
     return judging.faithfulness_by_class(readers.read_ratios(s, at).unionByName(readers.read_ratios(s, f"{at}-missing")))
+
+
+# --- corpora
+
+_DOC = f"""c AS (SELECT doc_id AS i, {_WORDS('text')} AS w, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 'zzqqzz' ELSE {_WORDS('text')}[10] END AS answer FROM documents WHERE doc_id < 900),
+r AS (SELECT *, CASE WHEN answer IS NULL THEN 'none' WHEN NOT contains(lower(array_to_string(w, ' ')), lower(answer)) THEN 'missing' END AS reason FROM c)"""
+
+
+def _documents(s, d):
+    w = T.words(F.col("text"))
+    answer = F.when(F.col("doc_id") % 5 == 0, F.lit(None)).when(F.col("doc_id") % 7 == 0, "zzqqzz").otherwise(F.get(w, F.lit(9)))
+    rows = table(s, d, "documents").select(F.col("doc_id").alias("i"), F.lit("q").alias("question"), F.array(answer).alias("short_answers"), w.alias("tokens"))
+    return corpora.document_seeds(rows, 900, 60)
+
+
+register("corpus_counts", f"WITH {_DOC} SELECT count(*) AS seen, count(*) FILTER (reason = 'none') AS no_short_answer, count(*) FILTER (reason = 'missing') AS answer_not_in_document, count(*) FILTER (reason IS NULL) AS kept FROM r")(lambda s, d: _documents(s, d)[1])
+register("corpus_seeds", f"""WITH {_DOC}, x AS (SELECT *, list_filter(list_transform(range(0, len(w), 60), lambda k: array_to_string(w[k + 1 : k + 60], ' ')), lambda t: len({_WORDS('t')}) >= 50 AND NOT contains(lower(t), lower(answer)))[1:16] AS extras FROM r WHERE reason IS NULL)
+SELECT 'nq-' || i::varchar AS seed_id, answer, len(extras) AS n_extras, md5(array_to_string(extras, '|')) AS extras FROM x""")(
+    lambda s, d: _documents(s, d)[0].select("seed_id", "answer", F.size("extra_passages").alias("n_extras"), F.md5(F.array_join(F.transform("extra_passages", lambda p: p["text"]), "|").cast("binary")).alias("extras")))

@@ -202,3 +202,21 @@ def test_resamples_against_plain_draws(spark):
         values.sort()
         at = lambda q: values[int(q * 49)] + (q * 49 - int(q * 49)) * (values[min(49, int(q * 49) + 1)] - values[int(q * 49)])  # noqa: E731, B023
         assert got[g].lower == pytest.approx(at(0.025)) and got[g].upper == pytest.approx(at(0.975))
+
+
+def test_corpora_by_hand(spark):
+    from plumbline.sources import corpora
+
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(0, "q0", ["Paris"], ("It is PARIS here . " + long).split()), (1, "q1", [], ["x"]), (2, "q2", None, ["x"]), (3, "q3", ["Rome"], ["no", "such"]), (4, "q4", ["Paris"], ["Parisian"]), (9, "q9", ["x"], ["x"])]
+    seeds, counts = corpora.document_seeds(spark.createDataFrame(rows, "i long, question string, short_answers array<string>, tokens array<string>"), 5, 60)
+    assert counts.first().asDict() == {"seen": 5, "no_short_answer": 2, "answer_not_in_document": 1, "kept": 2}
+    got = {r.seed_id: r for r in seeds.collect()}
+    assert set(got) == {"nq-0", "nq-4"} and got["nq-0"].passages[0].is_answer_bearing and not got["nq-4"].passages[0].is_answer_bearing
+    assert [p.passage_id for p in got["nq-0"].extra_passages] == ["nq-0-x0", "nq-0-x1"] and all("paris" not in p.text.lower() for p in got["nq-0"].extra_passages)
+    rows = [(0, "q0", "Anakin Skywalker", ["nothing here", "then Anakin Skywalker came " + long, "Anakin alone", "another " + long]), (1, "q1", "", ["x"]), (2, "q2", "a", []), (3, "q3", "b", None), (4, "q4", "Rome", ["no"]), (5, "q5", "one", ["just one"])]
+    seeds, counts = corpora.context_seeds(spark.createDataFrame(rows, "i long, question string, answer string, contexts array<string>"), 6, 60)
+    assert counts.first().asDict() == {"seen": 6, "no_answer_or_context": 3, "answer_not_in_context": 1, "kept": 2}
+    got = {r.seed_id: r for r in seeds.collect()}
+    assert [p.text for p in got["tqa-0"].passages][1] == "nothing here" and got["tqa-0"].passages[0].is_answer_bearing and len(got["tqa-0"].passages[0].text.split()) <= 42
+    assert len(got["tqa-5"].passages) == 1 and got["tqa-5"].passages[0].text == "just one" and all(p.passage_id.startswith("tqa-0-x") for p in got["tqa-0"].extra_passages)
