@@ -12,9 +12,9 @@ from plumbline.operators.metrics import NOISE_GRID
 from plumbline.operators.ranking import sample, shuffled
 from plumbline.operators.testbeds import PASSAGE, achieved_ratio, answer_bearing, contradiction_verdict, noise_fill, passage, reject_reason, seed_problems
 
-SIGNAL_TOKENS, DISTRACTOR_TOKENS = 400, 200
-#: The mix of kinds that a throughput trial draws from, by share of evaluation instances.
-CASE_MIX = [("refusal", 200), ("conflict", 200), ("noise-0.0", 500), ("noise-0.25", 500), ("noise-0.5", 500), ("noise-0.75", 500), ("noise-0.9", 500)]
+#: Words of a seed's own evidence and of a distractor, and the mix of kinds that a throughput trial draws from.
+SIGNAL_TOKENS, DISTRACTOR_TOKENS = 700, 200
+CASE_MIX = [("refusal", 0.15), ("conflict", 0.15), ("noise-0.25", 0.15), ("noise-0.75", 0.25), ("noise-0.90", 0.30)]
 WARNINGS = 20
 
 

@@ -32,7 +32,7 @@ def _choice(u: str) -> str:
     total, at, out = sum(w for _, w in building.CASE_MIX), 0, "CASE"
     for name, w in building.CASE_MIX:
         at += w
-        out += f" WHEN {u} * {total}.0e0 < {at}.0e0 THEN '{name}'"
+        out += f" WHEN {u} * {total!r}e0 < {at!r}e0 THEN '{name}'" if name != building.CASE_MIX[-1][0] else f" ELSE '{name}'"
     return out + " END"
 
 
@@ -43,9 +43,9 @@ _U = lambda key: f"(('0x' || substr(md5({key}), 1, 8))::bigint / 4294967296.0e0)
 register("weighted_kinds", f"SELECT event_id AS i, {_choice(_U(q('11|') + ' || event_id::varchar'))} AS kind FROM events")(
     lambda s, d: table(s, d, "events").select(F.col("event_id").alias("i")).select("i", building.weighted_choice(building.uniform(11, "i"), building.CASE_MIX).alias("kind")))
 register("synthetic_cases", f"""WITH k AS (SELECT i, {_choice(_U(q('11|') + ' || i::varchar'))} AS kind FROM range(2000) t(i)), r AS (SELECT *, CASE WHEN kind LIKE 'noise%' THEN split_part(kind, '-', 2)::double END AS noise_ratio FROM k),
-n AS (SELECT *, greatest(1, floor(floor(400 * noise_ratio / (1 - noise_ratio)) / 200)) AS extra FROM r)
+n AS (SELECT *, greatest(1, floor(floor(700 * noise_ratio / (1 - noise_ratio)) / 200)) AS extra FROM r)
 SELECT 'spike-' || CASE WHEN noise_ratio IS NULL THEN kind ELSE 'noise' || floor(noise_ratio * 100)::int::varchar END || '-' || i::varchar AS case_id, noise_ratio, CASE kind WHEN 'refusal' THEN 1 WHEN 'conflict' THEN 2 ELSE 1 + extra END AS n_passages,
-  CASE kind WHEN 'refusal' THEN 406 WHEN 'conflict' THEN 806 ELSE 406 + 200 * extra END AS n_words FROM n""")(
+  CASE kind WHEN 'refusal' THEN 706 WHEN 'conflict' THEN 1406 ELSE 706 + 200 * extra END AS n_words FROM n""")(
     lambda s, d: building.synthetic_cases(s, 2000).select("case_id", "noise_ratio", F.size("passages").cast("double").alias("n_passages"), testbeds.tokens_of().cast("double").alias("n_words")))
 
 #: Cases by hand, and what is wrong with each: (dimension, answer, ratio, passages, generation parameters, problems).
