@@ -71,33 +71,56 @@ for _by in ("pipeline_class", "config_id"):
     register(f"ndc_by_{_n}", S(_ndc_sql(_by)))(lambda s, d, by=_by: metrics.degradation_curve(metrics.noise_accuracy(scored(s, d), [by]), [by]))
 
 register("crs_excluding_non_terminating", S(_crs_sql("pipeline_class", "AND NOT (truncated AND final_answer IS NULL)")))(lambda s, d: metrics.conflict_resolution(scored(s, d), ["pipeline_class"], exclude_non_terminating=True))
-register("correct_side_by_class", S("SELECT pipeline_class, count(*) AS n, count(*) FILTER (answer_correct IS NULL) AS n_no_commitment, count(*) FILTER (answer_correct) / count(*) AS over_all, count(*) FILTER (answer_correct) / count(answer_correct) AS over_committed FROM scored WHERE dimension = 'conflict' GROUP BY 1"))(
+register("correct_side_by_class", S("""SELECT pipeline_class, count(*) AS n, count(*) FILTER (answer_correct IS NULL) AS n_no_commitment, count(*) FILTER (answer_correct) / count(*) AS over_all, count(*) FILTER (answer_correct) / count(answer_correct) AS over_committed
+    FROM scored
+    WHERE dimension = 'conflict'
+    GROUP BY 1"""))(
     lambda s, d: metrics.correct_side(scored(s, d).filter("dimension = 'conflict'"), ["pipeline_class"], "answer_correct"))
 register("crs_distribution_map", S("""SELECT c.pipeline_class, level, count(s.crs_score) AS n FROM (SELECT DISTINCT pipeline_class FROM scored) c CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS level) l
   LEFT JOIN (SELECT pipeline_class, crs_score FROM scored WHERE dimension = 'conflict') s ON s.pipeline_class = c.pipeline_class AND s.crs_score = level GROUP BY ALL"""))(
     lambda s, d: metrics.conflict_resolution(scored(s, d), ["pipeline_class"]).select("pipeline_class", F.explode(F.create_map(*[x for k in range(5) for x in (F.lit(k), F.col(f"n{k}"))])).alias("level", "n")))
 register("ndc50_mean_uncensored", S(f"SELECT avg(ndc50) AS mean_ndc50, count(ndc50) AS n_uncensored, count(*) AS n FROM ({_ndc_sql('config_id')})"))(
     lambda s, d: metrics.mean_ndc50(metrics.degradation_curve(metrics.noise_accuracy(scored(s, d), ["config_id"]), ["config_id"])))
-register("non_termination_by_dimension", S("SELECT dimension, count(*) AS n, count(*) FILTER (truncated AND final_answer IS NULL) AS non_terminating, count(*) FILTER (truncated AND final_answer IS NULL) / count(*) AS rate FROM scored GROUP BY 1"))(
+register("non_termination_by_dimension", S("""SELECT dimension, count(*) AS n, count(*) FILTER (truncated AND final_answer IS NULL) AS non_terminating, count(*) FILTER (truncated AND final_answer IS NULL) / count(*) AS rate
+    FROM scored
+    GROUP BY 1"""))(
     lambda s, d: metrics.non_termination(scored(s, d)))
-register("count_by_dimension", S("SELECT dimension, count(*) AS n, count(DISTINCT case_id) AS n_cases FROM scored GROUP BY 1"))(lambda s, d: scored(s, d).groupBy("dimension").agg(F.count("*").alias("n"), F.count_distinct("case_id").alias("n_cases")))
+register("count_by_dimension", S("""SELECT dimension, count(*) AS n, count(DISTINCT case_id) AS n_cases
+    FROM scored
+    GROUP BY 1"""))(lambda s, d: scored(s, d).groupBy("dimension").agg(F.count("*").alias("n"), F.count_distinct("case_id").alias("n_cases")))
 
 _METRICS = lambda by: f"""SELECT {by}, 'refusal_f1' AS metric, f1 AS value FROM ({_refusal_sql(by)}) WHERE degenerate IS NULL UNION ALL SELECT {by}, 'crs', mean FROM ({_crs_sql(by)}) UNION ALL SELECT {by}, 'ndc_auc', auc FROM ({_ndc_sql(by)}) WHERE auc IS NOT NULL"""
 register("metric_table_by_class", S(_METRICS("pipeline_class")))(lambda s, d: metrics.metric_table(scored(s, d), ["pipeline_class"]))
-register("metric_by_seed_source", having("scored", then="SELECT * FROM (" + _METRICS("pipeline_class, source").replace("FROM scored", "FROM (SELECT *, CASE WHEN starts_with(seed_id, 'nq-') THEN 'nq' WHEN starts_with(seed_id, 'tqa-') THEN 'tqa' ELSE 'unknown' END AS source FROM scored)") + ")"))(
+register("metric_by_seed_source", having("scored", then="""SELECT *
+    FROM (""" + _METRICS("pipeline_class, source").replace("FROM scored", """FROM (SELECT *, CASE WHEN starts_with(seed_id, 'nq-') THEN 'nq' WHEN starts_with(seed_id, 'tqa-') THEN 'tqa' ELSE 'unknown' END AS source
+    FROM scored)""") + ")"))(
     lambda s, d: metrics.metric_table(scored(s, d).withColumn("source", metrics.seed_source()), ["pipeline_class", "source"]))
 _VARIATION = f"""m AS (SELECT split_part(config_id, '|', 1) AS pipeline_class, split_part(config_id, '|', 2) AS retriever, split_part(config_id, '|', 3) AS generator_key, metric, value FROM ({_METRICS('config_id')})),
 v AS (SELECT pipeline_class, metric, max(value) - min(value) AS spread, count(*) AS n_configs FROM m GROUP BY ALL),
 r AS (SELECT pipeline_class, metric, CASE WHEN count(*) > 1 THEN max(a) - min(a) END AS retriever_effect FROM (SELECT pipeline_class, metric, avg(value) AS a FROM m GROUP BY pipeline_class, metric, retriever) GROUP BY ALL),
 ge AS (SELECT pipeline_class, metric, CASE WHEN count(*) > 1 THEN max(a) - min(a) END AS generator_effect FROM (SELECT pipeline_class, metric, avg(value) AS a FROM m GROUP BY pipeline_class, metric, generator_key) GROUP BY ALL)"""
-register("within_class_variation", S(f", {_VARIATION} SELECT * FROM v JOIN r USING (pipeline_class, metric) JOIN ge USING (pipeline_class, metric)").replace("\n,", ",\n"))(lambda s, d: metrics.class_variation(scored(s, d)))
-register("between_versus_within", S(f", {_VARIATION} SELECT metric, max_within, worst_class, max_between, max_between > max_within AS between_exceeds_within FROM (SELECT metric, max(spread) AS max_within, arg_max(pipeline_class, spread) AS worst_class FROM v GROUP BY 1) JOIN (SELECT metric, max(value) - min(value) AS max_between FROM ({_METRICS('pipeline_class')}) GROUP BY 1) USING (metric)").replace("\n,", ",\n"))(
+register("within_class_variation", S(f""", {_VARIATION} SELECT *
+    FROM v
+    JOIN r USING (pipeline_class, metric)
+    JOIN ge USING (pipeline_class, metric)""").replace("\n,", ",\n"))(lambda s, d: metrics.class_variation(scored(s, d)))
+register("between_versus_within", S(f""", {_VARIATION} SELECT metric, max_within, worst_class, max_between, max_between > max_within AS between_exceeds_within
+    FROM (SELECT metric, max(spread) AS max_within, arg_max(pipeline_class, spread) AS worst_class
+    FROM v
+    GROUP BY 1)
+    JOIN (SELECT metric, max(value) - min(value) AS max_between
+    FROM ({_METRICS('pipeline_class')})
+    GROUP BY 1) USING (metric)""").replace("\n,", ",\n"))(
     lambda s, d: metrics.between_within(scored(s, d)))
 register("divergent_cases", S("""SELECT dimension, case_id, rank FROM (SELECT dimension, case_id, row_number() OVER (PARTITION BY dimension ORDER BY case_id) AS rank FROM (
   SELECT dimension, case_id, max(crs_score) - min(crs_score) AS gap, count(DISTINCT CASE WHEN dimension = 'refusal' THEN category ELSE coalesce(answer_correct::varchar, 'None') END) AS kinds
   FROM (SELECT *, row_number() OVER (PARTITION BY dimension, case_id, pipeline_class ORDER BY config_id DESC) AS rn FROM scored) WHERE rn = 1 GROUP BY 1, 2)
   WHERE CASE WHEN dimension = 'conflict' THEN coalesce(gap >= 2, false) ELSE kinds >= 2 END) WHERE rank <= 20"""))(lambda s, d: metrics.divergent_cases(scored(s, d)))
-register("metric_bundle_by_config", S(f"SELECT config_id, r.f1 AS refusal_f1, c.mean AS crs, k.auc AS ndc_auc, k.ndc50_text, (SELECT count(*) FROM scored s WHERE s.config_id = r.config_id) AS n FROM ({_refusal_sql('config_id')}) r JOIN ({_crs_sql('config_id')}) c USING (config_id) JOIN ({_ndc_sql('config_id')}) k USING (config_id)"))(
+register("metric_bundle_by_config", S(f"""SELECT config_id, r.f1 AS refusal_f1, c.mean AS crs, k.auc AS ndc_auc, k.ndc50_text, (SELECT count(*)
+    FROM scored s
+    WHERE s.config_id = r.config_id) AS n
+    FROM ({_refusal_sql('config_id')}) r
+    JOIN ({_crs_sql('config_id')}) c USING (config_id)
+    JOIN ({_ndc_sql('config_id')}) k USING (config_id)"""))(
     lambda s, d: metrics.refusal_f1(scored(s, d), ["config_id"]).select("config_id", F.col("f1").alias("refusal_f1"))
     .join(metrics.conflict_resolution(scored(s, d), ["config_id"]).select("config_id", F.col("mean").alias("crs")), "config_id")
     .join(metrics.degradation_curve(metrics.noise_accuracy(scored(s, d), ["config_id"]), ["config_id"]).select("config_id", F.col("auc").alias("ndc_auc"), "ndc50_text"), "config_id")
@@ -122,7 +145,10 @@ R = lambda then: having("raters", then=then)
 register("agreement_skewed", R(_diag("rater_a", "rater_b", "raters")))(lambda s, d: agreement.diagnostics(raters(s, d), "rater_a", "rater_b"))
 register("agreement_balanced", R(_diag("rater_a", "rater_c", "raters")))(lambda s, d: agreement.diagnostics(raters(s, d), "rater_a", "rater_c"))
 register("agreement_by_group", R(_diag("rater_a", "rater_b", "raters", "grp")))(lambda s, d: agreement.diagnostics(raters(s, d), "rater_a", "rater_b", ["grp"]))
-_PAIR = "pair AS (SELECT a.case_id, a.crs_score AS human, b.crs_score AS judge FROM scored a JOIN scored b USING (case_id) WHERE a.config_id = 'naive|bm25|standard_1' AND b.config_id = 'agentic|dpr|reasoning_2' AND a.crs_score IS NOT NULL AND b.crs_score IS NOT NULL)"
+_PAIR = """pair AS (SELECT a.case_id, a.crs_score AS human, b.crs_score AS judge
+    FROM scored a
+    JOIN scored b USING (case_id)
+    WHERE a.config_id = 'naive|bm25|standard_1' AND b.config_id = 'agentic|dpr|reasoning_2' AND a.crs_score IS NOT NULL AND b.crs_score IS NOT NULL)"""
 
 
 def pair(s, d):
@@ -133,10 +159,29 @@ def pair(s, d):
 
 _WK = "SELECT count(*) AS n, 1 - avg((human - judge) * (human - judge)) / (avg(human * human) + avg(judge * judge) - 2 * avg(human) * avg(judge)) AS weighted_kappa FROM pair"
 register("weighted_kappa", S(f", {_PAIR} {_WK}").replace("\n,", ",\n"))(lambda s, d: agreement.weighted_kappa(pair(s, d), "human", "judge"))
-register("judge_agreement", S(f", {_PAIR} SELECT d.n, kappa, weighted_kappa, exact, within_one, {', '.join(f'{w}_{k}' for w in ('human', 'judge') for k in range(5))}, kappa >= 0.6 AS usable FROM ({_diag('human', 'judge', 'pair')}) d, ({_WK}) w, (SELECT avg((human = judge)::int) AS exact, avg((abs(human - judge) <= 1)::int) AS within_one, {', '.join(f'count(*) FILTER ({w} = {k}) AS {w}_{k}' for w in ('human', 'judge') for k in range(5))} FROM pair)").replace("\n,", ",\n"))(
+register("judge_agreement", S(f""", {_PAIR} SELECT d.n, kappa, weighted_kappa, exact, within_one, {', '.join(f'{w}_{k}' for w in ('human', 'judge') for k in range(5))}, kappa >= 0.6 AS usable
+    FROM ({_diag('human', 'judge', 'pair')}) d, ({_WK}) w, (SELECT avg((human = judge)::int) AS exact, avg((abs(human - judge) <= 1)::int) AS within_one, {', '.join(f'count(*) FILTER ({w} = {k}) AS {w}_{k}' for w in ('human', 'judge') for k in range(5))}
+    FROM pair)""").replace("\n,", ",\n"))(
     lambda s, d: agreement.judge_agreement(pair(s, d), "human", "judge"))
-_SHEET = lambda c, m: f"SELECT 'case-' || doc_id::varchar AS case_id, q AS question_no, lang AS dimension, CASE WHEN doc_id % {m} = 0 THEN '' WHEN (CASE WHEN q = 1 THEN {c} ELSE toxic END) = 1 THEN ' Yes' ELSE 'no' END AS answer FROM labels JOIN documents USING (doc_id), (SELECT unnest([1, 2]) AS q)"
-_LABELS = f"WITH f AS ({_SHEET('quality', 10)}), s AS ({_SHEET('(n_chars >= 300)::int', 7)}), a AS (SELECT * REPLACE (lower(trim(answer)) AS answer) FROM f WHERE trim(answer) <> ''), b AS (SELECT * REPLACE (lower(trim(answer)) AS answer) FROM s WHERE trim(answer) <> ''), j AS (SELECT a.case_id, a.dimension, a.answer AS x, b.answer AS y FROM a JOIN b USING (case_id, question_no)), blank AS (SELECT count(*) AS skipped_blank FROM a FULL JOIN b USING (case_id, question_no) WHERE a.answer IS NULL OR b.answer IS NULL)"
+_SHEET = lambda c, m: f"""SELECT 'case-' || doc_id::varchar AS case_id, q AS question_no, lang AS dimension, CASE WHEN doc_id % {m} = 0 THEN '' WHEN (CASE WHEN q = 1 THEN {c} ELSE toxic END) = 1 THEN ' Yes' ELSE 'no' END AS answer
+    FROM labels
+    JOIN documents USING (doc_id), (SELECT unnest([1, 2]) AS q)"""
+_LABELS = f"""WITH f AS ({_SHEET('quality', 10)}),
+    s AS ({_SHEET('(n_chars >= 300)::int', 7)}),
+    a AS (SELECT * REPLACE (lower(trim(answer)) AS answer)
+    FROM f
+    WHERE trim(answer) <> ''),
+    b AS (SELECT * REPLACE (lower(trim(answer)) AS answer)
+    FROM s
+    WHERE trim(answer) <> ''),
+    j AS (SELECT a.case_id, a.dimension, a.answer AS x, b.answer AS y
+    FROM a
+    JOIN b USING (case_id, question_no)),
+    blank AS (SELECT count(*) AS skipped_blank
+    FROM a
+    FULL
+    JOIN b USING (case_id, question_no)
+    WHERE a.answer IS NULL OR b.answer IS NULL)"""
 
 
 def _sheets(s, d):
@@ -150,7 +195,12 @@ def _sheets(s, d):
     return sheet(F.col("quality"), 10), sheet((F.col("n_chars") >= 300).cast("int"), 7)
 
 
-register("label_agreement", _LABELS + f" SELECT * FROM (SELECT '(all)' AS dimension, * FROM ({_diag('x', 'y', 'j')}) UNION ALL SELECT * FROM ({_diag('x', 'y', 'j', 'dimension')}) WHERE n >= 2), blank")(lambda s, d: agreement.label_agreement(*_sheets(s, d)))
+register("label_agreement", _LABELS + f""" SELECT *
+    FROM (SELECT '(all)' AS dimension, *
+    FROM ({_diag('x', 'y', 'j')})
+    UNION ALL SELECT *
+    FROM ({_diag('x', 'y', 'j', 'dimension')})
+    WHERE n >= 2), blank""")(lambda s, d: agreement.label_agreement(*_sheets(s, d)))
 
 # --- bootstrap
 
@@ -179,9 +229,15 @@ v AS (SELECT {group}{arm}, b, {value} AS value FROM (SELECT {group}{arm}, b, {',
 _CI = "quantile_cont(value, 0.025) AS lower, quantile_cont(value, 0.975) AS upper, count(*) FILTER (value IS NULL) AS n_failed"
 for _m, (_sums, _where, _unit, _k, _value) in _SUMS.items():
     _stats = f"SELECT pipeline_class, {_unit} AS unit, {_sums} FROM scored WHERE {_where} GROUP BY ALL"
-    register(f"bootstrap_{_m}", S(f", {_boot(_m, 'pipeline_class', _stats)} SELECT *, lower > 0 OR upper < 0 AS excludes_zero FROM o JOIN (SELECT pipeline_class, {_CI} FROM v GROUP BY 1) USING (pipeline_class)").replace("\n,", ",\n"))(
+    register(f"bootstrap_{_m}", S(f""", {_boot(_m, 'pipeline_class', _stats)} SELECT *, lower > 0 OR upper < 0 AS excludes_zero
+    FROM o
+    JOIN (SELECT pipeline_class, {_CI}
+    FROM v
+    GROUP BY 1) USING (pipeline_class)""").replace("\n,", ",\n"))(
         lambda s, d, m=_m: inference.intervals(scored(s, d), m, ["pipeline_class"], resamples=_B))
-    _pairs = f"SELECT a.pipeline_class AS arm_a, b.pipeline_class AS arm_b, a.unit, side, {', '.join(f'CASE WHEN side = 1 THEN a.s{i} ELSE b.s{i} END AS s{i}' for i in range(_k))} FROM st0 a JOIN st0 b ON a.unit = b.unit AND a.pipeline_class < b.pipeline_class, (SELECT unnest([1, 2]) AS side)"
+    _pairs = f"""SELECT a.pipeline_class AS arm_a, b.pipeline_class AS arm_b, a.unit, side, {', '.join(f'CASE WHEN side = 1 THEN a.s{i} ELSE b.s{i} END AS s{i}' for i in range(_k))}
+    FROM st0 a
+    JOIN st0 b ON a.unit = b.unit AND a.pipeline_class < b.pipeline_class, (SELECT unnest([1, 2]) AS side)"""
     _verdict = f"significant AND abs(observed) >= {inference.PRACTICAL[_m]} AS practical"
     register(f"paired_{_m}", S(f""", st0 AS ({_stats}), {_boot(_m, 'arm_a, arm_b', _pairs, 'side')} SELECT *, {_verdict} FROM (SELECT arm_a, arm_b, observed, lower, upper, n_failed, n_units, '{_m}' AS metric, coalesce(lower > 0 OR upper < 0, false) AS significant
 FROM (SELECT arm_a, arm_b, max(observed) FILTER (side = 1) - max(observed) FILTER (side = 2) AS observed FROM o GROUP BY 1, 2)
@@ -199,9 +255,14 @@ register("paired_comparisons", "\nUNION ALL\n".join(
     "SELECT " + _PART.format(a="arm_b" if sign else "arm_a", b="arm_a" if sign else "arm_b", sign=sign, low="upper" if sign else "lower", high="lower" if sign else "upper") + f" FROM ({SQL[f'paired_{m}']}) WHERE arm_a = '{a}' AND arm_b = '{b}'"
     for m in _SUMS for a, b, sign in _TURNS))(lambda s, d: inference.comparisons(scored(s, d), resamples=_B))
 _ENDED = f"SELECT pipeline_class, case_id AS unit, {_SUMS['crs'][0]} FROM scored WHERE {_SUMS['crs'][1]} AND NOT (truncated AND final_answer IS NULL) GROUP BY ALL"
-SQL_ENDED = S(f", {_boot('crs', 'pipeline_class', _ENDED)} SELECT pipeline_class, observed, lower, upper, n_failed FROM o JOIN (SELECT pipeline_class, {_CI} FROM v GROUP BY 1) USING (pipeline_class)").replace("\n,", ",\n")
+SQL_ENDED = S(f""", {_boot('crs', 'pipeline_class', _ENDED)} SELECT pipeline_class, observed, lower, upper, n_failed
+    FROM o
+    JOIN (SELECT pipeline_class, {_CI}
+    FROM v
+    GROUP BY 1) USING (pipeline_class)""").replace("\n,", ",\n")
 register("described_classes", "\nUNION ALL\n".join(
-    f"SELECT pipeline_class, '{m}' AS metric, '{v}' AS variant, observed AS value, lower, upper, n_failed, NULL::varchar AS error FROM ({sql})" for m, v, sql in [*((m, "all", SQL[f"bootstrap_{m}"]) for m in _SUMS), ("crs", "terminating", SQL_ENDED)]))(
+    f"""SELECT pipeline_class, '{m}' AS metric, '{v}' AS variant, observed AS value, lower, upper, n_failed, NULL::varchar AS error
+    FROM ({sql})""" for m, v, sql in [*((m, "all", SQL[f"bootstrap_{m}"]) for m in _SUMS), ("crs", "terminating", SQL_ENDED)]))(
     lambda s, d: inference.described(scored(s, d), resamples=_B))
 register("published_record", S("SELECT config_id, round_even(avg(value), 4) AS mean_value, round_even(avg(crs_score), 4) AS crs, count(*) AS n FROM scored GROUP BY 1"))(
     lambda s, d: inference.rounded(scored(s, d).groupBy("config_id").agg(F.avg("value").alias("mean_value"), F.avg("crs_score").alias("crs"), F.count("*").alias("n"))))

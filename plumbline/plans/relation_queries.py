@@ -44,9 +44,13 @@ def cases(s, d):
     return scored(s, d).select("case_id", "dimension", "seed_id", "noise_ratio", "is_answerable").distinct()
 
 
-_CONFIGS = "configs AS (SELECT row_number() OVER (ORDER BY c, r, k) - 1 AS config_no, cn AS pipeline_class, rn AS retriever, g || '_' || k AS generator_key, cn || '|' || rn || '|' || g || '_' || k AS config_id FROM (VALUES (0, 'naive', 'standard'), (1, 'reasoning', 'reasoning'), (2, 'agentic', 'reasoning')) a(c, cn, g), (VALUES (0, 'bm25'), (1, 'dpr')) b(r, rn), (VALUES (1), (2)) e(k))"
+_CONFIGS = """configs AS (SELECT row_number() OVER (ORDER BY c, r, k) - 1 AS config_no, cn AS pipeline_class, rn AS retriever, g || '_' || k AS generator_key, cn || '|' || rn || '|' || g || '_' || k AS config_id
+    FROM (VALUES (0, 'naive', 'standard'), (1, 'reasoning', 'reasoning'), (2, 'agentic', 'reasoning')) a(c, cn, g), (VALUES (0, 'bm25'), (1, 'dpr')) b(r, rn), (VALUES (1), (2)) e(k))"""
 register("matrix_configs", f"WITH {_CONFIGS} SELECT config_no::int AS config_no, pipeline_class, retriever, generator_key, config_id FROM configs")(lambda s, d: runs.matrix(s))
-_DONE = "work AS (SELECT c.*, f.*, config_id || '::' || case_id AS key FROM cases c, configs f WHERE NOT EXISTS (FROM scored s WHERE s.config_id = f.config_id AND s.case_id = c.case_id AND s.category = 'answer'))"
+_DONE = """work AS (SELECT c.*, f.*, config_id || '::' || case_id AS key
+    FROM cases c, configs f
+    WHERE NOT EXISTS (FROM scored s
+    WHERE s.config_id = f.config_id AND s.case_id = c.case_id AND s.category = 'answer'))"""
 
 
 def work(s, d):
@@ -55,14 +59,29 @@ def work(s, d):
 
 
 register("matrix_pending", C(_CASES, _CONFIGS, _DONE, then="SELECT key, dimension FROM work"))(lambda s, d: work(s, d).select("key", "dimension"))
-register("matrix_interleaved", C(_CASES, _CONFIGS, _DONE, "st AS (SELECT generator_key, row_number() OVER (ORDER BY min(config_no)) - 1 AS stream FROM work GROUP BY 1)", then="SELECT key, stream, row_number() OVER (PARTITION BY stream ORDER BY case_id, config_no) AS turn FROM work JOIN st USING (generator_key)"))(
+register("matrix_interleaved", C(_CASES, _CONFIGS, _DONE, """st AS (SELECT generator_key, row_number() OVER (ORDER BY min(config_no)) - 1 AS stream
+    FROM work
+    GROUP BY 1)""", then="""SELECT key, stream, row_number() OVER (PARTITION BY stream
+    ORDER BY case_id, config_no) AS turn
+    FROM work
+    JOIN st USING (generator_key)"""))(
     lambda s, d: runs.interleaved(work(s, d)).select("key", "stream", "turn"))
-register("run_plan", C(_CASES, _CONFIGS, _DONE, then="SELECT generator_key, count(*) AS pending, count(DISTINCT case_id) AS cases, count(DISTINCT config_id) AS configs FROM work GROUP BY 1"))(lambda s, d: runs.plan(work(s, d)))
+register("run_plan", C(_CASES, _CONFIGS, _DONE, then="""SELECT generator_key, count(*) AS pending, count(DISTINCT case_id) AS cases, count(DISTINCT config_id) AS configs
+    FROM work
+    GROUP BY 1"""))(lambda s, d: runs.plan(work(s, d)))
 L = lambda then: having("log", then=then)
 _LAST = "SELECT key, arg_max(error, line_no) AS e FROM log GROUP BY 1"
-register("log_last_wins", L("SELECT key, line_no, error, latency_s, coalesce(error <> '', false) AS failed, NOT coalesce(error <> '', false) AS done FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY line_no DESC) AS rn FROM log) WHERE rn = 1"))(
+register("log_last_wins", L("""SELECT key, line_no, error, latency_s, coalesce(error <> '', false) AS failed, NOT coalesce(error <> '', false) AS done
+    FROM (SELECT *, row_number() OVER (PARTITION BY key
+    ORDER BY line_no DESC) AS rn
+    FROM log)
+    WHERE rn = 1"""))(
     lambda s, d: runs.log_state(fixture(s, d, "log")).select("key", "line_no", "error", "latency_s", "failed", "done"))
-register("log_first_wins", L("SELECT key, line_no, latency_s FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY line_no) AS rn FROM log) WHERE rn = 1"))(lambda s, d: ranking.first_wins(fixture(s, d, "log").select("key", "line_no", "latency_s"), ["key"], "line_no"))
+register("log_first_wins", L("""SELECT key, line_no, latency_s
+    FROM (SELECT *, row_number() OVER (PARTITION BY key
+    ORDER BY line_no) AS rn
+    FROM log)
+    WHERE rn = 1"""))(lambda s, d: ranking.first_wins(fixture(s, d, "log").select("key", "line_no", "latency_s"), ["key"], "line_no"))
 
 
 def cache(s, d):
@@ -70,7 +89,9 @@ def cache(s, d):
 
 
 _CACHE = "cache AS (SELECT 'k' || event_id::varchar AS key, 'm' || (user_id % 4)::varchar AS model, user_id AS prompt_tokens, user_id % 9 AS completion_tokens FROM events WHERE event_id % 3 <> 0)"
-register("cache_stats", f"WITH {_CACHE} SELECT model, count(*) AS n, sum(prompt_tokens + completion_tokens)::bigint AS tokens FROM cache GROUP BY GROUPING SETS ((model), ())")(lambda s, d: runs.cache_stats(cache(s, d)))
+register("cache_stats", f"""WITH {_CACHE} SELECT model, count(*) AS n, sum(prompt_tokens + completion_tokens)::bigint AS tokens
+    FROM cache
+    GROUP BY GROUPING SETS ((model), ())""")(lambda s, d: runs.cache_stats(cache(s, d)))
 register("cache_lookup", f"WITH {_CACHE}, r AS (SELECT 'k' || event_id::varchar AS key FROM events) SELECT key, model, key IN (SELECT key FROM cache) AS hit FROM r LEFT JOIN cache USING (key)")(
     lambda s, d: runs.lookup(table(s, d, "events").select(F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("key")), cache(s, d)).select("key", "model", "hit"))
 register("replay_hits", f"WITH {_CACHE} SELECT key, model FROM cache")(lambda s, d: runs.replayed(cache(s, d).select("key"), cache(s, d)).select("key", "model"))
@@ -81,35 +102,94 @@ def arms(s, d):
     return scored(s, d).filter("category = 'answer'").select("case_id", "pipeline_class", "generator_key", "retriever", F.array((F.floor("value") % 2).cast("int"), (F.length("case_id") % 2).cast("int")).alias("passage_ids"))
 
 
-register("sibling_arms", C(_ARM.replace("value::int % 2", "floor(value)::int % 2"), then="SELECT a.case_id, a.pipeline_class, a.generator_key, a.retriever, a.passage_ids = b.passage_ids AS shared FROM arms a LEFT JOIN arms b ON a.case_id = b.case_id AND a.pipeline_class = b.pipeline_class AND a.generator_key = b.generator_key AND a.retriever <> b.retriever"))(
+register("sibling_arms", C(_ARM.replace("value::int % 2", "floor(value)::int % 2"), then="""SELECT a.case_id, a.pipeline_class, a.generator_key, a.retriever, a.passage_ids = b.passage_ids AS shared
+    FROM arms a
+    LEFT
+    JOIN arms b ON a.case_id = b.case_id AND a.pipeline_class = b.pipeline_class AND a.generator_key = b.generator_key AND a.retriever <> b.retriever"""))(
     lambda s, d: runs.sibling_arms(arms(s, d)).drop("passage_ids"))
-register("provenance_semi", S("SELECT config_id, case_id FROM scored WHERE final_answer IS NOT NULL AND (generator_key, sha1(final_answer)) IN (SELECT generator_key, sha1(final_answer) FROM scored WHERE category = 'refusal' AND final_answer IS NOT NULL)"))(
+register("provenance_semi", S("""SELECT config_id, case_id
+    FROM scored
+    WHERE final_answer IS NOT NULL AND (generator_key, sha1(final_answer)) IN (SELECT generator_key, sha1(final_answer)
+    FROM scored
+    WHERE category = 'refusal' AND final_answer IS NOT NULL)"""))(
     lambda s, d: runs.provenance(scored(s, d).filter("final_answer IS NOT NULL"), scored(s, d).filter("category = 'refusal' AND final_answer IS NOT NULL").select("generator_key", F.sha1(F.col("final_answer").cast("binary")).alias("sha1")).distinct(), "final_answer").select("config_id", "case_id"))
-register("seed_overlap", S("SELECT a.dimension AS a, b.dimension AS b, count(*) FILTER (a.seed_id = b.seed_id) AS n FROM (SELECT DISTINCT dimension, seed_id FROM scored) a, (SELECT DISTINCT dimension, seed_id FROM scored) b WHERE a.dimension < b.dimension GROUP BY 1, 2"))(lambda s, d: runs.seed_overlap(scored(s, d)))
-register("stale_reviews", S("SELECT case_id FROM (SELECT 'refusal-nq-' || doc_id::varchar || '-0' AS case_id FROM labels UNION SELECT case_id FROM scored WHERE truncated) EXCEPT SELECT case_id FROM scored WHERE dimension = 'refusal' EXCEPT SELECT case_id FROM scored WHERE noise_ratio = 0.9"))(
+register("seed_overlap", S("""SELECT a.dimension AS a, b.dimension AS b, count(*) FILTER (a.seed_id = b.seed_id) AS n
+    FROM (SELECT DISTINCT dimension, seed_id
+    FROM scored) a, (SELECT DISTINCT dimension, seed_id
+    FROM scored) b
+    WHERE a.dimension < b.dimension
+    GROUP BY 1, 2"""))(lambda s, d: runs.seed_overlap(scored(s, d)))
+register("stale_reviews", S("""SELECT case_id
+    FROM (SELECT 'refusal-nq-' || doc_id::varchar || '-0' AS case_id
+    FROM labels UNION SELECT case_id
+    FROM scored
+    WHERE truncated) EXCEPT SELECT case_id
+    FROM scored
+    WHERE dimension = 'refusal' EXCEPT SELECT case_id
+    FROM scored
+    WHERE noise_ratio = 0.9"""))(
     lambda s, d: runs.stale_reviews([table(s, d, "labels").select(F.concat(F.lit("refusal-nq-"), F.col("doc_id").cast("string"), F.lit("-0")).alias("case_id")), scored(s, d).filter("truncated")], scored(s, d).filter("dimension = 'refusal'"), scored(s, d).filter("noise_ratio = 0.9")))
-register("review_failures", "WITH x AS (SELECT 'c' || (doc_id % 50)::varchar AS case_id, doc_id AS line_no, 'q' || (doc_id % 3)::varchar || CASE WHEN quality = 0 THEN ' [bad]' ELSE '' END AS reason FROM labels WHERE toxic = 1 OR quality = 0) SELECT case_id, list(reason ORDER BY line) AS reasons FROM (SELECT case_id, reason, min(line_no) AS line FROM x GROUP BY 1, 2) GROUP BY 1")(
+register("review_failures", """WITH x AS (SELECT 'c' || (doc_id % 50)::varchar AS case_id, doc_id AS line_no, 'q' || (doc_id % 3)::varchar || CASE WHEN quality = 0 THEN ' [bad]' ELSE '' END AS reason
+    FROM labels
+    WHERE toxic = 1 OR quality = 0)
+    SELECT case_id, list(reason
+    ORDER BY line) AS reasons
+    FROM (SELECT case_id, reason, min(line_no) AS line
+    FROM x
+    GROUP BY 1, 2)
+    GROUP BY 1""")(
     lambda s, d: runs.review_failures(table(s, d, "labels").select(F.concat(F.lit("c"), (F.col("doc_id") % 50).cast("string")).alias("case_id"), F.col("doc_id").alias("line_no"), F.concat(F.lit("q"), (F.col("doc_id") % 3).cast("string")).alias("question"), F.when((F.col("toxic") == 1) | (F.col("quality") == 0), " No").otherwise("yes").alias("answer"), F.when(F.col("quality") == 0, "bad ").otherwise("").alias("notes"))))
-register("throughput_arms", having("samples", then="SELECT arm, count(*) FILTER (ok) AS n_ok, count(*) FILTER (NOT ok) AS n_failed, coalesce(avg(prompt_tokens) FILTER (ok), 0) AS mean_prompt, coalesce(avg(completion_tokens) FILTER (ok), 0) AS mean_completion, coalesce(quantile_disc(latency_s, 0.5) FILTER (ok), 0) AS p50, coalesce(quantile_disc(latency_s, 0.95) FILTER (ok), 0) AS p95 FROM samples GROUP BY 1"))(
+register("throughput_arms", having("samples", then="""SELECT arm, count(*) FILTER (ok) AS n_ok, count(*) FILTER (NOT ok) AS n_failed, coalesce(avg(prompt_tokens) FILTER (ok), 0) AS mean_prompt, coalesce(avg(completion_tokens) FILTER (ok), 0) AS mean_completion, coalesce(quantile_disc(latency_s, 0.5) FILTER (ok), 0) AS p50, coalesce(quantile_disc(latency_s, 0.95) FILTER (ok), 0) AS p95
+    FROM samples
+    GROUP BY 1"""))(
     lambda s, d: runs.arm_stats(fixture(s, d, "samples")))
-register("throughput_projection", having("samples", then="SELECT *, CASE WHEN projected_hours / 40 <= 0.5 THEN 'comfortable' WHEN projected_hours / 40 <= 0.8 THEN 'fits' WHEN projected_hours / 40 <= 1.5 THEN 'tight' ELSE 'does not fit' END AS verdict FROM (SELECT *, projected_hours * 1.1 AS projected_usd FROM (SELECT *, 69600 / observed_rps / 3600.0 AS projected_hours FROM (SELECT count(*) FILTER (ok) AS n_ok, count(*) FILTER (NOT ok) AS n_failed, count(*) FILTER (ok) / 20000.0 AS observed_rps FROM samples)))"))(
+register("throughput_projection", having("samples", then="""SELECT *, CASE WHEN projected_hours / 40 <= 0.5 THEN 'comfortable' WHEN projected_hours / 40 <= 0.8 THEN 'fits' WHEN projected_hours / 40 <= 1.5 THEN 'tight' ELSE 'does not fit' END AS verdict
+    FROM (SELECT *, projected_hours * 1.1 AS projected_usd
+    FROM (SELECT *, 69600 / observed_rps / 3600.0 AS projected_hours
+    FROM (SELECT count(*) FILTER (ok) AS n_ok, count(*) FILTER (NOT ok) AS n_failed, count(*) FILTER (ok) / 20000.0 AS observed_rps
+    FROM samples)))"""))(
     lambda s, d: runs.projection(fixture(s, d, "samples"), wall_clock_s=20000.0, total_calls=69600, gpu_hourly_usd=1.1, budget_hours=40.0))
-register("backoff_delays", "SELECT event_id, least(30.0, 0.5 * pow(2.0, (event_id % 9 + 1) - 1)) AS delay FROM events")(lambda s, d: table(s, d, "events").select("event_id", runs.backoff(F.col("event_id") % 9 + 1).alias("delay")))
+register("backoff_delays", """SELECT event_id, least(30.0, 0.5 * pow(2.0, (event_id % 9 + 1) - 1)) AS delay
+    FROM events""")(lambda s, d: table(s, d, "events").select("event_id", runs.backoff(F.col("event_id") % 9 + 1).alias("delay")))
 
 # --- set operations
 
-register("union_testbeds", S("SELECT dimension, case_id FROM scored WHERE dimension = 'refusal' UNION ALL SELECT dimension, case_id FROM scored WHERE dimension = 'conflict'"))(lambda s, d: scored(s, d).filter("dimension = 'refusal'").select("dimension", "case_id").unionByName(scored(s, d).filter("dimension = 'conflict'").select("dimension", "case_id")))
-register("intersect_units", S("SELECT case_id FROM scored WHERE pipeline_class = 'naive' AND category = 'refusal' INTERSECT SELECT case_id FROM scored WHERE pipeline_class = 'agentic' AND category = 'refusal'"))(lambda s, d: scored(s, d).filter("pipeline_class = 'naive' AND category = 'refusal'").select("case_id").intersect(scored(s, d).filter("pipeline_class = 'agentic' AND category = 'refusal'").select("case_id")))
-register("except_units", S("SELECT case_id FROM scored WHERE category = 'refusal' EXCEPT SELECT case_id FROM scored WHERE category = 'answer'"))(lambda s, d: scored(s, d).filter("category = 'refusal'").select("case_id").subtract(scored(s, d).filter("category = 'answer'").select("case_id")))
-register("symmetric_difference", "SELECT count(*) AS n FROM (SELECT doc_id FROM labels WHERE quality = 0) a FULL JOIN (SELECT doc_id FROM labels WHERE toxic = 1) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL")(
+register("union_testbeds", S("""SELECT dimension, case_id
+    FROM scored
+    WHERE dimension = 'refusal'
+    UNION ALL SELECT dimension, case_id
+    FROM scored
+    WHERE dimension = 'conflict'"""))(lambda s, d: scored(s, d).filter("dimension = 'refusal'").select("dimension", "case_id").unionByName(scored(s, d).filter("dimension = 'conflict'").select("dimension", "case_id")))
+register("intersect_units", S("""SELECT case_id
+    FROM scored
+    WHERE pipeline_class = 'naive' AND category = 'refusal' INTERSECT SELECT case_id
+    FROM scored
+    WHERE pipeline_class = 'agentic' AND category = 'refusal'"""))(lambda s, d: scored(s, d).filter("pipeline_class = 'naive' AND category = 'refusal'").select("case_id").intersect(scored(s, d).filter("pipeline_class = 'agentic' AND category = 'refusal'").select("case_id")))
+register("except_units", S("""SELECT case_id
+    FROM scored
+    WHERE category = 'refusal' EXCEPT SELECT case_id
+    FROM scored
+    WHERE category = 'answer'"""))(lambda s, d: scored(s, d).filter("category = 'refusal'").select("case_id").subtract(scored(s, d).filter("category = 'answer'").select("case_id")))
+register("symmetric_difference", """SELECT count(*) AS n
+    FROM (SELECT doc_id
+    FROM labels
+    WHERE quality = 0) a
+    FULL
+    JOIN (SELECT doc_id
+    FROM labels
+    WHERE toxic = 1) b ON a.doc_id = b.doc_id
+    WHERE a.doc_id IS NULL OR b.doc_id IS NULL""")(
     lambda s, d: table(s, d, "labels").filter("quality = 0").select(F.col("doc_id").alias("a")).join(table(s, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("b")), F.col("a") == F.col("b"), "full").filter("a IS NULL OR b IS NULL").agg(F.count("*").alias("n")))
-register("answer_jaccard", f"SELECT doc_id, coalesce(len(list_intersect(a, b))::double / nullif(len(list_distinct(list_concat(a, b))), 0), 0) AS j FROM (SELECT doc_id, list_distinct({_WORDS('lower(substr(text, 1, (length(text) // 2)::int))')}) AS a, list_distinct({_WORDS('lower(substr(text, (length(text) // 2)::int + 1))')}) AS b FROM documents)")(
+register("answer_jaccard", f"""SELECT doc_id, coalesce(len(list_intersect(a, b))::double / nullif(len(list_distinct(list_concat(a, b))), 0), 0) AS j
+    FROM (SELECT doc_id, list_distinct({_WORDS('lower(substr(text, 1, (length(text) // 2)::int))')}) AS a, list_distinct({_WORDS('lower(substr(text, (length(text) // 2)::int + 1))')}) AS b
+    FROM documents)""")(
     lambda s, d: table(s, d, "documents").withColumn("half", F.floor(F.length("text") / 2).cast("int")).select("doc_id", T.jaccard(F.array_distinct(T.lower_words(F.expr("substring(text, 1, half)"))), F.array_distinct(T.lower_words(F.expr("substring(text, half + 1)")))).alias("j")))
 
 # --- ranking and sampling
 
 _H = lambda seed, *k: f"md5(concat_ws('|', '{seed}', {', '.join(k)}))"
-_RAGAS = "rg AS (SELECT *, CASE WHEN category = 'refusal' THEN NULL ELSE value / 500 END AS faithfulness, least(1, value / 100) AS answer_relevance, least(1, value / 1000) AS context_relevance FROM scored)"
+_RAGAS = """rg AS (SELECT *, CASE WHEN category = 'refusal' THEN NULL ELSE value / 500 END AS faithfulness, least(1, value / 100) AS answer_relevance, least(1, value / 1000) AS context_relevance
+    FROM scored)"""
 
 
 def ragas(s, d):
@@ -118,30 +198,82 @@ def ragas(s, d):
 
 
 _RANK = lambda v: f"rank() OVER (PARTITION BY pipeline_class ORDER BY {v}) + (count(*) OVER (PARTITION BY pipeline_class, {v}) - 1) / 2.0e0"
-register("spearman_by_class", C("x AS (SELECT pipeline_class, crs_score AS a, floor(value / 7) AS b FROM scored WHERE crs_score IS NOT NULL)", f"r AS (SELECT pipeline_class, {_RANK('a')} AS ra, {_RANK('b')} AS rb FROM x)", then="SELECT pipeline_class, count(*) AS n, corr(ra, rb) AS rho FROM r GROUP BY 1"))(
+register("spearman_by_class", C("""x AS (SELECT pipeline_class, crs_score AS a, floor(value / 7) AS b
+    FROM scored
+    WHERE crs_score IS NOT NULL)""", f"""r AS (SELECT pipeline_class, {_RANK('a')} AS ra, {_RANK('b')} AS rb
+    FROM x)""", then="""SELECT pipeline_class, count(*) AS n, corr(ra, rb) AS rho
+    FROM r
+    GROUP BY 1"""))(
     lambda s, d: ranking.spearman(scored(s, d).select("pipeline_class", "crs_score", F.floor(F.col("value") / 7).alias("b")), "crs_score", "b", ["pipeline_class"]))
-register("seed_sample", S(f"SELECT seed_id FROM (SELECT DISTINCT seed_id FROM scored) ORDER BY {_H(101, 'seed_id')}, seed_id LIMIT 30"))(lambda s, d: ranking.sample(scored(s, d).select("seed_id").distinct(), 30, 101, "seed_id"))
-register("stratum_sample", S(f"SELECT config_id, case_id FROM (SELECT *, row_number() OVER (PARTITION BY dimension, pipeline_class ORDER BY {_H(7, 'config_id', 'case_id')}, config_id, case_id) AS rn FROM scored) WHERE rn <= 50"))(
+register("seed_sample", S(f"""SELECT seed_id
+    FROM (SELECT DISTINCT seed_id
+    FROM scored)
+    ORDER BY {_H(101, 'seed_id')}, seed_id LIMIT 30"""))(lambda s, d: ranking.sample(scored(s, d).select("seed_id").distinct(), 30, 101, "seed_id"))
+register("stratum_sample", S(f"""SELECT config_id, case_id
+    FROM (SELECT *, row_number() OVER (PARTITION BY dimension, pipeline_class
+    ORDER BY {_H(7, 'config_id', 'case_id')}, config_id, case_id) AS rn
+    FROM scored)
+    WHERE rn <= 50"""))(
     lambda s, d: ranking.sample_per_stratum(scored(s, d), ["dimension", "pipeline_class"], 50, 7, "config_id", "case_id").select("config_id", "case_id"))
-register("largest_remainder", S("SELECT dimension, n, (f + (row_number() OVER (ORDER BY e - f DESC, dimension) <= 50 - sum(f) OVER ())::int)::int AS quota FROM (SELECT dimension, n, n * 50.0e0 / sum(n) OVER () AS e, floor(n * 50.0e0 / sum(n) OVER ()) AS f FROM (SELECT dimension, count(DISTINCT case_id) AS n FROM scored GROUP BY 1))"))(
+register("largest_remainder", S("""SELECT dimension, n, (f + (row_number() OVER (ORDER BY e - f DESC, dimension) <= 50 - sum(f) OVER ())::int)::int AS quota
+    FROM (SELECT dimension, n, n * 50.0e0 / sum(n) OVER () AS e, floor(n * 50.0e0 / sum(n) OVER ()) AS f
+    FROM (SELECT dimension, count(DISTINCT case_id) AS n
+    FROM scored
+    GROUP BY 1))"""))(
     lambda s, d: ranking.quotas(scored(s, d).groupBy("dimension").agg(F.count_distinct("case_id").alias("n")), "dimension", "n", 50))
 _STRAT = f"""m AS (SELECT dimension, seed_id, case_id, row_number() OVER (PARTITION BY dimension, seed_id ORDER BY case_id) - 1 AS nth FROM (SELECT DISTINCT dimension, seed_id, case_id FROM scored WHERE coalesce(noise_ratio, 1) > 0)),
 b AS (SELECT dimension, seed_id, count(*) AS members FROM m GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY {_H(9, 'dimension', 'seed_id')}, seed_id) - 1 AS place FROM b),
 z AS (SELECT dimension, floor(count(*) * 0.175e0 + 0.5)::int AS quota FROM b GROUP BY 1),
 y AS (SELECT dimension, (f + (row_number() OVER (ORDER BY e - f DESC, dimension) <= 20 - sum(f) OVER ())::int)::int AS share FROM (SELECT dimension, quota * 20.0e0 / sum(quota) OVER () AS e, floor(quota * 20.0e0 / sum(quota) OVER ()) AS f FROM z))"""
-register("stratified_sample", C(_STRAT, then="SELECT dimension, seed_id, case_id, place, place < share AS second_rater FROM p JOIN z USING (dimension) JOIN m USING (dimension, seed_id) JOIN y USING (dimension) WHERE place < quota AND nth = place % members"))(
+register("stratified_sample", C(_STRAT, then="""SELECT dimension, seed_id, case_id, place, place < share AS second_rater
+    FROM p
+    JOIN z USING (dimension)
+    JOIN m USING (dimension, seed_id)
+    JOIN y USING (dimension)
+    WHERE place < quota AND nth = place % members"""))(
     lambda s, d: ranking.stratified_sample(scored(s, d).filter("coalesce(noise_ratio, 1) > 0"), fraction=0.175, second=20, seed=9))
-register("balanced_sample", C(f"r AS (SELECT config_id, case_id, pipeline_class, {_H(5, 'config_id', 'case_id')} AS h FROM scored WHERE crs_score IS NOT NULL)", "k AS (SELECT *, row_number() OVER (PARTITION BY pipeline_class ORDER BY h, config_id, case_id) <= floor(100 / (SELECT count(DISTINCT pipeline_class) FROM r)) AS own FROM r)", then="SELECT config_id, case_id FROM k ORDER BY own DESC, h, config_id, case_id LIMIT 100"))(
+register("balanced_sample", C(f"""r AS (SELECT config_id, case_id, pipeline_class, {_H(5, 'config_id', 'case_id')} AS h
+    FROM scored
+    WHERE crs_score IS NOT NULL)""", """k AS (SELECT *, row_number() OVER (PARTITION BY pipeline_class
+    ORDER BY h, config_id, case_id) <= floor(100 / (SELECT count(DISTINCT pipeline_class)
+    FROM r)) AS own
+    FROM r)""", then="""SELECT config_id, case_id
+    FROM k
+    ORDER BY own DESC, h, config_id, case_id LIMIT 100"""))(
     lambda s, d: ranking.balanced_sample(scored(s, d).filter("crs_score IS NOT NULL"), "pipeline_class", 100, 5, "config_id", "case_id").select("config_id", "case_id"))
-register("category_sample", C(f"r AS (SELECT config_id, case_id, category, {_H(6, 'config_id', 'case_id')} AS h FROM scored)", "k AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY h, config_id, case_id) <= floor(200 / (SELECT count(DISTINCT category) FROM r)) AS own FROM r)", then="SELECT config_id, case_id, category FROM k ORDER BY own DESC, h, config_id, case_id LIMIT 200"))(
+register("category_sample", C(f"""r AS (SELECT config_id, case_id, category, {_H(6, 'config_id', 'case_id')} AS h
+    FROM scored)""", """k AS (SELECT *, row_number() OVER (PARTITION BY category
+    ORDER BY h, config_id, case_id) <= floor(200 / (SELECT count(DISTINCT category)
+    FROM r)) AS own
+    FROM r)""", then="""SELECT config_id, case_id, category
+    FROM k
+    ORDER BY own DESC, h, config_id, case_id LIMIT 200"""))(
     lambda s, d: ranking.balanced_sample(scored(s, d), "category", 200, 6, "config_id", "case_id").select("config_id", "case_id", "category"))
-register("protected_trim", S("SELECT case_id FROM (SELECT case_id, bool_or(truncated) AS p FROM scored WHERE dimension = 'refusal' GROUP BY 1) ORDER BY p DESC, case_id DESC LIMIT 40"))(lambda s, d: ranking.protected_trim(scored(s, d).filter("dimension = 'refusal'").groupBy("case_id").agg(F.bool_or("truncated").alias("p")), "p", "case_id", 40).select("case_id"))
-register("held_out_subset", C(_RAGAS, then="SELECT key FROM (SELECT config_id || '::' || case_id AS key, case_id FROM rg WHERE faithfulness IS NOT NULL) WHERE case_id NOT IN (SELECT case_id FROM scored WHERE truncated)"))(
+register("protected_trim", S("""SELECT case_id
+    FROM (SELECT case_id, bool_or(truncated) AS p
+    FROM scored
+    WHERE dimension = 'refusal'
+    GROUP BY 1)
+    ORDER BY p DESC, case_id DESC LIMIT 40"""))(lambda s, d: ranking.protected_trim(scored(s, d).filter("dimension = 'refusal'").groupBy("case_id").agg(F.bool_or("truncated").alias("p")), "p", "case_id", 40).select("case_id"))
+register("held_out_subset", C(_RAGAS, then="""SELECT key
+    FROM (SELECT config_id || '::' || case_id AS key, case_id
+    FROM rg
+    WHERE faithfulness IS NOT NULL)
+    WHERE case_id NOT IN (SELECT case_id
+    FROM scored
+    WHERE truncated)"""))(
     lambda s, d: ragas(s, d).filter("faithfulness IS NOT NULL").join(scored(s, d).filter("truncated").select("case_id").distinct(), "case_id", "left_anti").select(F.concat("config_id", F.lit("::"), "case_id").alias("key")))
 
 # --- retrieval and vectors
 
-_TOP = "q AS (SELECT vec_id AS anchor_id, embedding::double[] AS a FROM embeddings WHERE vec_id % 20 = 0), cnd AS (SELECT vec_id AS candidate_id, embedding::double[] AS v FROM embeddings), sims AS (SELECT anchor_id, candidate_id, list_inner_product(a, v) / greatest(sqrt(list_inner_product(a, a)) * sqrt(list_inner_product(v, v)), 1e-9) AS similarity FROM q, cnd WHERE anchor_id <> candidate_id)"
+_TOP = """q AS (SELECT vec_id AS anchor_id, embedding::double[] AS a
+    FROM embeddings
+    WHERE vec_id % 20 = 0),
+    cnd AS (SELECT vec_id AS candidate_id, embedding::double[] AS v
+    FROM embeddings),
+    sims AS (SELECT anchor_id, candidate_id, list_inner_product(a, v) / greatest(sqrt(list_inner_product(a, a)) * sqrt(list_inner_product(v, v)), 1e-9) AS similarity
+    FROM q, cnd
+    WHERE anchor_id <> candidate_id)"""
 
 
 def bands(s, d, k, low=0.1, high=0.4):
@@ -152,13 +284,31 @@ def bands(s, d, k, low=0.1, high=0.4):
 
 
 
-register("nearest_distractors", f"WITH {_TOP} SELECT anchor_id, candidate_id, round(similarity, 9) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY similarity DESC, candidate_id) AS rank FROM sims WHERE similarity BETWEEN 0.1 AND 0.4) WHERE rank <= 12")(
+register("nearest_distractors", f"""WITH {_TOP} SELECT anchor_id, candidate_id, round(similarity, 9) AS similarity, rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id
+    ORDER BY similarity DESC, candidate_id) AS rank
+    FROM sims
+    WHERE similarity BETWEEN 0.1 AND 0.4)
+    WHERE rank <= 12""")(
     lambda s, d: retrieval.nearest(bands(s, d, 12), 12).withColumn("similarity", F.round("similarity", 9)))
-register("replacement_top1", f"WITH {_TOP} SELECT anchor_id, candidate_id FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY similarity DESC, candidate_id) AS rank FROM sims WHERE similarity BETWEEN 0.1 AND 0.4) WHERE rank = 1")(lambda s, d: retrieval.nearest(bands(s, d, 1), 1).select("anchor_id", "candidate_id"))
-register("dense_topk", f"WITH {_TOP} SELECT anchor_id, candidate_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY similarity DESC, candidate_id) AS rank FROM sims) WHERE rank <= 5")(lambda s, d: retrieval.nearest(bands(s, d, 5, -2.0, 2.0), 5).select("anchor_id", "candidate_id", "rank"))
-register("unit_vectors", "SELECT vec_id, round(list_inner_product(e, e) / pow(greatest(sqrt(list_inner_product(e, e)), 1e-9), 2), 9) AS length2, round(e[1] / greatest(sqrt(list_inner_product(e, e)), 1e-9), 9) AS first FROM (SELECT vec_id, embedding::double[] AS e FROM embeddings)")(
+register("replacement_top1", f"""WITH {_TOP} SELECT anchor_id, candidate_id
+    FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id
+    ORDER BY similarity DESC, candidate_id) AS rank
+    FROM sims
+    WHERE similarity BETWEEN 0.1 AND 0.4)
+    WHERE rank = 1""")(lambda s, d: retrieval.nearest(bands(s, d, 1), 1).select("anchor_id", "candidate_id"))
+register("dense_topk", f"""WITH {_TOP} SELECT anchor_id, candidate_id, rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id
+    ORDER BY similarity DESC, candidate_id) AS rank
+    FROM sims)
+    WHERE rank <= 5""")(lambda s, d: retrieval.nearest(bands(s, d, 5, -2.0, 2.0), 5).select("anchor_id", "candidate_id", "rank"))
+register("unit_vectors", """SELECT vec_id, round(list_inner_product(e, e) / pow(greatest(sqrt(list_inner_product(e, e)), 1e-9), 2), 9) AS length2, round(e[1] / greatest(sqrt(list_inner_product(e, e)), 1e-9), 9) AS first
+    FROM (SELECT vec_id, embedding::double[] AS e
+    FROM embeddings)""")(
     lambda s, d: table(s, d, "embeddings").withColumn("u", V.unit(F.col("embedding"))).select("vec_id", F.round(V.dot(F.col("u"), F.col("u")), 9).alias("length2"), F.round(F.get("u", F.lit(0)), 9).alias("first")))
-register("strict_cosine", "SELECT vec_id, round(list_cosine_similarity(e, list_reverse(e)), 9) AS c FROM (SELECT vec_id, embedding::double[] AS e FROM embeddings)")(lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(V.strict_cosine(F.col("embedding"), F.reverse("embedding")), 9).alias("c")))
+register("strict_cosine", """SELECT vec_id, round(list_cosine_similarity(e, list_reverse(e)), 9) AS c
+    FROM (SELECT vec_id, embedding::double[] AS e
+    FROM embeddings)""")(lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(V.strict_cosine(F.col("embedding"), F.reverse("embedding")), 9).alias("c")))
 _BM = f"""w AS (SELECT case_no, passage_id, pos, {_WORDS('lower(text)')} AS w FROM passages), le AS (SELECT case_no, passage_id, pos, len(w) AS dl FROM w), st AS (SELECT case_no, count(*) AS n, avg(dl) AS avgdl FROM le GROUP BY 1),
 tf AS (SELECT case_no, passage_id, term, count(*) AS tf FROM (SELECT case_no, passage_id, unnest(w) AS term FROM w) GROUP BY ALL), df AS (SELECT case_no, term, count(*) AS df FROM tf GROUP BY ALL), ra AS (SELECT *, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df JOIN st USING (case_no)),
 fl AS (SELECT case_no, 0.25e0 * avg(raw) AS floor FROM ra GROUP BY 1), qs AS (SELECT case_no, term, count(*) AS times FROM (SELECT case_no, unnest({_WORDS('lower(text)')}[1:6]) AS term FROM passages WHERE pos % 10 = 3) GROUP BY ALL),
@@ -173,8 +323,17 @@ def bm25_ranked(s, d):
 
 
 register("bm25_ranks", C(_BM, then="SELECT * FROM rk", of=("passages",)))(lambda s, d: bm25_ranked(s, d).select("case_no", "passage_id", "score", "rank"))
-register("bm25_topk", C(_BM, then="SELECT case_no, passage_id, rank FROM rk WHERE rank <= 5", of=("passages",)))(lambda s, d: bm25_ranked(s, d).filter("rank <= 5").select("case_no", "passage_id", "rank"))
-register("safe_pool", f"WITH an AS (SELECT DISTINCT array_to_string({_WORDS('text')}[1:2], ' ') AS answer FROM benchmark) SELECT answer, pos, rank FROM (SELECT answer, doc_id AS pos, row_number() OVER (PARTITION BY answer ORDER BY doc_id) AS rank FROM documents, an WHERE doc_id % 4 <> 0 AND NOT contains(lower(text), lower(trim(answer)))) WHERE rank <= 20")(
+register("bm25_topk", C(_BM, then="""SELECT case_no, passage_id, rank
+    FROM rk
+    WHERE rank <= 5""", of=("passages",)))(lambda s, d: bm25_ranked(s, d).filter("rank <= 5").select("case_no", "passage_id", "rank"))
+register("safe_pool", f"""WITH an AS (SELECT DISTINCT array_to_string({_WORDS('text')}[1:2], ' ') AS answer
+    FROM benchmark)
+    SELECT answer, pos, rank
+    FROM (SELECT answer, doc_id AS pos, row_number() OVER (PARTITION BY answer
+    ORDER BY doc_id) AS rank
+    FROM documents, an
+    WHERE doc_id % 4 <> 0 AND NOT contains(lower(text), lower(trim(answer))))
+    WHERE rank <= 20""")(
     lambda s, d: retrieval.safe_pool(table(s, d, "benchmark").select(F.array_join(F.slice(T.words(F.col("text")), 1, 2), " ").alias("answer")), table(s, d, "documents").select(F.col("doc_id").alias("pos"), "text", (F.col("doc_id") % 4 == 0).alias("is_answer_bearing"))))
 
 
@@ -184,7 +343,14 @@ def viewed(s, d):
     return table(s, d, "events").filter("event_type = 'view'").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x % n).alias("ids"))
 
 
-register("ordered_texts", "SELECT user_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY place)) AS context FROM (SELECT user_id, event_id AS place, event_id % (SELECT count(*) FROM documents) AS doc_id FROM events WHERE event_type = 'view') JOIN documents USING (doc_id) GROUP BY 1")(
+register("ordered_texts", """SELECT user_id, md5(string_agg(text, chr(10) || chr(10)
+    ORDER BY place)) AS context
+    FROM (SELECT user_id, event_id AS place, event_id % (SELECT count(*)
+    FROM documents) AS doc_id
+    FROM events
+    WHERE event_type = 'view')
+    JOIN documents USING (doc_id)
+    GROUP BY 1""")(
     lambda s, d: retrieval.ordered_texts(viewed(s, d), table(s, d, "documents"), "user_id", "ids", "doc_id").select("user_id", F.md5(F.col("context").cast("binary")).alias("context")))
 
 # --- testbeds
@@ -202,11 +368,18 @@ def seeds(s, d):
     return out.select(F.concat(F.lit("nq-"), F.col("sd").cast("string")).alias("seed_id"), F.lit("q").alias("query"), answer.alias("answer"), F.transform("ps", lambda x: x["p"]).alias("passages"))
 
 
-register("seed_filter", f"WITH {_SEEDS} SELECT reason, count(*) AS n FROM (SELECT seed_id, CASE WHEN NOT bool_or(bearing) THEN 'no_answer_passage' WHEN length(trim(any_value(answer))) < 2 THEN 'ambiguous_answer' WHEN contains(any_value(answer), ';') THEN 'multi_answer' WHEN sum(tokens) < 50 THEN 'evidence_too_short' WHEN sum(tokens) > 2000 THEN 'evidence_too_long' END AS reason FROM ps GROUP BY seed_id) GROUP BY 1")(
+register("seed_filter", f"""WITH {_SEEDS} SELECT reason, count(*) AS n
+    FROM (SELECT seed_id, CASE WHEN NOT bool_or(bearing) THEN 'no_answer_passage' WHEN length(trim(any_value(answer))) < 2 THEN 'ambiguous_answer' WHEN contains(any_value(answer), ';') THEN 'multi_answer' WHEN sum(tokens) < 50 THEN 'evidence_too_short' WHEN sum(tokens) > 2000 THEN 'evidence_too_long' END AS reason
+    FROM ps
+    GROUP BY seed_id)
+    GROUP BY 1""")(
     lambda s, d: seeds(s, d).select(testbeds.reject_reason().alias("reason")).groupBy("reason").agg(F.count("*").alias("n")))
 register("seed_integrity", f"""WITH {_SEEDS} SELECT seed_id, NULL::varchar AS passage_id, CASE WHEN trim(any_value(answer)) = '' THEN 'empty answer' ELSE 'no answer-bearing passage' END AS problem FROM ps GROUP BY seed_id HAVING trim(any_value(answer)) = '' OR NOT bool_or(bearing)
 UNION ALL SELECT seed_id, passage_id, 'answer not in the text' FROM ps WHERE bearing AND trim(answer) <> '' AND NOT regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(lower(trim(answer))) || '($|[^\\p{{L}}\\p{{N}}_])')""")(lambda s, d: testbeds.seed_problems(seeds(s, d)))
-register("unanswerable_cases", f"WITH {_SEEDS} SELECT 'refusal-' || seed_id || '-u' AS case_id, '<<NO_ANSWER_SUPPORTED>>' AS answer, list(passage_id ORDER BY doc_id) FILTER (NOT bearing) || ['r'] AS ids FROM ps GROUP BY seed_id")(
+register("unanswerable_cases", f"""WITH {_SEEDS} SELECT 'refusal-' || seed_id || '-u' AS case_id, '<<NO_ANSWER_SUPPORTED>>' AS answer, list(passage_id
+    ORDER BY doc_id) FILTER (NOT bearing) || ['r'] AS ids
+    FROM ps
+    GROUP BY seed_id""")(
     lambda s, d: testbeds.unanswerable(seeds(s, d).withColumn("replacement", testbeds.passage(F.lit("r"), F.lit("text"), False, True))).select("case_id", "answer", F.transform("passages", lambda p: p["passage_id"]).alias("ids")))
 
 
@@ -215,9 +388,18 @@ def built(s, d):
     return testbeds.unanswerable(sd).unionByName(testbeds.answerable(sd))
 
 
-register("case_invariants", f"WITH {_SEEDS} SELECT 'refusal-' || seed_id || '-a' AS case_id, 'answerable without an answer passage' AS problem FROM ps WHERE trim(answer) <> '' GROUP BY seed_id HAVING NOT bool_or(bearing)")(
+register("case_invariants", f"""WITH {_SEEDS} SELECT 'refusal-' || seed_id || '-a' AS case_id, 'answerable without an answer passage' AS problem
+    FROM ps
+    WHERE trim(answer) <> ''
+    GROUP BY seed_id
+    HAVING NOT bool_or(bearing)""")(
     lambda s, d: built(s, d).select("case_id", testbeds.invariant_problem().alias("problem")).filter("problem IS NOT NULL"))
-register("conflict_order", f"WITH {_SEEDS}, t AS (SELECT seed_id, arg_min(passage_id, doc_id) AS p FROM ps WHERE bearing GROUP BY 1) SELECT 'conflict-' || seed_id AS case_id, CASE WHEN {_H(303, 'seed_id', 'p')} < md5(concat_ws('|', '303', seed_id, p || '-contra')) THEN [p, p || '-contra'] ELSE [p || '-contra', p] END AS ids, CASE WHEN {_H(303, 'seed_id', 'p')} < md5(concat_ws('|', '303', seed_id, p || '-contra')) THEN 0 ELSE 1 END AS true_position FROM t")(
+register("conflict_order", f"""WITH {_SEEDS}, t AS (SELECT seed_id, arg_min(passage_id, doc_id) AS p
+    FROM ps
+    WHERE bearing
+    GROUP BY 1)
+    SELECT 'conflict-' || seed_id AS case_id, CASE WHEN {_H(303, 'seed_id', 'p')} < md5(concat_ws('|', '303', seed_id, p || '-contra')) THEN [p, p || '-contra'] ELSE [p || '-contra', p] END AS ids, CASE WHEN {_H(303, 'seed_id', 'p')} < md5(concat_ws('|', '303', seed_id, p || '-contra')) THEN 0 ELSE 1 END AS true_position
+    FROM t""")(
     lambda s, d: testbeds.conflict(seeds(s, d).filter(F.size(testbeds.answer_bearing()) > 0).withColumn("contradiction", F.lit("other"))).select("case_id", F.transform("passages", lambda p: p["passage_id"]).alias("ids"), "true_position"))
 _NF = f"""ow AS (SELECT seed_id, passage_id, tokens FROM ps WHERE bearing), pl AS (SELECT seed_id, doc_id AS place, passage_id, tokens FROM ps WHERE NOT bearing), gr AS (SELECT unnest([0.0e0, 0.25e0, 0.5e0, 0.75e0, 0.9e0]) AS noise_ratio),
 sb AS (SELECT seed_id, noise_ratio, sum(tokens) * any_value(noise_ratio) / (1 - any_value(noise_ratio)) AS budget FROM ow, gr GROUP BY seed_id, noise_ratio), fi AS (SELECT *, budget - coalesce(sum(tokens) OVER (PARTITION BY seed_id, noise_ratio ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM pl JOIN sb USING (seed_id)),
@@ -229,16 +411,37 @@ def filled(s, d):
     return testbeds.noise_fill(p.filter("bearing"), p.filter("NOT bearing"))
 
 
-register("noise_budget_fill", f"WITH {_SEEDS}, {_NF} SELECT seed_id, noise_ratio, passage_id, used, injected, {_H(202, 'seed_id', 'noise_ratio', 'passage_id')} <> '' AS ordered FROM nf")(lambda s, d: filled(s, d).select("seed_id", "noise_ratio", "passage_id", "used", "injected", (F.col("order") != "").alias("ordered")))
-register("noise_achieved_ratio", f"WITH {_SEEDS}, {_NF} SELECT 'noise-' || seed_id || '-r' || lpad(floor(noise_ratio * 100 + 1e-9)::int::varchar, 2, '0') AS case_id, coalesce(sum(CASE WHEN injected THEN used ELSE 0 END)::double / nullif(sum(used), 0), 0) AS achieved, abs(coalesce(sum(CASE WHEN injected THEN used ELSE 0 END)::double / nullif(sum(used), 0), 0) - noise_ratio) > 0.08 AS off FROM nf GROUP BY seed_id, noise_ratio")(
+register("noise_budget_fill", f"""WITH {_SEEDS}, {_NF} SELECT seed_id, noise_ratio, passage_id, used, injected, {_H(202, 'seed_id', 'noise_ratio', 'passage_id')} <> '' AS ordered
+    FROM nf""")(lambda s, d: filled(s, d).select("seed_id", "noise_ratio", "passage_id", "used", "injected", (F.col("order") != "").alias("ordered")))
+register("noise_achieved_ratio", f"""WITH {_SEEDS}, {_NF} SELECT 'noise-' || seed_id || '-r' || lpad(floor(noise_ratio * 100 + 1e-9)::int::varchar, 2, '0') AS case_id, coalesce(sum(CASE WHEN injected THEN used ELSE 0 END)::double / nullif(sum(used), 0), 0) AS achieved, abs(coalesce(sum(CASE WHEN injected THEN used ELSE 0 END)::double / nullif(sum(used), 0), 0) - noise_ratio) > 0.08 AS off
+    FROM nf
+    GROUP BY seed_id, noise_ratio""")(
     lambda s, d: filled(s, d).groupBy("seed_id", "noise_ratio").agg(F.coalesce(F.try_divide(F.sum(F.when(F.col("injected"), F.col("used")).otherwise(0)).cast("double"), F.sum("used")), F.lit(0.0)).alias("achieved")).select(testbeds.noise_case_id().alias("case_id"), "achieved", (F.abs(F.col("achieved") - F.col("noise_ratio")) > 0.08).alias("off")))
 register("passage_ratio", f"WITH {_SEEDS} SELECT seed_id, sum(CASE WHEN bearing THEN tokens ELSE 0 END)::double / sum(tokens) AS ratio FROM ps GROUP BY 1")(
     lambda s, d: seeds(s, d).withColumn("passages", F.transform("passages", lambda p: testbeds.passage(p["passage_id"], p["text"], p["is_answer_bearing"], p["is_answer_bearing"]))).select("seed_id", testbeds.achieved_ratio().alias("ratio")))
-register("sequential_balance", C(f"po AS (SELECT *, row_number() OVER (ORDER BY h) AS pos, sum(ok::int) OVER (ORDER BY h) AS k FROM (SELECT case_id, bool_or(category = 'refusal') AS ok, {_H(101, 'case_id')} AS h FROM scored WHERE dimension = 'refusal' GROUP BY 1))", "e AS (SELECT min(pos) FILTER (k = 20) AS stop FROM po)", then="SELECT case_id, CASE WHEN ok AND k <= 20 THEN 'found' ELSE 'control' END AS role FROM po, e WHERE (ok AND k <= 20) OR pos BETWEEN stop + 1 AND stop + 15"))(
+register("sequential_balance", C(f"""po AS (SELECT *, row_number() OVER (ORDER BY h) AS pos, sum(ok::int) OVER (ORDER BY h) AS k
+    FROM (SELECT case_id, bool_or(category = 'refusal') AS ok, {_H(101, 'case_id')} AS h
+    FROM scored
+    WHERE dimension = 'refusal'
+    GROUP BY 1))""", """e AS (SELECT min(pos) FILTER (k = 20) AS stop
+    FROM po)""", then="""SELECT case_id, CASE WHEN ok AND k <= 20 THEN 'found' ELSE 'control' END AS role
+    FROM po, e
+    WHERE (ok AND k <= 20) OR pos BETWEEN stop + 1 AND stop + 15"""))(
     lambda s, d: ranking.consume_until(scored(s, d).filter("dimension = 'refusal'").groupBy("case_id").agg(F.bool_or(F.col("category") == "refusal").alias("ok")).withColumn("h", ranking.shuffled(101, "case_id")), ["h"], "ok", 20, 15).select("case_id", "role"))
-register("pruned_cases", C(_CASES, "bad AS (SELECT DISTINCT case_id FROM scored WHERE truncated)", then="SELECT case_id, dimension, seed_id FROM cases WHERE case_id NOT IN (SELECT case_id FROM bad) AND NOT (dimension = 'noise' AND seed_id IN (SELECT seed_id FROM cases WHERE dimension = 'noise' AND case_id IN (SELECT case_id FROM bad)))"))(
+register("pruned_cases", C(_CASES, """bad AS (SELECT DISTINCT case_id
+    FROM scored
+    WHERE truncated)""", then="""SELECT case_id, dimension, seed_id
+    FROM cases
+    WHERE case_id NOT IN (SELECT case_id
+    FROM bad) AND NOT (dimension = 'noise' AND seed_id IN (SELECT seed_id
+    FROM cases
+    WHERE dimension = 'noise' AND case_id IN (SELECT case_id
+    FROM bad)))"""))(
     lambda s, d: testbeds.pruned(cases(s, d), scored(s, d).filter("truncated").select("case_id").distinct()).select("case_id", "dimension", "seed_id"))
-register("manifest", C(_CASES, "ch AS (SELECT *, sha256(case_id) AS h FROM cases)", then="SELECT count(*) AS n_cases, count(*) FILTER (dimension = 'refusal') AS n_refusal, count(*) FILTER (dimension = 'conflict') AS n_conflict, count(*) FILTER (dimension = 'noise') AS n_noise, count(*) FILTER (is_answerable) AS n_answerable, substr(sha256(string_agg(h, '' ORDER BY h)), 1, 16) AS content_hash FROM ch"))(
+register("manifest", C(_CASES, """ch AS (SELECT *, sha256(case_id) AS h
+    FROM cases)""", then="""SELECT count(*) AS n_cases, count(*) FILTER (dimension = 'refusal') AS n_refusal, count(*) FILTER (dimension = 'conflict') AS n_conflict, count(*) FILTER (dimension = 'noise') AS n_noise, count(*) FILTER (is_answerable) AS n_answerable, substr(sha256(string_agg(h, ''
+    ORDER BY h)), 1, 16) AS content_hash
+    FROM ch"""))(
     lambda s, d: testbeds.manifest(cases(s, d).withColumn("content_hash", F.sha2(F.col("case_id").cast("binary"), 256)).withColumn("answer", F.when(F.col("is_answerable"), "x").otherwise(T.NO_ANSWER))))
 
 # --- validity
@@ -249,20 +452,68 @@ register("coverage_gap", C(_RAGAS, _LONG, then="""SELECT *, n_missed / nullif(n_
   SELECT metric, dimension, count(*) AS n_instances, count(*) FILTER (failed) AS n_failures, count(*) FILTER (failed AND score >= 0.5) AS n_missed, count(*) FILTER (failed AND score IS NULL) AS n_undefined, count(*) FILTER (NOT failed AND score >= 0.5) AS n_successes_passing, count(*) FILTER (NOT failed AND score IS NOT NULL) AS n_successes_scored,
   avg(score) FILTER (failed) AS mean_on_failures, avg(score) FILTER (NOT failed) AS mean_on_successes FROM lg WHERE failed IS NOT NULL GROUP BY 1, 2)"""))(
     lambda s, d: validity.coverage_gap(validity.unpivoted(ragas(s, d), ["dimension", "failed"])))
-register("definedness", C(_RAGAS, _LONG, then="SELECT metric, dimension, count(*) AS n, count(score) AS n_defined, count(score) / count(*) AS share, avg(score) AS mean FROM lg GROUP BY 1, 2"))(lambda s, d: validity.definedness(validity.unpivoted(ragas(s, d), ["dimension"])))
-register("failure_verdicts", S(f"SELECT dimension, {_FAIL} AS failed, count(*) AS n FROM scored GROUP BY ALL"))(lambda s, d: scored(s, d).withColumn("failed", validity.failure()).groupBy("dimension", "failed").agg(F.count("*").alias("n")))
-register("abstention_summary", C(_RAGAS, then="SELECT category = 'refusal' AS abstained, count(*) AS n, avg(answer_relevance) AS answer_relevance, avg(context_relevance) AS context_relevance FROM rg GROUP BY 1"))(
+register("definedness", C(_RAGAS, _LONG, then="""SELECT metric, dimension, count(*) AS n, count(score) AS n_defined, count(score) / count(*) AS share, avg(score) AS mean
+    FROM lg
+    GROUP BY 1, 2"""))(lambda s, d: validity.definedness(validity.unpivoted(ragas(s, d), ["dimension"])))
+register("failure_verdicts", S(f"""SELECT dimension, {_FAIL} AS failed, count(*) AS n
+    FROM scored
+    GROUP BY ALL"""))(lambda s, d: scored(s, d).withColumn("failed", validity.failure()).groupBy("dimension", "failed").agg(F.count("*").alias("n")))
+register("abstention_summary", C(_RAGAS, then="""SELECT category = 'refusal' AS abstained, count(*) AS n, avg(answer_relevance) AS answer_relevance, avg(context_relevance) AS context_relevance
+    FROM rg
+    GROUP BY 1"""))(
     lambda s, d: ragas(s, d).groupBy((F.col("category") == "refusal").alias("abstained")).agg(F.count("*").alias("n"), F.avg("answer_relevance").alias("answer_relevance"), F.avg("context_relevance").alias("context_relevance")))
-register("relevance_by_ratio", C(_RAGAS, then="SELECT noise_ratio, avg(context_relevance) AS context_relevance, avg(faithfulness) AS faithfulness FROM rg WHERE dimension = 'noise' GROUP BY 1"))(lambda s, d: ragas(s, d).filter("dimension = 'noise'").groupBy("noise_ratio").agg(F.avg("context_relevance").alias("context_relevance"), F.avg("faithfulness").alias("faithfulness")))
-register("faithfulness_by_class", C(_RAGAS, then="SELECT pipeline_class, avg(faithfulness) AS faithfulness FROM rg WHERE dimension = 'conflict' AND faithfulness IS NOT NULL GROUP BY 1"))(lambda s, d: ragas(s, d).filter("dimension = 'conflict' AND faithfulness IS NOT NULL").groupBy("pipeline_class").agg(F.avg("faithfulness").alias("faithfulness")))
-register("noise_ladder", S("PIVOT (SELECT pipeline_class, noise_ratio, CASE WHEN category = 'refusal' THEN 'abstain' WHEN category = 'unparseable' THEN 'unparseable' WHEN answer_correct THEN 'ok' ELSE 'wrong' END AS cell FROM scored WHERE seed_id = 'nq-0' AND dimension = 'noise' AND retriever = 'bm25' AND generator_key LIKE '%_1') ON noise_ratio IN (0.0, 0.25, 0.5, 0.75, 0.9) USING first(cell)").replace("PIVOT (", "SELECT pipeline_class, max(cell) FILTER (noise_ratio = 0) AS r00, max(cell) FILTER (noise_ratio = 0.25) AS r25, max(cell) FILTER (noise_ratio = 0.5) AS r50, max(cell) FILTER (noise_ratio = 0.75) AS r75, max(cell) FILTER (noise_ratio = 0.9) AS r90 FROM (").replace(" ON noise_ratio IN (0.0, 0.25, 0.5, 0.75, 0.9) USING first(cell)", " GROUP BY 1"))(
+register("relevance_by_ratio", C(_RAGAS, then="""SELECT noise_ratio, avg(context_relevance) AS context_relevance, avg(faithfulness) AS faithfulness
+    FROM rg
+    WHERE dimension = 'noise'
+    GROUP BY 1"""))(lambda s, d: ragas(s, d).filter("dimension = 'noise'").groupBy("noise_ratio").agg(F.avg("context_relevance").alias("context_relevance"), F.avg("faithfulness").alias("faithfulness")))
+register("faithfulness_by_class", C(_RAGAS, then="""SELECT pipeline_class, avg(faithfulness) AS faithfulness
+    FROM rg
+    WHERE dimension = 'conflict' AND faithfulness IS NOT NULL
+    GROUP BY 1"""))(lambda s, d: ragas(s, d).filter("dimension = 'conflict' AND faithfulness IS NOT NULL").groupBy("pipeline_class").agg(F.avg("faithfulness").alias("faithfulness")))
+register("noise_ladder", S("""PIVOT (SELECT pipeline_class, noise_ratio, CASE WHEN category = 'refusal' THEN 'abstain' WHEN category = 'unparseable' THEN 'unparseable' WHEN answer_correct THEN 'ok' ELSE 'wrong' END AS cell
+    FROM scored
+    WHERE seed_id = 'nq-0' AND dimension = 'noise' AND retriever = 'bm25' AND generator_key LIKE '%_1') ON noise_ratio IN (0.0, 0.25, 0.5, 0.75, 0.9) USING first(cell)""").replace("PIVOT (", """SELECT pipeline_class, max(cell) FILTER (noise_ratio = 0) AS r00, max(cell) FILTER (noise_ratio = 0.25) AS r25, max(cell) FILTER (noise_ratio = 0.5) AS r50, max(cell) FILTER (noise_ratio = 0.75) AS r75, max(cell) FILTER (noise_ratio = 0.9) AS r90
+    FROM (""").replace(" ON noise_ratio IN (0.0, 0.25, 0.5, 0.75, 0.9) USING first(cell)", " GROUP BY 1"))(
     lambda s, d: scored(s, d).filter("seed_id = 'nq-0' AND dimension = 'noise' AND retriever = 'bm25' AND endswith(generator_key, '_1')").withColumn("cell", F.when(F.col("category") == "refusal", "abstain").when(F.col("category") == "unparseable", "unparseable").when(F.col("answer_correct"), "ok").otherwise("wrong")).groupBy("pipeline_class").pivot("noise_ratio", list(metrics.NOISE_GRID)).agg(F.max("cell")).toDF("pipeline_class", "r00", "r25", "r50", "r75", "r90"))
 _TOK = "list_transform(regexp_extract_all(text, '([A-Za-z0-9'']+)', 1), lambda x: lower(x))"
-register("shared_ngrams", f"SELECT gram, count(*) AS documents FROM (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(t) - 2), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] || ' ' || t[i + 3]))) AS gram FROM (SELECT doc_id, {_TOK} AS t FROM documents)) GROUP BY 1 HAVING count(*) >= 2")(lambda s, d: validity.document_ngrams(table(s, d, "documents"), 4))
+register("shared_ngrams", f"""SELECT gram, count(*) AS documents
+    FROM (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(t) - 2), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] || ' ' || t[i + 3]))) AS gram
+    FROM (SELECT doc_id, {_TOK} AS t
+    FROM documents))
+    GROUP BY 1
+    HAVING count(*) >= 2""")(lambda s, d: validity.document_ngrams(table(s, d, "documents"), 4))
 _TC = lambda w, n: f"{n} AS (SELECT token, count(*) AS n FROM (SELECT unnest({_TOK}) AS token FROM documents WHERE {w}) GROUP BY 1)"
-register("over_represented_tokens", f"WITH {_TC('doc_id % 2 = 0', 'g')}, {_TC('doc_id % 2 = 1', 'o')}, r AS (SELECT g.token, g.n, (g.n / (SELECT sum(n) FROM g)) / (o.n / (SELECT sum(n) FROM o)) AS rate_ratio FROM g LEFT JOIN o USING (token) WHERE g.n >= 5) (SELECT 'over' AS kind, token, n, rate_ratio FROM r WHERE rate_ratio > 1 ORDER BY round(rate_ratio, 12) DESC, token LIMIT 25) UNION ALL (SELECT 'only', token, n, NULL FROM r WHERE rate_ratio IS NULL ORDER BY n DESC, token LIMIT 25)")(
+register("over_represented_tokens", f"""WITH {_TC('doc_id % 2 = 0', 'g')}, {_TC('doc_id % 2 = 1', 'o')}, r AS (SELECT g.token, g.n, (g.n / (SELECT sum(n)
+    FROM g)) / (o.n / (SELECT sum(n)
+    FROM o)) AS rate_ratio
+    FROM g
+    LEFT
+    JOIN o USING (token)
+    WHERE g.n >= 5) (SELECT 'over' AS kind, token, n, rate_ratio
+    FROM r
+    WHERE rate_ratio > 1
+    ORDER BY round(rate_ratio, 12) DESC, token LIMIT 25)
+    UNION ALL (SELECT 'only', token, n, NULL
+    FROM r
+    WHERE rate_ratio IS NULL
+    ORDER BY n DESC, token LIMIT 25)""")(
     lambda s, d: validity.over_represented(table(s, d, "documents").filter("doc_id % 2 = 0"), table(s, d, "documents").filter("doc_id % 2 = 1")))
-register("generated_only_share", f"WITH {_TC('doc_id % 2 = 1', 'o')}, x AS (SELECT token, count(*) AS documents FROM (SELECT doc_id, unnest(list_distinct({_TOK})) AS token FROM documents WHERE doc_id % 2 = 0) GROUP BY 1 HAVING count(*) >= 2) SELECT token, documents, documents / (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) AS share FROM x WHERE token NOT IN (SELECT token FROM o)")(
+register("generated_only_share", f"""WITH {_TC('doc_id % 2 = 1', 'o')}, x AS (SELECT token, count(*) AS documents
+    FROM (SELECT doc_id, unnest(list_distinct({_TOK})) AS token
+    FROM documents
+    WHERE doc_id % 2 = 0)
+    GROUP BY 1
+    HAVING count(*) >= 2)
+    SELECT token, documents, documents / (SELECT count(*)
+    FROM documents
+    WHERE doc_id % 2 = 0) AS share
+    FROM x
+    WHERE token NOT IN (SELECT token
+    FROM o)""")(
     lambda s, d: validity.generated_only_share(table(s, d, "documents").filter("doc_id % 2 = 0"), table(s, d, "documents").filter("doc_id % 2 = 1")))
-register("length_ratios", "SELECT count(*) AS n, avg(r) AS mean_ratio, min(r) AS min_ratio, max(r) AS max_ratio FROM (SELECT CASE WHEN o = 0 THEN 1 ELSE g / o END AS r FROM (SELECT len(regexp_extract_all(a.text, '[A-Za-z0-9'']+')) AS o, len(regexp_extract_all(b.text, '[A-Za-z0-9'']+')) AS g FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1))")(
+register("length_ratios", """SELECT count(*) AS n, avg(r) AS mean_ratio, min(r) AS min_ratio, max(r) AS max_ratio
+    FROM (SELECT CASE WHEN o = 0 THEN 1 ELSE g / o END AS r
+    FROM (SELECT len(regexp_extract_all(a.text, '[A-Za-z0-9'']+')) AS o, len(regexp_extract_all(b.text, '[A-Za-z0-9'']+')) AS g
+    FROM documents a
+    JOIN documents b ON b.doc_id = a.doc_id + 1))""")(
     lambda s, d: validity.length_ratio(table(s, d, "documents").select("doc_id", F.col("text").alias("original")).join(table(s, d, "documents").select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("generated")), "doc_id")))
