@@ -99,6 +99,12 @@ def chosen(share: float | Column, seed: int, doc_id: str = "doc_id") -> Column:
     return F.xxhash64(doc_id, F.lit(seed)).cast("double") <= share * 2.0**64 - 2.0**63
 
 
+def finite_vector(vector: str | Column) -> Column:
+    """Whether an array is there and holds neither NULL, NaN nor infinite components."""
+    v = F.col(vector) if isinstance(vector, str) else vector
+    return v.isNotNull() & F.forall(v, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+
+
 def only(df: DataFrame, *cols: str) -> DataFrame:
     """The named columns alone, so that further columns of any name can't clash with those an operator adds."""
     return df.select(*[df[c] for c in cols])

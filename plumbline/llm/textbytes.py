@@ -108,16 +108,20 @@ def _long_hash(span: np.ndarray, code: np.ndarray) -> np.uint64:
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte and row of each run of non-space bytes within a row."""
-    if not len(data):
+    return runs_of(~SPACE[data], offsets)
+
+
+def runs_of(solid: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each run of true values within a row."""
+    if not len(solid):
         none = np.zeros(0, np.int64)
         return none, none, none
-    solid = ~SPACE[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     stops = solid.copy()
     stops[:-1] &= ~solid[1:]
     cuts = offsets[1:-1]
-    cuts = np.unique(cuts[(cuts > 0) & (cuts < len(data))])
+    cuts = np.unique(cuts[(cuts > 0) & (cuts < len(solid))])
     begins[cuts] = solid[cuts]
     stops[cuts - 1] = solid[cuts - 1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
