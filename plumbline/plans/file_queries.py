@@ -9,8 +9,8 @@ from plumbline.operators import judging
 from plumbline.plans import flow_queries as flows
 from plumbline.plans import release_queries as release
 from plumbline.plans.fixtures import fixture, having
-from plumbline.plans.text_queries import _WORDS, q
-from plumbline.sources import artefacts, corpora, readers
+from plumbline.plans.text_queries import _MATCH, _WORDS, q
+from plumbline.sources import artefacts, corpora, readers, streams
 from plumbline.sources.schemas import schema
 from plumbline.sources.scratch import folder
 from plumbline.streaming import logs
@@ -155,19 +155,25 @@ def log_stream_state(s, d):
     """The growing log as a stream, a file a micro-batch: the last row of each key, in the end."""
     at = folder(s, "state")
     stream = logs.read_log_stream(s, _log_folder(s, d), files_per_trigger=1).select("key", "error", F.col("completion_tokens").alias("line_no"))
-    logs.last_state(stream, f"{at}/table", f"{at}/checkpoint").awaitTermination()
-    return logs.newest_state(s, f"{at}/table").select("key", "line_no")
+    logs.last_state(stream, at).awaitTermination()
+    return logs.newest_state(s, at).select("key", "line_no")
 
 
-@register("stream_scored_once", f"WITH {_LOG} SELECT count(*) AS n, count(DISTINCT key) AS keys FROM (SELECT DISTINCT key FROM l)")
+_READY = "WITH " + _LOG + """, r AS (SELECT *, min(line_no % 3) OVER (PARTITION BY key) AS file FROM l WHERE coalesce(error, '') = '')
+SELECT key, max(line_no) AS scored_line FROM r WHERE line_no % 3 = file AND key <> 'k7' GROUP BY key"""
+
+
+@register("stream_scored_once", _READY)
 def stream_scored_once(s, d):
-    """Scoring of a growing log: each key once, though it comes again and the query is started again."""
+    """Scoring of a growing log, a file a micro-batch: each key once, by its last good row of the batch in which it first has one, though it comes again and the query is started again. One key has a score already."""
     at = folder(s, "scores")
     source = _log_folder(s, d)
     for _ in range(2):
-        stream = logs.read_log_stream(s, source, files_per_trigger=1)
-        logs.score_new(stream, lambda rows: rows.select("key", F.lit(1).alias("score")), f"{at}/table", f"{at}/checkpoint").awaitTermination()
-    return s.read.parquet(f"{at}/table").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
+        stream = logs.read_log_stream(s, source, files_per_trigger=1).select("key", "error", F.col("completion_tokens").alias("line_no"))
+        known = s.range(1).select(F.lit("k7").alias("key"))
+        good = F.coalesce("error", F.lit("")) == ""
+        logs.score_new(stream, lambda rows: rows.select("key", F.col("line_no").alias("scored_line")), f"{at}/table", f"{at}/checkpoint", ready=good, scored=known).awaitTermination()
+    return s.read.parquet(f"{at}/table")
 
 
 @register("corpus_prefix", f"SELECT doc_id, {_WORDS('text')}[1] AS first FROM documents ORDER BY doc_id LIMIT 100")
@@ -184,15 +190,63 @@ def faithfulness_reader(s, d):
 
 # --- corpora
 
-_DOC = f"""c AS (SELECT doc_id AS i, {_WORDS('text')} AS w, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 'zzqqzz' ELSE {_WORDS('text')}[10] END AS answer FROM documents WHERE doc_id < 900),
+
+def _streamed(s, d, limits, apply, what):
+    """A corpus through the streaming source into a folder of files, started again for each limit; a row that came twice would be there twice."""
+    at = folder(s, what)
+    streams.CorpusSource.register(s)
+    for limit in limits:
+        rows = s.readStream.format("corpus").schema("i long, doc_id long, text string").option("path", f"{d}/documents.parquet").option("limit", limit).load()
+        apply(rows).writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/rows").awaitTermination()
+    return s.read.parquet(f"{at}/rows")
+
+
+@register("corpus_stream", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, doc_id, md5(text) AS text FROM documents WHERE doc_id < (SELECT count(*) // 2 FROM documents)")
+def corpus_stream(s, d):
+    """The first half of the documents as a stream that ends after a fifth of them, goes on to the half, and then has nothing more."""
+    n = table(s, d, "documents").count()
+    return _streamed(s, d, [n // 5, n // 2, n // 2], lambda rows: rows.select("i", "doc_id", F.md5(F.col("text").cast("binary")).alias("text")), "corpus")
+
+
+_CONTEXTS = f"""c AS (SELECT doc_id AS i, {_WORDS('text')} AS w FROM documents WHERE doc_id < (SELECT count(*) * 9 // 10 FROM documents)),
+k AS (SELECT i, CASE WHEN i % 5 = 0 THEN NULL WHEN i % 7 = 0 THEN 'zzqqzz' ELSE lower(w[50]) END AS answer, [array_to_string(w[1:40], ' '), array_to_string(w[41:80], ' '), array_to_string(w[81:], ' ')] AS contexts, w FROM c),
+h AS (SELECT *, list_filter([1, 2], lambda j: contains(lower(contexts[j]), answer))[1] AS hit FROM k WHERE answer IS NOT NULL),
+f AS (SELECT *, list_filter(range(0, greatest(len(w) - 80, 0), 120), lambda s: len(w[81 + s : 200 + s]) >= 50 AND NOT contains(lower(array_to_string(w[81 + s : 200 + s], ' ')), answer)) AS starts,
+    list_filter([1, 2, 3], lambda j: j <> hit AND array_to_string(w[40 * j - 39 : 40 * j - 4], ' ') <> '' AND NOT ({_MATCH('answer')} <> '' AND contains(' ' || {_MATCH("array_to_string(w[40 * j - 39 : 40 * j - 4], ' ')")} || ' ', ' ' || {_MATCH('answer')} || ' ')))[1] AS other
+    FROM h WHERE hit IS NOT NULL)
+SELECT 'tqa-' || i::varchar AS seed_id, answer, md5(contexts[hit]) AS passage, md5(array_to_string(w[40 * other - 39 : 40 * other - 4], ' ')) AS companion,
+    md5(array_to_string(list_transform(starts[1:8], lambda s: array_to_string(w[81 + s : 200 + s], ' ')), '|')) AS extras FROM f"""
+
+
+@register("context_corpus_seeds", f"WITH {_CONTEXTS}")
+def context_corpus_seeds(s, d):
+    """Seeds of a corpus of questions with contexts, streamed: two of forty words, and all that follows."""
+
+    def seeds(rows):
+        w = T.words(F.col("text"))
+        cut = [F.array_join(x, " ") for x in (F.slice(w, 1, 40), F.slice(w, 41, 40), F.slice(w, F.lit(81), F.greatest(F.size(w), F.lit(1))))]
+        answer = F.when(F.col("i") % 5 == 0, F.lit(None)).when(F.col("i") % 7 == 0, "zzqqzz").otherwise(F.lower(F.get(w, F.lit(49))))
+        return corpora.context_seeds(rows.select("i", F.lit("q").alias("question"), answer.alias("answer"), F.array(*cut).alias("contexts")), limit, 120)[0]
+
+    limit = _nine_tenths(s, d)
+    made = _streamed(s, d, [limit], seeds, "contexts")
+    text = lambda k: F.md5(F.get("passages", F.lit(k))["text"].cast("binary"))
+    return made.select("seed_id", "answer", text(0).alias("passage"), text(1).alias("companion"), F.md5(F.array_join(F.transform("extra_passages", lambda p: p["text"]), "|").cast("binary")).alias("extras"))
+
+
+_DOC = f"""c AS (SELECT doc_id AS i, {_WORDS('text')} AS w, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 'zzqqzz' ELSE {_WORDS('text')}[10] END AS answer FROM documents WHERE doc_id < (SELECT count(*) * 9 // 10 FROM documents)),
 r AS (SELECT *, CASE WHEN answer IS NULL THEN 'none' WHEN NOT contains(lower(array_to_string(w, ' ')), lower(answer)) THEN 'missing' END AS reason FROM c)"""
 
 
+def _nine_tenths(s, d) -> int:
+    return table(s, d, "documents").count() * 9 // 10
+
+
 def _documents(s, d):
     w = T.words(F.col("text"))
     answer = F.when(F.col("doc_id") % 5 == 0, F.lit(None)).when(F.col("doc_id") % 7 == 0, "zzqqzz").otherwise(F.get(w, F.lit(9)))
     rows = table(s, d, "documents").select(F.col("doc_id").alias("i"), F.lit("q").alias("question"), F.array(answer).alias("short_answers"), w.alias("tokens"))
-    return corpora.document_seeds(rows, 900, 60)
+    return corpora.document_seeds(rows, _nine_tenths(s, d), 60)
 
 
 register("corpus_counts", f"WITH {_DOC} SELECT count(*) AS seen, count(*) FILTER (reason = 'none') AS no_short_answer, count(*) FILTER (reason = 'missing') AS answer_not_in_document, count(*) FILTER (reason IS NULL) AS kept FROM r")(lambda s, d: _documents(s, d)[1])

@@ -1,18 +1,26 @@
-"""The result log as a stream: a checkpointed view of the last row of each key, and scoring of what is new."""
+"""The result log as a stream: the last row of each key, and scoring of what is new, with their state in a state store.
+
+State is kept by key in RocksDB and only its changes are written to the checkpoint, so a micro-batch costs what its own
+keys cost, however many keys there are. A query that is started again on its checkpoint goes on where it ended.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.types import StructType
 
-from plumbline.sources.readers import exists
 from plumbline.sources.schemas import schema
 
-#: Parts that a state is dealt over; a micro-batch rewrites those that its keys belong to.
-BUCKETS = 64
+#: Where state is kept, and that a batch writes its changes and not all of it.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def read_log_stream(spark: SparkSession, path: str, *, files_per_trigger: int | None = None) -> DataFrame:
@@ -28,66 +36,104 @@ def corpus_prefix(rows: DataFrame, limit: int, order: str) -> DataFrame:
     return rows.orderBy(order).limit(limit)
 
 
-def _bucket(n: int):
-    return F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries that are started here keep their state as STORE says; the session's settings come back."""
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
-def last_state(stream: DataFrame, target: str, checkpoint: str, order: str = "line_no", buckets: int = BUCKETS) -> StreamingQuery:
-    """Keep under target the last row of each key, so that a later success replaces an error and the reverse.
+class _Ordered(StatefulProcessor):
+    def __init__(self, order: str) -> None:
+        self.order = order
+
+    def place(self, row) -> tuple:
+        """Rows without a place come before all others."""
+        return row[self.order] is not None, row[self.order]
+
+    def last(self, rows: Iterator[Row]) -> Row:
+        best = next(rows)
+        for row in rows:
+            if self.place(row) > self.place(best):
+                best = row
+        return best
+
+    def close(self) -> None:
+        pass
 
-    The state is dealt over buckets by key. A micro-batch merges its own last rows with the buckets that they belong to and
-    writes a new generation of these alone (target/b=bucket/g=batch); a repeated batch writes its own generation again, so a
-    restart changes nothing. Generations before the last but one are deleted. Rows need the column order.
-    """
 
-    def merge(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("b", _bucket(buckets))
-        touched = {r["b"] for r in rows.select("b").distinct().collect()}  # at most as many as buckets
-        paths = {b: generations(spark, target, b) for b in touched}
-        old = [f"{target}/b={b}/g={max(g for g in own if g < n)}" for b, own in paths.items() if any(g < n for g in own)]
-        if old:
-            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(*old).withColumn("b", _bucket(buckets)))
-        rest = [c for c in batch.columns if c != "key"]
-        made = rows.groupBy("key").agg(F.max_by(F.struct(*rest), order).alias("row")).select("key", "row.*").select(*batch.columns)
-        made = made.withColumns({"b": _bucket(buckets), "g": F.lit(n)}).repartition(len(touched) or 1, "b")
-        made.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("b", "g").parquet(target)
-        for b, own in paths.items():
-            for g in sorted(g for g in own if g < n)[:-1]:
-                delete(spark, f"{target}/b={b}/g={g}")
+class NewestRow(_Ordered):
+    """Of each key the row that is last by a column. Gives a key's row whenever that changes; rows that come late change nothing, of equal places the first stays."""
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def __init__(self, order: str, fields: StructType) -> None:
+        super().__init__(order)
+        self.fields = fields
 
+    def init(self, handle) -> None:
+        self.row = handle.getValueState("row", self.fields)
 
-def _listed(spark: SparkSession, path: str, prefix: str) -> list[int]:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
-    return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        best, held = self.last(rows), self.row.get()
+        if held is None or self.place(best) > self.place(dict(zip(self.fields.names, held))):
+            self.row.update(tuple(best[c] for c in self.fields.names))
+            yield best
 
 
-def generations(spark: SparkSession, target: str, bucket: int) -> list[int]:
-    return _listed(spark, f"{target}/b={bucket}", "g=")
+class FirstRow(_Ordered):
+    """Of each key one row, once: of the micro-batch in which it comes first, the row that is last by a column. Keys of the initial state give none."""
 
+    def init(self, handle) -> None:
+        self.done = handle.getValueState("done", "done boolean")
 
-def delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.done.update((True,))
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        best = self.last(rows)
+        if not self.done.exists():
+            self.done.update((True,))
+            yield best
 
-def newest_state(spark: SparkSession, target: str) -> DataFrame:
-    """The newest generation of every bucket."""
-    paths = [f"{target}/b={b}/g={generations(spark, target, b)[-1]}" for b in _listed(spark, target, "b=")]
-    return spark.read.parquet(*paths)
 
+def last_state(stream: DataFrame, checkpoint: str, order: str = "line_no", changed: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Keep, as the state under checkpoint, the last row of each key, so that a later success replaces an error and the reverse.
 
-def score_new(stream: DataFrame, score: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
-    """Append scores of rows whose key isn't scored yet."""
+    What is last is said by the column order, not by when a row comes, so files may come in any order. `newest_state` reads the
+    state; `changed` is given the rows that a micro-batch changed, with its number, as foreachBatch does.
+    """
+    fields = StructType([f for f in stream.schema if f.name != "key"])
+    rows = stream.groupBy("key").transformWithState(NewestRow(order, fields), stream.schema, "Update", "None")
+    out = rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    with state_store(stream.sparkSession):
+        return (out.foreachBatch(changed) if changed else out.format("noop")).start()
+
+
+def newest_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The last row of every key, read from the state store."""
+    with state_store(spark):
+        return spark.read.format("statestore").option("stateVarName", "row").load(checkpoint).select("key.*", "value.*")
 
-    def step(batch: DataFrame, n: int) -> None:
-        rows = batch.dropDuplicates(["key"])
-        if exists(batch.sparkSession, target):
-            rows = rows.join(batch.sparkSession.read.parquet(target).select("key"), "key", "left_anti")
-        score(rows).write.mode("append").parquet(target)
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def score_new(
+    stream: DataFrame, score: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, *, order: str = "line_no", ready: Column | None = None, scored: DataFrame | None = None
+) -> StreamingQuery:
+    """Append to target, a folder of Parquet files, the scores of rows whose key isn't scored yet: each key is scored once.
+
+    A micro-batch scores the row of a key that is last by the column order. Rows that aren't `ready`, such as errors, are left out, so that
+    a later row of their key is scored. `scored`, with the column key, are keys that need no score; it is read once, when the
+    query starts for the first time. score is applied to a stream. The file sink's log makes a repeated batch write nothing twice.
+    """
+    rows = stream.filter(F.coalesce(ready, F.lit(False))) if ready is not None else stream
+    known = scored.select("key").groupBy("key") if scored is not None else None
+    first = rows.groupBy("key").transformWithState(FirstRow(order), rows.schema, "Append", "None", known)
+    with state_store(stream.sparkSession):
+        return score(first).writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target)

@@ -138,16 +138,66 @@ def test_walks_against_plain_loops(spark):
         assert got == want
 
 
-def test_state_generations(spark, tmp_path):
-    """A state over many micro-batches keeps two generations of a bucket, and survives a batch that is run again."""
-    src, out = tmp_path / "src", f"{tmp_path}/out"
+def test_state_over_many_batches(spark, tmp_path):
+    """Files in any order of their lines, the query started again for each: the last line of a key stays, and a batch gives only what it changed."""
+    src, cp = tmp_path / "src", f"{tmp_path}/cp"
     src.mkdir()
-    for k in range(6):
-        (src / f"{k}.json").write_text("".join(json.dumps({"key": f"k{x}", "error": str(k), "latency_s": k}) + "\n" for x in range(20) if (x + k) % 3))
-        logs.last_state(logs.read_log_stream(spark, str(src), files_per_trigger=1), out, f"{tmp_path}/cp", order="latency_s", buckets=4).awaitTermination()
-    got = {r.key: int(r.error) for r in logs.newest_state(spark, out).collect()}
+    changed = []
+    lines = [3, 0, 5, 1, 4, 2]
+    for k, line in enumerate(lines):
+        (src / f"{k}.json").write_text("".join(json.dumps({"key": f"k{x}", "error": str(line), "latency_s": line}) + "\n" for x in range(20) if (x + line) % 3) + '{"key": "k0", "error": "none"}\n')
+        logs.last_state(logs.read_log_stream(spark, str(src), files_per_trigger=1), cp, order="latency_s", changed=lambda rows, n: changed.append((n, rows.count()))).awaitTermination()
+    got = {r.key: int(r.error) for r in logs.newest_state(spark, cp).collect()}
     assert got == {f"k{x}": max(k for k in range(6) if (x + k) % 3) for x in range(20)}
-    assert all(len(logs.generations(spark, out, b)) <= 2 for b in range(4))
+    best, want = {}, []
+    for line in lines:
+        new = {x for x in range(20) if (x + line) % 3 and best.get(x, -1) < line}
+        best.update(dict.fromkeys(new, line))
+        want.append(len(new) + (not want and 0 not in new))
+    assert [c for _, c in sorted(changed)] == want
+
+
+def test_scored_once_prefers_the_last_good_row(spark, tmp_path):
+    src, out, cp = tmp_path / "src", f"{tmp_path}/out", f"{tmp_path}/cp"
+    src.mkdir()
+    batches = [[("a", "bad", 9), ("a", None, 2), ("a", None, 5), ("b", "bad", 1), ("d", None, 1)], [("a", None, 8), ("b", None, 2), ("c", None, None)], [("c", None, 1), ("b", None, 7)]]
+    known = spark.createDataFrame([("d",), ("z",)], "key string")
+    for k, rows in enumerate(batches):
+        (src / f"{k}.json").write_text("".join(json.dumps({"key": x, "error": e, "latency_s": n}) + "\n" for x, e, n in rows))
+        for _ in range(2):
+            stream = logs.read_log_stream(spark, str(src), files_per_trigger=1)
+            logs.score_new(stream, lambda x: x.select("key", "latency_s"), out, cp, order="latency_s", ready=F.col("error").isNull(), scored=known).awaitTermination()
+    assert sorted((r.key, r.latency_s) for r in spark.read.parquet(out).collect()) == [("a", 5.0), ("b", 2.0), ("c", None)]
+    assert all(spark.conf.get(k, None) != v for k, v in logs.STORE.items())
+
+
+def test_corpus_source(spark, tmp_path):
+    """Files of several row groups; a stream that is started again goes on where it ended, also when files are added; files put before are an error."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from plumbline.sources import streams
+
+    streams.CorpusSource.register(spark)
+    src, cp, out = tmp_path / "corpus", f"{tmp_path}/cp", f"{tmp_path}/out"
+    (src / "part").mkdir(parents=True)
+    put = lambda name, first, n: pq.write_table(pa.table({"text": [None if x % 9 == 0 else f"t{x}" for x in range(first, first + n)], "other": [1] * n}), src / name, row_group_size=4)
+    put("a.parquet", 0, 10), put("b.parquet", 10, 0), put("part/c.parquet", 10, 7), put("_hidden.parquet", 99, 3)
+    rows = lambda r, limit: r.format("corpus").option("path", f"file://{src}").option("limit", limit).load()
+    assert rows(spark.read, 0).count() == 0 and rows(spark.read, 6).columns == ["i", "text", "other"]
+    assert [tuple(r) for r in rows(spark.read, 99).select("i", "text").orderBy("i").collect()] == [(i, None if i % 9 == 0 else f"t{i}") for i in range(17)]
+
+    def run(limit):
+        rows(spark.readStream.schema("text string, i long"), limit).writeStream.format("parquet").option("checkpointLocation", cp).trigger(availableNow=True).start(out).awaitTermination()
+        return sorted(r.i for r in spark.read.parquet(out).collect())
+
+    assert run(6) == list(range(6)) and run(6) == list(range(6)) and run(20) == list(range(17))
+    put("part/d.parquet", 17, 9)
+    assert run(20) == list(range(20)) and run(23) == list(range(23))
+    assert spark.read.parquet(out).filter("i = 21").first().text == "t21"
+    put("a0.parquet", 50, 2)
+    with pytest.raises(Exception, match="no longer ends in"):
+        run(25)
 
 
 def test_smoke_slice_and_choice(spark):

@@ -240,12 +240,12 @@ def test_reports(spark):
 
 
 def test_log_stream_keeps_last_rows(spark, tmp_path):
-    src, out, cp = tmp_path / "src", f"{tmp_path}/out", f"{tmp_path}/cp"
+    src, cp = tmp_path / "src", f"{tmp_path}/cp"
     src.mkdir()
     for k, rows in enumerate([[("a", "e"), ("b", None)], [("a", None)], [("b", "late")]]):
         (src / f"{k}.json").write_text("".join(json.dumps({"key": x, "error": e, "latency_s": k}) + "\n" for x, e in rows) + "{broken\n")
-        logs.last_state(logs.read_log_stream(spark, str(src), files_per_trigger=1), out, cp, order="latency_s").awaitTermination()
-    assert {r.key: r.error for r in logs.newest_state(spark, out).collect()} == {"a": None, "b": "late"}
+        logs.last_state(logs.read_log_stream(spark, str(src), files_per_trigger=1), cp, order="latency_s").awaitTermination()
+    assert {r.key: r.error for r in logs.newest_state(spark, cp).collect()} == {"a": None, "b": "late"}
 
 
 def test_model_boundary_retries_and_reports(spark):
