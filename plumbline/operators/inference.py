@@ -1,8 +1,9 @@
 """Percentile bootstrap by sufficient statistics.
 
 Every statistic here is a function of sums over units (cases or seeds). A resample is then a weighting of units, and of units
-with equal sums together: draw j of resample b of a group picks the unit at a place that a hash of seed, group, b and j gives,
-units being in order of their sums. Draws depend on nothing but their key, so results are the same for any partitioning, and
+with equal sums together. Of up to LEAF units, draw j of resample b of a group picks the unit at a place that a hash of seed, group, b and j
+gives, units being in order of their sums; of more, the number of draws is split over the kinds of units by binomial draws
+that such a hash seeds. Draws depend on nothing but their key, so results are the same for any partitioning, and
 paired arms share their draws. Workers draw in parallel by group and resample.
 """
 
@@ -18,10 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.metrics import NOISE_GRID, count_if, f1, non_terminating, ratio
+from plumbline.sources.scratch import written
 
 #: Resamples, confidence, seed, and differences that count as practical.
 RESAMPLES, CONFIDENCE, SEED = 1000, 0.95, 20260721
-KINDS = 1_000_000
+#: Units up to which a resample's draws are made one by one.
+LEAF = 4096
+#: Kinds of units in a block, about, and parts that the resamples of a block are dealt over.
+KINDS, CHUNKS = 1 << 16, 16
 PRACTICAL = {"refusal_f1": 0.05, "crs": 0.25, "ndc_auc": 0.05}
 
 
@@ -62,52 +67,79 @@ STATISTICS = {
 }
 
 
-def drawn(n: int, *key: object) -> np.ndarray:
-    """n draws from 0 to n - 1: four from each md5 of the key, without its NULLs, and a running number."""
+def drawn(n: int, size: int, *key: object) -> np.ndarray:
+    """n draws from 0 to size - 1: four from each md5 of the key, without its NULLs, and a running number."""
     prefix = "|".join(str(x) for x in key if x is not None) + "|"
     digests = b"".join(hashlib.md5(f"{prefix}{q}".encode()).digest() for q in range(-(-n // 4)))
-    return np.frombuffer(digests, ">u4")[:n] % np.uint64(n)
+    return np.frombuffer(digests, ">u4")[:n] % np.uint64(size)
+
+
+def split(n: int, sizes: np.ndarray, *key: object) -> np.ndarray:
+    """How many of n draws fall on each of several parts, by a chain of binomial draws that the key seeds: as many as parts, whatever n is."""
+    digest = hashlib.md5("|".join(str(x) for x in key if x is not None).encode()).digest()
+    return np.random.Generator(np.random.PCG64(int.from_bytes(digest))).multinomial(n, sizes / sizes.sum())
+
+
+def weights(n: int, m: np.ndarray, *key: object) -> np.ndarray:
+    """How often each kind of m units is drawn in n draws: one by one from at most LEAF units, else by splitting n over the kinds."""
+    size = int(m.sum())
+    if size > LEAF:
+        return split(n, m, *key)
+    return np.bincount(np.searchsorted(np.cumsum(m), drawn(n, size, *key), "right"), minlength=len(m))
 
 
 def _resampled(stats: DataFrame, group: list[str], arms: list[str], metric: str, resamples: int, seed: int | str) -> tuple[DataFrame, DataFrame]:
     """(group, arms, observed) and (group, arms, b, value). A unit missing from an arm has no sums there.
 
-    Units of equal sums are one kind: a resample needs only how often each kind is drawn. There are as many kinds as
-    combinations of counts over a unit's configurations, whatever the number of units, so they are sent to the workers; at most
-    KINDS, else it is an error. A worker draws for one resample of one group and returns its sums: draws are never rows.
+    Units of equal sums are one kind: a resample needs only how often each kind is drawn. The kinds of a group are dealt over
+    blocks of about KINDS; a resample's draws are split over the blocks, and a block's over its kinds, so a resample costs as many draws as
+    there are kinds, and no task or worker holds more than a block. Draws are never rows.
     """
     _, k, value = STATISTICS[metric]
-    spark, sums = stats.sparkSession, [f"s{i}" for i in range(k)]
+    spark = stats.sparkSession
+    sums = [f"s{i}" for i in range(k)]
     observed = stats.groupBy(*group, *arms).agg(*[F.sum(c).alias(c) for c in sums]).select(*group, *arms, value().alias("observed"))
     sides = [tuple(r) for r in stats.select(*arms).distinct().orderBy(*arms).collect()] if arms else [()]  # a handful
     here = lambda side: reduce(lambda x, y: x & y, [F.col(c) == v for c, v in zip(arms, side)], F.lit(True))
     units = stats.groupBy(*group, "unit").agg(*[F.coalesce(F.sum(F.when(here(side), F.col(c))), F.lit(0)).alias(f"{c}_{i}") for i, side in enumerate(sides) for c in sums])
     wide = [c for c in units.columns if c not in (*group, "unit")]
-    kinds = units.groupBy(*group, *wide).agg(F.count("*").alias("m")).limit(KINDS + 1).toPandas()  # checked next
-    if len(kinds) > KINDS:
-        raise ValueError(f"more than {KINDS} kinds of units")
-    kinds = kinds.sort_values([*group, *wide])
-    names, tables = [], []
-    for name, own in kinds.groupby(group, sort=True, dropna=False) if group else [((), kinds)]:
-        if len(own):
-            names.append(tuple(None if pd.isna(x) else x for x in (name if isinstance(name, tuple) else (name,))))
-            tables.append((own["m"].cumsum().to_numpy(), own[wide].to_numpy(np.float64).reshape(len(own), len(sides), k)))
-    shared = spark.sparkContext.broadcast((names, tables))
-
-    def run(frames):
-        groups, held = shared.value
+    kinds = units.groupBy(*group, *wide).agg(F.count("*").alias("m")).withColumn("gid", F.to_json(F.struct(*group)) if group else F.lit("{}"))
+    kinds = written(kinds, "kinds")  # read three times
+    blocks = kinds.groupBy("gid").agg(F.ceil(F.count("*") / KINDS).alias("blocks"))
+    kinds = kinds.join(blocks, "gid").withColumn("block", F.pmod(F.xxhash64(*wide), F.col("blocks")).cast("int"))
+    name = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in group])
+    sizes = kinds.groupBy("gid", *group, "block").agg(F.sum("m").alias("m")).groupBy("gid", *group).agg(F.array_sort(F.collect_list(F.struct("block", "m"))).alias("sizes"))  # of blocks, of which there are few
+    chunk = F.explode(F.sequence(F.lit(0), F.lit(min(CHUNKS, resamples) - 1))).alias("chunk")
+
+    def dealt(frames):
         for frame in frames:
             rows = []
-            for x in frame["id"].tolist():
-                g, b = divmod(x, resamples)
-                bounds, own = held[g]
-                weight = np.bincount(np.searchsorted(bounds, drawn(int(bounds[-1]), seed, *groups[g], b), "right"), minlength=len(bounds))
-                rows += [(*groups[g], *side, b, *total) for side, total in zip(sides, np.tensordot(weight, own, 1).tolist())]
-            yield pd.DataFrame(rows, columns=[*group, *arms, "b", *sums])
+            for gid, key, parts, c in frame.itertuples(index=False):
+                m = np.array([p["m"] for p in parts])
+                for b in range(c, resamples, CHUNKS):
+                    counts = split(int(m.sum()), m, key, b) if len(parts) > 1 else m
+                    rows += [(gid, c, key, p["block"] if len(parts) > 1 else None, p["block"], b, int(x)) for p, x in zip(parts, counts) if x]
+            yield pd.DataFrame(rows, columns=["gid", "chunk", "name", "part", "block", "b", "n"]).astype({"part": "Int64"})
+
+    draws = sizes.select("gid", name.alias("name"), "sizes", chunk).mapInPandas(dealt, "gid string, chunk int, name string, part long, block int, b long, n long")
+
+    def run(own: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(wide)
+        m, held = own["m"].to_numpy(), own[wide].to_numpy(np.float64).reshape(len(own), len(sides), k)
+        of = tuple(own[c].iloc[0] for c in group)
+        rows = []
+        for key, part, b, n in draws[["name", "part", "b", "n"]].itertuples(index=False):
+            weight = weights(n, m, key, b, None if pd.isna(part) else int(part))
+            rows += [(*of, *side, b, *total) for side, total in zip(sides, np.tensordot(weight, held, 1).tolist())]
+        return pd.DataFrame(rows, columns=[*group, *arms, "b", *sums])
 
     fields = [f"{c} {stats.schema[c].dataType.simpleString()}" for c in (*group, *arms)]
-    made = spark.range(len(names) * resamples).mapInPandas(run, ", ".join([*fields, "b long", *[f"{c} double" for c in sums]]))
-    return observed, made.select(*group, *arms, "b", value().alias("value"))
+    at = ["gid", "block", "chunk"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # stated, since small rows with much work mustn't be put together
+    own = kinds.select("gid", *group, *wide, "m", "block", chunk).repartition(parts, *at)
+    made = own.groupBy(*at).cogroup(draws.repartition(parts, *at).groupBy(*at)).applyInPandas(run, ", ".join([*fields, "b long", *[f"{c} double" for c in sums]]))
+    totals = made.groupBy(*group, *arms, "b").agg(*[F.sum(c).alias(c) for c in sums])
+    return observed, totals.select(*group, *arms, "b", value().alias("value"))
 
 
 def _interval(values: DataFrame, key: list[str], confidence: float) -> DataFrame:

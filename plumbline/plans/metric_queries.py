@@ -211,7 +211,7 @@ _SUMS = {
     "ndc_auc": (", ".join([f"count(*) FILTER (noise_ratio = {r} AND answer_correct) AS s{i}" for i, r in enumerate(metrics.NOISE_GRID)] + [f"count(*) FILTER (noise_ratio = {r}) AS s{i + 5}" for i, r in enumerate(metrics.NOISE_GRID)]), "dimension = 'noise'", "seed_id", 10,
                 "(0.25e0 * (s0 / nullif(s5, 0) + s1 / nullif(s6, 0)) / 2 + 0.25e0 * (s1 / nullif(s6, 0) + s2 / nullif(s7, 0)) / 2 + 0.25e0 * (s2 / nullif(s7, 0) + s3 / nullif(s8, 0)) / 2 + (0.9e0 - 0.75e0) * (s3 / nullif(s8, 0) + s4 / nullif(s9, 0)) / 2) / 0.9e0"),
 }
-_B = 200
+_B = inference.RESAMPLES
 
 
 def _boot(metric: str, group: str, stats: str, arms: str = "") -> str:
@@ -234,7 +234,7 @@ for _m, (_sums, _where, _unit, _k, _value) in _SUMS.items():
     JOIN (SELECT pipeline_class, {_CI}
     FROM v
     GROUP BY 1) USING (pipeline_class)""").replace("\n,", ",\n"))(
-        lambda s, d, m=_m: inference.intervals(scored(s, d), m, ["pipeline_class"], resamples=_B))
+        lambda s, d, m=_m: inference.intervals(scored(s, d), m, ["pipeline_class"]))
     _pairs = f"""SELECT a.pipeline_class AS arm_a, b.pipeline_class AS arm_b, a.unit, side, {', '.join(f'CASE WHEN side = 1 THEN a.s{i} ELSE b.s{i} END AS s{i}' for i in range(_k))}
     FROM st0 a
     JOIN st0 b ON a.unit = b.unit AND a.pipeline_class < b.pipeline_class, (SELECT unnest([1, 2]) AS side)"""
@@ -242,18 +242,18 @@ for _m, (_sums, _where, _unit, _k, _value) in _SUMS.items():
     register(f"paired_{_m}", S(f""", st0 AS ({_stats}), {_boot(_m, 'arm_a, arm_b', _pairs, 'side')} SELECT *, {_verdict} FROM (SELECT arm_a, arm_b, observed, lower, upper, n_failed, n_units, '{_m}' AS metric, coalesce(lower > 0 OR upper < 0, false) AS significant
 FROM (SELECT arm_a, arm_b, max(observed) FILTER (side = 1) - max(observed) FILTER (side = 2) AS observed FROM o GROUP BY 1, 2)
 JOIN (SELECT arm_a, arm_b, {_CI} FROM (SELECT arm_a, arm_b, b, max(value) FILTER (side = 1) - max(value) FILTER (side = 2) AS value FROM v GROUP BY ALL) GROUP BY 1, 2) USING (arm_a, arm_b) JOIN (SELECT arm_a, arm_b, count(DISTINCT unit) AS n_units FROM st GROUP BY 1, 2) USING (arm_a, arm_b))""").replace("\n,", ",\n"))(
-        lambda s, d, m=_m: inference.paired_differences(scored(s, d), m, resamples=_B))
+        lambda s, d, m=_m: inference.paired_differences(scored(s, d), m))
     _by_source = f"SELECT pipeline_class, split_part(seed_id, '-', 1) AS source, {_unit} AS unit, {_sums} FROM scored WHERE {_where} GROUP BY ALL"
     register(f"unpaired_source_{_m}", S(f""", {_boot(_m, 'pipeline_class, source', _by_source)} SELECT *, {_verdict} FROM (SELECT pipeline_class, observed, lower, upper, n_failed, '{_m}' AS metric, coalesce(lower > 0 OR upper < 0, false) AS significant
 FROM (SELECT pipeline_class, max(observed) FILTER (source = 'nq') - max(observed) FILTER (source = 'tqa') AS observed FROM o GROUP BY 1)
 JOIN (SELECT pipeline_class, {_CI} FROM (SELECT pipeline_class, b, max(value) FILTER (source = 'nq') - max(value) FILTER (source = 'tqa') AS value FROM v GROUP BY ALL) GROUP BY 1) USING (pipeline_class))""").replace("\n,", ",\n"))(
-        lambda s, d, m=_m: inference.unpaired_differences(scored(s, d).withColumn("source", metrics.seed_source()), m, group="pipeline_class", side="source", sides=("nq", "tqa"), resamples=_B))
+        lambda s, d, m=_m: inference.unpaired_differences(scored(s, d).withColumn("source", metrics.seed_source()), m, group="pipeline_class", side="source", sides=("nq", "tqa")))
 
 _PART = "metric, {a} AS arm_a, {b} AS arm_b, {sign}observed AS observed, {sign}{low} AS lower, {sign}{high} AS upper, significant, practical, n_units, n_failed, NULL::varchar AS error"
 _TURNS = [("agentic", "naive", ""), ("agentic", "reasoning", ""), ("naive", "reasoning", "-")]
 register("paired_comparisons", "\nUNION ALL\n".join(
     "SELECT " + _PART.format(a="arm_b" if sign else "arm_a", b="arm_a" if sign else "arm_b", sign=sign, low="upper" if sign else "lower", high="lower" if sign else "upper") + f" FROM ({SQL[f'paired_{m}']}) WHERE arm_a = '{a}' AND arm_b = '{b}'"
-    for m in _SUMS for a, b, sign in _TURNS))(lambda s, d: inference.comparisons(scored(s, d), resamples=_B))
+    for m in _SUMS for a, b, sign in _TURNS))(lambda s, d: inference.comparisons(scored(s, d)))
 _ENDED = f"SELECT pipeline_class, case_id AS unit, {_SUMS['crs'][0]} FROM scored WHERE {_SUMS['crs'][1]} AND NOT (truncated AND final_answer IS NULL) GROUP BY ALL"
 SQL_ENDED = S(f""", {_boot('crs', 'pipeline_class', _ENDED)} SELECT pipeline_class, observed, lower, upper, n_failed
     FROM o
@@ -263,6 +263,6 @@ SQL_ENDED = S(f""", {_boot('crs', 'pipeline_class', _ENDED)} SELECT pipeline_cla
 register("described_classes", "\nUNION ALL\n".join(
     f"""SELECT pipeline_class, '{m}' AS metric, '{v}' AS variant, observed AS value, lower, upper, n_failed, NULL::varchar AS error
     FROM ({sql})""" for m, v, sql in [*((m, "all", SQL[f"bootstrap_{m}"]) for m in _SUMS), ("crs", "terminating", SQL_ENDED)]))(
-    lambda s, d: inference.described(scored(s, d), resamples=_B))
+    lambda s, d: inference.described(scored(s, d)))
 register("published_record", S("SELECT config_id, round_even(avg(value), 4) AS mean_value, round_even(avg(crs_score), 4) AS crs, count(*) AS n FROM scored GROUP BY 1"))(
     lambda s, d: inference.rounded(scored(s, d).groupBy("config_id").agg(F.avg("value").alias("mean_value"), F.avg("crs_score").alias("crs"), F.count("*").alias("n"))))

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
@@ -22,3 +22,10 @@ def folder(spark: SparkSession, what: str) -> str:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return path
+
+
+def written(rows: DataFrame, what: str) -> DataFrame:
+    """The rows as a table of a fresh folder: what is read several times is made once, and lost executors cost no recomputation of it."""
+    at = folder(rows.sparkSession, what)
+    rows.write.parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)

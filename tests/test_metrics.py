@@ -1,5 +1,8 @@
 """Hand-computed values of the metrics."""
 
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +116,35 @@ def test_divergence_counts_null(spark):
     rows = [row(case_id="n", dimension="noise", noise_ratio=0.0, answer_correct=v, pipeline_class=p) for p, v in (("naive", None), ("agentic", False))]
     assert M.divergent_cases(frame(spark, rows)).count() == 1
     assert M.divergent_cases(frame(spark, rows).withColumn("answer_correct", F.lit(None).cast("boolean"))).count() == 0
+
+
+def test_splitting_draws_like_plain_draws():
+    """Counts of kinds by splitting have the mean, variance and covariance of drawing units one by one, and cost no more for more units."""
+    m = np.array([5000, 1, 2999, 12, 1988])
+    many = np.array([I.weights(10_000, m, "s", b) for b in range(4000)])
+    p = m / m.sum()
+    assert (many.sum(axis=1) == 10_000).all() and (I.weights(10_000, m, "s", 7) == many[7]).all()
+    assert np.abs(many.mean(axis=0) - 10_000 * p).max() < 4 * np.sqrt(10_000 * 0.25 / 4000)
+    assert np.allclose(np.cov(many.T), 10_000 * (np.diag(p) - np.outer(p, p)), atol=150, rtol=0.08)
+    few = np.array([I.weights(40, np.array([20, 15, 5]), "t", b) for b in range(4000)])
+    one_by_one = np.array([np.bincount(np.searchsorted([20, 35, 40], np.random.default_rng(b).integers(0, 40, 40), "right"), minlength=3) for b in range(4000)])
+    assert np.abs(few.mean(axis=0) - one_by_one.mean(axis=0)).max() < 0.25 and np.abs(few.var(axis=0) - one_by_one.var(axis=0)).max() < 0.8
+    began = time.time()
+    assert I.weights(10**15, np.array([10**15 - 10**6, 10**6]), "u", 1)[1] > 990_000 and time.time() - began < 0.1
+
+
+def test_resampling_in_blocks(spark, monkeypatch):
+    """Kinds dealt over blocks: the interval is that of one block, as far as chance goes, and a unit's draws are the same for both arms."""
+    rows = [row(case_id=f"c{i}", pipeline_class=c, dimension="conflict", crs_score=(i * (7 if c == "naive" else 3)) % 5) for i in range(300) for c in ("naive", "agentic")]
+    rows += [row(case_id=f"c{i}", pipeline_class="reasoning", dimension="conflict", crs_score=3) for i in range(400, 404)]
+    df = frame(spark, rows)
+    whole = {x.pipeline_class: x for x in I.intervals(df, "crs", ["pipeline_class"]).collect()}
+    pair = I.paired_differences(df.filter("pipeline_class <> 'reasoning'"), "crs").first()
+    monkeypatch.setattr(I, "KINDS", 2)
+    monkeypatch.setattr(I, "LEAF", 50)
+    blocks = {x.pipeline_class: x for x in I.intervals(df, "crs", ["pipeline_class"]).collect()}
+    again = I.paired_differences(df.filter("pipeline_class <> 'reasoning'"), "crs").first()
+    assert set(whole) == set(blocks) == {"naive", "agentic", "reasoning"} and blocks["reasoning"].lower == blocks["reasoning"].upper == 3
+    for c in ("naive", "agentic"):
+        assert whole[c].observed == blocks[c].observed and abs(whole[c].lower - blocks[c].lower) < 0.06 and abs(whole[c].upper - blocks[c].upper) < 0.06
+    assert pair.observed == again.observed and abs(pair.lower - again.lower) < 0.08 and abs(pair.upper - again.upper) < 0.08 and pair.n_units == again.n_units == 300
