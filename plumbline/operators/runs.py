@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.providers import RETRYABLE
 from plumbline.operators.metrics import count_if
 from plumbline.operators.ranking import last_wins, round_robin
 
@@ -145,14 +144,3 @@ def projection(samples: DataFrame, *, wall_clock_s: float, total_calls: int, gpu
     out = out.withColumn("projected_hours", total_calls / F.col("observed_rps") / 3600.0).withColumn("projected_usd", F.col("projected_hours") * gpu_hourly_usd)
     h = F.col("projected_hours") / budget_hours
     return out.withColumn("verdict", F.when(h <= 0.5, "comfortable").when(h <= 0.8, "fits").when(h <= 1.5, "tight").when(h.isNotNull(), "does not fit"))
-
-
-def backoff(attempt: Column, base: float = 0.5, cap: float = 30.0, jitter: Column | None = None) -> Column:
-    """Seconds before a retry after attempt number 1, 2 and so on: a share (jitter, from 0 up to 1; unset, all) of a doubling time. An attempt below 1 is an error."""
-    wait = F.least(F.lit(cap), base * F.pow(F.lit(2.0), attempt - 1)) * (F.lit(1.0) if jitter is None else jitter)
-    return F.when(attempt >= 1, wait).otherwise(F.raise_error(F.lit("attempts are numbered from 1")).cast("double"))
-
-
-def retryable(status: Column) -> Column:
-    """Whether a call with this HTTP status may succeed later; NULL for success."""
-    return F.when(~status.between(200, 299), status.isin(*sorted(RETRYABLE)))

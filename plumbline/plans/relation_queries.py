@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.functions import vector as V
-from plumbline.operators import metrics, ranking, retrieval, runs, testbeds, validity
+from plumbline.operators import calls, metrics, ranking, retrieval, runs, testbeds, validity
 from plumbline.plans.fixtures import fixture, having
 
 QUERIES: dict = {}
@@ -150,7 +150,7 @@ register("throughput_projection", having("samples", then="""SELECT *, CASE WHEN
     FROM samples)))"""))(
     lambda s, d: runs.projection(fixture(s, d, "samples"), wall_clock_s=20000.0, total_calls=69600, gpu_hourly_usd=1.1, budget_hours=40.0))
 register("backoff_delays", """SELECT event_id, least(30.0, 0.5 * pow(2.0, (event_id % 9 + 1) - 1)) AS delay
-    FROM events""")(lambda s, d: table(s, d, "events").select("event_id", runs.backoff(F.col("event_id") % 9 + 1).alias("delay")))
+    FROM events""")(lambda s, d: table(s, d, "events").select("event_id", calls.backoff(F.col("event_id") % 9 + 1).alias("delay")))
 
 # --- set operations
 

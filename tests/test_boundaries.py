@@ -2,83 +2,101 @@
 
 import asyncio
 import json
+import os
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions import providers as V
-from plumbline.functions import python_udfs as P
-from plumbline.operators import building, ranking, replay, runs, validity
+from plumbline.operators import building, calls, ranking, replay, runs, validity
 from plumbline.sources import artefacts
 from plumbline.streaming import logs
 
 
 def test_statuses_and_delays(spark):
-    assert V.status_error(204, "") is None
-    assert V.status_error(429, "slow").retryable and not V.status_error(404, "no model").retryable and "404" in str(V.status_error(404, " x "))
-    assert [V.delay(k, jitter=lambda: 1.0) for k in (1, 2, 3, 20)] == [0.5, 1.0, 2.0, 30.0] and 0 <= V.delay(3) < 2.0
-    with pytest.raises(ValueError):
-        V.delay(0)
-    df = spark.createDataFrame([(1, 503), (3, 200), (9, 400)], "k int, status int")
-    assert [tuple(r) for r in df.select(runs.backoff(F.col("k"), jitter=F.lit(0.5)), runs.retryable(F.col("status"))).collect()] == [(0.25, True), (1.0, None), (15.0, False)]
+    df = spark.createDataFrame([(1, 503), (2, 204), (3, 200), (9, 400), (20, 429)], "k int, status int")
+    assert [tuple(r) for r in df.select(calls.backoff(F.col("k"), jitter=F.lit(0.5)), calls.retryable(F.col("status"))).collect()] == [(0.25, True), (0.5, None), (1.0, None), (15.0, False), (15.0, True)]
     with pytest.raises(Exception, match="numbered from 1"):
-        df.select(runs.backoff(F.col("k") - 1)).collect()
-
-
-def test_only_what_may_pass_is_tried_again(spark):
-    async def run(error):
-        tries = []
-
-        async def call():
-            tries.append(1)
-            if len(tries) < 3:
-                raise error
-            return "done"
-
-        try:
-            return len(tries), await V.with_retries(call, 4, 0.0), len(tries)
-        except Exception as e:
-            return type(e).__name__, None, len(tries)
-
-    assert asyncio.run(run(V.Transient("t")))[1:] == ("done", 3) and asyncio.run(run(TimeoutError()))[1:] == ("done", 3)
-    assert asyncio.run(run(V.Permanent("p"))) == ("Permanent", None, 1) and asyncio.run(run(ValueError("v"))) == ("ValueError", None, 1)
-
-    async def answer(row):
-        return {"text": "x"}
-
-    requests = spark.range(6).select(F.col("id").cast("string").alias("key")).coalesce(1)
-    out = P.with_model(requests, answer, "key string, text string, error string", limiter=V.Limiter(2, per_day=4)).collect()
-    assert sum(r.error is None for r in out) == 4 and all("daily cap" in r.error for r in out if r.error)
-
-
-def test_limiter_by_the_day():
-    now = [0.0]
-    limiter = V.Limiter(2, 1, clock=lambda: now[0])
-
-    async def once():
-        async with limiter:
-            return True
-
-    assert asyncio.run(once())
-    limiter.gate = None
-    with pytest.raises(V.QuotaExceeded):
-        asyncio.run(once())
-    now[0] = V.DAY_S
-    assert asyncio.run(once()) and V.Limiter(8, 100).share(4).concurrency == 2 and V.Limiter(8, 100).share(4).per_day == 25
-
-
-def test_settings_of_a_role(spark, tmp_path):
-    config = {"providers": {"own": {"kind": "openai_compat", "base_url": "https://${HOST}/v1"}, "g": {"kind": "google", "api_key_env": "KEY", "requests_per_day": 10}, "odd": {"kind": "x"}}, "generators": {"standard_1": {"provider": "own", "model": "m", "family": "f", "base_url": "https://other/v1"}, "two": {"provider": "own", "model": "m", "family": "f"}}, "judge": {"provider": "g", "model": "j", "family": "h"}, "bad": {"provider": "none"}, "worse": {"provider": "odd"}}
+        df.select(calls.backoff(F.col("k") - 1)).collect()
+    failures = [calls.CallFailed(429, "slow"), TimeoutError(), ConnectionResetError(), calls.CallFailed(404, "no model"), ValueError("v")]
+    assert [calls.may_pass(e) for e in failures] == [True, True, True, False, False] and str(failures[3]) == "status 404, no model"
+
+
+class Service:
+    """Counts calls and how many run at a time, over all tasks, by files of a folder; key i fails as often as `fails` says."""
+
+    def __init__(self, at, fails=None, error=None):
+        self.at, self.fails, self.error = str(at), fails or {}, error
+
+    async def __call__(self, row):
+        with open(f"{self.at}/{row['key']}-{uuid.uuid4().hex}.open", "w"):
+            pass
+        running = len([x for x in os.listdir(self.at) if x.endswith(".open")])
+        with open(f"{self.at}/{uuid.uuid4().hex}.{running}.seen", "w"):
+            pass
+        await asyncio.sleep(0.03)
+        mine = [x for x in os.listdir(self.at) if x.startswith(f"{row['key']}-")]
+        tries = len(mine)
+        for x in mine:
+            if x.endswith(".open"):
+                os.rename(f"{self.at}/{x}", f"{self.at}/{x}.done")
+        if tries <= self.fails.get(row["key"], 0):
+            raise self.error
+        return {"text": f"{row['key']}!"}
+
+    def calls(self):
+        return len([x for x in os.listdir(self.at) if x.endswith(".done")])
+
+    def most(self):
+        return max(int(x.split(".")[1]) for x in os.listdir(self.at) if x.endswith(".seen"))
+
+
+REPLY = "key string, text string, error string"
+
+
+def test_only_what_may_pass_is_asked_again(spark, tmp_path):
+    requests = spark.range(12).select(F.col("id").cast("string").alias("key"))
+    told, waits = [], []
+    for name, error, tries in (("passes", calls.CallFailed(503), {"3": 2, "5": 9}), ("stays", calls.CallFailed(400, "bad"), {"3": 2, "5": 9})):
+        (tmp_path / name).mkdir()
+        service = Service(tmp_path / name, tries, error)
+        out = {r.key: (r.text, r.error) for r in calls.with_model(requests, service, REPLY, width=3, progress=told.append, sleep=waits.append).collect()}
+        good = "3" if name == "passes" else None
+        assert len(out) == 12 and all(out[str(i)] == (f"{i}!", None) for i in range(12) if i not in (3, 5) or str(i) == good) and "status" in out["5"][1]
+        assert service.calls() == (12 + 2 + 3 if good else 12) and service.most() <= 3
+    assert [t["open"] for t in told] == [2, 2, 1, 0, 0] and told[-1]["failed"] == 2 and told[3] == {"round": 4, "answered": 11, "failed": 1, "refused": 0, "open": 0}
+    assert len(waits) == 3 and all(0 <= w <= calls.BASE_S * 2**i for i, w in enumerate(waits))
+    assert calls.with_model(requests.limit(0), Service(tmp_path), REPLY).count() == 0
+
+
+def test_a_day_of_calls_is_shared_by_rounds_tasks_and_jobs(spark, tmp_path):
+    """Never more calls than the day allows, whatever the number of tasks, retries and jobs; a day later there are as many again."""
+    now = [1000.0]
+    (tmp_path / "calls").mkdir()
+    service = Service(tmp_path / "calls", {"0": 1, "1": 1}, TimeoutError("slow"))
+    day = lambda: calls.Ledger(spark, f"file://{tmp_path}/ledger", 9, clock=lambda: now[0])
+    requests = spark.range(6).select(F.col("id").cast("string").alias("key")).repartition(4)
+    first = calls.with_model(requests, service, REPLY, width=4, ledger=day(), sleep=lambda s: None).collect()
+    assert all(r.error is None for r in first) and service.calls() == 8
+    told = []
+    more = calls.with_model(requests.selectExpr("key || 'x' AS key"), service, REPLY, width=4, ledger=day(), progress=told.append).collect()
+    assert len(more) == 6 and sum(r.error is None for r in more) == 1 and service.calls() == 9 and all("9 calls" in r.error for r in more if r.error) and told[0]["refused"] == 5
+    assert all(r.error for r in calls.with_model(requests, service, REPLY, ledger=day()).collect()) and service.calls() == 9
+    now[0] += calls.DAY_S
+    assert day().used() == 0 and all(r.error is None for r in calls.with_model(requests, service, REPLY, ledger=day()).collect()) and service.most() <= 4
+
+
+def test_clients_of_a_configuration(spark, tmp_path):
+    config = {"providers": {"own": {"kind": "openai_compat", "base_url": "https://${HOST}/v1"}, "g": {"kind": "google", "api_key_env": "KEY", "requests_per_day": 10}, "odd": {"kind": "x"}}, "generators": {"standard_1": {"provider": "own", "model": "m", "family": "f", "base_url": "https://other/v1"}, "two": {"provider": "own", "model": "m", "family": "f"}}, "judge": {"provider": "g", "model": "j", "family": "h", "supports_thinking": True}, "bad": {"provider": "none"}, "worse": {"provider": "odd"}}
     (tmp_path / "c.json").write_text(json.dumps(config))
     config = artefacts.read_config(spark, f"file://{tmp_path}/c.json")
-    assert V.settings("standard_1", config, {})["base_url"] == "https://other/v1" and V.settings("two", config, {"HOST": "h"})["base_url"] == "https://h/v1"
-    assert V.settings("judge", config, {"KEY": "k"})["per_day"] == 10
-    for role, env in (("judge", {}), ("bad", {}), ("worse", {}), ("nobody", {})):
-        with pytest.raises(V.ConfigError):
-            V.settings(role, config, env)
-    with pytest.raises(KeyError):
-        V.settings("two", config, {})
+    of = lambda env: {r.role: r for r in calls.clients(spark, config, env).collect()}
+    bare, full = of({}), of({"HOST": "h", "KEY": "k"})
+    assert set(bare) == {"standard_1", "two", "judge", "bad", "worse"}
+    assert {r: x.error for r, x in bare.items()} == {"standard_1": None, "two": "HOST not set", "judge": "no key in KEY", "bad": "unknown service none", "worse": "unknown kind x"}
+    assert full["standard_1"].base_url == "https://other/v1" and full["two"].base_url == "https://h/v1" and full["two"].error is None
+    assert (full["judge"].per_day, full["judge"].width, full["judge"].thinks, full["judge"].cot_prompt, full["judge"].error, full["judge"].api_key_env) == (10, 4, True, False, None, "KEY")
     (tmp_path / "l.json").write_text("[1]")
     with pytest.raises(ValueError, match="mapping"):
         artefacts.read_config(spark, f"file://{tmp_path}/l.json")
@@ -91,9 +109,9 @@ def test_preflight():
         return {"text": "OK"}
 
     async def failed(row):
-        raise V.Transient("HTTP 503")
+        raise calls.CallFailed(503)
 
-    assert V.preflight(good) is None and "503" in V.preflight(failed)
+    assert calls.preflight(good) is None and "503" in calls.preflight(failed)
 
 
 def test_ledger_and_claims():

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import python_udfs as P
 from plumbline.functions import text as T
-from plumbline.operators import ranking, retrieval, runs, testbeds, validity
+from plumbline.operators import calls, ranking, retrieval, runs, testbeds, validity
 from plumbline.sources import readers
 from plumbline.streaming import logs
 
@@ -256,7 +256,7 @@ def test_model_boundary_retries_and_reports(spark):
             raise RuntimeError("no")
         return {"text": str(row["x"])}
 
-    out = {r.key: (r.text, r.error) for r in P.with_model(requests, call, "key string, text string, error string", attempts=2, base=0.01).collect()}
+    out = {r.key: (r.text, r.error) for r in calls.with_model(requests, call, "key string, text string, error string", rounds=2, base=0.01).collect()}
     assert out == {"a": ("1", None), "b": (None, "RuntimeError: no")}
-    answers, fresh = P.read_through(requests, spark.createDataFrame([("b", "kept")], "key string, text string"), call, "key string, text string, error string", attempts=1)
+    answers, fresh = calls.read_through(requests, spark.createDataFrame([("b", "kept")], "key string, text string"), call, "key string, text string, error string", rounds=1)
     assert {r.key: r.text for r in answers.collect()} == {"a": "1", "b": "kept"} and fresh.count() == 1
