@@ -133,6 +133,42 @@ def test_blocks_find_what_one_block_finds(spark, monkeypatch):
     assert sorted(map(tuple, D.contaminated(docs, bench).collect())) == whole
 
 
+@pytest.mark.parametrize("words", [D.BLOCK_WINDOWS, 10])
+def test_items_named_by_texts(spark, monkeypatch, words):
+    """Both plans, on items whose ids are texts, with slots filled differently."""
+    monkeypatch.setattr(D, "BLOCK_WINDOWS", words)
+    trip = "We saw that old Peter took 5 buses into town with Carla who met 9 friends from Lisbon whom only Bruno knew."
+    short = "How many legs have three old green spiders ?"
+    bench = spark.createDataFrame([("gsm-1", ITEM), ("gsm-10", trip), ("b", short), (None, ITEM), ("gsm-2", None)], "item_id string, text string")
+    docs = [(1, "x " + ITEM.replace("120", "77") + " y " + trip.lower()), (2, "so: " + short), (3, trip.replace("Carla", "Anna").replace("9", "2")), (4, "nothing of it"), (5, None), (6, "A train leaves the old station at noon with nobody")]
+    df = spark.createDataFrame(docs, SCHEMA)
+    out = D.contaminated(df, bench)
+    assert out.schema["item_ids"].dataType.simpleString() == "array<string>"
+    assert {x.doc_id: (x.item_ids, x.reparameterised) for x in out.collect()} == {1: (["gsm-1", "gsm-10"], True), 2: (["b"], False), 3: (["gsm-10"], True), 4: ([], False), 5: ([], False), 6: ([], False)}
+    assert sorted(r.doc_id for r in D.decontaminated(df, bench).collect()) == [4, 5, 6]
+
+
+def test_a_phrase_of_many_items_and_texts_makes_no_product(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_WINDOWS", 10)
+    rnd = random.Random(3)
+    stock = "please read the question below and choose one"
+    word = lambda: "".join(rnd.choice("bcdfghjklmnpqrst") + rnd.choice("aeiou") for _ in range(4))
+    own = [" ".join(word() for _ in range(14)) for _ in range(1000)]
+    bench = spark.createDataFrame([(i, f"{t} {stock} {word()}") for i, t in enumerate(own)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{' '.join(word() for _ in range(12))} {stock} {own[i] if i % 10 == 0 else word()}") for i in range(1000)], SCHEMA)
+    sizes = {}
+    write = D.Scratch.__call__
+
+    def watched(self, rows, what):
+        out = write(self, rows, what)
+        sizes[what] = out.count()
+        return out
+
+    monkeypatch.setattr(D.Scratch, "__call__", watched)
+    found = {x.doc_id: x.item_ids for x in D.contaminated(docs, bench).filter("contaminated").collect()}
+    assert found == {i: [i] for i in range(0, 1000, 10)} and sizes["text-items"] < 5000
+
+
 def test_leaks_against_plain_containment(spark):
     """Every document that holds an item word for word is found; any other hit has at least a run's words of the item in order."""
     docs, bench = ([tuple(r) for r in spark.read.parquet(f"{DATA}/{t}.parquet").select(*c).collect()] for t, c in (("documents", ("doc_id", "text")), ("benchmark", ("item_id", "text"))))
