@@ -1,16 +1,19 @@
 """Deduplication, ranking and sampling with a total order, so that results don't depend on partitioning.
 
-Random order is the order of a hash of a stated key. Operators that rank within groups use window functions, those that want
-the first rows of a group limit them in each task; none ranks a whole table in one task, unless the table is a list of strata.
+Random order is the order of a hash of a stated key. Places in a whole group are prefix sums over ranges of it; operators that want
+the first rows of a group limit them in each task. None ranks a whole table or group in one task, unless it is a list of strata.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources.scratch import written
+
 
 def shuffled(seed: int | str, *key: str) -> Column:
     """A pseudo-random value of the key: md5 of seed and key, as text."""
@@ -33,17 +36,50 @@ def top_k(rows: DataFrame, group: Sequence[str], order: Sequence[Column], k: int
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def average_ranks(rows: DataFrame, value: str, by: Sequence[str] = ()) -> Column:
-    """Rank of the value within its group, ties sharing their mean rank."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / F.lit(2.0)
+def _same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
+    """Equal names, NULLs being equal too; those of b carry a mark."""
+    return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[f"{c}__of"]) for c in names], F.lit(True))
+
+
+def running(rows: DataFrame, by: Sequence[str], order: Sequence[str], amount: Column, name: str) -> DataFrame:
+    """Adds the sum of the amounts of all rows of the group that come before this one in a total order; 0 for the first.
+
+    Rows are dealt out in ranges of group and order, as Spark samples them; sums within a range are added to those of the ranges before
+    it, of which a group has no more than there are partitions. So no task holds more than a range, however large a group is.
+    """
+    ranged = written(rows.withColumn("amount__", amount).repartitionByRange(*by, *order).withColumn("range__", F.spark_partition_id()), "ranges")
+    ahead = Window.partitionBy(*by).orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = ranged.groupBy(*by, "range__").agg(F.sum("amount__").alias("sum__")).withColumn("before__", F.coalesce(F.sum("sum__").over(ahead), F.lit(0)))
+    sums = sums.drop("sum__").withColumnsRenamed({c: f"{c}__of" for c in [*by, "range__"]})
+    within = Window.partitionBy(*by, "range__").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("within__", F.coalesce(F.sum("amount__").over(within), F.lit(0)))
+    out = local.join(sums, _same(local, sums, [*by, "range__"]))
+    return out.select(*rows.columns, (F.col("before__") + F.col("within__")).alias(name))
+
+
+def average_ranks(rows: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """(by, value, rank) of the distinct values of each group, ties sharing their mean rank; weight: how many rows a row stands for.
+
+    Rows are counted by value before they are ordered, so ties cost a row.
+    """
+    n = F.count("*") if weight is None else F.sum(weight)
+    values = running(rows.groupBy(*by, value).agg(n.alias("n__")), by, [value], F.col("n__"), "below__")
+    return values.select(*by, value, (F.col("below__") + (F.col("n__") + 1) / F.lit(2.0)).alias("rank"))
 
 
 def spearman(rows: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rank correlation per group over rows where both are defined; NULL below three rows or where a side is constant."""
-    rows = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("x"), F.col(y).alias("y"))
-    rows = rows.withColumns({"rx": average_ranks(rows, "x", by), "ry": average_ranks(rows, "y", by)})
-    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.covar_pop("rx", "ry").alias("c"), (F.var_pop("rx") * F.var_pop("ry")).alias("v"))
-    return out.select(*by, "n", F.when((F.col("n") >= 3) & (F.col("v") > 0), F.col("c") / F.sqrt("v")).alias("rho"))
+    """Rank correlation per group over rows where both are defined; NULL below three rows or where a side is constant. Equal pairs of values are counted first."""
+    pairs = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("w"))
+    pairs = written(pairs, "pairs")
+    for c in ("x", "y"):
+        ranks = average_ranks(pairs, c, by, "w").withColumnsRenamed({k: f"{k}__of" for k in [*by, c]}).withColumnRenamed("rank", f"r{c}")
+        pairs = pairs.join(ranks, _same(pairs, ranks, [*by, c])).drop(*[f"{k}__of" for k in [*by, c]])
+    w, mean = F.col("w"), lambda c: F.sum(F.col("w") * c) / F.sum("w")
+    rx, ry = F.col("rx"), F.col("ry")
+    out = pairs.groupBy(*by).agg(F.sum(w).alias("n"), (F.sum(w) + 1).alias("twice"), mean(rx * ry).alias("xy"), mean(rx * rx).alias("xx"), mean(ry * ry).alias("yy"), ((F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry"))).alias("vary"))
+    middle = (F.col("twice") / 2.0) ** 2  # ranks have the same mean, with or without ties
+    vx, vy = F.col("xx") - middle, F.col("yy") - middle
+    return out.select(*by, "n", F.when((F.col("n") >= 3) & F.col("vary"), (F.col("xy") - middle) / F.sqrt(vx * vy)).alias("rho"))
 
 
 def sample(rows: DataFrame, n: int, seed: int | str, *key: str) -> DataFrame:
@@ -78,7 +114,7 @@ def stratified_sample(cases: DataFrame, *, fraction: float, second: int, seed: i
     """
     members = cases.select(stratum, base, case).distinct().withColumn("nth", F.row_number().over(Window.partitionBy(stratum, base).orderBy(case)) - 1)
     bases = members.groupBy(stratum, base).agg(F.count("*").alias("members"))
-    bases = bases.withColumn("place", F.row_number().over(Window.partitionBy(stratum).orderBy(shuffled(seed, stratum, base), base)) - 1)
+    bases = running(bases.withColumn("h", shuffled(seed, stratum, base)), [stratum], ["h", base], F.lit(1), "place").drop("h")
     sizes = bases.groupBy(stratum).agg(half_up(F.count("*") * fraction).alias("quota"))
     chosen = bases.join(F.broadcast(sizes), stratum).filter(F.col("place") < F.col("quota"))  # a row per stratum
     share = quotas(sizes, stratum, "quota", second, "share").select(stratum, "share") if second else sizes.select(stratum, F.lit(0).alias("share"))
@@ -96,7 +132,7 @@ def balanced_sample(rows: DataFrame, group: str, n: int, seed: int | str, *key:
 
 def round_robin(work: DataFrame, stream: str, order: str) -> DataFrame:
     """Adds turn, the place within a stream: the order (turn, stream) takes from each stream alternately."""
-    return work.withColumn("turn", F.row_number().over(Window.partitionBy(stream).orderBy(order)))
+    return running(work, [stream], [order], F.lit(1), "turn").withColumn("turn", F.col("turn") + 1)
 
 
 def budget_fill(pool: DataFrame, group: Sequence[str], order: Sequence[str], tokens: str, budget: str, least: int = 15) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +90,26 @@ def test_bm25_by_hand(spark):
         assert got[pid] == pytest.approx(want)
 
 
+def test_places_and_ranks_in_ranges(spark):
+    """Prefix sums over many ranges against sorting, with a group of most rows, a group of one, NULLs and ties."""
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["hot"] * 9 + ["b", None]), i, rnd.choice([None, 1.0, 2.0, rnd.random()]), rnd.randrange(4)) for i in range(3000)] + [("one", -1, 0.5, 3)]
+    df = spark.createDataFrame(rows, "g string, i long, v double, n int").repartition(7)
+    got = ranking.running(df, ["g"], ["v", "i"], F.col("n"), "before").collect()
+    assert len(got) == len(rows)
+    place = {(r.g, r.i): r.before for r in got}
+    ranks = {(r.g, r.v): r["rank"] for r in ranking.average_ranks(df, "v", ["g"]).collect()}
+    for g in ("hot", "b", None, "one"):
+        own, total = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is not None, r[2] or 0, r[1])), 0
+        for r in own:
+            assert place[g, r[1]] == total
+            total += r[3]
+        values = [r[2] for r in own]
+        assert all(ranks[g, v] == values.index(v) + (values.count(v) + 1) / 2 for v in set(values))
+    assert ranking.running(df.limit(0), [], ["i"], F.lit(1), "x").count() == 0
+    assert [r.x for r in ranking.running(df, [], ["i"], F.lit(1), "x").orderBy("i").limit(3).collect()] == [0, 1, 2]
+
+
 def test_spearman_with_ties(spark):
     df = spark.createDataFrame(list(zip([1, 2, 2, 3], [10, 20, 30, 40])), "x int, y int")
     assert ranking.spearman(df, "x", "y").first().rho == pytest.approx(0.9487, abs=1e-4)
