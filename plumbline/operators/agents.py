@@ -70,12 +70,13 @@ def agentic(cases: DataFrame, box: DataFrame, ask: Callable[[DataFrame], DataFra
     rows = rows.withColumns({"pending": F.when(empty, F.array("query")).otherwise(parts), "warnings": F.when(ok & empty, F.array(warning)).otherwise(F.col("warnings"))})
     rows = rows.withColumns({"steps": F.when(ok, _step("decompose", subqueries=F.col("pending"), output=F.col("text"))).otherwise(F.col("steps")), "error": F.when(~ok, F.concat(F.lit("decompose: "), "failure")), "phase": F.when(ok, "open").otherwise("done")})
     state = kept(rows.drop("text", "failure", "cut"))
+    index = sandbox.indexed(box)
     for step in range(max_steps):
         going = state.filter("phase = 'open'")
         if not going.take(1):
             break
         going = going.withColumn("sub", F.coalesce(F.get("pending", F.lit(0)), "query")).withColumn("pending", F.slice("pending", F.lit(2), F.greatest(F.size("pending") - 1, F.lit(0))))
-        found = contexts(sandbox.retrieved(sandbox.scores(box, going.select("case_id", F.col("sub").alias("query"))), k), box)
+        found = contexts(sandbox.retrieved(sandbox.scores(box, going.select("case_id", F.col("sub").alias("query")), index), k), box)
         rows = going.join(found, "case_id", "left").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("passage_ids", "texts")})
         rows = rows.withColumns({"evidence": F.concat("evidence", F.array(F.struct(F.col("sub").alias("query"), "passage_ids", "texts"))), "steps": F.concat("steps", _step("retrieve", query=F.col("sub"), passage_ids=F.col("passage_ids")))}).drop("sub", "passage_ids", "texts")
         rows = replies(kept(rows), _filled(templates["step"], question=F.col("query"), evidence=_shown(), remaining=F.lit(str(max_steps - step - 1))))

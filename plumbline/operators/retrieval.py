@@ -1,13 +1,13 @@
 """Lexical and dense retrieval within groups of passages, and similarity joins in bands.
 
-Statistics of a group are aggregates over exploded tokens; only tokens of a query meet them, so what is joined grows with the
-query's words. Similarity joins have a stated set of anchors against all candidates; the anchors are broadcast in blocks of a
+Passages are indexed once, by their words and their groups' terms, and scored in place. Similarity joins have a stated set of anchors against all candidates; the anchors are broadcast in blocks of a
 stated size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import lower_words
 from plumbline.functions.python_udfs import matches
+from plumbline.sources.scratch import written
 
 #: Parameters of the ranking function.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -24,21 +25,50 @@ ANCHOR_BYTES = 32 << 20
 POOL_GROWTH, POOL_ROUNDS = 4, 4
 
 
-def bm25(passages: DataFrame, queries: DataFrame, group: str = "case_no", pid: str = "passage_id", pos: str = "pos", text: str = "text", query: str = "query") -> DataFrame:
-    """(group, passage, pos, score) of every passage for its group's query. A term that most passages have gets EPSILON times the group's mean idf; a repeated query word counts each time."""
-    tokens = passages.select(group, pid, pos, lower_words(F.col(text)).alias("w"))
-    lengths = tokens.select(group, pid, pos, F.size("w").alias("dl"))
-    stats = lengths.groupBy(group).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = tokens.select(group, pid, F.explode("w").alias("term")).groupBy(group, pid, "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(group, "term").agg(F.count("*").alias("df")).join(stats, group)
-    df = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+@dataclass(frozen=True)
+class Lexicon:
+    """An index of passages: (group, pid, pos, w, dl) with their words, and (group, term, idf, avgdl)."""
+
+    group: str
+    pid: str
+    pos: str
+    passages: DataFrame
+    terms: DataFrame
+
+    def scores(self, queries: DataFrame, query: str = "query") -> DataFrame:
+        """(group, pid, pos, score) of every passage of the index for its group's query; a repeated query word counts each time.
+
+        What is joined are a query's terms, a row for each group: passages are scored in place by their words.
+        """
+        asked = queries.select(self.group, F.explode(lower_words(F.col(query))).alias("term")).groupBy(self.group, "term").agg(F.count("*").alias("times"))
+        known = asked.join(self.terms, [self.group, "term"]).groupBy(self.group)
+        wanted = known.agg(F.array_sort(F.collect_list(F.struct("term", "times", "idf"))).alias("asked"), F.max("avgdl").alias("avgdl"))  # a query's words
+        rows = self.passages.join(wanted, self.group, "left")
+        terms = F.transform("asked", lambda a: a["term"])
+        hits = F.filter("w", lambda x: F.array_contains(terms, x))
+        rows = rows.withColumn("hits", F.when(F.col("asked").isNotNull(), hits))
+        base = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+        tf = lambda a: F.size(F.filter("hits", lambda x: x == a["term"]))
+        part = lambda a: a["times"] * a["idf"] * tf(a) * (K1 + 1) / (tf(a) + base)
+        score = F.when(F.size("hits") > 0, F.aggregate("asked", F.lit(0.0), lambda s, a: s + part(a)))
+        return rows.select(self.group, self.pid, self.pos, F.coalesce(score, F.lit(0.0)).alias("score"))
+
+
+def lexicon(passages: DataFrame, group: str = "case_no", pid: str = "passage_id", pos: str = "pos", text: str = "text", keep: bool = True) -> Lexicon:
+    """Index passages; a term that most passages of a group have gets EPSILON times the group's mean idf. keep: write the index, for more queries than those of one job."""
+    rows = passages.select(group, pid, pos, lower_words(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
+    rows = written(rows, "passages") if keep else rows
+    stats = rows.groupBy(group).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    df = rows.select(group, F.explode(F.array_distinct("w")).alias("term")).groupBy(group, "term").agg(F.count("*").alias("df"))
+    df = df.join(stats, group).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = df.groupBy(group).agg((EPSILON * F.avg("raw")).alias("floor"))
-    asked = queries.select(group, F.explode(lower_words(F.col(query))).alias("term")).groupBy(group, "term").agg(F.count("*").alias("times"))
-    idf = df.join(asked, [group, "term"]).join(floor, group).withColumn("idf", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")))
-    hits = tf.join(idf.select(group, "term", "idf", "times", "avgdl"), [group, "term"]).join(lengths.select(group, pid, "dl"), [group, pid])
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = hits.groupBy(group, pid).agg(F.sum(part).alias("score"))
-    return lengths.join(scores, [group, pid], "left").select(group, pid, pos, F.coalesce("score", F.lit(0.0)).alias("score"))
+    terms = df.join(floor, group).select(group, "term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    return Lexicon(group, pid, pos, rows, written(terms, "terms") if keep else terms)
+
+
+def bm25(passages: DataFrame, queries: DataFrame, group: str = "case_no", pid: str = "passage_id", pos: str = "pos", text: str = "text", query: str = "query") -> DataFrame:
+    """(group, passage, pos, score) of every passage for its group's query, from an index that serves these queries alone."""
+    return lexicon(passages, group, pid, pos, text, keep=False).scores(queries, query)
 
 
 def ranked(scores: DataFrame, group: str, pos: str = "pos") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import NO_ANSWER
 from plumbline.operators.ranking import top_k
-from plumbline.operators.retrieval import bm25
+from plumbline.operators.retrieval import Lexicon, lexicon
 
 
 def built(cases: DataFrame, pool: DataFrame | None = None) -> DataFrame:
@@ -46,11 +46,14 @@ def asserted(sandbox: DataFrame, cases: DataFrame) -> DataFrame:
     return rows.withColumn("passage_id", F.when(bad, say).otherwise(F.col("passage_id"))).select(*sandbox.columns)
 
 
-def scores(sandbox: DataFrame, cases: DataFrame) -> DataFrame:
-    """(case_id, passage_id, idx, is_case, score): lexical scores over the whole sandbox, so that both rankings below share their term statistics."""
-    # a passage may stand in a sandbox twice: its place, not its id, is what is scored
-    rows = sandbox.select("case_id", "idx", F.col("idx").alias("place"), "text")
-    made = bm25(rows, cases.select("case_id", "query"), group="case_id", pid="idx", pos="place")
+def indexed(sandbox: DataFrame) -> Lexicon:
+    """The index of a sandbox, for as many queries as come. A passage may stand in a sandbox twice: its place, not its id, is what is scored."""
+    return lexicon(sandbox.select("case_id", "idx", F.col("idx").alias("place"), "text"), "case_id", "idx", "place")
+
+
+def scores(sandbox: DataFrame, cases: DataFrame, index: Lexicon | None = None) -> DataFrame:
+    """(case_id, passage_id, idx, is_case, score): lexical scores over the whole sandbox, so that both rankings below share their term statistics. index: of this sandbox, if it is there already."""
+    made = (index or indexed(sandbox)).scores(cases.select("case_id", "query"))
     return made.select("case_id", "idx", "score").join(sandbox.select("case_id", "idx", "passage_id", "is_case"), ["case_id", "idx"])
 
 
