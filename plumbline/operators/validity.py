@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import alnum_tokens, ngrams
+from plumbline.functions import grams
+from plumbline.functions.text import alnum_tokens
 from plumbline.operators.metrics import count_if
+from plumbline.sources.scratch import written
 
 #: Pass mark and discriminative margin of a proxy metric.
 PASS, MARGIN = 0.5, 0.05
+#: Characters of text whose n-grams' hashes meet in one task, and shared hashes that are sent to the workers.
+RANGE_CHARS, SENT_HASHES = 64 << 20, 4 << 20
 PROXIES = ("faithfulness", "answer_relevance", "context_relevance")
 
 
@@ -52,15 +57,26 @@ def ratio_of(hits: Column, n: Column) -> Column:
     return F.try_divide(hits.cast("double"), n)
 
 
-def document_ngrams(docs: DataFrame, n: int, doc: str = "doc_id", text: str = "text", least: int = 2) -> DataFrame:
+def document_ngrams(docs: DataFrame, n: int, text: str = "text", least: int = 2) -> DataFrame:
     """(gram, documents): n-grams of at least `least` documents, each counted once a document.
 
-    Hardly any n-gram is in two documents. Their hashes are counted first, and only those that enough documents have (or share
-    by chance) are spelt out: what is shuffled is 8 bytes an n-gram.
+    Hardly any n-gram is in two documents. Workers count the hashes of their texts' n-grams; arrays of hashes and counts meet by
+    ranges of hashes, so a row is shuffled for each task and range and 12 bytes for each n-gram of a task. What enough
+    documents have (or share by chance) is spelt out and counted as text: sent to the workers, if it is at most SENT_HASHES,
+    and else joined.
     """
-    grams = docs.select(F.explode(ngrams(alnum_tokens(F.col(text)), n)).alias("gram"))
-    common = grams.groupBy(F.xxhash64("gram").alias("h")).agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("h")
-    rows = grams.withColumn("h", F.xxhash64("gram")).join(common, "h", "left_semi")
+    if n <= 0:
+        raise ValueError("n must be positive")
+    texts = docs.select(F.col(text).cast("string").alias("text")).filter("text IS NOT NULL")
+    ranges = -(-(texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 1) // RANGE_CHARS)
+    parts = texts.mapInArrow(lambda batches: grams.counted(batches, n, ranges), "range int, hashes binary, counts binary")
+    parts = parts.repartition(ranges, "range").sortWithinPartitions("range")
+    hashes = written(parts.mapInArrow(lambda batches: grams.frequent(batches, least), "h long"), "shared-hashes")
+    if hashes.count() <= SENT_HASHES:
+        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(hashes.toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
+        rows = texts.mapInArrow(lambda batches: grams.spelt(batches, n, wanted.value), "h long, gram string")
+    else:
+        rows = texts.mapInArrow(lambda batches: grams.spelt(batches, n, None), "h long, gram string").join(hashes, "h", "left_semi")
     return rows.groupBy("gram").agg(F.count("*").alias("documents")).filter(F.col("documents") >= least)
 
 
@@ -115,12 +131,12 @@ def artefact_report(pairs: DataFrame, sizes: Sequence[int] = (4, 5, 6, 7, 8), *,
     fraction = pairs.select(edit_fraction("original", "generated").alias("f"))
     out = fraction.agg(F.count("*").alias("n_pairs"), F.avg("f").alias("mean_edit"), F.percentile("f", F.lit(0.5)).alias("median_edit"), F.max("f").alias("max_edit"), count_if(F.col("f") > rewritten).alias("n_rewritten")).filter("n_pairs > 0")
     out = out.crossJoin(length_ratio(pairs).select("mean_ratio")).crossJoin(generated_only_share(made, own).agg(F.coalesce(F.max("share"), F.lit(0.0)).alias("max_share")))  # one row each
-    grams = {}
+    excessive = {}
     for n in sizes:
         a, b = (document_ngrams(t, n).agg(F.count("*").alias(c)) for t, c in ((made, f"generated_{n}"), (own, f"original_{n}")))
         out = out.crossJoin(a).crossJoin(b)  # one row each
-        grams[n] = F.col(f"generated_{n}") > excess * F.col(f"original_{n}")
+        excessive[n] = F.col(f"generated_{n}") > excess * F.col(f"original_{n}")
     flags = [F.when(F.col("max_share") > template_share, "a token of no original is in many generated texts"), F.when(F.col("mean_edit") > rewritten, "rewritten as a whole")]
-    flags += [F.when((F.col(f"original_{n}") > 0) & more, f"{n}-grams shared across cases") for n, more in grams.items()]
+    flags += [F.when((F.col(f"original_{n}") > 0) & more, f"{n}-grams shared across cases") for n, more in excessive.items()]
     out = out.withColumn("flags", F.filter(F.array(*flags), lambda x: x.isNotNull()))
     return out.withColumn("verdict", F.when(F.size("flags") == 0, "no artefact by these measures").otherwise("possible artefact"))

@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +111,32 @@ def test_places_and_ranks_in_ranges(spark):
     assert [r.x for r in ranking.running(df, [], ["i"], F.lit(1), "x").orderBy("i").limit(3).collect()] == [0, 1, 2]
 
 
+def test_shared_ngrams_against_plain_counts(spark, monkeypatch):
+    """Both ways of finding the shared hashes, over several ranges and blocks; texts that end in a token, long ones, and letters beyond ASCII."""
+    from collections import Counter
+
+    from plumbline.functions import grams
+
+    rnd = random.Random(8)
+    words = ["the", "It's", "1889", "été", "a", "B2b", "x-y", "..", "café"]
+    texts = [None, "", "one", "the the the the the", "it's 1889", "a" * 3000 + " b c"] + [" ".join(rnd.choice(words) for _ in range(rnd.randrange(40))) for _ in range(300)]
+    df = spark.createDataFrame([(t, 1) for t in texts], "text string, gram int").repartition(5)
+    for n in (1, 2, 4):
+        want = Counter()
+        for t in texts:
+            w = [x.lower() for x in re.findall(r"[A-Za-z0-9']+", t or "")]
+            want.update({" ".join(w[i : i + n]) for i in range(len(w) - n + 1)})
+        want = {g: c for g, c in want.items() if c >= 2}
+        for sent, chars in ((1 << 20, 1 << 20), (0, 500)):
+            monkeypatch.setattr(validity, "SENT_HASHES", sent)
+            monkeypatch.setattr(validity, "RANGE_CHARS", chars)
+            monkeypatch.setattr(grams, "BLOCK", 100 if n == 2 else 1 << 20)
+            assert {r.gram: r.documents for r in validity.document_ngrams(df, n).collect()} == want
+    assert validity.document_ngrams(df.limit(0), 3).count() == 0
+    with pytest.raises(ValueError):
+        validity.document_ngrams(df, 0)
+
+
 def test_spearman_with_ties(spark):
     df = spark.createDataFrame(list(zip([1, 2, 2, 3], [10, 20, 30, 40])), "x int, y int")
     assert ranking.spearman(df, "x", "y").first().rho == pytest.approx(0.9487, abs=1e-4)
