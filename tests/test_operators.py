@@ -1,7 +1,9 @@
 import json
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +93,31 @@ def test_bm25_by_hand(spark):
         assert got[pid] == pytest.approx(want)
 
 
+def test_matching_blocks_are_difflibs(monkeypatch):
+    import difflib
+
+    rnd = random.Random(6)
+    pairs = [([], []), ([1], []), ([1] * 50, [1] * 30), (list(range(40)), list(range(20, 60)))]
+    for k in range(400):
+        a = [rnd.randrange(2 + k % 30) for _ in range(rnd.randrange(60))]
+        b = list(a) if k % 2 else [rnd.randrange(2 + k % 30) for _ in range(rnd.randrange(60))]
+        for _ in range(rnd.randrange(8)):
+            if b:
+                at = rnd.randrange(len(b))
+                b[at : at + rnd.randrange(3)] = [rnd.randrange(40) for _ in range(rnd.randrange(3))]
+        pairs.append((a, b))
+    for most in (1 << 24, 40):
+        monkeypatch.setattr(P, "RUN_PAIRS", most)
+        for a, b in pairs:
+            want = sum(x.size for x in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+            assert P.matched(np.array(a, int), np.array(b, int)) == want, (a, b)
+    words = rnd.choices(range(5000), [1 / (k + 2.7) for k in range(5000)], k=20_000)  # as often as words are
+    other = [w if rnd.random() < 0.9 else rnd.randrange(5000) for w in words]
+    monkeypatch.setattr(P, "RUN_PAIRS", 1 << 24)
+    began = time.time()
+    assert P.matched(np.array(words), np.array(other)) > 17_000 and time.time() - began < 15
+
+
 def test_places_and_ranks_in_ranges(spark):
     """Prefix sums over many ranges against sorting, with a group of most rows, a group of one, NULLs and ties."""
     rnd = random.Random(5)
