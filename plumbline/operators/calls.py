@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from plumbline.sources.cache import Cache
 from plumbline.sources.readers import exists
-from plumbline.sources.scratch import folder
+from plumbline.sources.scratch import folder, written
 
 #: Statuses that may pass, rounds, the first and longest wait between rounds in seconds, and kinds of services.
 RETRYABLE = (408, 409, 429, 500, 502, 503, 504)
@@ -165,12 +166,21 @@ def with_model(
     return ended
 
 
-def read_through(requests: DataFrame, cache: DataFrame, call: Call, schema: str, **options) -> tuple[DataFrame, DataFrame]:
-    """(answers, fresh): cached answers, and those of a model for requests that aren't cached. fresh, without its errors, is what to append to the cache."""
-    known = requests.select("key").join(cache, "key")
-    fresh = with_model(requests.join(cache.select("key"), "key", "left_anti"), call, schema, **options)
+def read_through(requests: DataFrame, cache: DataFrame | Cache, call: Call, schema: str, **options) -> tuple[DataFrame, DataFrame]:
+    """(answers, fresh): cached answers, and those of a model for requests that aren't cached. fresh, without its errors, is what to append to the cache; a Cache has it already, under the time of the call where the schema has none."""
     names = StructType.fromDDL(schema).names
-    return known.select(*[c if c in known.columns else F.lit(None).alias(c) for c in names]).unionByName(fresh), fresh.filter("error IS NULL")
+    if isinstance(cache, Cache):
+        found = cache.lookup(requests.select("key"))
+        known, missing = found.filter("hit"), requests.join(found.filter("NOT hit").select("key"), "key", "left_semi")
+    else:
+        known, missing = requests.select("key").join(cache, "key"), requests.join(cache.select("key"), "key", "left_anti")
+    fresh = with_model(missing, call, schema, **options)
+    answers = known.select(*[F.col(c) if c in known.columns else F.lit(None).alias(c) for c in names]).unionByName(fresh)
+    if isinstance(cache, Cache):
+        answers = written(answers, "answers")  # before the put: what is known is read from what it replaces
+        there = {cache.order: F.current_timestamp()} if cache.order not in names else {}
+        cache.put(fresh.withColumns({**{f.name: F.lit(None).cast(f.dataType) for f in cache.fields if f.name not in names}, **there}))
+    return answers, fresh.filter("error IS NULL")
 
 
 def preflight(call: Call, prompt: str = "Say that you are ready.") -> str | None:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
-from plumbline.operators import building, replay, runs, sandbox, scoring, testbeds, validity
+from plumbline.operators import building, calls, replay, runs, sandbox, scoring, testbeds, validity
 from plumbline.plans import flow_queries as flows
 from plumbline.plans.fixtures import fixture, having
 from plumbline.plans.text_queries import _WORDS, q
+from plumbline.sources.cache import Cache
+from plumbline.sources.scratch import folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -129,6 +131,39 @@ def _put(s, d):
 register("cache_put", "SELECT key, created_at, text FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY created_at DESC) AS rn FROM (SELECT 'k' || (event_id % 300)::varchar AS key, event_id AS created_at, event_type AS text FROM events WHERE event_id < 500 OR event_type <> 'error')) WHERE rn = 1")(_put)
 
 
+def _put_in_turns(s, d):
+    """The same rows put into a store in three turns, of which the last touches few buckets."""
+    e = table(s, d, "events").select(F.concat(F.lit("k"), (F.col("event_id") % 300).cast("string")).alias("key"), F.col("event_id").alias("created_at"), F.col("event_type").alias("text"))
+    store = Cache(s, folder(s, "cache"), e.schema, buckets=8)
+    store.put(e.filter("created_at < 500"))
+    later = e.filter("created_at >= 500").withColumn("error", F.when(F.col("text") == "error", "timeout").when(F.col("text") == "view", ""))
+    store.put(later.filter("key <> 'k7'"))
+    store.put(later.filter("key = 'k7'"))
+    return store.read()
+
+
+register("cache_store", SQL["cache_put"])(_put_in_turns)
+
+
+async def _shouts(row):
+    """A model that fails for one request in seven."""
+    if row["n"] % 7 == 3:
+        raise calls.CallFailed(400, "no")
+    return {"text": row["prompt"].upper()}
+
+
+@register("read_through", """WITH r AS (SELECT event_id AS n, 'k' || event_id::varchar AS key, event_type AS prompt FROM events WHERE event_id % 5 = 0)
+SELECT key, CASE WHEN n % 2 = 0 THEN 'kept' WHEN n % 7 <> 3 THEN upper(prompt) END AS text, n % 2 = 1 AND n % 7 = 3 AS failed, n % 2 = 0 OR n % 7 <> 3 AS cached FROM r""")
+def read_through(s, d):
+    """Requests of which every second one is in the cache; the others' answers are there afterwards, the failed ones aren't."""
+    requests = table(s, d, "events").filter("event_id % 5 = 0").select(F.col("event_id").alias("n"), F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("key"), F.col("event_type").alias("prompt"))
+    store = Cache(s, folder(s, "cache"), buckets=8)
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in store.fields if f.name != "key"}
+    store.put(requests.filter("n % 2 = 0").select("key").withColumns({**blank, "text": F.lit("kept"), "created_at": F.timestamp_seconds(F.lit(0))}))
+    answers, _ = calls.read_through(requests, store, _shouts, "key string, text string, error string", width=4)
+    return answers.select("key", "text", F.col("error").isNotNull().alias("failed")).join(store.lookup(answers.select("key")).select("key", F.col("hit").alias("cached")), "key")
+
+
 def _stored(s, d):
     """The newest results with two passages each, which the arms of every third case share, and a step whose output is recorded."""
     rows = scoring.newest_results(flows.results(s, d)).filter("case_id <> 'gone'")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import building, calls, ranking, replay, runs, validity
 from plumbline.sources import artefacts
+from plumbline.sources.cache import Cache
 from plumbline.streaming import logs
 
 
@@ -104,6 +105,40 @@ def test_clients_of_a_configuration(spark, tmp_path):
     assert artefacts.read_optional(spark, f"file://{tmp_path}/broken.json") is None and artefacts.read_optional(spark, f"file://{tmp_path}/none.json") is None and artefacts.read_optional(spark, f"file://{tmp_path}/l.json") == [1]
 
 
+def test_cache_store(spark, tmp_path):
+    """A put writes the buckets of its keys alone; the newest row of a key stays, failures are refused, and answers read through it are there afterwards."""
+    fields = "key string, created_at long, text string, error string"
+    rows = [(f"k{i % 200}", i, f"t{i}", "late" if i % 11 == 0 else None) for i in range(500)] + [(None, 1, "x", None)]
+    df = spark.createDataFrame(rows, fields)
+    store = Cache(spark, f"file://{tmp_path}/cache", df.drop("error").schema, buckets=16)
+    assert store.read().count() == 0 and store.put(df.limit(0)) == [] and store.lookup(df.select("key")).filter("hit").count() == 0
+    assert store.put(df.filter("created_at < 400")) == list(range(16))
+    before = {b: store.generations(b) for b in range(16)}
+    touched = store.put(df.filter("created_at IN (400, 401, 407)"))
+    assert 0 < len(touched) <= 3 and all(len(store.generations(b)) == 1 + (b in touched) and store.generations(b)[:1] == before[b] for b in range(16))
+    store.put(df.filter("created_at > 401"))
+    store.put(df.filter("created_at < 100"))  # older rows change nothing
+    want = {}
+    for k, at, text, error in rows:
+        if k and not error:
+            want[k] = text
+    assert {r.key: r.text for r in store.read().collect()} == want and all(len(store.generations(b)) <= 2 for b in range(16))
+    assert {r.key: r.text for r in store.get("k3", "none").collect()} == {"k3": want["k3"]} and store.get().count() == 0
+    found = {r.key: (r.hit, r.text) for r in store.lookup(spark.createDataFrame([("k5",), ("new",)], "key string")).collect()}
+    assert found == {"k5": (True, want["k5"]), "new": (False, None)}
+
+    async def call(row):
+        if row["key"] == "bad":
+            raise calls.CallFailed(401)
+        return {"text": "fresh"}
+
+    for expected in ("fresh", "fresh"):
+        answers, fresh = calls.read_through(spark.createDataFrame([("k5",), ("new",), ("bad",)], "key string"), store, call, REPLY)
+        got = {r.key: r.text for r in answers.collect()}
+        assert got == {"k5": want["k5"], "new": expected, "bad": None}
+    assert fresh.count() == 0 and {r.key for r in store.get("new", "bad").collect()} == {"new"}
+
+
 def test_preflight():
     async def good(row):
         return {"text": "OK"}
