@@ -26,6 +26,12 @@ def matrix(spark: SparkSession, classes: Sequence[tuple[str, str]] = CLASSES, re
     return df.withColumn("config_id", config_id())
 
 
+def coverage(configs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The configurations with how many rows, and how many cases, a log or a scored table has of each."""
+    there = rows.groupBy("config_id").agg(F.count("*").alias("n_scored"), F.count_distinct("case_id").alias("n_cases"))
+    return configs.join(there, "config_id", "left").na.fill(0, ["n_scored", "n_cases"])
+
+
 def pending(cases: DataFrame, configs: DataFrame, done: DataFrame) -> DataFrame:
     """Every case under every configuration but for keys already done. The configurations are a handful and are broadcast."""
     work = cases.crossJoin(F.broadcast(configs)).withColumn("key", F.concat(F.col("config_id"), F.lit("::"), F.col("case_id")))

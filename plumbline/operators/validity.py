@@ -140,3 +140,17 @@ def artefact_report(pairs: DataFrame, sizes: Sequence[int] = (4, 5, 6, 7, 8), *,
     flags += [F.when((F.col(f"original_{n}") > 0) & more, f"{n}-grams shared across cases") for n, more in excessive.items()]
     out = out.withColumn("flags", F.filter(F.array(*flags), lambda x: x.isNotNull()))
     return out.withColumn("verdict", F.when(F.size("flags") == 0, "no artefact by these measures").otherwise("possible artefact"))
+
+
+def ledger(rows: DataFrame, artefacts: DataFrame, tolerance: float = 5e-4) -> DataFrame:
+    """(id, verdict, actual) of ledger rows (id, stated, artefact, path) against artefacts (artefact, document): no artefact, no value, differs or holds.
+
+    path is dotted, places in lists being numbers. Numbers hold if they differ by less than the tolerance, texts if they are equal.
+    """
+    known = artefacts.select("artefact", "document", F.lit(True).alias("there"))
+    step = lambda x: F.when(F.rlike(x, F.lit(r"^\d+$")), F.concat(F.lit("["), x, F.lit("]"))).otherwise(F.concat(F.lit("['"), x, F.lit("']")))
+    at = F.concat(F.lit("$"), F.array_join(F.transform(F.split("path", r"\."), step), ""))
+    out = rows.join(known, "artefact", "left").withColumn("actual", F.call_function("get_json_object", F.col("document"), at))
+    near = F.abs(F.col("actual").try_cast("double") - F.col("stated").try_cast("double")) < tolerance
+    verdict = F.when(F.col("there").isNull(), "no artefact").when(F.col("actual").isNull(), "no value").when((F.col("actual") == F.col("stated")) | F.coalesce(near, F.lit(False)), "holds").otherwise("differs")
+    return out.select("id", verdict.alias("verdict"), "actual")

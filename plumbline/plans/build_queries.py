@@ -47,17 +47,11 @@ def review_checklist(s, d):
     return scored(s, d).select("case_id", "dimension", "is_answerable").distinct().join(F.broadcast(questions), ["dimension", "is_answerable"]).select("case_id", "question_no", "question")
 
 
-ROLES = [("pipeline", "alpha"), ("pipeline", "beta"), ("judge", "beta"), ("judge", "gamma"), ("case_generator", "alpha"), ("nli", "delta")]
-FORBIDDEN = [("pipeline", "judge"), ("pipeline", "case_generator"), ("judge", "nli")]
-_VALUES = lambda rows, *names: "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows) + f") v({', '.join(names)})"
-register("shared_families", f"""SELECT p.role_a, p.role_b, a.family
-    FROM (SELECT *
-    FROM {_VALUES(FORBIDDEN, 'role_a', 'role_b')}) p
-    JOIN (SELECT *
-    FROM {_VALUES(ROLES, 'role', 'family')}) a ON a.role = p.role_a
-    JOIN (SELECT *
-    FROM {_VALUES(ROLES, 'role', 'family')}) b ON b.role = p.role_b AND a.family = b.family""")(
-    lambda s, d: readers.forbidden_families(s.createDataFrame(ROLES, "role string, family string"), s.createDataFrame(FORBIDDEN, "role_a string, role_b string")))
+FORBIDDEN = [("view", "error"), ("click", "purchase"), ("signup", "view")]
+_FAMILY = "(user_id * 7 + event_id) % 499"
+register("shared_families", f"""WITH r AS (SELECT DISTINCT event_type AS role, 'f' || ({_FAMILY})::varchar AS family FROM events)
+SELECT p.role_a, p.role_b, a.family FROM (VALUES {", ".join(str(x) for x in FORBIDDEN)}) p(role_a, role_b) JOIN r a ON a.role = p.role_a JOIN r b ON b.role = p.role_b AND b.family = a.family""")(
+    lambda s, d: readers.forbidden_families(s.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("role"), F.concat(F.lit("f"), F.expr(_FAMILY).cast("string")).alias("family")), s.createDataFrame(FORBIDDEN, "role_a string, role_b string")))
 
 register("answer_split", f"""WITH {_SEEDS} SELECT seed_id, coalesce(list(passage_id
     ORDER BY doc_id) FILTER (bearing), []) AS bearing, coalesce(list(passage_id

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
-from plumbline.operators import judging, sandbox, scoring
+from plumbline.operators import agents, judging, sandbox, scoring, validity
 from plumbline.plans.fixtures import fixture, having
 from plumbline.plans.text_queries import _NORM, _WORDS, q
 
@@ -249,3 +249,46 @@ register("proxy_scores", """WITH r AS (SELECT event_id AS key, [2, 0, 0, 1][even
 s AS (SELECT *, CASE WHEN n_statements = 2 AND v = 0 THEN 1 WHEN n_statements = 1 AND v = 1 THEN 1 END AS n_supported, CASE WHEN n_sentences > 0 AND v < 2 THEN 2 - 2 * v END AS n_relevant FROM r)
 SELECT key, n_statements, n_supported, n_supported / n_statements AS faithfulness, n_questions, CASE n_questions WHEN 2 THEN 0.5e0 WHEN 1 THEN 1e0 END AS answer_relevance, n_sentences, n_relevant, n_relevant / n_sentences AS context_relevance FROM s""")(
     lambda s, d: judging.proxy_scores(_judge_replies(s, d)))
+
+
+# --- the agentic loop, and the ledger
+
+_TEMPLATES = {"decompose": "D {question} {most}", "step": "S {question} left {remaining}\n{evidence}", "synthesise": "Y {question}\n{evidence}"}
+
+
+def _agent(requests):
+    """A generator by rules: what it says follows from the case's number and the turn."""
+    k, p = F.split("key", "-")[1].cast("int") % 5, F.col("prompt")
+    first = F.when(k == 3, " ").otherwise("1. alpha\n2. beta")
+    step = F.when(k == 0, "<final_answer>A</final_answer>").when((k == 1) & p.contains("left 2"), "NEXT_QUERY: gamma").when(k == 1, F.concat(F.lit("<final_answer>"), F.regexp_count(p, F.lit(r"Query: ")).cast("string"), F.lit("</final_answer>"))).otherwise("hm")
+    text = F.when(p.startswith("D"), first).when(p.startswith("S"), step).otherwise("<final_answer>Y</final_answer>")
+    return requests.select("key", text.alias("text"), F.when(k == 4, "HTTP 500").alias("error"), F.lit(False).alias("truncated"))
+
+
+@register("agentic_runs", """WITH c AS (SELECT floor(doc_id / 10)::int AS n, count(*) AS docs FROM documents GROUP BY 1), k AS (SELECT *, n % 5 AS k FROM c)
+SELECT 'c-' || n::varchar AS case_id, ['A', '2', 'Y', 'Y', NULL][k + 1] AS final_answer, [2, 3, 4, 3, 1][k + 1]::int AS generator_calls,
+  ['decompose,retrieve,react', 'decompose,retrieve,react,retrieve,react', 'decompose,retrieve,react,retrieve,react,synthesise', 'decompose,retrieve,react,synthesise', ''][k + 1] AS nodes,
+  ['alpha', 'alpha,gamma', 'alpha,beta', 'what is c-' || n::varchar, ''][k + 1] AS queries, CASE WHEN k = 4 THEN 0 ELSE docs END::int AS n_passages, [0, 0, 1, 2, 0][k + 1]::int AS n_warnings, CASE WHEN k = 4 THEN 'decompose: HTTP 500' END AS error FROM k""")
+def agentic_runs(s, d):
+    """A case for every ten documents, which are its sandbox, through each way of the loop."""
+    docs = s.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("c-"), F.floor(F.col("doc_id") / 10).cast("string")).alias("case_id"), (F.col("doc_id") % 10).alias("idx"), F.col("doc_id").cast("string").alias("passage_id"), "text")
+    box = docs.select("case_id", "idx", F.lit(True).alias("is_case"), "passage_id", "text", F.lit(False).alias("is_answer_bearing"), F.lit(False).alias("is_injected"))
+    cases = docs.select("case_id").distinct().withColumn("query", F.concat(F.lit("what is "), "case_id"))
+    runs = agents.agentic(cases, box, _agent, _TEMPLATES, max_steps=3, k=10)
+    nodes, queries = F.transform("steps", lambda x: x["node"]), F.transform(F.filter("steps", lambda x: x["node"] == "retrieve"), lambda x: x["query"])
+    return runs.select("case_id", "final_answer", "generator_calls", F.array_join(nodes, ",").alias("nodes"), F.array_join(queries, ",").alias("queries"), F.size("retrieved_passage_ids").alias("n_passages"), F.size("warnings").alias("n_warnings"), "error")
+
+
+@register("ledger_verdicts", """WITH g AS (SELECT lang, source, count(*) AS n, avg(n_chars) AS chars FROM documents GROUP BY ALL), x AS (SELECT *, (ascii(substr(source, 4, 1)) + length(source)) % 5 AS k FROM g)
+SELECT lang || '/' || source AS id, ['holds', 'differs', 'no value', 'no artefact', 'holds'][k + 1] AS verdict, CASE WHEN k IN (2, 3) THEN NULL ELSE n::varchar END AS actual FROM x""")
+def ledger_verdicts(s, d):
+    """Counts that a text states, held against one artefact for each language; some are wrong, or name what isn't there."""
+    docs = s.read.parquet(f"{d}/documents.parquet")
+    counts = docs.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    artefacts = counts.groupBy("lang").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("source", F.array("n")))).alias("by"))).alias("document")).withColumnRenamed("lang", "artefact")
+    k = (F.ascii(F.substring("source", 4, 1)) + F.length("source")) % 5
+    rows = counts.select(
+        F.concat("lang", F.lit("/"), "source").alias("id"), (F.col("n") + F.when(k == 1, 1).otherwise(0)).cast("string").alias("stated"), F.when(k == 3, F.concat("lang", F.lit("?"))).otherwise(F.col("lang")).alias("artefact"),
+        F.concat(F.lit("by."), "source", F.when(k == 2, ".7").otherwise(".0")).alias("path"),
+    )
+    return validity.ledger(rows, artefacts)

@@ -46,7 +46,9 @@ def cases(s, d):
 
 _CONFIGS = """configs AS (SELECT row_number() OVER (ORDER BY c, r, k) - 1 AS config_no, cn AS pipeline_class, rn AS retriever, g || '_' || k AS generator_key, cn || '|' || rn || '|' || g || '_' || k AS config_id
     FROM (VALUES (0, 'naive', 'standard'), (1, 'reasoning', 'reasoning'), (2, 'agentic', 'reasoning')) a(c, cn, g), (VALUES (0, 'bm25'), (1, 'dpr')) b(r, rn), (VALUES (1), (2)) e(k))"""
-register("matrix_configs", f"WITH {_CONFIGS} SELECT config_no::int AS config_no, pipeline_class, retriever, generator_key, config_id FROM configs")(lambda s, d: runs.matrix(s))
+register("matrix_configs", C(_CONFIGS, then="""SELECT config_no::int AS config_no, pipeline_class, retriever, generator_key, config_id, coalesce(n, 0) AS n_scored, coalesce(k, 0) AS n_cases
+    FROM configs LEFT JOIN (SELECT config_id, count(*) AS n, count(DISTINCT case_id) AS k FROM scored GROUP BY 1) USING (config_id)"""))(
+    lambda s, d: runs.coverage(runs.matrix(s), scored(s, d)))
 _DONE = """work AS (SELECT c.*, f.*, config_id || '::' || case_id AS key
     FROM cases c, configs f
     WHERE NOT EXISTS (FROM scored s

@@ -44,11 +44,11 @@ _U = lambda key: f"(('0x' || substr(md5({key}), 1, 8))::bigint / 4294967296.0e0)
 
 register("weighted_kinds", f"SELECT event_id AS i, {_choice(_U(q('11|') + ' || event_id::varchar'))} AS kind FROM events")(
     lambda s, d: table(s, d, "events").select(F.col("event_id").alias("i")).select("i", building.weighted_choice(building.uniform(11, "i"), building.CASE_MIX).alias("kind")))
-register("synthetic_cases", f"""WITH k AS (SELECT i, {_choice(_U(q('11|') + ' || i::varchar'))} AS kind FROM range(2000) t(i)), r AS (SELECT *, CASE WHEN kind LIKE 'noise%' THEN split_part(kind, '-', 2)::double END AS noise_ratio FROM k),
+register("synthetic_cases", f"""WITH k AS (SELECT i, {_choice(_U(q('11|') + ' || i::varchar'))} AS kind FROM (SELECT unnest(range(count(*))) AS i FROM documents)), r AS (SELECT *, CASE WHEN kind LIKE 'noise%' THEN split_part(kind, '-', 2)::double END AS noise_ratio FROM k),
 n AS (SELECT *, greatest(1, floor(floor(700 * noise_ratio / (1 - noise_ratio)) / 200)) AS extra FROM r)
 SELECT 'spike-' || CASE WHEN noise_ratio IS NULL THEN kind ELSE 'noise' || floor(noise_ratio * 100)::int::varchar END || '-' || i::varchar AS case_id, noise_ratio, CASE kind WHEN 'refusal' THEN 1 WHEN 'conflict' THEN 2 ELSE 1 + extra END AS n_passages,
   CASE kind WHEN 'refusal' THEN 706 WHEN 'conflict' THEN 1406 ELSE 706 + 200 * extra END AS n_words FROM n""")(
-    lambda s, d: building.synthetic_cases(s, 2000).select("case_id", "noise_ratio", F.size("passages").cast("double").alias("n_passages"), testbeds.tokens_of().cast("double").alias("n_words")))
+    lambda s, d: building.synthetic_cases(s, table(s, d, "documents").count()).select("case_id", "noise_ratio", F.size("passages").cast("double").alias("n_passages"), testbeds.tokens_of().cast("double").alias("n_words")))
 
 #: Cases by hand, and what is wrong with each: (dimension, answer, ratio, passages, generation parameters, problems).
 _P = lambda i, text, bearing=False, injected=False: (f"p{i}", text, bearing, injected)
@@ -196,9 +196,16 @@ def _forks(s, d):
 
 
 register("decompose_forks", flows.flow(flows._NEWEST, _STORED, then="SELECT key, CASE WHEN line_no % 90 >= 80 THEN 'not in the cache' WHEN step IS NULL OR line_no % 4 = 0 THEN 'no decomposition recorded' WHEN step = 'd' || ((line_no % 90) % 50)::varchar THEN 'same' ELSE 'fork' END AS cause FROM stored WHERE pipeline_class = 'agentic'"))(_forks)
-register("pipeline_parameters", """SELECT c || '|' || r || '|' || g || '_' || k::varchar AS config_id, CASE WHEN c <> 'naive' THEN g = 'reasoning' AND k = 1 END AS thinking, CASE WHEN c <> 'naive' THEN g = 'reasoning' AND k = 2 END AS cot_prompt, 2048 AS max_tokens, 0.0e0 AS temperature, 5::bigint AS seed, CASE WHEN c = 'agentic' THEN 5 END AS max_steps
-FROM (VALUES ('naive', 'standard'), ('reasoning', 'reasoning'), ('agentic', 'reasoning')) a(c, g), (VALUES ('bm25'), ('dpr')) b(r), (VALUES (1), (2)) e(k)""")(
-    lambda s, d: replay.pipeline_parameters(runs.matrix(s), s.createDataFrame([(f"{g}_{k}", g == "reasoning" and k == 1, g == "reasoning" and k == 2) for g in ("standard", "reasoning") for k in (1, 2)], "generator_key string, thinking boolean, cot_prompt boolean"), {"max_output_tokens": 2048, "seed": 5}))
+def _parameters(s, d):
+    """Of the configurations and generators that the scored rows name."""
+    rows = fixture(s, d, "scored")
+    generators = rows.select("generator_key").distinct().select("generator_key", (F.col("generator_key") == "reasoning_1").alias("thinking"), (F.col("generator_key") == "reasoning_2").alias("cot_prompt"))
+    return replay.pipeline_parameters(rows.select("config_id", "pipeline_class", "generator_key").distinct(), generators, {"max_output_tokens": 2048, "seed": 5})
+
+
+register("pipeline_parameters", having("scored", then="""SELECT DISTINCT config_id, CASE WHEN pipeline_class <> 'naive' THEN generator_key = 'reasoning_1' END AS thinking, CASE WHEN pipeline_class <> 'naive' THEN generator_key = 'reasoning_2' END AS cot_prompt, 2048 AS max_tokens, 0.0e0 AS temperature, 5::bigint AS seed,
+    CASE WHEN pipeline_class = 'agentic' THEN 5 END AS max_steps FROM scored"""))(_parameters)
+
 
 
 def _curated(s, d):
