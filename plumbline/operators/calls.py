@@ -113,7 +113,8 @@ def with_model(
 ) -> DataFrame:
     """A reply of an asynchronous model call for each request, in columns of the schema, which has key and error.
 
-    requests need a column key; call takes a row as a dict and gives a dict of the schema's columns. A call that fails for
+    requests need a column key; call takes a row as a dict, with the number of the round as `round`, and gives a dict of the
+    schema's columns. A call that fails for
     good, and one that fails in all rounds, gives its key and the error; so does one that the ledger's day doesn't allow any more.
     At most `width` calls of the job run at a time. progress is told after each round how many requests are answered, failed,
     refused by the ledger, and open.
@@ -143,11 +144,11 @@ def with_model(
             break
         tasks = min(width, granted)
 
-        def run(frames: Iterator[pd.DataFrame], tasks: int = tasks) -> Iterator[pd.DataFrame]:
+        def run(frames: Iterator[pd.DataFrame], tasks: int = tasks, k: int = k) -> Iterator[pd.DataFrame]:
             place = TaskContext.get().partitionId()
             own = width // tasks + (place < width % tasks)
             for frame in frames:
-                replies = asyncio.run(_asked(iter(frame.to_dict("records")), call, own))
+                replies = asyncio.run(_asked(iter(frame.assign(round=k).to_dict("records")), call, own))
                 yield pd.DataFrame([[r.get(c) for c in kind.names] for r in replies], columns=kind.names)
 
         replies = kept(asked.repartition(tasks).mapInPandas(run, kind), f"replies-{k}")

@@ -92,7 +92,11 @@ def band_join(anchors: DataFrame, candidates: DataFrame, low: float, high: float
     for b in range(blocks):
         own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
         block = spark.sparkContext.broadcast(own.toArrow())  # at most ANCHOR_BYTES on average
-        made.append(rows.mapInArrow(lambda batches, block=block: matches(batches, block.value, low, high, k), f"anchor_id {ids}, candidate_id {rows.schema['id'].dataType.simpleString()}, similarity double"))
+        found = rows.mapInArrow(lambda batches, block=block: matches(batches, block.value, low, high, k), f"anchor_id {ids}, candidate_id {rows.schema['id'].dataType.simpleString()}, similarity double")
+        if blocks > 1:  # one block at a time is held by the driver and the workers
+            found = written(found, "matches")
+            block.destroy()
+        made.append(found)
     return reduce(DataFrame.unionAll, made).select(F.col("anchor_id").alias(key[0]), F.col("candidate_id").alias(other[0]), "similarity")
 
 
