@@ -54,6 +54,10 @@ def by_shard(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     return F.broadcast(table) if len(rows) <= BROADCAST_SHARDS else table
 
 
+class Expired(LookupError):
+    """A version that is read after it has expired."""
+
+
 class ShardStore:
     def __init__(self, spark: SparkSession, root: str, *, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT):
         self.spark, self.root, self.target, self.fanout = spark, root.rstrip("/"), target_bytes, fanout
@@ -84,11 +88,22 @@ class ShardStore:
         finally:
             stream.close()
 
+    def oldest(self) -> int:
+        """The oldest version that hasn't expired: the greatest mark that an expiry has set."""
+        folder = self._path(f"{self.root}/expired")
+        names = [s.getPath().getName() for s in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
+        return max([int(n[1:]) for n in names if n.startswith("v")], default=1)
+
     def manifest(self, version: int | None = None) -> dict:
-        """version, schema and live shards of a version, by default the newest; an expired version is an error."""
+        """version, schema and live shards of a version, by default the newest; an expired version is an error (Expired)."""
         version = self.version() if version is None else version
         if not version:
             return {"version": 0, "schema": None, "shards": []}
+        if version < self.oldest():
+            raise Expired(f"version {version} has expired; the oldest is {self.oldest()}")
+        return self._manifest(version)
+
+    def _manifest(self, version: int) -> dict:
         later = [self._entry(version)]
         while "shards" not in later[-1]:
             later.append(self._entry(later[-1]["version"] - 1))
@@ -138,16 +153,19 @@ class ShardStore:
         raise AssertionError
 
     def expire(self, keep: int = 1) -> list[str]:
-        """Forget all versions but the newest `keep`, and delete the shards that only they list; their paths. Readers of those versions must have ended."""
+        """Forget all versions but the newest `keep`, which from then on are an error to read, and delete the shards that only they list; their paths. Readers of those versions must have ended."""
         newest = self.version()
-        first = max(newest - max(keep, 1) + 1, 1)
+        first = max(newest - max(keep, 1) + 1, self.oldest())
         if not newest:
             return []
         live = {s["path"] for v in range(first, newest + 1) for s in self.manifest(v)["shards"]}
         known = [int(s.getPath().getName()[1:-5]) for s in self.fs.listStatus(self._path(f"{self.root}/manifests"))]
         old = sorted(v for v in known if v < first)
-        gone = {s["path"] for v in old[:1] for s in self.manifest(v)["shards"]} | {s["path"] for v in old for s in self._entry(v)["added"]}
+        gone = {s["path"] for v in old[:1] for s in self._manifest(v)["shards"]} | {s["path"] for v in old for s in self._entry(v)["added"]}
         gone -= live
+        mark = self._path(f"{self.root}/expired/v{first:010d}")  # before anything goes
+        if not self.fs.exists(mark):
+            self.fs.create(mark, True).close()
         for p in sorted(gone):
             self.fs.delete(self._path(p), False)
         base = first - (first - 1) % CHECKPOINT  # what the manifests that stay are built on stays

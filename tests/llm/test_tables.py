@@ -236,8 +236,10 @@ def test_store_keeps_older_versions_until_they_expire(spark, tmp_path):
     assert store.expire(keep=2) == [] and store.read().count() == 20 == store.read(store.version() - 1).count()
     assert len(store.expire()) == 20 and store.read().count() == 20
     assert store.append(spark.createDataFrame([(99, None)], SCHEMA)) and store.read().count() == 21
-    with pytest.raises(Exception):
-        store.read(3).count()
+    for version in range(1, store.version() - 1):
+        with pytest.raises(sharding.Expired, match=f"version {version} has expired"):
+            store.read(version)
+    assert store.oldest() == store.version() - 1 and store.read(store.oldest()).count() == 20 and store.expire(keep=5) == []
 
 
 def test_store_survives_other_writers(spark, tmp_path):
