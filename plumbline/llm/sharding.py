@@ -161,7 +161,8 @@ class ShardStore:
         live = {s["path"] for v in range(first, newest + 1) for s in self.manifest(v)["shards"]}
         known = [int(s.getPath().getName()[1:-5]) for s in self.fs.listStatus(self._path(f"{self.root}/manifests"))]
         old = sorted(v for v in known if v < first)
-        gone = {s["path"] for v in old[:1] for s in self._manifest(v)["shards"]} | {s["path"] for v in old for s in self._entry(v)["added"]}
+        ends = [v for v in old if v >= self.oldest()]  # those before have ended already
+        gone = {s["path"] for v in ends[:1] for s in self._manifest(v)["shards"]} | {s["path"] for v in ends for s in self._entry(v)["added"]}
         gone -= live
         mark = self._path(f"{self.root}/expired/v{first:010d}")  # before anything goes
         if not self.fs.exists(mark):
