@@ -52,6 +52,12 @@ def test_sentences_and_alignment(spark):
     assert one(spark, T.claim_sentence(F.col("g"), F.col("p")), g="A b. C Paris d. Paris.", p=" paris ") == "C Paris d."
 
 
+def test_sentences_keep_digits_at_their_ends(spark):
+    assert one(spark, T.sentences(F.col("t")), t="007 came. 1 1 left. 2 a 2") == ["007 came.", "1 1 left.", "2 a 2"]
+    assert one(spark, T.aligned_sentence(F.col("g"), F.col("p")), g="0997 b. 1 c 1! 2", p="c") == "1 c 1!"
+    assert one(spark, T.aligned_sentence(F.col("g"), F.col("p")), g="  0997 b.  c!", p="x") == "0997 b."
+
+
 def test_inverted_names_and_parts(spark):
     assert one(spark, T.states_answer(F.col("t"), F.col("a")), t="by Sparks , Nicholas (1999)", a="Nicholas Sparks")
     assert one(spark, T.states_answer(F.col("t"), F.col("a")), t="the <I>Double</I>", a="The Double")
