@@ -1,9 +1,8 @@
 """Percentile bootstrap by sufficient statistics.
 
 Every statistic here is a function of sums over units (cases or seeds). A resample is then a weighting of units, and of units
-with equal sums together. Of up to LEAF units, draw j of resample b of a group picks the unit at a place that a hash of seed, group, b and j
-gives, units being in order of their sums; of more, the number of draws is split over the kinds of units by binomial draws
-that such a hash seeds. Draws depend on nothing but their key, so results are the same for any partitioning, and
+with equal sums together. Draw j of resample b of a group picks the unit at a place that a hash of seed, group, b and j
+gives, units being in order of their sums, however many there are. Draws depend on nothing but their key, so results are the same for any partitioning, and
 paired arms share their draws. Workers draw in parallel by group and resample.
 """
 
@@ -19,14 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.metrics import NOISE_GRID, count_if, f1, non_terminating, ratio
+from plumbline.operators.ranking import running
 from plumbline.sources.scratch import written
 
 #: Resamples, confidence, seed, and differences that count as practical.
 RESAMPLES, CONFIDENCE, SEED = 1000, 0.95, 20260721
-#: Units up to which a resample's draws are made one by one.
+#: Units up to which `weights` makes draws one by one. Queries don't use it: all their draws are made one by one.
 LEAF = 4096
-#: Kinds of units in a block, about, and parts that the resamples of a block are dealt over.
-KINDS, CHUNKS = 1 << 16, 16
+#: Kinds of units in a block, parts that the resamples of a block are dealt over, and draws that are held at a time.
+KINDS, CHUNKS, PIECE = 1 << 19, 16, 1 << 20
 PRACTICAL = {"refusal_f1": 0.05, "crs": 0.25, "ndc_auc": 0.05}
 
 
@@ -67,10 +67,10 @@ STATISTICS = {
 }
 
 
-def drawn(n: int, size: int, *key: object) -> np.ndarray:
-    """n draws from 0 to size - 1: four from each md5 of the key, without its NULLs, and a running number."""
+def drawn(n: int, size: int, *key: object, first: int = 0) -> np.ndarray:
+    """n draws from 0 to size - 1, from number `first` on, a multiple of four: four from each md5 of the key, without its NULLs, and a running number."""
     prefix = "|".join(str(x) for x in key if x is not None) + "|"
-    digests = b"".join(hashlib.md5(f"{prefix}{q}".encode()).digest() for q in range(-(-n // 4)))
+    digests = b"".join(hashlib.md5(f"{prefix}{q}".encode()).digest() for q in range(first // 4, -(-(first + n) // 4)))
     return np.frombuffer(digests, ">u4")[:n] % np.uint64(size)
 
 
@@ -88,12 +88,22 @@ def weights(n: int, m: np.ndarray, *key: object) -> np.ndarray:
     return np.bincount(np.searchsorted(np.cumsum(m), drawn(n, size, *key), "right"), minlength=len(m))
 
 
+def times_drawn(starts: np.ndarray, stop: int, size: int, *key: object) -> np.ndarray:
+    """How often each kind is drawn in `size` plain draws from as many places; kinds lie at successive places from starts, the last up to stop."""
+    out = np.zeros(len(starts), np.int64)
+    for first in range(0, size, PIECE):
+        at = drawn(min(PIECE, size - first), size, *key, first=first).astype(np.int64)
+        at = at[(at >= starts[0]) & (at < stop)]
+        out += np.bincount(np.searchsorted(starts, at, "right") - 1, minlength=len(starts))
+    return out
+
+
 def _resampled(stats: DataFrame, group: list[str], arms: list[str], metric: str, resamples: int, seed: int | str) -> tuple[DataFrame, DataFrame]:
     """(group, arms, observed) and (group, arms, b, value). A unit missing from an arm has no sums there.
 
-    Units of equal sums are one kind: a resample needs only how often each kind is drawn. The kinds of a group are dealt over
-    blocks of about KINDS; a resample's draws are split over the blocks, and a block's over its kinds, so a resample costs as many draws as
-    there are kinds, and no task or worker holds more than a block. Draws are never rows.
+    Units of equal sums are one kind: a resample needs only how often each kind is drawn. Draws are never rows: a task makes
+    those of some resamples of a group, piece by piece, and counts them by kind. Of a group with more than KINDS kinds, successive ones are a block, and a
+    task counts the draws that fall on its block, so none holds more than that.
     """
     _, k, value = STATISTICS[metric]
     spark = stats.sparkSession
@@ -104,40 +114,32 @@ def _resampled(stats: DataFrame, group: list[str], arms: list[str], metric: str,
     units = stats.groupBy(*group, "unit").agg(*[F.coalesce(F.sum(F.when(here(side), F.col(c))), F.lit(0)).alias(f"{c}_{i}") for i, side in enumerate(sides) for c in sums])
     wide = [c for c in units.columns if c not in (*group, "unit")]
     kinds = units.groupBy(*group, *wide).agg(F.count("*").alias("m")).withColumn("gid", F.to_json(F.struct(*group)) if group else F.lit("{}"))
-    kinds = written(kinds, "kinds")  # read three times
-    blocks = kinds.groupBy("gid").agg(F.ceil(F.count("*") / KINDS).alias("blocks"))
-    kinds = kinds.join(blocks, "gid").withColumn("block", F.pmod(F.xxhash64(*wide), F.col("blocks")).cast("int"))
+    kinds = written(kinds, "kinds")  # read several times
+    sizes = kinds.groupBy("gid").agg(F.sum("m").alias("size"), F.count("*").alias("n"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) > KINDS:
+        kinds = running(running(kinds, ["gid"], wide, F.col("m"), "start"), ["gid"], wide, F.lit(1), "nth").withColumn("block", F.floor(F.col("nth") / KINDS)).drop("nth")
+    else:
+        kinds = kinds.withColumns({"start": F.lit(0).cast("long"), "block": F.lit(0).cast("long")})
     name = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in group])
-    sizes = kinds.groupBy("gid", *group, "block").agg(F.sum("m").alias("m")).groupBy("gid", *group).agg(F.array_sort(F.collect_list(F.struct("block", "m"))).alias("sizes"))  # of blocks, of which there are few
     chunk = F.explode(F.sequence(F.lit(0), F.lit(min(CHUNKS, resamples) - 1))).alias("chunk")
 
-    def dealt(frames):
-        for frame in frames:
-            rows = []
-            for gid, key, parts, c in frame.itertuples(index=False):
-                m = np.array([p["m"] for p in parts])
-                for b in range(c, resamples, CHUNKS):
-                    counts = split(int(m.sum()), m, key, b) if len(parts) > 1 else m
-                    rows += [(gid, c, key, p["block"] if len(parts) > 1 else None, p["block"], b, int(x)) for p, x in zip(parts, counts) if x]
-            yield pd.DataFrame(rows, columns=["gid", "chunk", "name", "part", "block", "b", "n"]).astype({"part": "Int64"})
-
-    draws = sizes.select("gid", name.alias("name"), "sizes", chunk).mapInPandas(dealt, "gid string, chunk int, name string, part long, block int, b long, n long")
-
-    def run(own: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+    def run(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(wide)
         m, held = own["m"].to_numpy(), own[wide].to_numpy(np.float64).reshape(len(own), len(sides), k)
-        of = tuple(own[c].iloc[0] for c in group)
+        key, c, size = own["name"].iloc[0], int(own["chunk"].iloc[0]), int(own["size"].iloc[0])
+        ends = own["start"].iloc[0] + np.cumsum(m)
+        of = tuple(own[g].iloc[0] for g in group)
         rows = []
-        for key, part, b, n in draws[["name", "part", "b", "n"]].itertuples(index=False):
-            weight = weights(n, m, key, b, None if pd.isna(part) else int(part))
-            rows += [(*of, *side, b, *total) for side, total in zip(sides, np.tensordot(weight, held, 1).tolist())]
+        for b in range(c, resamples, CHUNKS):
+            weight = times_drawn(ends - m, int(ends[-1]), size, key, b)
+            rows += [(*of, *side, b, *total) for side, total in zip(sides, np.tensordot(weight.astype(np.float64), held, 1).tolist())]
         return pd.DataFrame(rows, columns=[*group, *arms, "b", *sums])
 
     fields = [f"{c} {stats.schema[c].dataType.simpleString()}" for c in (*group, *arms)]
     at = ["gid", "block", "chunk"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # stated, since small rows with much work mustn't be put together
-    own = kinds.select("gid", *group, *wide, "m", "block", chunk).repartition(parts, *at)
-    made = own.groupBy(*at).cogroup(draws.repartition(parts, *at).groupBy(*at)).applyInPandas(run, ", ".join([*fields, "b long", *[f"{c} double" for c in sums]]))
+    own = kinds.join(sizes.drop("n"), "gid").select("gid", *group, *wide, "m", "start", "size", name.alias("name"), "block", chunk).repartition(parts, *at)
+    made = own.groupBy(*at).applyInPandas(run, ", ".join([*fields, "b long", *[f"{c} double" for c in sums]]))
     totals = made.groupBy(*group, *arms, "b").agg(*[F.sum(c).alias(c) for c in sums])
     return observed, totals.select(*group, *arms, "b", value().alias("value"))
 

@@ -148,3 +148,30 @@ def test_resampling_in_blocks(spark, monkeypatch):
     for c in ("naive", "agentic"):
         assert whole[c].observed == blocks[c].observed and abs(whole[c].lower - blocks[c].lower) < 0.06 and abs(whole[c].upper - blocks[c].upper) < 0.06
     assert pair.observed == again.observed and abs(pair.lower - again.lower) < 0.08 and abs(pair.upper - again.upper) < 0.08 and pair.n_units == again.n_units == 300
+
+
+def test_resamples_of_many_units_are_plain_draws(spark, monkeypatch):
+    """However many units there are, draw by draw, in blocks of kinds as well."""
+    import hashlib
+
+    n, group = 5001, "naive"
+    rows = [row(case_id=f"c{i}", pipeline_class=group, dimension="conflict", crs_score=i * i % 5) for i in range(n)]
+    order = sorted(i * i % 5 for i in range(n))
+    values = []
+    for b in range(4):
+        digests = [hashlib.md5(f"7|{group}|{b}|{q}".encode()).hexdigest() for q in range(n // 4 + 1)]
+        values.append(sum(order[int(digests[j // 4][8 * (j % 4) : 8 * (j % 4) + 8], 16) % n] for j in range(n)) / n)
+    values.sort()
+    at = lambda q: values[int(q * 3)] + (q * 3 - int(q * 3)) * (values[min(3, int(q * 3) + 1)] - values[int(q * 3)])
+    df = frame(spark, rows)
+    for kinds in (I.KINDS, 2):
+        monkeypatch.setattr(I, "KINDS", kinds)
+        got = I.intervals(df, "crs", ["pipeline_class"], resamples=4, seed=7).first()
+        assert got.lower == pytest.approx(at(0.025), abs=1e-12) and got.upper == pytest.approx(at(0.975), abs=1e-12)
+
+
+def test_draws_are_counted_in_pieces(monkeypatch):
+    whole = np.bincount(np.searchsorted([20, 35, 40], I.drawn(40, 40, "s", 1), "right"), minlength=3)
+    monkeypatch.setattr(I, "PIECE", 12)
+    assert (I.times_drawn(np.array([0, 20, 35]), 40, 40, "s", 1) == whole).all()
+    assert (I.times_drawn(np.array([20, 35]), 40, 40, "s", 1) == whole[1:]).all()
