@@ -252,27 +252,39 @@ def _scan(batches: Iterator[pa.RecordBatch], block: Block, kind: pa.DataType) ->
             yield pa.RecordBatch.from_arrays([new.get(n, part.column(n)) for n in part.schema.names], part.schema.names)
 
 
-def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item, hash, size, place, places) of the windows of items (item, item_id, text): where in its item a window stands, and at how many places one could."""
-    for batch in batches:
-        block = Block(list(zip(range(batch.num_rows), batch.column("text").to_pylist())))
-        places = np.maximum(1, block.length[block.item] - WINDOW + 1)
-        columns = [block.hashes.view(np.int64), block.size, block.at - block.first[block.item], places]
-        yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(block.item)), *map(pa.array, columns)], ["item", "hash", "size", "place", "places"])
+def _codes(text: Text, at: np.ndarray, h: np.ndarray, size: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """(code, index into at) of windows with the need - 1 tokens beside them, before, behind or on both sides: a code for each way in which these can be read.
 
+    A window within a stretch of `need` windows that agree has a code in common with its like, whatever the readings in which its neighbours agree.
+    """
+    found = []
+    for left in range(need):
+        beside = [*range(-left, 0), *range(size, size + need - 1 - left)]
+        places = [at + j for j in beside]
+        ok = np.logical_and.reduce([(p >= 0) & (p < len(text.rows)) & (text.rows[np.clip(p, 0, len(text.rows) - 1)] == text.rows[at]) for p in places] or [np.ones(len(at), bool)])
+        index = np.flatnonzero(ok)
+        codes = [h[index] + np.uint64(need * RUN + left)]
+        for p in places:
+            values = [text.token[p[index]]]
+            values += [np.where(x[p[index]] == values[0], values[0], x[p[index]]) for x in (text.wild, text.caseless, text.literal)]
+            codes = [mix(c * np.uint64(0xC2B2AE3D27D4EB4F) + v) for c in codes for v in values]
+        found += [np.stack((c, index.astype(np.uint64))) for c in codes]
+    code, index = np.unique(np.concatenate(found, axis=1), axis=1)
+    return code, index.astype(np.int64)
 
-def _telling(windows: DataFrame) -> DataFrame:
-    """(item, hash, size): of each RUN successive places of an item (all, where it has fewer) the window that the fewest items have.
 
-    A text that holds an item has a stretch of that many agreeing windows, so one of these is among them, and a phrase that many
-    items share joins no text to all of them.
-    """
-    many = windows.groupBy("hash", "size").agg(F.count_distinct("item").alias("having"))
-    run = F.least(F.lit(RUN), "places")
-    starts = F.sequence(F.greatest(F.lit(0), F.col("place") - run + 1), F.least("place", F.col("places") - run))
-    each = windows.join(many, ["hash", "size"]).select("item", "hash", "size", "having", F.explode(starts).alias("start"))
-    best = each.groupBy("item", "start").agg(F.min_by(F.struct("hash", "size"), F.struct("having", "hash", "size")).alias("w"))
-    return best.select("item", "w.hash", "w.size").distinct()
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, hash, size, need, code) of the windows of items (item, item_id, text) with the tokens beside them; need: how many successive windows of the item a text must have."""
+    for batch in batches:
+        block = Block(list(zip(range(batch.num_rows), batch.column("text").to_pylist())))
+        needed = np.minimum(RUN, np.maximum(1, block.length[block.item] - WINDOW + 1))
+        for size in block.sizes:
+            for need in range(1, RUN + 1):
+                own = np.flatnonzero((block.size == size) & (needed == need))
+                if len(own):
+                    code, index = _codes(block.text, block.at[own], block.hashes[own], size, need)
+                    columns = [block.hashes[own[index]].view(np.int64), np.full(len(code), size), np.full(len(code), need), code.view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(block.item[own[index]])), *map(pa.array, columns)], ["item", "hash", "size", "need", "code"])
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,17 +299,20 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int64()), pa.array([np.packbits(b).tobytes() for b in pieces.values()], pa.binary())], ["piece", "bits"])
 
 
-def _possible(batches: Iterator[pa.RecordBatch], bits: np.ndarray, sizes: list[int]) -> Iterator[pa.RecordBatch]:
-    """(key, hash, size) of windows of texts (key, text) that the filter doesn't rule out."""
+def _possible(batches: Iterator[pa.RecordBatch], bits: np.ndarray, sizes: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """(key, code, size) of windows of texts (key, text) that the filter doesn't rule out; sizes: (size, need) of the items' windows."""
     for batch in batches:
         for part in slices(batch, "text"):
             text = Text(part.column("text"))
-            for size in sizes:
+            for size in sorted({s for s, _ in sizes}):
                 h, at = text.windows(size)
                 place = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
                 good = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
-                found = np.unique(np.stack((text.rows[at[good]], h[good].view(np.int64))), axis=1)
-                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(found[0])), pa.array(found[1]), pa.array(np.full(found.shape[1], size))], ["key", "hash", "size"])
+                h, at = h[good], at[good]
+                for need in (n for s, n in sizes if s == size):
+                    code, index = _codes(text, at, h, size, need)
+                    found = np.unique(np.stack((text.rows[at[index]], code.view(np.int64))), axis=1)
+                    yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(found[0])), pa.array(found[1]), pa.array(np.full(found.shape[1], size))], ["key", "code", "size"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -322,7 +337,8 @@ def _verified(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator[
 def _joined(rows: DataFrame, items: DataFrame) -> DataFrame:
     """What _scan adds, by a join of window hashes: for a benchmark that is too large to be sent to the workers.
 
-    Items go by their telling windows; of the texts' windows those go into the join that a filter of 1 << FILTER_BITS bits, made of the items' windows, lets
+    A window is joined with the tokens beside it that make a stretch long enough, so a phrase of many items joins no text to all of them, and yet each pair
+    that the broadcast would find is among those joined. Of the texts' windows those go into the join that a filter of 1 << FILTER_BITS bits, made of the items' windows, lets
     through. The items that share a window with a text are then held against it one by one, RUN_ITEMS at a time in one task
     with the text in front, so neither a text with many items nor a window that many have meets in one task. Equal texts are
     judged once.
@@ -331,18 +347,17 @@ def _joined(rows: DataFrame, items: DataFrame) -> DataFrame:
     scratch = Scratch()
     kind, name = to_arrow_type(items.schema["item_id"].dataType), items.schema["item_id"].dataType.simpleString()
     items = scratch(items.select(F.sha2(F.concat_ws("|", F.col("item_id").cast("string"), "text"), 256).alias("item"), "item_id", "text"), "items")
-    own = scratch(map_arrow(items, _item_windows, "item string, hash long, size long, place long, places long"), "all-item-windows")
-    own = scratch(_telling(own), "item-windows")
+    own = scratch(map_arrow(items, _item_windows, "item string, hash long, size long, need long, code long"), "item-windows")
     piece = F.shiftrightunsigned("hash", 64 - FILTER_BITS + PIECE_BITS)
     bits = np.zeros((1 << (FILTER_BITS - PIECE_BITS), 1 << (PIECE_BITS - 3)), np.uint8)
     for r in map_arrow(own.select("hash").repartition(piece), _bits, "piece long, bits binary").toLocalIterator():  # as many bits in all as the filter has
         bits[r["piece"]] |= np.frombuffer(bytes(r["bits"]), np.uint8)
-    sizes = sorted(r["size"] for r in own.select("size").distinct().collect())  # at most WINDOW
+    sizes = sorted((r["size"], r["need"]) for r in own.select("size", "need").distinct().collect())  # at most WINDOW + RUN
     shared = spark.sparkContext.broadcast(bits.ravel())
     key = F.sha2(F.col("text").cast("binary"), 256)
     texts = rows.select(key.alias("key"), "text").filter("text IS NOT NULL")
-    seen = map_arrow(texts, lambda b: _possible(b, shared.value, sizes), "key string, hash long, size long").distinct()
-    pairs = scratch(seen.join(own, ["hash", "size"]).select("key", "item").distinct(), "text-items")
+    seen = map_arrow(texts, lambda b: _possible(b, shared.value, sizes), "key string, code long, size long").distinct()
+    pairs = scratch(seen.join(own.select("item", "code", "size").distinct(), ["code", "size"]).select("key", "item").distinct(), "text-items")
     many = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("having")).filter(F.col("having") > RUN_ITEMS)
     dealt = scratch(pairs.join(many, "key", "left").select("key", "item", F.pmod(F.xxhash64("item"), F.ceil(F.coalesce("having", F.lit(1)) / RUN_ITEMS)).alias("run")), "text-runs")
     heads = texts.join(pairs.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).join(dealt.select("key", "run").distinct(), "key").select("key", "run", F.lit(None).cast(name).alias("item_id"), "text")
@@ -350,7 +365,7 @@ def _joined(rows: DataFrame, items: DataFrame) -> DataFrame:
     met = heads.unionByName(members).repartition("key", "run").sortWithinPartitions("key", "run", F.col("item_id").asc_nulls_first(), "text").select("key", "item_id", "text")
     found = map_arrow(met, lambda b: _verified(b, kind), f"key string, item_id {name}, n long, changed boolean")
     found = scratch(found.groupBy("key").agg(F.array_sort(F.collect_list("item_id")).alias("items"), F.sum("n").alias("n_windows"), F.bool_or("changed").alias("changed")), "texts-found")
-    scratch.drop("items", "all-item-windows", "item-windows", "text-items", "text-runs")
+    scratch.drop("items", "item-windows", "text-items", "text-runs")
     out = rows.withColumn("found_key", key).join(found.withColumnRenamed("key", "found_key"), "found_key", "left").drop("found_key")
     return out.withColumns({"items": F.coalesce("items", F.array().cast(f"array<{name}>")), "n_windows": F.coalesce("n_windows", F.lit(0).cast("long")), "changed": F.coalesce("changed", F.lit(False))})
 

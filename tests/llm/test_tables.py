@@ -148,6 +148,21 @@ def test_items_named_by_texts(spark, monkeypatch, words):
     assert sorted(r.doc_id for r in D.decontaminated(df, bench).collect()) == [4, 5, 6]
 
 
+def test_both_plans_find_the_same(spark, monkeypatch):
+    """Texts of items with words in another case, other names and other words, so that windows beside each other agree in different readings."""
+    rnd = random.Random(5)
+    names, plain = "Maria Tom Keisha Ivan Chen Omar".split(), "river table window garden yellow seven bridge paper 12 km".split()
+    items = [(i, " ".join(rnd.choice(names) if rnd.random() < 0.3 else rnd.choice(plain) for _ in range(rnd.choice([5, 8, 9, 10, 14])))) for i in range(40)]
+    other = lambda w: w if rnd.random() < 0.6 else rnd.choice([w.lower(), w.capitalize(), w + ".", rnd.choice(names) if w in names else w, rnd.choice(plain)])
+    texts = [(k, "And so " + " ".join(other(w) for w in items[k % 40][1].split()) + " it was") for k in range(2000)]
+    docs, bench = spark.createDataFrame(texts, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    whole = {x.doc_id: x for x in D.contaminated(docs, bench).collect()}
+    monkeypatch.setattr(D, "BLOCK_WINDOWS", 10)
+    joined = {x.doc_id: x for x in D.contaminated(docs, bench).collect()}
+    assert sum(x.contaminated for x in whole.values()) > 200
+    assert [k for k in whole if whole[k] != joined[k]] == []
+
+
 def test_a_phrase_of_many_items_and_texts_makes_no_product(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_WINDOWS", 10)
     rnd = random.Random(3)
