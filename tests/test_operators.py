@@ -144,6 +144,15 @@ def test_places_and_ranks_in_ranges(spark):
     assert [r.x for r in ranking.running(df, [], ["i"], F.lit(1), "x").orderBy("i").limit(3).collect()] == [0, 1, 2]
 
 
+def test_many_shared_ngrams_are_not_joined_as_text(spark, monkeypatch):
+    """Whatever is spelt out is added up in its task before it is shuffled, and what the filter lets through by chance is left out by its count."""
+    monkeypatch.setattr(validity, "SENT_HASHES", 0)
+    df = spark.createDataFrame([("one two three", 1), ("One two four", 2), ("five two", 3)], "text string, i int")
+    found = validity.document_ngrams(df, 2)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    assert [tuple(r) for r in found.collect()] == [("one two", 2)]
+
+
 def test_shared_ngrams_against_plain_counts(spark, monkeypatch):
     """Both ways of finding the shared hashes, over several ranges and blocks; texts that end in a token, long ones, and letters beyond ASCII."""
     from collections import Counter
