@@ -99,9 +99,10 @@ def report(frames: dict[str, DataFrame], most: int = 10_000) -> str:
 
 
 def forbidden_families(roles: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Families (role, family) that two roles of a forbidden pair (role_a, role_b) share."""
+    """Families (role, family) that two roles of a forbidden pair (role_a, role_b) share. Repeated rows count once before roles meet, so they make no product."""
+    roles, pairs = roles.select("role", "family").distinct(), pairs.select("role_a", "role_b").distinct()
     a, b = roles.select(F.col("role").alias("role_a"), "family"), roles.select(F.col("role").alias("role_b"), "family")
-    return pairs.join(a, "role_a").join(b, ["role_b", "family"]).select("role_a", "role_b", "family").distinct()
+    return pairs.join(a, "role_a").join(b, ["role_b", "family"]).select("role_a", "role_b", "family")
 
 
 def numbered_lines(rows: DataFrame, order: str, by: list[str]) -> DataFrame:

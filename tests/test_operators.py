@@ -350,3 +350,13 @@ def test_model_boundary_retries_and_reports(spark):
     assert out == {"a": ("1", None), "b": (None, "RuntimeError: no")}
     answers, fresh = calls.read_through(requests, spark.createDataFrame([("b", "kept")], "key string, text string"), call, "key string, text string, error string", rounds=1)
     assert {r.key: r.text for r in answers.collect()} == {"a": "1", "b": "kept"} and fresh.count() == 1
+
+
+def test_repeated_roles_make_no_product(spark):
+    from plumbline.sources import readers
+
+    roles = spark.createDataFrame([("a", "f"), ("a", "f"), ("b", "f"), ("b", "f"), ("b", "g")], "role string, family string")
+    found = readers.forbidden_families(roles, spark.createDataFrame([("a", "b"), ("a", "b")], "role_a string, role_b string"))
+    assert [tuple(r) for r in found.collect()] == [("a", "b", "f")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("Join", 1)[1].count("Aggregate") >= 2
