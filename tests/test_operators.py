@@ -360,3 +360,9 @@ def test_repeated_roles_make_no_product(spark):
     assert [tuple(r) for r in found.collect()] == [("a", "b", "f")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.split("Join", 1)[1].count("Aggregate") >= 2
+
+
+def test_lines_of_cases_are_written_by_many_tasks(spark):
+    from plumbline.plans import file_queries
+
+    assert len(file_queries.QUERIES["cases_by_id"](spark, "/root/testdata/sf0.001").inputFiles()) > 1
