@@ -1,7 +1,7 @@
 """Language identification as inference of a mixture.
 
 A document is a mixture of languages with unknown proportions. Each language has a distribution over letter trigrams (of
-UTF-8 bytes; A to Z folded, everything but letters a blank), counted over a sample of labelled documents of bounded size.
+UTF-8 bytes; A to Z folded, everything but letters a blank), counted over all labelled documents.
 Expectation-maximisation finds a document's proportions; languages that come out below FLOOR are dropped and the rest fitted
 again; and the mixture is kept only if its log-likelihood beats the best single language's by PENALTY * log(trigrams) for
 each further language.
@@ -20,9 +20,9 @@ from plumbline.llm.shared import chosen, fold, map_arrow, only
 from plumbline.llm.textbytes import BLOCK, LOWER, buffers, running, slices
 
 CODES = 1 << 15
-#: At most about so many labelled documents are counted (each with its whole text), chosen by a hash of the id.
-TRAIN_DOCS = 20_000
-#: The sample holds about so many documents of each language, or all of a language that has fewer, even where that exceeds TRAIN_DOCS.
+#: All labelled documents are counted. A caller may set a bound instead: about so many then are (each with its whole text), chosen by a hash of the id.
+TRAIN_DOCS: int | None = None
+#: Such a sample holds about so many documents of each language, or all of a language that has fewer, even where that exceeds the bound.
 LANGUAGE_DOCS = 100
 #: A task counts at most so many languages before it passes the counts on; texts are fitted in runs of at most so many trigrams times languages, one text at least.
 HELD_LANGUAGES, HELD_SHARES = 64, 8_000_000
@@ -99,12 +99,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def learn(labelled: DataFrame, *, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
+def learn(labelled: DataFrame, *, train_docs: int | None = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """Names and (CODES, languages) smoothed probabilities of all languages in rows (doc_id, text, lang)."""
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # a row a language
+    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()} if train_docs is not None else {}  # a row a language
     total = sum(sizes.values())
-    if total > train_docs:
+    if train_docs is not None and total > train_docs:
         rate = train_docs / total
         rare = [(x, min(1.0, LANGUAGE_DOCS / n)) for x, n in sorted(sizes.items()) if n * rate < LANGUAGE_DOCS]
         share = F.lit(rate)
@@ -197,7 +197,7 @@ def _predict(batches: Iterator[pa.RecordBatch], names: list[str], model: np.ndar
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], pa.array(langs, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(sets, pa.list_(pa.string())), pa.array(mixture, pa.list_(pa.float64()))], [*rest, "lang_pred", "score", "languages", "proportions"])
 
 
-def identify(docs: DataFrame, labelled: DataFrame, *, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, labelled: DataFrame, *, train_docs: int | None = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of docs: doc_id, lang_pred, score (the language's proportion; for a single language its posterior weight), languages, proportions (the selected set).
 
     labelled: rows with id, text and language to learn from; NULL languages and texts teach nothing. lang_pred is `und`, with
@@ -215,7 +215,7 @@ def _predicted(rows: DataFrame, model: tuple[list[str], np.ndarray], keep_text:
     return map_arrow(rows, lambda b: _predict(b, *shared.value, keep_text), f"{fields}lang_pred string, score double, languages array<string>, proportions array<double>")
 
 
-def in_known_language(docs: DataFrame, labelled: DataFrame, *, min_score: float = 0.3, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def in_known_language(docs: DataFrame, labelled: DataFrame, *, min_score: float = 0.3, train_docs: int | None = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs, all columns, whose language is identified with at least min_score; `und` rows go."""
     rows = docs.select(F.struct(F.lit(0).alias("none"), *[docs[c] for c in docs.columns if c != text_col]).alias("rest"), docs[text_col].alias("text"))
     out = _predicted(rows, learn(only(labelled, id_col, text_col, lang_col).toDF("doc_id", "text", "lang"), train_docs=train_docs), keep_text=True)

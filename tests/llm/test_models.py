@@ -52,6 +52,20 @@ def test_every_labelled_language_is_learnt(spark, monkeypatch):
     assert L.learn(labelled, train_docs=500)[0] == sorted(text)
 
 
+def test_all_labelled_documents_are_learnt(spark):
+    """However many there are: the model is that of counts over all of them, and not of a sample beyond some size."""
+    rows = [(i, f"{EN} {i % 7}" if i % 2 else f"{FR} {i % 5}", "en" if i % 2 else "fr") for i in range(24_000)]
+    many = spark.createDataFrame(rows + [(-1, "zzz qqq zzz", "en")], "doc_id long, text string, lang string")
+    names, model = L.learn(many)
+    row, code, count = L.trigrams(pa.array([t for _, t, _ in rows] + ["zzz qqq zzz"]))
+    lang = np.array([x for *_, x in rows] + ["en"])
+    for k, name in enumerate(names):
+        own = lang[row] == name
+        exact = np.bincount(code[own], count[own], L.CODES) + 0.5
+        assert np.array_equal(model[:, k], (exact / exact.sum()).astype(np.float32))
+    assert names == ["en", "fr"]
+
+
 def test_proportions_against_plain_em():
     """The batched fit equals expectation-maximisation of one document at a time."""
     r = np.random.default_rng(1)
