@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 import re
@@ -366,3 +367,13 @@ def test_lines_of_cases_are_written_by_many_tasks(spark):
     from plumbline.plans import file_queries
 
     assert len(file_queries.QUERIES["cases_by_id"](spark, "/root/testdata/sf0.001").inputFiles()) > 1
+
+
+def test_balanced_sample_limits_each_group_before_it_is_dealt(spark):
+    """The same rows as by ranking whole groups, of which a task passes on no more than can be taken."""
+    rows = spark.createDataFrame([(i, "a" if i % 50 else "b", f"k{i}") for i in range(3000)], "i long, g string, k string")
+    found = ranking.balanced_sample(rows, "g", 100, 3, "k")
+    ordered = sorted(((hashlib.md5(f"3|k{i}".encode()).hexdigest(), i) for i in range(3000)))
+    own = {i for g in (0, 1) for _, i in [x for x in ordered if (x[1] % 50 == 0) == bool(g)][:50]}
+    assert {x.i for x in found.collect()} == own | {i for _, i in [x for x in ordered if x[1] not in own][: 100 - len(own)]}
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
