@@ -5,6 +5,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -371,9 +372,24 @@ def test_lines_of_cases_are_written_by_many_tasks(spark):
 
 def test_balanced_sample_limits_each_group_before_it_is_dealt(spark):
     """The same rows as by ranking whole groups, of which a task passes on no more than can be taken."""
-    rows = spark.createDataFrame([(i, "a" if i % 50 else "b", f"k{i}") for i in range(3000)], "i long, g string, k string")
-    found = ranking.balanced_sample(rows, "g", 100, 3, "k")
+    rows = spark.createDataFrame([(i, "a" if i % 50 else "b", f"k{i}") for i in range(3000)], "i long, g string, name string")
+    found = ranking.balanced_sample(rows, "g", 100, 3, "name")
     ordered = sorted(((hashlib.md5(f"3|k{i}".encode()).hexdigest(), i) for i in range(3000)))
     own = {i for g in (0, 1) for _, i in [x for x in ordered if (x[1] % 50 == 0) == bool(g)][:50]}
     assert {x.i for x in found.collect()} == own | {i for _, i in [x for x in ordered if x[1] not in own][: 100 - len(own)]}
     assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_number_of_shared_ngrams_without_their_text(spark, n, monkeypatch):
+    """As many as are spelt out, whatever tasks and ranges they meet in; and equal hashes of different n-grams count apart."""
+    from plumbline.functions import grams
+
+    r = random.Random(4)
+    docs = spark.createDataFrame([(" ".join(r.choice("a b c d e f g h").strip() * r.randint(1, 3) for _ in range(r.randint(0, 30))),) for _ in range(60)] + [(None,), ("",)], "text string").repartition(5)
+    exact = validity.document_ngrams(docs, n).count()
+    monkeypatch.setattr(validity, "RANGE_CHARS", 200)
+    assert exact > 0 and validity.n_shared_ngrams(docs, n).collect() == [(exact,)]
+    assert validity.n_shared_ngrams(docs.limit(0), n).collect() == [(0,)]
+    one = lambda h, c: pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), *[pa.array([grams.planes(np.array(x, k))], pa.binary()) for x, k in ((h, np.uint64), (c, np.uint32), ([1] * len(h), np.uint32))]], ["range", "hashes", "checks", "counts"])
+    assert [b.to_pylist() for b in grams.shared(iter([one([5, 9], [1, 2]), one([5, 9], [3, 2])]), 2)] == [[{"n": 1}]]
