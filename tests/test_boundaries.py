@@ -323,3 +323,21 @@ def test_corpora_by_hand(spark):
     got = {r.seed_id: r for r in seeds.collect()}
     assert [p.text for p in got["tqa-0"].passages][1] == "nothing here" and got["tqa-0"].passages[0].is_answer_bearing and len(got["tqa-0"].passages[0].text.split()) <= 42
     assert len(got["tqa-5"].passages) == 1 and got["tqa-5"].passages[0].text == "just one" and all(p.passage_id.startswith("tqa-0-x") for p in got["tqa-0"].extra_passages)
+
+
+def test_context_seeds_compute_a_hit_once(spark):
+    """A filter that was pushed below the hit cut every context again, at each place in which the hit stood."""
+    from plumbline.functions import text as T
+    from plumbline.sources import corpora
+
+    long = " ".join(f"w{i}" for i in range(100))
+    rows = [(0, "q", "Rome", ["no", f"{long} rome {long}", f"Rome {long}"]), (1, "q", "Rome", [" \n Romes ", "Rome in  Italy", "a b"]), (2, "q", "İ x", [f"İİİ {long} İ x {long}"]), (3, "q", "zz", ["a", "b"]), (4, "q", " ", ["a"])]
+    seeds, counts = corpora.context_seeds(spark.createDataFrame(rows, "i long, question string, answer string, contexts array<string>"), 9, 20)
+    filters = [x for x in seeds._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
+    assert filters and not any("split(" in x for x in filters)
+    assert counts.first().asDict() == {"seen": 5, "no_answer_or_context": 0, "answer_not_in_context": 2, "kept": 3}
+    got = {r.seed_id: [p.text for p in r.passages] for r in seeds.collect()}
+    assert got["tqa-0"] == [" ".join([*(f"w{i}" for i in range(94, 100)), "rome", *(f"w{i}" for i in range(7))]), "no"]
+    assert got["tqa-1"] == ["Romes", "a b"] and "İ x" in got["tqa-2"][0] and len(got["tqa-2"]) == 1
+    texts = spark.createDataFrame([(t,) for t in ("", " ", "a", "  a b", "a b c d ", "a\n\nb\tc d e", None)], "t string")
+    assert all(x.a == x.b for x in texts.select(T.first_words(F.col("t"), 3).alias("a"), F.slice(T.words(F.col("t")), 1, 3).alias("b")).collect())
