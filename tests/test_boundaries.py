@@ -341,3 +341,18 @@ def test_context_seeds_compute_a_hit_once(spark):
     assert got["tqa-1"] == ["Romes", "a b"] and "İ x" in got["tqa-2"][0] and len(got["tqa-2"]) == 1
     texts = spark.createDataFrame([(t,) for t in ("", " ", "a", "  a b", "a b c d ", "a\n\nb\tc d e", None)], "t string")
     assert all(x.a == x.b for x in texts.select(T.first_words(F.col("t"), 3).alias("a"), F.slice(T.words(F.col("t")), 1, 3).alias("b")).collect())
+
+
+def test_document_seeds_compute_a_window_once(spark):
+    """A filter that was pushed below the window split every document again, at each place in which the window stood."""
+    from plumbline.sources import corpora
+
+    long = [f"w{i}" for i in range(200)]
+    rows = [(0, "q", ["Rome"], [*long, "to", "ROME", *long]), (1, "q", ["x y"], ["x y", "", " z\n"]), (2, "q", ["İ a"], ["İİİ", *long, "İ", "a", *long]), (3, "q", ["zz"], long), (4, "q", [""], long), (5, "q", [None], None), (6, "q", ["a"], None)]
+    seeds, counts = corpora.document_seeds(spark.createDataFrame(rows, "i long, question string, short_answers array<string>, tokens array<string>"), 9, 60)
+    filters = [x for x in seeds._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
+    assert filters and not any("split(" in x for x in filters)
+    assert counts.first().asDict() == {"seen": 7, "no_short_answer": 2, "answer_not_in_document": 2, "kept": 3}
+    got = {r.seed_id: r for r in seeds.collect()}
+    assert got["nq-0"].passages[0].text == " ".join([*long[172:], "to", "ROME", *long[:30]]) and got["nq-1"].passages[0].text == "x y z"
+    assert "İ a" in got["nq-2"].passages[0].text and [p.text for p in got["nq-0"].extra_passages][:3] == [" ".join(long[k : k + 60]) for k in (0, 60, 120)] and len(got["nq-0"].extra_passages) == 5
