@@ -6,7 +6,7 @@
 Rows come in the order of file names and of rows within a file, numbered from 0 in the column i. An offset is a number of rows, so a
 stream that is started again neither repeats nor skips; when the limit is reached no further batch comes. Only footers
 are read to plan, no further than to the limit, and each task reads one row group's rows. Workers read the files by
-pyarrow, from local paths and the stores that it has a file system for.
+pyarrow, from local paths and the stores that it has a file system for; of other stores, `reachable` has Spark make a copy.
 """
 
 from __future__ import annotations
@@ -19,9 +19,12 @@ import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import LongType, StructField, StructType
 
+from plumbline.sources.scratch import folder
+
 NUMBER = "i"
 
 
@@ -46,6 +49,18 @@ def located(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.LocalFileSystem(), path
 
 
+def reachable(spark: SparkSession, path: str) -> str:
+    """The path, or that of a copy in a fresh folder where only Spark opens the store. The copy has the rows in the same order."""
+    try:
+        located(path)
+        return path
+    except (pa.ArrowInvalid, OSError):
+        at = folder(spark, "copied-corpus")
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    spark.read.parquet(path).select("*", *place).orderBy("_file", "_row").drop("_file", "_row").write.parquet(at)
+    return at
+
+
 def files_of(path: str) -> list[str]:
     """The Parquet files at a path in the order of their names; hidden ones aren't part of the corpus."""
     store, at = located(path)

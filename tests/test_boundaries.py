@@ -356,3 +356,19 @@ def test_document_seeds_compute_a_window_once(spark):
     got = {r.seed_id: r for r in seeds.collect()}
     assert got["nq-0"].passages[0].text == " ".join([*long[172:], "to", "ROME", *long[:30]]) and got["nq-1"].passages[0].text == "x y z"
     assert "İ a" in got["nq-2"].passages[0].text and [p.text for p in got["nq-0"].extra_passages][:3] == [" ".join(long[k : k + 60]) for k in (0, 60, 120)] and len(got["nq-0"].extra_passages) == 5
+
+
+def test_corpus_from_a_store_that_only_spark_opens(spark, tmp_path):
+    from plumbline.sources import streams
+
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
+    for k in range(3):
+        spark.range(9 - 3 * k).select((F.col("id") * 7 % 10 + 10 * k).alias("doc_id"), F.lit("x").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/made{k}")
+        (part,) = (tmp_path / f"made{k}").glob("*.parquet")
+        (tmp_path / "docs").mkdir(exist_ok=True)
+        part.rename(tmp_path / "docs" / f"part-{k}.parquet")
+    streams.CorpusSource.register(spark)
+    read = lambda path: [tuple(r) for r in spark.read.format("corpus").schema("i long, doc_id long, text string").option("path", path).option("limit", 14).load().orderBy("i").collect()]
+    assert streams.reachable(spark, f"{tmp_path}/docs") == f"{tmp_path}/docs"
+    want = read(f"{tmp_path}/docs")
+    assert len(want) == 14 and read(streams.reachable(spark, "viewfs://store/in/docs")) == want
