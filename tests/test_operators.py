@@ -393,3 +393,28 @@ def test_number_of_shared_ngrams_without_their_text(spark, n, monkeypatch):
     assert validity.n_shared_ngrams(docs.limit(0), n).collect() == [(0,)]
     one = lambda h, c: pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), *[pa.array([grams.planes(np.array(x, k))], pa.binary()) for x, k in ((h, np.uint64), (c, np.uint32), ([1] * len(h), np.uint32))]], ["range", "hashes", "checks", "counts"])
     assert [b.to_pylist() for b in grams.shared(iter([one([5, 9], [1, 2]), one([5, 9], [3, 2])]), 2)] == [[{"n": 1}]]
+
+
+#: The first and the fifth passage of a seed: the answer is the third and fourth word of the first that has a text, and the fifth is flagged.
+SEED_TEXTS = [
+    ("x y de è z", "a de é b"), ("x y de è z", "a DE È b"), ("x y le café z", "le cafe"), ("x y ΟΔΟΣ a", "the οδος a"), ("x y \u0130z a", "an iz a b"), ("x y o p", "\U0001d400o p"),
+    ("x y o p", "o p\U0001d400"), ("x y o p", "o p\u0301 q"), ("x y o p", "\u00b2o p"), ("x y o p", "o p_"), (r"x y a\ \E z", r"has a\ \E here"), ("x y\x0bz q w v", "only q w"), (None, "b c m n o"), ("x y o p", None),
+    ("x y \u00a0 \u2003", "o p"), ("x y \u00a0 o p", "\u00a0 o"), ("x y o\u2028 \u3000", "o\u2028"), ("x y", "o p"), ("", ""), (None, None), (" \n x\ty\r\no  p q", "an o p, q"),
+]
+
+
+def test_seed_integrity_tells_accents_apart_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    from plumbline.plans import catalog
+
+    own = [k for k in range(-70, 700, 7) if k % 11 and k % 13 and k % 17][: len(SEED_TEXTS)]
+    rows = [(5 * k + i, t) for k, (first, fifth) in zip(own, SEED_TEXTS, strict=True) for i, t in ((0, first), (1, "g h i j"), (4, fifth))] + [(None, "x y o p")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(catalog.SQL["seed_integrity"])
+    got = catalog.QUERIES["seed_integrity"](spark, str(tmp_path)).select(want.columns)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want.fetchall(), key=repr)
+    folded = testbeds.seed_problems(spark.createDataFrame([("s", "Bogota", [("p", "in Bogotá", True, False)])], f"seed_id string, answer string, passages array<{testbeds.PASSAGE}>"))
+    assert folded.count() == 0
